@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import queries_names  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
