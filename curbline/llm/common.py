@@ -2,62 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop_settled, fresh_path, settle, shared_dir  # noqa: F401
+
 #: Words are maximal runs of anything but these ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Spark's switch that removes a query's shuffle files when it ends.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (local runs)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.curbline.scratch", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="curbline-")
-            spark.conf.set("spark.curbline.scratch", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = spark.conf.get(CLEAN_UP, None)
-    try:
-        spark.conf.set(CLEAN_UP, "true")
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_settled(*dfs: DataFrame) -> None:
-    """Delete tables written by :func:`settle` once nothing reads them any more."""
-    for df in dfs:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def n_parts(df: DataFrame, column: str, bytes_each: int) -> int:
     """How many groups to deal ``df`` to so that each holds about ``bytes_each`` bytes of ``column``."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_settled, mix64, n_parts, settle, slices, table, texts_of, window_hashes
+from ..operators.graph import connected_components
+from .common import WordHasher, mix64, n_parts, settle, slices, table, texts_of, window_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -123,26 +124,6 @@ def hasher_digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=12).digest()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """id and c (the smallest id that it is connected to) for all ends of the edges (a, b).
-
-    Labels go along edges and then jump to their label's label, so rounds grow with the logarithm of a
-    component's length. Each round is written to the shared folder."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), name)
-    now = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("id"), "c"), name)
-    while True:
-        seen = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("c").alias("n"))
-        step = now.join(seen, now["id"] == seen["a"]).select("id", "c", F.least("c", "n").alias("n"))
-        up = now.select(F.col("id").alias("u"), F.col("c").alias("uc"))
-        jump = step.join(up, F.col("n") == F.col("u"), "left").select("id", "c", F.least("n", F.coalesce("uc", "n")).alias("n"))
-        new = settle(jump, name)
-        changed = new.where("n <> c").limit(1).count()
-        drop_settled(now)
-        now = new.select("id", F.col("n").alias("c"))
-        if not changed:
-            return now
-
-
 class Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -224,13 +205,13 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     members = signed.where("content is not null").join(texts, "content").where(F.col("id") == F.col("rep")).select("rep", F.posexplode("bands").alias("band", "bucket"))
     stars = members.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where(F.col("lead") != F.col("last")).drop("last")
     edges = settle(members.join(stars, ["band", "bucket"]).where(F.col("rep") != F.col("lead")).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
-    families = components(edges, "families").withColumnRenamed("c", "family")
+    families = connected_components(edges).withColumnRenamed("comp_id", "family")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(families, "id")
     links = verify(rows, n_parts(docs, text, 16 << 20), threshold, kind)
     same = signed.where("content is not null").join(texts, "content").where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    classes = components(settle(links.union(same).distinct(), "links"), "classes")
+    classes = connected_components(links.union(same))
     every = signed.select("id").distinct()
-    found = every.join(classes, "id", "left").select("id", F.coalesce("c", "id").alias("class_id"))
+    found = every.join(classes, "id", "left").select("id", F.coalesce("comp_id", "id").alias("class_id"))
     return found
 
 
