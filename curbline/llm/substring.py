@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, n_parts, settle, slices, table, texts_of, window_hashes
+from .common import WordHasher, mix64, n_parts, settle, slices, table, texts_of, window_hashes
 
 #: Every difference modulo 21 is a difference of two of these.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -73,33 +73,54 @@ class Dealer:
 
 
 DEALT = "g int, keys binary, doc binary, at binary, h binary"
+PACKED = "b int, keys binary, sizes binary, at binary"
 FOUND = "k long, at binary"
 
 
-def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Places of the hashes that occur twice or more, one row a document."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]])
-    key = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(d, np.int32)] for k, d in zip(pdf["keys"], pdf["doc"], strict=True)])
+def repeated(groups: int):
+    """Places of the hashes that occur twice or more, packed into one row for each bucket of documents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]])
+        key = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(d, np.int32)] for k, d in zip(pdf["keys"], pdf["doc"], strict=True)])
+        at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        key, at = key[twice], at[twice]
+        bucket = (mix64(key.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+        order = np.lexsort((at, key, bucket))
+        key, at, bucket = key[order], at[order], bucket[order]
+        cut = np.searchsorted(bucket, np.arange(groups + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(cut)):
+            keys, sizes = np.unique(key[cut[b] : cut[b + 1]], return_counts=True)
+            rows.append((int(b), keys.tobytes(), sizes.astype(np.int32).tobytes(), at[cut[b] : cut[b + 1]].tobytes()))
+        return pd.DataFrame(rows, columns=["b", "keys", "sizes", "at"])
+
+    return run
+
+
+def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row a document from a bucket's packed rows."""
+    key = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32)) for k, n in zip(pdf["keys"], pdf["sizes"], strict=True)])
     at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    key, at = key[twice], at[twice]
     order = np.argsort(key, kind="stable")
     key, at = key[order], at[order]
-    cut = np.concatenate((np.flatnonzero(np.diff(key, prepend=key[:1] - 1 if len(key) else 0)), [len(key)])) if len(key) else np.zeros(1, int)
-    return pd.DataFrame([(key[a], at[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)], columns=["k", "at"])
+    keys, first = np.unique(key, return_index=True)
+    cut = np.append(first, len(key))
+    return pd.DataFrame([(k, at[i:j].tobytes()) for k, i, j in zip(keys, cut[:-1], cut[1:], strict=True)], columns=["k", "at"])
 
 
-def gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("k").agg(F.collect_list("at").alias("at"))
+def found_in(dealt: DataFrame, groups: int) -> DataFrame:
+    return dealt.groupBy("g").applyInPandas(repeated(groups), PACKED).groupBy("b").applyInPandas(by_document, FOUND)
 
 
-def places(parts, n: int) -> np.ndarray:
+def places(at, n: int) -> np.ndarray:
     out = np.zeros(n, bool)
-    for p in parts if parts is not None else ():
-        out[np.frombuffer(p, np.int32)] = True
+    if at is not None:
+        out[np.frombuffer(at, np.int32)] = True
     return out
 
 
@@ -123,7 +144,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                         yield from dealer.add(k, at, window_hashes(h[b : b + n], anchor)[at])
         yield dealer.flush()
 
-    found = settle(gathered(rows.mapInPandas(anchors, DEALT).groupBy("g").applyInPandas(repeated, FOUND)), "anchors")
+    found = settle(found_in(rows.mapInPandas(anchors, DEALT), groups), "anchors")
 
     def extend(batches):
         hasher, dealer = WordHasher(5), Dealer(groups)
@@ -141,14 +162,14 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     # equal rows share k: their anchors are one entry, and each row extends it
     both = rows.join(found, "k")
-    return settle(gathered(both.mapInPandas(extend, DEALT).groupBy("g").applyInPandas(repeated, FOUND)), "windows")
+    return settle(found_in(both.mapInPandas(extend, DEALT), groups), "windows")
 
 
 def keep_words(text: str, parts, window: int = WINDOW) -> tuple[int, int, bytes]:
     """Words, how many go, and the kept ones joined by a space."""
     words = text.encode().split()
     n = len(words)
-    if parts is None or not len(parts):
+    if parts is None:
         return n, 0, b" ".join(words)
     starts = places(parts, n + 1).astype(np.int64)
     edge = starts.copy()
