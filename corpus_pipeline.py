@@ -16,7 +16,7 @@ from curbline.llm.mixing import mix_sources
 from curbline.llm.neardup import keep_one
 from curbline.llm.pieces import encode_pieces
 from curbline.llm.substring import dedup_substrings
-from curbline.llm.toxicity import score_toxicity, train_toxicity
+from curbline.llm.toxicity import toxicity_score, train_toxicity
 
 TOXIC = 0.7
 
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC``; the model learns from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels)
-    return score_toxicity(docs, model, keep=tuple(docs.columns), score="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return docs.where(toxicity_score(spark, model, F.col("text")) < TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words or more that occur elsewhere; n_chars follows the text."""
-    return dedup_substrings(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return dedup_substrings(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

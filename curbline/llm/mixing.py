@@ -70,14 +70,15 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """The mix itself: rows of ``docs``, each as often as it is chosen. Text is shuffled once."""
     names = docs.columns
     k = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.xxhash64(text).cast("string")))
-    rows = docs.withColumns({"_k": k, "_size": word_count(text), "_h": F.xxhash64(text)})
-    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("_k").orderBy(source, "_size", "_h")))
-    light = docs.select(k.alias("_k"), F.col(source).alias("_source"), word_count(text).alias("size"), F.xxhash64(text).alias("_h"))
-    light = light.withColumn("_no", F.row_number().over(W.partitionBy("_k").orderBy("_source", "size", "_h")))
-    picked = choose_copies(light, F.pmod(F.xxhash64("_k"), F.lit(SALTS)), "_k", "_source").select("_k", F.col("_no").alias("_pick"), "copies").where("copies > 0")
+    rows = docs.withColumns({"__m_key": k, "__m_size": word_count(text), "__m_hash": F.xxhash64(text)})
+    rows = rows.withColumn("__m_no", F.row_number().over(W.partitionBy("__m_key").orderBy(source, "__m_size", "__m_hash")))
+    light = docs.select(k.alias("k"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("h"))
+    light = light.withColumn("no", F.row_number().over(W.partitionBy("k").orderBy("source", "size", "h")))
+    picked = choose_copies(light, F.pmod(F.xxhash64("k"), F.lit(SALTS)), "k", "source").where("copies > 0")
+    picked = picked.select(F.col("k").alias("__m_pick"), F.col("no").alias("__m_pick_no"), F.col("copies").alias("__m_copies"))
     # the number is no join key, so that the rows stay as the window dealt them
-    both = rows.join(picked, (rows["_k"] == picked["_k"]) & (F.abs(F.col("_no") - F.col("_pick")) == 0))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    both = rows.join(picked, (F.col("__m_key") == F.col("__m_pick")) & (F.abs(F.col("__m_no") - F.col("__m_pick_no")) == 0))
+    return both.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def keep_words(text: str, parts, window: int = WINDOW) -> tuple[int, int, bytes]
 
 
 def with_windows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("_k", doc_hash(key, text)).join(found.select(F.col("k").alias("_k"), F.col("at").alias("_at")), "_k", "left")
+    return docs.withColumn("__s_k", doc_hash(key, text)).join(found.select(F.col("k").alias("__s_k"), F.col("at").alias("__s_at")), "__s_k", "left")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +190,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         return pd.Series([t if p is None else keep_words(t, p)[2].decode() for p, t in zip(parts, texts, strict=True)], dtype=object)
 
     rewrite = F.pandas_udf(run, "string")
-    return with_windows(docs, found, key, text).withColumn(text, F.when(F.col("_at").isNull(), F.col(text)).otherwise(rewrite("_at", text))).select(*docs.columns)
+    return with_windows(docs, found, key, text).withColumn(text, F.when(F.col("__s_at").isNull(), F.col(text)).otherwise(rewrite("__s_at", text))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +199,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def digest(batches):
         for pdf in batches:
-            got = [keep_words(t, p) for t, p in zip(texts_of(pdf["text"]), pdf["_at"], strict=True)]
+            got = [keep_words(t, p) for t, p in zip(texts_of(pdf["text"]), pdf["__s_at"], strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [g[0] for g in got], "n_removed": [g[1] for g in got], "kept_sha256": [hashlib.sha256(g[2]).hexdigest() for g in got]})
 
-    return with_windows(docs, found, "doc_id", "text").select("doc_id", "text", "_at").mapInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_windows(docs, found, "doc_id", "text").select("doc_id", "text", "__s_at").mapInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")

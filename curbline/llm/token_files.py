@@ -163,7 +163,7 @@ def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 for k, ids in zip(part[key], encoder.encode(texts_of(part[text])), strict=True):
-                    rows.append((None if pd.isna(k) else k, writer.total, len(ids) // encoder.dtype.itemsize + 1))
+                    rows.append((None if pd.isna(k) else int(k) if isinstance(k, float) else k, writer.total, len(ids) // encoder.dtype.itemsize + 1))
                     writer.add(ids + end)
         if writer is None:
             return

@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, crc_mod, table, texts_of
@@ -123,10 +124,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         for pdf in batches:
             for t, y in zip(texts_of(pdf[text]), pdf["_label"], strict=True):
                 (toxic if y else clean).update({p for w in set(t.lower().split()) for p in parts_of(w)})
-        names = [w for w in toxic]
-        yield pd.DataFrame({"part": names, "toxic": [toxic[w] for w in names], "clean": 0})
-        names = [w for w in clean]
-        yield pd.DataFrame({"part": names, "toxic": 0, "clean": [clean[w] for w in names]})
+        names = [*toxic, *clean]
+        if names:
+            yield pd.DataFrame({"part": names, "toxic": [*toxic.values(), *[0] * len(clean)], "clean": [*[0] * len(toxic), *clean.values()]})
 
     totals = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -160,25 +160,24 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), score: str = "score") -> DataFrame:
-    """keep and the score, from 0 to 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+def toxicity_score(spark: SparkSession, model: ToxicityModel | None, text: Column) -> Column:
+    """The score, from 0 to 1, as a column: other columns stay where they are."""
+    if model is None:
+        return F.when(text.isNull(), 0.0).otherwise(0.0)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        hits = m.memo() if m else None
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                s = np.zeros(len(part)) if m is None else 1 / (1 + np.exp(-np.clip(m.rows(texts_of(part[text]), hits) @ m.weights[:-1] + m.weights[-1], -30, 30)))
-                yield part[list(keep)].assign(**{score: s})
+        hits = m.memo()
+        for texts in batches:
+            parts = [1 / (1 + np.exp(-np.clip(m.rows(texts_of(texts.iloc[at : at + 512]), hits) @ m.weights[:-1] + m.weights[-1], -30, 30))) for at in range(0, len(texts), 512)]
+            yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    return docs.select(*dict.fromkeys((*keep, text))).mapInPandas(run, f"{kinds}, `{score}` double")
+    return F.pandas_udf(run, "double")(text)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train_toxicity(docs, labels.where(crc_mod("doc_id", 3) != 1))
-    scored = score_toxicity(docs, model)
+    scored = docs.select("doc_id", toxicity_score(spark, model, F.col("text")).alias("score"))
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
