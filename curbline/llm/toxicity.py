@@ -148,6 +148,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             yield pd.DataFrame({"y": pdf["_label"].to_numpy(), "x": [r.tobytes() for r in x]})
 
     got = both.mapInPandas(evidence, "y int, x binary").toPandas()  # max_rows rows at most, unless a key repeats
+    if got["y"].nunique() < 2:  # labels without their documents
+        return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1)
     order = np.lexsort(x.T[::-1][:4])  # whatever order rows came in, sums run in one order
     x, y = x[order], got["y"].to_numpy()[order]

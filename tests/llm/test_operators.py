@@ -153,8 +153,7 @@ def test_language_model(docs, none):
 
 def test_model_sums_to_one():
     c = pitman_yor.Totals(10, 3, 0.5, 0.5, 1.0, [4], [3])
-    customers, tables = np.array([2, 1, 1, 0]), np.array([1, 1, 1, 0])  # the last is the unknown word
-    p = c.parent(0, customers, tables)
+    p = c.parent(0, np.array([2, 1, 1, 0]))  # the last is the unknown word
     assert p.sum() == pytest.approx(1)
     counts, t = np.array([3, 1, 0, 0]), np.array([2, 1, 0, 0])
     q = (np.maximum(counts - 0.5 * t, 0) + (1.0 + 0.5 * t.sum()) * p) / (1.0 + counts.sum())
