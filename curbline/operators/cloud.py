@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import settle
 from .graph import component_bbox, mask_components
 from .raster import mad_filter
 from .runs import best_run_per_column, merge_runs
@@ -200,16 +201,16 @@ def plane_hypotheses(points: DataFrame, iters: int) -> DataFrame:
 def fit_ground_plane(points: DataFrame, iters: int = 1000, min_inlier_ratio: float = 0.3, least: int = 50) -> DataFrame:
     """image_id, nx, ny, nz, d, inliers and refined: a coarse plane sets the threshold, the best of the hypotheses is
     refined on its inliers; with too few of them the coarse plane stays. points: image_id, pt, x, y, z."""
-    coarse = fit_plane(points, ["image_id"]).where(F.col("n") >= least)
+    coarse = settle(fit_plane(points, ["image_id"]).where(F.col("n") >= least), "coarse")
     near = points.join(coarse, "image_id").withColumn("_r", distance_to())
     w = W.partitionBy("image_id")
     near = near.withColumn("_m", F.percentile("_r", F.lit(0.5)).over(w)).withColumn("_a", F.abs(F.col("_r") - F.col("_m")))
     thresholds = near.groupBy("image_id").agg((2.5 * 1.4826 * F.percentile("_a", F.lit(0.5))).alias("t")).select("image_id", F.greatest(F.lit(0.005), F.least(F.lit(0.05), F.col("t"))).alias("thresh"))
     ok = points.join(coarse.select("image_id"), "image_id", "left_semi")
-    hyps = plane_hypotheses(ok, iters)
+    hyps = settle(plane_hypotheses(ok, iters), "hypotheses")
     counts = plane_inlier_join(ok, hyps, thresholds)
     best = counts.groupBy("image_id").agg(F.max(F.struct(F.col("inliers"), (-F.col("hyp")).alias("h"))).alias("b")).select("image_id", F.col("b.inliers").alias("inliers"), (-F.col("b.h")).alias("hyp"))
-    top = best.join(hyps, ["image_id", "hyp"]).join(thresholds, "image_id").join(coarse.select("image_id", F.col("n").alias("n_points")), "image_id").where(F.col("inliers") >= F.greatest(min_inlier_ratio * F.col("n_points"), F.lit(30)))
+    top = settle(best.join(hyps, ["image_id", "hyp"]).join(thresholds, "image_id").join(coarse.select("image_id", F.col("n").alias("n_points")), "image_id").where(F.col("inliers") >= F.greatest(min_inlier_ratio * F.col("n_points"), F.lit(30))), "best")
     inliers = ok.join(top.select("image_id", "nx", "ny", "nz", "d", "thresh"), "image_id").where(distance_to() < F.col("thresh")).select("image_id", "x", "y", "z")
     fine = fit_plane(inliers, ["image_id"]).select("image_id", *[F.col(c).alias(f"f_{c}") for c in ("nx", "ny", "nz", "d", "n")])
     out = coarse.join(fine, "image_id", "left")
@@ -252,23 +253,26 @@ def across_width(edge_points: DataFrame, planes: DataFrame) -> DataFrame:
 def measure_width_points(label_runs: DataFrame, cloud: DataFrame, pose: DataFrame, size: tuple[int, int], cloud_size: tuple[int, int], cam_height: float = 1.8, gray: DataFrame | None = None, band_frac: float = 0.2, min_run_px: int = 15, min_valid_cols: int = 10, width_range: tuple[float, float] = (0.5, 4.0), max_phys_width: float = 5.0, max_cv: float = 0.4, iters: int = 1000) -> DataFrame:
     """image_id, width_m, n_cols, reason (the first that failed, '' if none) and figures of every posed image."""
     (h, w), (hd, wd) = size, cloud_size
-    clean = clean_label_mask(label_runs, w, h)
+    # each step is written once, as several later ones read it
+    clean = settle(clean_label_mask(label_runs, w, h), "clean")
     edges, status = column_edges(clean, w, h, band_frac, min_run_px, min_valid_cols)
+    edges, status = settle(edges, "edges"), settle(status, "status")
     enough = status.where("reason is null").select("image_id")
-    over = overseg_check(edges.join(enough, "image_id", "left_semi"), pose, h, cam_height, max_phys_width, gray)
+    over = settle(overseg_check(edges.join(enough, "image_id", "left_semi"), pose, h, cam_height, max_phys_width, gray), "overseg")
     rows = edges.join(over.where("reason is null").select("image_id", "refined_top"), "image_id").withColumn("y_top", F.coalesce("refined_top", "y_top")).drop("refined_top")
     for c in ("y_top", "y_bot"):
         rows = mad_filter(rows, ["image_id"], c, 3.0).withColumnRenamed("inlier", f"_{c}")
     rows = rows.where("_y_top and _y_bot").withColumn("_n", F.count("*").over(W.partitionBy("image_id")))
-    steady = rows.where(F.col("_n") >= min_valid_cols)
+    steady = settle(rows.where(F.col("_n") >= min_valid_cols), "steady")
     sx, sy = (wd - 1) / max(w - 1, 1), (hd - 1) / max(h - 1, 1)
     coords = steady.select("image_id", F.explode(F.array(*[F.struct((F.col("x") * 2 + k).alias("pt"), (F.col("x") * sx).alias("xs"), (F.col(c) * sy).alias("ys")) for k, c in ((0, "y_top"), (1, "y_bot"))])).alias("_c")).select("image_id", "_c.*")
     points = bilinear_sample(cloud, coords, hd, wd).where(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) < 1e5)
     points = points.withColumns({"col": F.floor(F.col("pt") / 2).cast("int"), "side": F.when(F.col("pt") % 2 == 0, "top").otherwise("bot")}).withColumn("_both", F.count("*").over(W.partitionBy("image_id", "col"))).where("_both = 2")
     points = points.withColumn("_cols", F.count("*").over(W.partitionBy("image_id")) / 2).where(F.col("_cols") >= min_valid_cols).drop("pt", "_both", "_cols")
-    ground = gather_ground(cloud, label_runs, size, cloud_size)
-    planes = fit_ground_plane(ground, iters)
-    scale = metric_scale(planes, pose, cam_height)
+    points = settle(points, "edge-points")
+    ground = settle(gather_ground(cloud, label_runs, size, cloud_size), "ground")
+    planes = settle(fit_ground_plane(ground, iters), "planes")
+    scale = settle(metric_scale(planes, pose, cam_height), "scale")
     good = scale.where("reason is null")
     flat = project_to_plane(points, planes).join(good.select("image_id", "scale"), "image_id").select("image_id", "col", "side", *[(F.col(c) * F.col("scale")).alias(c) for c in "xyz"])
     widths = mad_filter(across_width(flat, planes), ["image_id"], "width", 2.5).where("inlier")

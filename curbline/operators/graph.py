@@ -54,7 +54,7 @@ def mask_components(runs: DataFrame, keys: list[str]) -> DataFrame:
 
     Runs of neighbouring rows that overlap when widened by one are linked through column tiles, an equi-join."""
     tile = 64
-    rows = runs.withColumn("run_id", F.xxhash64(*keys, "r", "c0"))
+    rows = keep(runs.withColumn("run_id", F.xxhash64(*keys, "r", "c0")), "runs")
     tiled = rows.withColumn("_t", F.explode(F.sequence(F.floor((F.col("c0") - 1) / tile), F.floor((F.col("c1") + 1) / tile))))
     up = tiled.select(*keys, "_t", F.col("r").alias("r1"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("run_id").alias("a"))
     down = tiled.select(*keys, "_t", (F.col("r") - 1).alias("r1"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("run_id").alias("b"))
@@ -78,7 +78,7 @@ def chain_decompose(edges: DataFrame) -> DataFrame:
     doubling ranks all halves in rounds that grow with the logarithm of the longest chain. Of a chain's two
     directions the one whose start (then second node) is smaller stays; rings without an end are cut at their
     smallest node."""
-    simple = dedupe_parallel_edges(edges)
+    simple = keep(dedupe_parallel_edges(edges), "simple")
     degree = node_degree(simple)
     halves = simple.select("edge_id", "u", "v").unionByName(simple.select("edge_id", F.col("v").alias("u"), F.col("u").alias("v")))
     halves = halves.withColumn("h", F.concat_ws(">", "edge_id", "u"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import pinhole_width_cm
+from ..scratch import settle
 from .filters import first_per
 from .graph import component_bbox, mask_components
 from .runs import merge_runs
@@ -213,7 +214,7 @@ STRIP = ["image_id", "sidewalk_key", "mask_key"]
 def estimate_footprint(rect_runs: DataFrame, rect_dims: DataFrame, tree_tokens: tuple[str, ...] = ("tree",), base: float = 0.15, trunk: float = 0.40, aspect: float = 1.0, max_h: int = 25) -> tuple[DataFrame, DataFrame]:
     """Ground rectangles under each component of the rectified obstacles: one row each, and their union as runs."""
     runs = rect_runs.where("class_name <> 'sidewalk'").select(*STRIP, F.col("out_r").alias("r"), F.col("o0").alias("c0"), F.col("o1").alias("c1"))
-    runs = mask_components(merge_runs(runs, [*STRIP, "r"]), STRIP)
+    runs = settle(mask_components(merge_runs(runs, [*STRIP, "r"]), STRIP), "strip-components")
     tree = F.exists(F.array(*map(F.lit, tree_tokens)), lambda x: F.lower("mask_key").contains(x))
     boxes = component_bbox(runs, STRIP).withColumn("is_tree", tree)
     scan = F.when(F.col("is_tree"), F.greatest(F.lit(1), F.floor(F.col("height") * trunk).cast("int"))).otherwise(F.greatest(F.lit(3), F.floor(F.col("height") * base).cast("int")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import bearing, camera_heading, project_metric, unproject_wgs84, zone_of
 from ..functions.names import capture_key
+from ..scratch import settle
 from .filters import filter_area_polygon, filter_min_length, first_per
 from .graph import canonical_direction, chain_decompose, chain_geometry, dedupe_parallel_edges, node_degree, sequence_ids
 
@@ -68,7 +69,7 @@ def segments_of(nodes: DataFrame, edges: DataFrame, min_m: float = 1.0, legacy_f
     degree = node_degree(simple)
     zone = nodes.agg(zone_of(F.avg("lon")).alias("zone"))  # one row
     metric = nodes.crossJoin(F.broadcast(zone)).withColumn("_p", project_metric(F.col("lon"), F.col("lat"), F.col("zone")))
-    chains = chain_decompose(simple)
+    chains = settle(chain_decompose(simple), "chains")
     shapes = chain_geometry(chains, metric.select("node_id", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")))
     names = chains.join(simple.select("edge_id", "name"), "edge_id")
     heads = names.groupBy("chain_id").agg(F.min_by("u", "pos").alias("start_node"), F.max_by("v", "pos").alias("end_node"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("pos"))).alias("name"))
@@ -98,8 +99,9 @@ def sample_polygon(nodes: DataFrame, edges: DataFrame, vertices: list[tuple[floa
     inside = filter_area_polygon(nodes.withColumnsRenamed({"lat": "latitude", "lon": "longitude"}), vertices).select("node_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     ids = inside.select("node_id")
     kept = edges.join(ids.withColumnRenamed("node_id", "u"), "u", "left_semi").join(ids.withColumnRenamed("node_id", "v"), "v", "left_semi")
-    segments = segments_of(inside, kept)
+    segments = settle(segments_of(inside, kept), "segments")
     points = endpoint_flags(points_on(segments, interval_m), segments).join(segments.select("segment_id", "street_name"), "segment_id")
+    points = settle(points, "points")
     numbered = sequence_ids(points, ["segment_id", "distance"], "point_id", pattern="%04d")
     return numbered.select("segment_id", "point_id", "point_type", *_rounded(numbered), "street_name")
 

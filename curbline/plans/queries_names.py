@@ -245,11 +245,11 @@ def _(d):
     return d.fx_points.select("point_id", geo.round_compat(F.col("distance_along_m") / 8 + 0.5, 1).alias("r"))
 
 
-@query("box_geometry", "SELECT image_id, idx, round(x2 - x1, 4) AS w, round(y2 - y1, 4) AS h, round((x1 + (x2 - x1) / 2) / 640, 6) AS ncx, round((y1 + (y2 - y1) / 2) / 480, 6) AS ncy FROM (SELECT image_id, idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM fx_detections)")
+@query("box_geometry", "SELECT image_id, idx, x2 - x1 AS w, y2 - y1 AS h, floor((x1 + (x2 - x1) / 2) / 640 * 1000) AS ncx, floor((y1 + (y2 - y1) / 2) / 480 * 1000) AS ncy FROM (SELECT image_id, idx, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM fx_detections)")
 def _(d):
     g = geo.box_geometry(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")), 640, 480)
     rows = d.fx_detections.select("image_id", "idx", g.alias("g"))
-    return rows.select("image_id", "idx", *[F.round(f"g.{c}", 4).alias(c) for c in ("w", "h")], F.round("g.ncx", 6).alias("ncx"), F.round("g.ncy", 6).alias("ncy"))
+    return rows.select("image_id", "idx", "g.w", "g.h", F.floor(F.col("g.ncx") * 1000).cast("double").alias("ncx"), F.floor(F.col("g.ncy") * 1000).cast("double").alias("ncy"))
 
 
 @query("pinhole_width_cm", "SELECT image_id, mask_key, r, c0, c1, round(1.8::DOUBLE * (c1 - c0) / (r - 240.0::DOUBLE) * 100, 6) AS width_cm FROM fx_mask_runs WHERE r > 240")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import cloud, graph, plugins, raster, sampling
 from ..operators.raster import KEYS, assign_obstacles
 from ..operators.runs import best_run_per_column, merge_runs
+from ..scratch import settle
 from .base import query
 from .queries_names import MERGED_LABELS
 
@@ -122,12 +123,12 @@ def _(d):
 
 @query("estimate_footprint")
 def _(d):
-    return raster.estimate_footprint(*strips(d))[0]
+    return raster.estimate_footprint(*(settle(x, "strips") for x in strips(d)))[0]
 
 
 @query("footprint_metadata")
 def _(d):
-    rect, dims = strips(d)
+    rect, dims = (settle(x, "strips") for x in strips(d))
     return raster.footprint_metadata(rect, raster.estimate_footprint(rect, dims)[1], dims)
 
 
