@@ -206,7 +206,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     stars = members.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where(F.col("lead") != F.col("last")).drop("last")
     edges = settle(members.join(stars, ["band", "bucket"]).where(F.col("rep") != F.col("lead")).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
     families = connected_components(edges).withColumnRenamed("comp_id", "family")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(families, "id")
+    # merged at every size: a small input's broadcast would only hide what a large one shuffles
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(families.hint("merge"), "id")
     links = verify(rows, n_parts(docs, text, 16 << 20), threshold, kind)
     same = signed.where("content is not null").join(texts, "content").where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     classes = connected_components(links.union(same))
@@ -219,7 +220,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with one document of each class: that of the smallest key. Rows with a null key stay."""
     classes = near_duplicate_classes(docs, key, text)
     others = classes.where("id <> class_id").select(F.col("id").alias(key))
-    kept = docs.join(others, key, "left_anti")
+    kept = docs.join(others.hint("merge"), key, "left_anti")
     return kept
 
 

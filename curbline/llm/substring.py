@@ -161,7 +161,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         yield dealer.flush()
 
     # equal rows share k: their anchors are one entry, and each row extends it
-    both = rows.join(found, "k")
+    both = rows.join(found.hint("merge"), "k")
     return settle(found_in(both.mapInPandas(extend, DEALT), groups), "windows")
 
 
@@ -179,7 +179,7 @@ def keep_words(text: str, parts, window: int = WINDOW) -> tuple[int, int, bytes]
 
 
 def with_windows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("__s_k", doc_hash(key, text)).join(found.select(F.col("k").alias("__s_k"), F.col("at").alias("__s_at")), "__s_k", "left")
+    return docs.withColumn("__s_k", doc_hash(key, text)).join(found.select(F.col("k").alias("__s_k"), F.col("at").alias("__s_at")).hint("merge"), "__s_k", "left")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
