@@ -33,7 +33,7 @@ END_ID = 2
 class WordEncoder:
     """Ids of whole texts: white space separates tokens of this tokenizer, so a word is encoded once while the memo holds it."""
 
-    MEMO = 400_000
+    MEMO = 700_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,6 +41,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word and t.content.startswith("<|")]
+        self.mark = special[0] if special else None
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -50,6 +52,23 @@ class WordEncoder:
         data = text.encode()
         return (data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower()).split()
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; many go in one call, parted by a special token, which no other text can yield."""
+        plain = [w for w in words if b"<|" not in w] if self.mark else []
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            joined = self.tokenizer.encode_batch_fast([self.mark[0].join(w.decode() for w in part)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, self.dtype)
+            cut = np.flatnonzero(ids == self.mark[1])
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            edges = [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]
+            out.update((w, raw[a * size : b * size]) for w, a, b in zip(part, *edges, strict=True))
+        rest = [w for w in words if w not in out]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        out.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(rest, found, strict=True))
+        return [out[w] for w in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         if len(self.memo) > self.MEMO:
@@ -61,8 +80,7 @@ class WordEncoder:
                     new.append(w)
                 else:
                     memo[w] = v
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        memo.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new, found, strict=True))
+        memo.update(zip(new, self.encode_words(new), strict=True))
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
