@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIRECTIONS = ("forward", "backward", "left", "right")
-_TAIL = r"_(forward|backward|left|right)_([-\d.]+)_([-\d.]+)_([\d.]+)\.\w+$"
-PLAIN = r"^(\d+)" + _TAIL
-SEGMENTED = r"^(\d+)-(\d+)" + _TAIL
-SEGMENTED_TWO_WAY = SEGMENTED.replace("forward|backward|left|right", "forward|backward")
+_TAIL = r"_[-\d.]+_[-\d.]+_[\d.]+\.\w+$"
+_ANY = "_(forward|backward|left|right)" + _TAIL
+#: Names without a segment, with one, and with one but only forward or backward.
+PLAIN, SEGMENTED, SEGMENTED_TWO_WAY = r"^\d+" + _ANY, r"^\d+-\d+" + _ANY, r"^\d+-\d+_(forward|backward)" + _TAIL
+GRAMMARS = {"any": r"^(\d+-)?\d+" + _ANY, "plain": PLAIN, "two_way": f"({SEGMENTED_TWO_WAY})|({PLAIN})"}
 
 
 def basename(path: Column) -> Column:
@@ -22,19 +23,14 @@ def parse_image_name(path: Column, grammar: str = "any") -> Column:
     grammar: "any" reads both name forms, "plain" only names without a segment, "two_way" takes segmented
     names with forward and backward only."""
     name = basename(path)
-    seg = {"any": SEGMENTED, "two_way": SEGMENTED_TWO_WAY, "plain": None}[grammar]
-
-    def parts(pattern: str, first: int, segment: Column) -> Column:
-        g = [F.regexp_extract(name, pattern, first + k) for k in range(5)]
-        return F.struct(
-            segment.alias("segment_id"), g[0].alias("point_id"), g[1].alias("direction"), g[2].alias("lat"), g[3].alias("lon"), g[4].alias("heading"),
-            F.concat_ws("_", g[0], g[2], g[3]).alias("coordinate_folder"),
-        )
-
-    plain = F.when(name.rlike(PLAIN), parts(PLAIN, 1, F.lit("0")))
-    if seg is None:
-        return plain
-    return F.when(name.rlike(seg), parts(seg, 2, F.regexp_extract(name, seg, 1))).otherwise(plain)
+    ok, parts = name.rlike(GRAMMARS[grammar]), F.split(name, "_")  # one match; the fields are cut at the marks
+    head = F.split(parts[0], "-")
+    heading = F.regexp_replace(parts[4], r"\.\w+$", "")
+    point = F.element_at(head, -1)
+    return F.when(ok, F.struct(
+        F.when(F.size(head) == 2, head[0]).otherwise("0").alias("segment_id"), point.alias("point_id"), parts[1].alias("direction"), parts[2].alias("lat"), parts[3].alias("lon"), heading.alias("heading"),
+        F.concat_ws("_", point, parts[2], parts[3]).alias("coordinate_folder"),
+    ))
 
 
 def numeric_prefix(path: Column, id_key: str = "leading") -> Column:
