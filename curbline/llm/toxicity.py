@@ -69,7 +69,7 @@ class ToxicityModel:
         return Memo(lambda w: tuple(i for p in parts_of(w) if (i := get(p)) is not None), 400_000)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5e-5, rounds: int = 40) -> np.ndarray:
     """Newton steps for a ridge-penalised logistic regression; the last weight is the constant."""
     x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1).astype(float)
     w = np.zeros(x.shape[1])
@@ -135,8 +135,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     counts = both.mapInPandas(count, "part string, toxic long, clean long").groupBy("part").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     rate1, rate0 = (F.col("t") + 0.5) / (n1 + 1), (F.col("c") + 0.5) / (n0 + 1)
     gain = F.col("t") * F.log(rate1 / rate0)
-    least = max(2, n1 // 500)
-    kept = counts.where((F.col("t") >= least) & (rate1 / rate0 >= 4)).orderBy(gain.desc(), "part").limit(MAX_VOTERS)
+    least = max(3, n1 // 400)
+    kept = counts.where((F.col("t") >= least) & (rate1 / rate0 >= 6)).orderBy(gain.desc(), "part").limit(MAX_VOTERS)
     lexicon = {r[0]: i for i, r in enumerate(kept.select("part").collect())}
     model = ToxicityModel(lexicon, np.zeros(0))
     shared = spark.sparkContext.broadcast(model)
