@@ -90,7 +90,7 @@ VERTICES = "SELECT u AS segment_id, CAST(row_number() OVER (PARTITION BY u ORDER
 @query("linear_reference", f"""WITH v AS ({VERTICES}), l AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY segment_id ORDER BY pos)),
 g AS (SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS leg FROM l WHERE x2 IS NOT NULL),
 c AS (SELECT *, coalesce(sum(leg) OVER (PARTITION BY segment_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum, lead(pos) OVER (PARTITION BY segment_id ORDER BY pos) IS NULL AS fin FROM g)
-SELECT segment_id, dd AS distance, round(x + least((dd - cum) / leg, 1) * (x2 - x), 6) AS x, round(y + least((dd - cum) / leg, 1) * (y2 - y), 6) AS y FROM c, (VALUES (0.0::DOUBLE), (5.5::DOUBLE), (40.0::DOUBLE)) t(dd) WHERE leg > 0 AND dd >= cum AND (dd < cum + leg OR fin)""")
+SELECT segment_id, dd AS distance, round(x + least(CASE WHEN leg > 0 THEN (dd - cum) / leg ELSE 0 END, 1) * (x2 - x), 6) AS x, round(y + least(CASE WHEN leg > 0 THEN (dd - cum) / leg ELSE 0 END, 1) * (y2 - y), 6) AS y FROM c, (VALUES (0.0::DOUBLE), (5.5::DOUBLE), (40.0::DOUBLE)) t(dd) WHERE dd >= cum AND (dd < cum + leg OR fin)""")
 def _(d):
     from pyspark.sql import Window as W
 
