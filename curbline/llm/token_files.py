@@ -33,7 +33,7 @@ END_ID = 2
 class WordEncoder:
     """Ids of whole texts: white space separates tokens of this tokenizer, so a word is encoded once while the memo holds it."""
 
-    MEMO = 700_000
+    MEMO = 450_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

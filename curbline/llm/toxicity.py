@@ -66,7 +66,7 @@ class ToxicityModel:
 
     def memo(self) -> Memo:
         get = self.lexicon.get
-        return Memo(lambda w: tuple(i for p in parts_of(w) if (i := get(p)) is not None), 400_000)
+        return Memo(lambda w: tuple(i for p in parts_of(w) if (i := get(p)) is not None), 150_000)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5e-5, rounds: int = 40) -> np.ndarray:
