@@ -13,8 +13,9 @@ overlap; large families are dealt as blocks of hash chunks against chunks, so th
 group, and only a forest of verified links leaves a task. Classes are the components of verified links.
 
 Equal word sequences are one text from the start. Texts of one to four words have one shingle, the whole
-text; texts without words (null, empty) have none and are alone, as are rows with a null key. Rows that
-share a key are one node. Class id: the smallest key of the class.
+text; texts without words (null, empty) have none and are alone. The nodes are rows, numbered in a table
+written once, so rows without a key and rows that share one are told apart. A class is led by its row of
+the smallest key (null last; then by hash of the text), and its id is that key.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4  # at similarity 0.8 a pair shares no band with a chance of 3e-6
 CHUNK = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+ROW = "_row"
 
 
 def shingles(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,37 +196,49 @@ def verify(families: DataFrame, groups: int, threshold: float, kind: str) -> Dat
     return rows.select("g", "family", "one", "two", "chunk", "id", "text").groupBy("g").applyInPandas(run, f"a {kind}, b {kind}")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id and class_id of every row's key (null keys are left out; keys that repeat come once)."""
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    signed = settle(sign(docs, key, text), "signatures")
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, written once, so that the numbers stay."""
+    return settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def row_classes(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """_row, lead (the class's first row), class_id (that row's key) and class_size of the numbered rows that have copies."""
+    signed = settle(sign(rows, ROW, text), "signatures")
     texts = signed.where("content is not null").groupBy("content").agg(F.min("id").alias("rep"))
     texts = settle(texts, "contents")
-    # a content's bands are those of any of its rows
-    members = signed.where("content is not null").join(texts, "content").where(F.col("id") == F.col("rep")).select("rep", F.posexplode("bands").alias("band", "bucket"))
+    # a content's bands are those of its first row
+    members = signed.join(texts, F.col("id") == F.col("rep")).select("rep", F.posexplode("bands").alias("band", "bucket"))
     stars = members.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where(F.col("lead") != F.col("last")).drop("last")
     edges = settle(members.join(stars, ["band", "bucket"]).where(F.col("rep") != F.col("lead")).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
     families = connected_components(edges).withColumnRenamed("comp_id", "family")
     # merged at every size: a small input's broadcast would only hide what a large one shuffles
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(families.hint("merge"), "id")
-    links = verify(rows, n_parts(docs, text, 16 << 20), threshold, kind)
+    found = rows.select(F.col(ROW).alias("id"), F.col(text).alias("text")).join(families.hint("merge"), "id")
+    links = verify(found, n_parts(rows, text, 16 << 20), threshold, "bigint")
     same = signed.where("content is not null").join(texts, "content").where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    classes = connected_components(links.union(same))
-    every = signed.select("id").distinct()
-    found = every.join(classes, "id", "left").select("id", F.coalesce("comp_id", "id").alias("class_id"))
-    return found
+    classes = connected_components(links.union(same)).withColumnRenamed("id", ROW)
+    linked = settle(rows.select(ROW, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(ROW).alias("row")).alias("at")).join(classes.hint("merge"), ROW), "linked")
+    leads = linked.groupBy("comp_id").agg(F.min("at").alias("lead"), F.count("*").alias("class_size"))
+    return linked.join(leads, "comp_id").select(ROW, F.col("lead.row").alias("lead"), F.col("lead.key").alias("class_id"), "class_size")
+
+
+def every_row(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """id, class_id and class_size of every row; a row without copies is its own class."""
+    rows = numbered(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
+    found = rows.select(ROW, "id").join(row_classes(rows, "id", "text", threshold).hint("merge"), ROW, "left")
+    return found.select("id", F.when(F.col("lead").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id and class_id of every row with a key (a key's equal rows come once)."""
+    return every_row(docs, key, text, threshold).where("id is not null").select("id", "class_id").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest key. Rows with a null key stay."""
-    classes = near_duplicate_classes(docs, key, text)
-    others = classes.where("id <> class_id").select(F.col("id").alias(key))
-    kept = docs.join(others.hint("merge"), key, "left_anti")
-    return kept
+    """``docs`` with exactly one row of each class, its lead. Rows of texts without words stay."""
+    rows = numbered(docs)
+    others = row_classes(rows, key, text, THRESHOLD).where(F.col(ROW) != F.col("lead")).select(ROW)
+    return rows.join(others.hint("merge"), ROW, "left_anti").select(docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicate_classes(table(spark, sf_dir, "documents"))
-    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return found.join(sizes, "class_id").select(F.col("id").alias("doc_id"), "class_id", "class_size")
+    return every_row(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
