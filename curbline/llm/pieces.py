@@ -264,9 +264,40 @@ class PieceModel:
             merged = sorted((a + b, (*c, j)) for a, c in merged for j, b in enumerate(losses))[:n]
         return ids, [total - a for a, _ in merged], [[(near[m], lists[m][j][1]) for m, j in enumerate(c) if j] for _, c in merged]
 
-    def decode(self, ids) -> str:
+    def places(self, words: list[str], changes: list[list[tuple]]) -> list[list[tuple[int, int, tuple[int, ...]]]]:
+        """Of each path its differences from the best ids, in order: first place, how many ids go, and the ids that come."""
+        if not any(changes):
+            return [[] for _ in changes]
+        ends = np.cumsum([len(self.memo[w][0]) for w in words]).tolist()
+        return [[((ends[w - 1] if w else 0), len(self.memo[words[w]][0]), new) for w, new in sorted(change)] for change in changes]
+
+    @staticmethod
+    def splice(data, places: list[tuple], new: list, width: int = 1):
+        """A path's ids (or bytes of them, ``width`` each) from the best path's and what its differences bring."""
+        out, last = data[:0], 0
+        for (at, gone, _), x in zip(places, new, strict=True):
+            out += data[last * width : at * width] + x
+            last = at + gone
+        return out + data[last * width :]
+
+    def check(self, ids: list[int], places: list[list[tuple]], text: str) -> tuple[list[int], list[bool]]:
+        """Of each path the checksum of its ids and whether decoding it gives the text.
+
+        Decoding joins bytes, so a path whose every difference stands for the bytes it replaces decodes as the best one does."""
+        best, first, spell = np.array(ids, np.uint32).tobytes(), self.decode(ids) == text, self.spell_bytes
+        sums, trips = [], []
+        for p in places:
+            sums.append(zlib.crc32(self.splice(best, p, [np.array(new, np.uint32).tobytes() for _, _, new in p], 4)))
+            same = all(spell(new) == spell(ids[at : at + gone]) for at, gone, new in p)
+            trips.append(first if same else self.decode(self.splice(ids, p, [list(new) for _, _, new in p])) == text)
+        return sums, trips
+
+    def spell_bytes(self, ids) -> bytes:
         table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join([table[i] for i in ids])
+
+    def decode(self, ids) -> str:
+        return self.spell_bytes(ids).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(2)
@@ -281,10 +312,12 @@ def default_model() -> str:
 
 
 def encode_pieces(df: DataFrame, text: str = "text", model: str | None = None, n_best: int = 4, keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
-    """keep, n_pieces, score, n_best_scores (descending), round_trip (decoding gives the text), ids_crc32 and, if asked for, ids."""
+    """keep, n_pieces, score, n_best_scores (descending), round_trip (decoding every path gives the text), ids_crc32 and, if
+    asked for, ids of the best path; and of each path, best first: n_best_crc32 (of its ids), n_best_round_trip, and
+    n_best_changes, by which it differs from the best path's ids: the ids ``new`` stand for the ``gone`` ones from place ``at``."""
     path = model or default_model()
-    columns = ["n_pieces", "score", "n_best_scores", "round_trip", "ids_crc32", *["ids"] * ids]
-    kinds = {"n_pieces": "long", "score": "double", "n_best_scores": "array<double>", "round_trip": "boolean", "ids_crc32": "long", "ids": "array<int>"}
+    kinds = {"n_pieces": "long", "score": "double", "n_best_scores": "array<double>", "round_trip": "boolean", "ids_crc32": "long", "n_best_crc32": "array<long>", "n_best_round_trip": "array<boolean>", "n_best_changes": "array<array<struct<at: int, gone: int, new: array<int>>>>", "ids": "array<int>"}
+    columns = list(kinds)[: None if ids else -1]
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep] + [f"{c} {kinds[c]}" for c in columns])
 
     def run(batches):
@@ -294,9 +327,10 @@ def encode_pieces(df: DataFrame, text: str = "text", model: str | None = None, n
                 part, out = pdf.iloc[at : at + 256], []
                 texts = texts_of(part[text])
                 for t, words in zip(texts, m.split(texts), strict=True):
-                    got, scores, _ = m.encode(words, n_best)
-                    arr = np.array(got, np.uint32)
-                    out.append((len(got), scores[0], scores, m.decode(got) == t, zlib.crc32(arr.tobytes()), *[arr.astype(np.int32)] * ids))
+                    got, scores, changes = m.encode(words, n_best)
+                    places = m.places(words, changes)
+                    sums, trips = m.check(got, places, t)
+                    out.append((len(got), scores[0], scores, all(trips), sums[0], sums, trips, [[{"at": a, "gone": g, "new": list(new)} for a, g, new in p] for p in places], *[np.array(got, np.int32)] * ids))
                 yield pd.concat([part[list(keep)].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
 
     return df.select(*dict.fromkeys((*keep, text))).mapInPandas(run, schema)

@@ -100,6 +100,26 @@ def test_encode_pieces(docs, none):
     assert pieces.encode_pieces(none).count() == 0
 
 
+def test_every_path_is_returned_and_decoded(docs):
+    m = pieces.piece_model(pieces.default_model())
+    got = pieces.encode_pieces(docs, keep=("doc_id", "text")).collect()
+    assert max(len(r.n_best_scores) for r in got) == 4
+    for r in got:
+        assert len(r.n_best_scores) == len(r.n_best_crc32) == len(r.n_best_round_trip) == len(r.n_best_changes)
+        seen = set()
+        for score, crc, trip, changes in zip(r.n_best_scores, r.n_best_crc32, r.n_best_round_trip, r.n_best_changes, strict=True):
+            ids = list(r.ids)
+            for c in reversed(changes):
+                ids[c["at"] : c["at"] + c["gone"]] = c["new"]
+            assert m.decode(ids) == (r.text or "") and trip
+            assert crc == zlib.crc32(np.array(ids, np.uint32).tobytes())
+            if m.unk not in ids and not set(ids) & set(m.byte_id.values()):
+                assert sum(m.score[i] for i in ids) == pytest.approx(score)
+            seen.add(tuple(ids))
+        assert len(seen) == len(r.n_best_scores)
+    assert {"n_best_crc32", "n_best_round_trip", "n_best_changes"} <= set(pieces.encode_pieces(docs, ids=False).columns)
+
+
 # ---------------------------------------------------------------- 2
 
 
