@@ -247,7 +247,7 @@ def _(d):
 
 @query("fit_ground_plane")
 def _(d):
-    return cloud.fit_ground_plane(d.fx_cloud.withColumn("pt", F.col("pt") - F.min("pt").over(W.partitionBy("image_id"))), iters=100)
+    return cloud.fit_ground_plane(d.fx_cloud.withColumn("pt", F.col("pt") - F.min("pt").over(W.partitionBy("image_id"))))
 
 
 PLANE = "SELECT image_id, 0.6::DOUBLE AS nx, 0.0::DOUBLE AS ny, 0.8::DOUBLE AS nz, -0.01::DOUBLE * image_id AS d FROM (SELECT DISTINCT image_id FROM fx_cloud)"
@@ -283,7 +283,7 @@ def _(d):
 
 
 def measured(d):
-    return cloud.measure_width_points(d.fx_label_runs, grid(d), posed(d), (480, 640), (48, 64), iters=50)
+    return cloud.measure_width_points(d.fx_label_runs, grid(d), posed(d), (480, 640), (48, 64))
 
 
 @query("measure_width_points")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import inspect
 import os
 
 import duckdb
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from curbline.operators import cloud
 from curbline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +54,21 @@ def test_same_as_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - SLOW))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).columns
+
+
+@pytest.mark.parametrize("name, operator", [("fit_ground_plane", "fit_ground_plane"), ("measure_width_points", "measure_width_points"), ("alt_width_batch", "measure_width_points")])
+def test_plane_queries_try_all_hypotheses(spark, monkeypatch, name, operator):
+    class Seen(Exception):
+        pass
+
+    signature = inspect.signature(getattr(cloud, operator))
+
+    def spy(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        raise Seen(bound.arguments["iters"])
+
+    monkeypatch.setattr(cloud, operator, spy)
+    with pytest.raises(Seen) as seen:
+        registry.QUERIES[name](spark, SF)
+    assert seen.value.args == (1000,)
