@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,8 +144,35 @@ def slices(pdf, column: str = "text", most: int = 2 << 20):
         yield pdf.iloc[start:]
 
 
+def arrow_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of at most about ``most`` bytes of text each (one row at least).
+
+    Keys stay Arrow columns from end to end, so that longs beside nulls keep all their digits."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def arrow_batch(keys: dict[str, pa.Array], columns: dict[str, tuple]) -> pa.RecordBatch:
+    """Key columns as they came, and new ones given as (values, type)."""
+    made = {name: pa.array(values, kind, from_pandas=True) for name, (values, kind) in columns.items()}
+    return pa.RecordBatch.from_pydict(keys | made)
+
+
+def ddl(df: DataFrame, names: tuple[str, ...]) -> str:
+    """The columns' schema, with any name quoted."""
+    return ", ".join(f"`{n.replace('`', '``')}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def column(name: str):
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def texts_of(column) -> list[str]:
-    return [t if isinstance(t, str) else "" for t in column]
+    return [t if isinstance(t, str) else "" for t in (column.to_pylist() if isinstance(column, pa.Array) else column)]
 
 
 class Memo(dict):

@@ -1,42 +1,60 @@
 """Language-model scoring with a hierarchical Pitman-Yor bigram model.
 
 Every previous word has a restaurant whose customers are the words that follow it; all of them share the
-unigram restaurant as parent, whose base is uniform over the vocabulary and one unknown word. Seating starts
-with one table a dish; each Gibbs sweep seats all customers of a dish in a context anew, given the seats
-elsewhere (context totals, parent probabilities) of the sweep before; the predictive probabilities of the
-sweeps after the first seating are averaged. The root keeps one table a word (a second one needs a draw from
-the base, whose mass is one in the vocabulary).
+unigram restaurant as parent, whose base is diffuse, so that each root table is a new word and the root's
+remaining mass is the unknown word's.
+
+Gibbs sampling. The state is the number of tables of every dish (word) in every context, which is all that
+predictions need of a seating. One sweep draws, each from its exact conditional given the rest,
+1. the root's measure, Dirichlet of its customers less the discount (a gamma a word, over their sum);
+2. an auxiliary gamma of each context, of shape strength / discount + tables, which unties its dishes;
+3. each dish's tables, P(t) ~ S(c, t) a^t with generalised Stirling numbers S, c customers and
+   a = discount * gamma * root measure: given 1 and 2 the dishes are independent, so that all of them can be
+   drawn at once without any of them seeing its own former tables;
+4. the strengths, on a grid, with 1 and 2 integrated out.
+Up to ``DIRECT`` customers step 3 inverts the distribution. Beyond, a Chinese restaurant of free strength is
+seated (its waits between tables are drawn whole, so steps grow with tables, not with customers) and accepted
+with the ratio of the two laws, which again gives the exact law. Discounts are fitted to the counts of
+counts. The first ``burn`` sweeps are left out; predictive probabilities of the next ``sweeps`` are averaged.
 
 Layout: texts are read once into blocks of bounded size (a vocabulary of word hashes, tokens as places in
-it). Blocks ask for corpus counts of their distinct word pairs, and in each sweep for the totals of their
-words, from groups dealt by hash; answers come back in the order asked, so keys travel once and nothing is
-joined a token at a time. One block owns each pair when totals are summed. Seats are drawn by hashes of
-pair and sweep, so every block that holds a pair draws the same. Hot words and pairs are one entry a block.
-Nothing but a few totals (words, types, tables) reaches the driver.
+it). Blocks send the counts of their distinct pairs and words to groups dealt by hash, which answer in the
+order asked with the totals and name one block as each pair's owner. Owners alone hold a pair's seats; in
+a sweep they send tables of their words and get back the corpus' totals. At the end owners send the averaged
+probability of shared pairs to the blocks that lack it. Hot words and pairs are one entry a block, draws come
+from hashes of pair and sweep (a task that is run again draws the same), and nothing but sums over all words
+(numbers of words, customers, likelihoods on a grid) reaches the driver. Words and pairs are told apart by 64 bits.
 
 Null texts count as empty: one end token. Repeated rows count and are scored one by one. Tokens are words,
-A-Z lower-cased, then an end for each text, which is also the first word's context. Without training rows
-all words are unknown and the base is uniform.
+A-Z lower-cased, then an end for each text, which is also the first word's context. A text is never split
+between blocks, so a block is larger than ``BLOCK`` if one text is. Empty tables give no rows. Other columns
+are not read, whatever their names. Without training rows all words are unknown and share one probability, 1.
+Ties don't arise: nothing is ranked.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, crc_mod, drop_settled, mix64, n_parts, settle, slices, table
+from .common import WordHasher, arrow_slices, column, crc_mod, drop_settled, mix64, n_parts, settle, table
 
 BLOCK = 300_000  # tokens
 GROUP_BYTES = 6 << 20
-SWEEPS = 2
+BURN, SWEEPS = 2, 4
 END = np.uint64(0x5EED0F0E0D0C0B0A)
-TOGETHER = 16  # customers of a dish beyond this many are seated in runs that double
+DIRECT = 256
+STRENGTHS = 0.1 * 2.0 ** np.arange(24)  # grid of strengths
+
+
+# ---------------------------------------------------------------- packed arrays
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -47,38 +65,203 @@ def unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def pack_sorted(a: np.ndarray, bytes_each: int = 8) -> bytes:
+def pack_sorted(a: np.ndarray) -> bytes:
     """Differences of ascending numbers, byte by byte, so that their leading zeros cost nothing."""
-    return pack(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :bytes_each].T)
+    return pack(np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
 
 
-def unpack_sorted(b: bytes, bytes_each: int = 8) -> np.ndarray:
-    planes = unpack(b, np.uint8).reshape(bytes_each, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :bytes_each] = planes.T
-    return np.cumsum(out.view(np.uint64)[:, 0], dtype=np.uint64)
+def unpack_sorted(b: bytes) -> np.ndarray:
+    planes = unpack(b, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
 def pack_counts(a: np.ndarray) -> bytes:
-    """Rows of counts, byte by byte: high bytes are mostly zero."""
-    a = np.ascontiguousarray(np.atleast_2d(small(a)))
-    return pack(a.view(np.uint8).reshape(*a.shape, 4).transpose(0, 2, 1))
+    """Rows of counts, byte by byte, after the number of bytes that the largest one needs."""
+    a = np.ascontiguousarray(np.atleast_2d(a).astype(np.uint64))
+    width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    planes = a.view(np.uint8).reshape(*a.shape, 8)[:, :, :width].transpose(0, 2, 1)
+    return pack(np.concatenate((np.array([width], np.uint8), planes.ravel())))
 
 
 def unpack_counts(b: bytes, size: int) -> np.ndarray:
-    planes = unpack(b, np.uint8).reshape(-1, 4, size)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[:, :, 0].astype(np.int64)
-
+    raw = unpack(b, np.uint8)
+    planes = raw[1:].reshape(-1, raw[0], size) if size else raw[1:].reshape(3, raw[0], 0)
+    out = np.zeros((len(planes), size, 8), np.uint8)
+    out[:, :, : raw[0]] = planes.transpose(0, 2, 1)
+    return out.view(np.int64)[:, :, 0]
+
+
+# ---------------------------------------------------------------- random numbers by hash
+
+
+def uniforms(key: np.ndarray, salt: int) -> np.ndarray:
+    """One number in (0, 1) for each key and salt."""
+    state = mix64(key + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    return ((state >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    rising = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
+    y = x + 7
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - np.log(rising)
+
+
+def gammas(shape: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """Gamma variates (rejection from a cubed normal), one for each key and salt."""
+    shape = np.asarray(shape, float)
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    out, todo, turn = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(todo):
+        k, dd = key[todo], d[todo]
+        u1, u2, u3 = (uniforms(k, salt * 4096 + 4 * turn + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(u1)) * np.cos(2 * np.pi * u2)
+        v = (1 + x / np.sqrt(9 * dd)) ** 3
+        ok = v > 0
+        ok[ok] = np.log(u3[ok]) < 0.5 * x[ok] ** 2 + dd[ok] * (1 - v[ok] + np.log(v[ok]))
+        out[todo[ok]] = dd[ok] * v[ok]
+        todo, turn = todo[~ok], turn + 1
+    low = shape < 1
+    out[low] *= uniforms(key[low], salt * 4096 + 4095) ** (1 / shape[low])
+    return np.maximum(out, 1e-300)
+
+
+class Seats:
+    """Draws numbers of tables of dishes with c customers: P(t) ~ S(c, t) a^t for discount d."""
+
+    def __init__(self, d: float, direct: int = DIRECT) -> None:
+        self.d, self.direct = d, direct
+        self.log_s = [np.array([-np.inf]), np.array([-np.inf, 0.0])]  # S(c + 1, t) = S(c, t - 1) + (c - t d) S(c, t)
+        for c in range(1, direct):
+            last = self.log_s[-1]
+            stay = np.append(last[1:] + np.log(c - d * np.arange(1, c + 1)), -np.inf)
+            self.log_s.append(np.concatenate(([-np.inf], np.logaddexp(stay, last))))
+
+    def draw(self, c: np.ndarray, a: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+        t = np.minimum(c, 1)
+        two = np.flatnonzero(c == 2)
+        t[two] += uniforms(key[two], salt) < a[two] / (a[two] + 1 - self.d)
+        few = np.flatnonzero((c > 2) & (c <= self.direct))
+        few = few[np.argsort(c[few], kind="stable")]
+        values, cut = np.unique(c[few], return_index=True)
+        for value, begin, end in zip(values.tolist(), cut, [*cut[1:], len(few)]):  # noqa: B905 (no values: nothing to do)
+            step = max(1, (1 << 20) // value)
+            for b in range(begin, end, step):
+                i = few[b : min(b + step, end)]
+                w = self.log_s[value][1:] + np.arange(1, value + 1) * np.log(a[i])[:, None]
+                w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+                t[i] = 1 + (w < uniforms(key[i], salt)[:, None] * w[:, -1:]).sum(axis=1)
+        many = np.flatnonzero(c > self.direct)
+        if len(many):
+            t[many] = self.many(c[many], a[many], key[many], salt)
+        return t
+
+    def many(self, c: np.ndarray, a: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+        """The same for any number of customers, by rejection from restaurants of about as many tables."""
+        d = self.d
+        theta = self.strength(c, a)
+        top = np.clip(np.ceil((a - theta) / d), 1, c)  # where the ratio of the two laws is highest
+        out, todo, turn = np.ones(len(c), np.int64), np.arange(len(c)), 0
+        while len(todo):
+            k = mix64(key[todo] ^ np.uint64(0xA5A5 + 65536 * turn))
+            t, th, best = self.seat(c[todo], theta[todo], k, salt), theta[todo] / d, top[todo]
+            ratio = (t - best) * np.log(a[todo] / d) + log_gamma(th + best) - log_gamma(th + t)
+            ok = np.log(uniforms(k, salt)) < ratio
+            out[todo[ok]] = t[ok]
+            todo, turn = todo[~ok], turn + 1
+        return out
 
-def small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint32)
+    def strength(self, c: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """The strength (above -d) whose restaurant has as many tables as the law asked for; any value gives right draws."""
+        d = self.d
+        low, high = np.full(len(c), -40.0), np.log(2.0 * (a + c) + 10)
+        for _ in range(30):
+            x = (low + high) / 2
+            th = np.exp(x) - d
+            less = log_gamma(th + 1) - log_gamma(th + d) + log_gamma(th + d + c) - log_gamma(th + c) < np.log(a)
+            low, high = np.where(less, x, low), np.where(less, high, x)
+        return np.exp(low) - d
+
+    def seat(self, c: np.ndarray, theta: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+        """Tables after c customers of a Chinese restaurant: waits at the chance of now, thinned to the true one."""
+        d, t, j, step = self.d, np.ones(len(c), np.int64), np.ones(len(c)), 0
+        at = np.arange(len(c))
+        while len(at):
+            weight = theta[at] + d * t[at]
+            rate = weight / (theta[at] + j[at])
+            state = mix64(key[at] + np.uint64(step))
+            seated = j[at] + np.floor(np.log(uniforms(state, salt)) / np.log1p(-np.minimum(rate, 1 - 1e-12)))
+            inside = seated < c[at]
+            at, seated, weight, rate, state = at[inside], seated[inside], weight[inside], rate[inside], state[inside]
+            t[at] += uniforms(state, salt + 1) * rate < weight / (theta[at] + seated)
+            j[at] = seated + 1
+            step += 1
+        return t
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What all tasks know: training tokens and types, discounts, and of a sweep the strengths and the root's sums."""
 
+    tokens: int
+    types: int
+    discount: float
+    root_discount: float = 0.5
+    strength: float = 1.0
+    root_strength: float = 1.0
+    customers: int = 0
+    mass: float = 0.0  # sum of the words' gammas
+
+    def root(self, customers: np.ndarray) -> np.ndarray:
+        """The root's predictive probability of words with so many customers (0: unknown)."""
+        left = self.root_strength + self.root_discount * self.types
+        return np.where(customers > 0, customers - self.root_discount, left) / (self.root_strength + self.customers)
+
+    def predict(self, c, t, context_customers, context_tables, root_customers) -> np.ndarray:
+        rest = self.strength + self.discount * context_tables
+        return (np.maximum(c - self.discount * t, 0) + rest * self.root(root_customers)) / (self.strength + context_customers)
+
+    def root_gammas(self, customers: np.ndarray, key: np.ndarray, sweep: int) -> np.ndarray:
+        out = np.zeros(len(key))
+        on = np.flatnonzero(customers > 0)
+        out[on] = gammas(customers[on] - self.root_discount, key[on], 2 * sweep)
+        return out
 
-def pairs_of(tokens: np.ndarray, n_vocab: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code (context * n_vocab + word) of each token."""
-    before = np.empty_like(tokens)
-    before[0], before[1:] = end, tokens[:-1]
-    return before.astype(np.int64) * n_vocab + tokens
+    def sweep(self, seats: Seats, c, u, v, pair, words, tables, customers, sweep: int) -> np.ndarray:
+        """New tables of the pairs (u, v), given the totals of their words after the sweep before."""
+        on = np.flatnonzero(c > 1)
+        t = np.minimum(c, 1)
+        if len(on):
+            root = self.root_gammas(customers, words, sweep) / self.mass
+            contexts, at = np.unique(u[on], return_inverse=True)
+            g = gammas(self.strength / self.discount + tables[contexts], words[contexts], 2 * sweep + 1)
+            t[on] = seats.draw(c[on], np.maximum(self.discount * g[at] * root[v[on]], 1e-280), pair[on], 2 * sweep)
+        return t
+
+    def strength_likelihoods(self, tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
+        """Log likelihood of contexts' tables and customers for each strength of the grid."""
+        d, s = self.discount, STRENGTHS[:, None]
+        order = np.lexsort((customers, tables))
+        t, c = tables[order].astype(float), customers[order].astype(float)
+        first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+        t, c, n = t[first], c[first], np.diff(np.append(first, len(t)))
+        return ((log_gamma(s / d + t) - log_gamma(s / d) + log_gamma(s) - log_gamma(s + c)) * n).sum(axis=1)
+
+    def draw_strengths(self, likelihoods: np.ndarray, sweep: int) -> Corpus:
+        """Both strengths from their conditionals on the grid."""
+        rng = np.random.default_rng(sweep)
+        d = self.root_discount
+        root = log_gamma(STRENGTHS / d + self.types) - log_gamma(STRENGTHS / d) + log_gamma(STRENGTHS) - log_gamma(STRENGTHS + self.customers)
+        picked = [float(STRENGTHS[np.searchsorted((w := np.exp(x - x.max()).cumsum()) / w[-1], rng.random())]) for x in (likelihoods, root)]
+        return replace(self, strength=picked[0], root_strength=picked[1])
+
+    def with_root_mass(self, known: float, sweep: int) -> Corpus:
+        rest = np.random.default_rng(10_000 + sweep).gamma(self.root_strength + self.root_discount * self.types)
+        return replace(self, mass=known + rest)
+
+
+# ---------------------------------------------------------------- blocks
 
 
 def read_blocks(docs: DataFrame) -> DataFrame:
@@ -91,21 +274,22 @@ def read_blocks(docs: DataFrame) -> DataFrame:
 
         def emit():
             nonlocal parts, keys, sizes, held, total, number
-            h = np.concatenate(parts)
-            vocab, tokens = np.unique(h, return_inverse=True)
+            vocab, tokens = np.unique(np.concatenate(parts), return_inverse=True)
             number += 1
-            row = (task * 1_000_003 + number, pack_sorted(vocab), pack(tokens.astype(np.uint32)), keys, pack(np.array(sizes, np.uint32)), pack(np.array(held, bool)))
+            row = {
+                "block": pa.array([(task << 32) + number], pa.int64()), "vocab": [pack_sorted(vocab)], "tokens": [pack(tokens.astype(np.uint32))],
+                "keys": pa.ListArray.from_arrays([0, len(sizes)], pa.concat_arrays(keys)), "sizes": [pack(np.array(sizes, np.uint64))], "held": [pack(np.array(held, bool))],
+            }
             parts, keys, sizes, held, total = [], [], [], [], 0
-            return pd.DataFrame([row], columns=["block", "vocab", "tokens", "keys", "sizes", "held"])
+            return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for pdf in slices(batch):
-                h, words = hasher.texts(list(pdf["text"]))
-                ends = np.cumsum(words)
-                parts.append(np.insert(h, ends, END))
-                keys += [None if pd.isna(k) else int(k) if isinstance(k, float) else k for k in pdf["key"]]
+            for part in arrow_slices(batch):
+                h, words = hasher.texts(part["text"].to_pylist())
+                parts.append(np.insert(h, np.cumsum(words), END))
+                keys.append(part["key"])
                 sizes += (words + 1).tolist()
-                held += pdf["held"].tolist()
+                held += part["held"].to_pylist()
                 total += len(h) + len(words)
                 if total >= BLOCK:
                     yield emit()
@@ -113,7 +297,7 @@ def read_blocks(docs: DataFrame) -> DataFrame:
             yield emit()
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInPandas(run, f"block long, vocab binary, tokens binary, keys array<{kind}>, sizes binary, held binary")
+    return docs.mapInArrow(run, f"block long, vocab binary, tokens binary, keys array<{kind}>, sizes binary, held binary")
 
 
 @dataclass
@@ -124,241 +308,270 @@ class Block:
     held: np.ndarray
 
     @classmethod
-    def of(cls, row) -> Block:
-        return cls(unpack_sorted(row.vocab), unpack(row.tokens, np.uint32).astype(np.int64), unpack(row.sizes, np.uint32).astype(np.int64), unpack(row.held, bool))
+    def of(cls, row: dict) -> Block:
+        return cls(unpack_sorted(row["vocab"]), unpack(row["tokens"], np.uint32).astype(np.int64), unpack(row["sizes"], np.int64), unpack(row["held"], bool))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pair codes, each token's place among them, and the pairs' training counts."""
-        end = int(np.searchsorted(self.vocab, END))
-        codes, place = np.unique(pairs_of(self.tokens, len(self.vocab), end), return_inverse=True)
-        train = np.repeat(~self.held, self.sizes)
-        return codes, place, np.bincount(place[train], minlength=len(codes))
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pair codes (context * words + word) and each token's place among them."""
+        before = np.empty_like(self.tokens)
+        before[0], before[1:] = np.searchsorted(self.vocab, END), self.tokens[:-1]
+        return np.unique(before * len(self.vocab) + self.tokens, return_inverse=True)
 
-    def pair_hash(self, codes: np.ndarray) -> np.ndarray:
-        n = len(self.vocab)
-        return mix64(self.vocab[codes // n] * np.uint64(0x9E3779B97F4A7C15) + self.vocab[codes % n])
+    def trained(self) -> np.ndarray:
+        return np.repeat(~self.held, self.sizes)
 
 
-def deal(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts hashes by group and key, and where the groups begin.
+def pair_hash(words: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(words[u] * np.uint64(0x9E3779B97F4A7C15) + words[v])
+
+
+def word_key(words: np.ndarray) -> np.ndarray:
+    """Words as keys beside pairs."""
+    return mix64(words ^ np.uint64(0x3C6EF372FE94F82B))
+
 
-    Inside its group a hash is known by its upper 48 bits: of some 500,000 keys a group holds, two are
-    taken for one with a chance below 0.001."""
-    group = (h % np.uint64(groups)).astype(np.int32)
-    order = np.lexsort((h >> np.uint64(16), group))
-    return order, np.searchsorted(group[order], np.arange(groups + 1))
+def deal(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash, in which groups follow one another, and where the groups begin."""
+    order = np.argsort(h)
+    group = ((h[order] >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    return order, np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
 
 
-def ask(block: int, h: np.ndarray, columns: list[np.ndarray], groups: int) -> pd.DataFrame:
+def ask(h: np.ndarray, columns: list[np.ndarray] | None, groups: int) -> list[tuple[int, int, bytes, bytes | None]]:
+    """Rows g, size, h, n for the groups that these hashes go to."""
     order, cut = deal(h, groups)
-    rows = []
+    out = []
     for g in np.flatnonzero(np.diff(cut)):
         i = order[cut[g] : cut[g + 1]]
-        rows.append((int(g), block, len(i), pack_sorted(h[i] >> np.uint64(16), 6), pack_counts(np.stack([c[i] for c in columns]))))
-    return pd.DataFrame(rows, columns=["g", "block", "size", "h", "n"])
+        out.append((int(g), len(i), pack_sorted(h[i]), None if columns is None else pack_counts(np.stack([c[i] for c in columns]))))
+    return out
 
 
-ASKED = "g int, block long, size int, h binary, n binary"
+ASKED = "block long, g int, size int, h binary, n binary"
 ANSWER = "block long, g int, n binary"
+ASKS = pa.list_(pa.struct([("g", pa.int32()), ("size", pa.int32()), ("h", pa.binary()), ("n", pa.binary())]))
+
+
+def sent(block: int, asks: list[tuple], extra: dict | None = None) -> pa.RecordBatch:
+    g, size, h, n = zip(*asks, strict=True) if asks else ((),) * 4
+    row = {"block": pa.array([block] * len(g), pa.int64()), "g": pa.array(g, pa.int32()), "size": pa.array(size, pa.int32()), "h": pa.array(h, pa.binary()), "n": pa.array(n, pa.binary())}
+    return pa.RecordBatch.from_pydict(row | {k: pa.array([v] * len(g), pa.bool_()) for k, v in (extra or {}).items()})
 
 
-def totals(pdf: pd.DataFrame, finish) -> pd.DataFrame:
-    """Sum each hash's counts over blocks, apply ``finish`` and answer every block in its own order."""
+def sums(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's keys, their sums, and of each entry sent whether it is its key's first and which key it is; and where rows begin."""
     size = pdf["size"].tolist()
-    h = np.concatenate([unpack_sorted(x, 6) for x in pdf["h"]])
+    h = np.concatenate([unpack_sorted(x) for x in pdf["h"]])
     n = np.concatenate([unpack_counts(x, s) for x, s in zip(pdf["n"], size, strict=True)], axis=1)
     keys, first, at = np.unique(h, return_index=True, return_inverse=True)
-    sums = np.stack([np.bincount(at, c, len(keys)).astype(np.int64) for c in n])
-    out = finish(keys, sums, first, at)
-    cut = np.concatenate(([0], np.cumsum(size)))
+    total = np.stack([np.bincount(at, c, len(keys)).astype(np.int64) for c in n])
+    return keys, total, first, at, np.concatenate(([0], np.cumsum(size)))
+
+
+def answers_of(pdf: pd.DataFrame, cut: np.ndarray, out: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame([(b, g, pack_counts(out[:, i:j])) for b, g, i, j in zip(pdf["block"], pdf["g"], cut[:-1], cut[1:], strict=True)], columns=["block", "g", "n"])
 
 
-def answered(h: np.ndarray, groups: int, answers: pd.DataFrame) -> np.ndarray:
+def answered(h: np.ndarray, groups: int, answers: list[dict], rows: int) -> np.ndarray:
     """A block's answers in the order of its hashes."""
     order, cut = deal(h, groups)
-    out = None
-    for g, n in zip(answers["g"], answers["n"], strict=True):
-        i = order[cut[g] : cut[g + 1]]
-        got = unpack_counts(n, len(i))
-        if out is None:
-            out = np.zeros((len(got), len(h)), np.int64)
-        out[:, i] = got
+    out = np.zeros((rows, len(h)), np.int64)
+    for x in answers:
+        i = order[cut[x["g"]] : cut[x["g"] + 1]]
+        out[:, i] = unpack_counts(x["n"], len(i))
     return out
 
 
-def seat(c: np.ndarray, a: np.ndarray, d: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish after its c customers sat down one by one; a: weight of a new table."""
-    t = np.minimum(c, 1).astype(float)
-    state = mix64(key + np.uint64(0xA5A5A5A5A5A5A5A5 * (sweep + 1) % (1 << 64)))
-    at = np.flatnonzero(c >= 2)
-    j = 1
-    while len(at):
-        state[at] = mix64(state[at] + np.uint64(j))
-        u = (state[at] >> np.uint64(11)).astype(float) * 2.0**-53
-        if j < TOGETHER:
-            t[at] += u < a[at] / (a[at] + j - d * t[at])
-            j += 1
-        else:
-            last = np.minimum(c[at], 2 * j).astype(float)
-            low = a[at] + j - d * t[at]
-            t[at] += np.floor(a[at] * np.log1p((last - j) / low) + u)
-            j *= 2
-        at = at[c[at] > j]
-    return np.minimum(t, c).astype(np.int64)
-
+def rows_of(batch: pa.RecordBatch):
+    """Each row (a block) by itself, as it came and as Python values."""
+    for i in range(batch.num_rows):
+        part = batch.slice(i, 1)
+        yield part, part.to_pylist()[0]
 
-@dataclass
-class Totals:
-    """Of the whole corpus: training tokens and types, discounts, and of each sweep the root's customers and tables."""
 
-    tokens: int
-    types: int
-    discount: float
-    root_discount: float
-    strength: float
-    customers: list[int]
-    tables: list[int]
+def by_block(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("block").agg(F.collect_list(F.struct("g", "n")).alias(name))
 
-    def parent(self, sweep: int, customers: np.ndarray) -> np.ndarray:
-        base = 1.0 / (self.types + 1)
-        top = np.maximum(customers - self.root_discount * np.minimum(customers, 1), 0) + (self.strength + self.root_discount * self.tables[sweep]) * base
-        return top / (self.strength + self.customers[sweep])
-
-
-# rows of the words' totals; a word is followed by some token as often as it occurs, so its count is that of its
-# context's customers too, and is asked once
-COUNT, CONTEXT_TABLES, CUSTOMERS = range(3)
-
-
-def draw(block: Block, codes: np.ndarray, counts: np.ndarray, words: list[np.ndarray], corpus: Totals, sweep: int) -> np.ndarray:
-    """Tables of the pairs in a sweep; sweep 0 is one table a dish."""
-    if sweep == 0:
-        return np.minimum(counts, 1)
-    w, n = words[sweep - 1], len(block.vocab)
-    u, v = codes // n, codes % n
-    p = corpus.parent(sweep - 1, w[CUSTOMERS])
-    a = (corpus.strength + corpus.discount * w[CONTEXT_TABLES][u]) * p[v]
-    return seat(counts, a, corpus.discount, block.pair_hash(codes), sweep)
-
-
-def partial_answer(count, first_sweep: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return count(pdf, first_sweep)
 
-    return run
+ALONE, SHARED = 1, 2  # a block's own pairs, by whether other blocks hold them too; 0: not its own
+STATE = "block long, words binary, codes binary, counts binary, shared binary, tables binary, total binary, asks array<struct<g:int,size:int,h:binary,n:binary>>"
 
 
-def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS) -> DataFrame:
+def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of whole texts)."""
     kind = docs.schema[key].dataType.simpleString()
     groups = n_parts(docs, text, GROUP_BYTES)
-    word_groups = groups
-    blocks = settle(read_blocks(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))), "lm-blocks")
+    blocks = settle(read_blocks(docs.select(column(key).alias("key"), column(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))), "lm-blocks")
 
-    def ask_pairs(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
+    def ask_counts(batches):
+        for batch in batches:
+            for _, row in rows_of(batch):
                 block = Block.of(row)
-                codes, _, counts = block.pairs()
-                yield ask(row.block, block.pair_hash(codes), [counts], groups)
+                codes, place = block.pairs()
+                n, train = len(block.vocab), block.trained()
+                h = np.concatenate((pair_hash(block.vocab, codes // n, codes % n), word_key(block.vocab)))
+                counts = np.concatenate((np.bincount(place[train], minlength=len(codes)), np.bincount(block.tokens[train], minlength=n)))
+                yield sent(row["block"], ask(h, [counts], groups))
 
-    def count_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        def finish(keys, sums, first, at):
-            owner = np.zeros(len(at), np.int64)
-            owner[first] = 1
-            return np.stack((sums[0][at], owner))
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, total, first, at, cut = sums(pdf)
+        owner = np.zeros(len(at), np.int64)
+        owner[first] = np.where(np.bincount(at, minlength=len(keys)) > 1, SHARED, ALONE)
+        return answers_of(pdf, cut, np.stack((total[0][at], owner)))
 
-        return totals(pdf, finish)
+    counted = settle(blocks.select("block", "vocab", "tokens", "sizes", "held").mapInArrow(ask_counts, ASKED).groupBy("g").applyInPandas(count, ANSWER), "lm-counts")
 
-    counts = blocks.mapInPandas(ask_pairs, ASKED).groupBy("g").applyInPandas(count_pairs, ANSWER)
-    counts = settle(counts, "lm-counts").groupBy("block").agg(F.collect_list(F.struct("g", "n")).alias("pairs"))
-
-    def keep_pairs(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
+    def keep(batches):
+        for batch in batches:
+            for part, row in rows_of(batch):
                 block = Block.of(row)
-                codes, _, _ = block.pairs()
-                got = answered(block.pair_hash(codes), groups, pd.DataFrame([(x["g"], x["n"]) for x in row.pairs], columns=["g", "n"]))
-                own = got[1] == 1
-                yield pd.DataFrame([(row.block, row.vocab, row.tokens, row.sizes, row.held, row.keys, pack_counts(got[0]), pack(own), int(got[0][own].sum()), int((got[0][own] == 1).sum()), int((got[0][own] == 2).sum()))], columns=["block", "vocab", "tokens", "sizes", "held", "keys", "counts", "own", "total", "once", "twice"])
-
-    state = settle(blocks.join(counts, "block").mapInPandas(keep_pairs, f"block long, vocab binary, tokens binary, sizes binary, held binary, keys array<{kind}>, counts binary, own binary, total long, once long, twice long"), "lm-state")
-    drop_settled(blocks)
-    tokens, once, twice = (x or 0 for x in state.agg(F.sum("total"), F.sum("once"), F.sum("twice")).first())
-    corpus = Totals(tokens, 0, min(0.95, max(0.1, once / max(1, once + 2 * twice))), 0.5, 1.0, [], [])
-    state = state.drop("total", "once", "twice")
-
-    def words_of(row, upto: int) -> list[np.ndarray]:
-        out = []
-        for s in range(upto):
-            got = pd.DataFrame([(x["g"], x["n"]) for x in row.words if x["s"] == s], columns=["g", "n"])
-            rows = answered(unpack_sorted(row.vocab), word_groups, got)
-            out.append(rows if s == 0 else np.vstack((out[0][COUNT], rows)))
-        return out
+                codes, _ = block.pairs()
+                n = len(block.vocab)
+                h = np.concatenate((pair_hash(block.vocab, codes // n, codes % n), word_key(block.vocab)))
+                total, flag = answered(h, groups, row["answers"], 2)
+                seen, mine = total[len(codes) :], flag[len(codes) :] > 0
+                own = flag[: len(codes)] > 0
+                c, codes = total[: len(codes)][own], codes[own]
+                used = np.unique(np.concatenate((codes // n, codes % n)))
+                place = np.zeros(n, np.int64)
+                place[used] = np.arange(len(used))
+                u, v = place[codes // n], place[codes % n]
+                t = np.minimum(c, 1)
+                new = {
+                    "seen": [pack_counts(seen)], "own": [pack(own)],
+                    "types": [int((seen[mine] > 0).sum())], "trained": [int(seen[mine].sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())],
+                    **state_row(block.vocab[used], u, v, c, flag[: len(flag) - n][own] == SHARED, t, np.zeros(0, np.float32), groups),
+                }
+                yield pa.RecordBatch.from_pydict({k: part[k] for k in ("block", "vocab", "tokens", "keys", "sizes", "held")} | new)
+
+    whole = settle(blocks.join(by_block(counted, "answers"), "block").mapInArrow(
+        keep, f"block long, vocab binary, tokens binary, keys array<{kind}>, sizes binary, held binary, seen binary, own binary, types long, trained long, once long, twice long, " + STATE.split(", ", 1)[1]), "lm-whole")
+    drop_settled(blocks, counted)
+    types, tokens, once, twice = (x or 0 for x in whole.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
+    corpus = Corpus(tokens, types, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
+    state = whole.select(*[x.split(" ")[0] for x in STATE.split(", ")])
+
+    for sweep in range(burn + sweeps + 1):
+        last = sweep == burn + sweeps
+        asked = state.select("block", F.explode("asks").alias("a")).select("block", "a.*")
+        told = settle(asked.groupBy("g").applyInPandas(word_totals(corpus, sweep), ANSWER + ", customers long, once long, twice long, mass double, contexts array<double>"), "lm-words")
+        got = told.agg(*[F.sum(x) for x in ("customers", "once", "twice", "mass")], *[F.sum(F.get("contexts", F.lit(i))) for i in range(len(STRENGTHS))]).first()
+        customers, once, twice, mass, *likelihoods = (x or 0 for x in got)
+        corpus = replace(corpus, customers=customers).draw_strengths(np.array(likelihoods, float), sweep).with_root_mass(mass, sweep + 1)
+        after = settle(state.drop("asks").join(by_block(told, "answers"), "block", "left").mapInArrow(next_state(corpus, sweep, burn, last, groups), STATE), "lm-state")
+        drop_settled(told)
+        if sweep:
+            drop_settled(state)
+        else:  # the root's discount, from how many words have one and two contexts
+            corpus = replace(corpus, root_discount=min(0.95, max(0.1, once / max(1, once + 2 * twice))))
+        state = after
+
+    def send(batches):
+        for batch in batches:
+            for _, row in rows_of(batch):
+                words, u, v, shared = *pairs_of(row), unpack(row["shared"], bool)
+                u, v = u[shared], v[shared]
+                p = (unpack(row["total"], np.float32)[shared] / sweeps).view(np.uint32)
+                yield sent(row["block"], ask(pair_hash(words, u, v), [p], groups), {"asks": False})
 
-    told: DataFrame | None = None
-    for sweep in range(sweeps + 1):
-
-        def ask_words(batches, sweep=sweep, corpus=corpus):
-            for pdf in batches:
-                for row in pdf.itertuples():
-                    block = Block.of(row)
-                    codes, _, _ = block.pairs()
-                    c, own = unpack_counts(row.counts, len(codes))[0], unpack(row.own, bool)
-                    t = draw(block, codes, c, words_of(row, sweep) if sweep else [], corpus, sweep)
-                    n = len(block.vocab)
-                    u, v, c, t = (codes // n)[own], (codes % n)[own], c[own], t[own]
-                    pairs = ((v, c), (u, t), (v, t))[min(sweep, 1) :]
-                    yield ask(row.block, block.vocab, [np.bincount(i, w, n).astype(np.int64) for i, w in pairs], word_groups)
-
-        def count_words(pdf: pd.DataFrame, first_sweep: bool) -> pd.DataFrame:
-            own = [0, 0, 0]
-
-            def finish(keys, sums, first, at):
-                seated = sums[CUSTOMERS if first_sweep else CUSTOMERS - 1]
-                own[:] = int((sums[COUNT] > 0).sum()) if first_sweep else 0, int(seated.sum()), int((seated > 0).sum())
-                return sums[:, at]
-
-            out = totals(pdf, finish)
-            out["types"], out["customers"], out["tables"] = 0, 0, 0
-            out.loc[out.index[0], ["types", "customers", "tables"]] = own  # the group's sums ride along on one row
-            return out
-
-        with_words = state if told is None else state.join(told.groupBy("block").agg(F.collect_list(F.struct("s", "g", "n")).alias("words")), "block")
-        part = settle(with_words.drop("keys").mapInPandas(ask_words, ASKED).groupBy("g").applyInPandas(partial_answer(count_words, sweep == 0), ANSWER + ", types long, customers long, tables long"), "lm-words")
-        types, customers, tables = (x or 0 for x in part.agg(F.sum("types"), F.sum("customers"), F.sum("tables")).first())
-        corpus = Totals(corpus.tokens, types if sweep == 0 else corpus.types, corpus.discount, corpus.root_discount, corpus.strength, [*corpus.customers, customers], [*corpus.tables, tables])
-        part = part.select(F.lit(sweep).alias("s"), "block", "g", "n")
-        told = part if told is None else told.unionByName(part)
-
-    def finish(batches, corpus=corpus):
-        for pdf in batches:
-            for row in pdf.itertuples():
+    def want(batches):
+        for batch in batches:
+            for _, row in rows_of(batch):
                 block = Block.of(row)
-                codes, place, _ = block.pairs()
-                c = unpack_counts(row.counts, len(codes))[0]
-                words = words_of(row, sweeps + 1)
-                n = len(block.vocab)
-                u, v = codes // n, codes % n
-                total = np.zeros(len(codes))
-                d, strength = corpus.discount, corpus.strength
-                for s in range(1, sweeps + 1):
-                    w = words[s]
-                    t = draw(block, codes, c, words, corpus, s)
-                    p = corpus.parent(s, w[CUSTOMERS])[v]
-                    total += (np.maximum(c - d * t, 0) + (strength + d * w[CONTEXT_TABLES][u]) * p) / (strength + w[COUNT][u])
-                logp = np.log10(total / sweeps)[place]
-                seen = words[0][COUNT][block.tokens]
+                codes, n = block.pairs()[0][~unpack(row["own"], bool)], len(block.vocab)
+                yield sent(row["block"], ask(pair_hash(block.vocab, codes // n, codes % n), None, groups), {"asks": True})
+
+    def give(pdf: pd.DataFrame) -> pd.DataFrame:
+        told, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        if not len(asking):
+            return pd.DataFrame([], columns=["block", "g", "n"])
+        h = np.concatenate([unpack_sorted(x) for x in told["h"]])
+        p = np.concatenate([unpack_counts(x, s)[0] for x, s in zip(told["n"], told["size"], strict=True)])
+        order = np.argsort(h)
+        h, p = h[order], p[order]
+        return pd.DataFrame([(b, g, pack_counts(p[np.searchsorted(h, unpack_sorted(x))])) for b, g, x in zip(asking["block"], asking["g"], asking["h"], strict=True)], columns=["block", "g", "n"])
+
+    exchange = ASKED + ", asks boolean"
+    both = state.select("block", "words", "codes", "shared", "total").mapInArrow(send, exchange).unionAll(whole.select("block", "vocab", "tokens", "sizes", "held", "own").mapInArrow(want, exchange))
+    given = both.groupBy("g").applyInPandas(give, ANSWER)
+
+    def finish(batches):
+        for batch in batches:
+            for part, row in rows_of(batch):
+                block = Block.of(row)
+                codes, place = block.pairs()
+                n, own = len(block.vocab), unpack(row["own"], bool)
+                other = codes[~own]
+                p = np.zeros(len(codes))
+                p[own] = unpack(row["total"], np.float32) / sweeps
+                p[~own] = answered(pair_hash(block.vocab, other // n, other % n), groups, row["answers"] or [], 1)[0].astype(np.uint32).view(np.float32)
+                seen = unpack_counts(row["seen"], n)[0][block.tokens]
                 base = np.log10((seen + 1) / (corpus.tokens + corpus.types + 1))
                 starts = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
-                yield pd.DataFrame({
-                    key: pd.Series(list(row.keys), dtype=object), "held_out": block.held, "n_tokens": block.sizes, "n_known": np.add.reduceat((seen > 0).astype(np.int64), starts), "train_tokens": corpus.tokens,
-                    "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logp, starts),
+                yield pa.RecordBatch.from_pydict({
+                    key: part["keys"].flatten(), "held_out": block.held, "n_tokens": block.sizes, "n_known": np.add.reduceat((seen > 0).astype(np.int64), starts),
+                    "train_tokens": np.full(len(starts), corpus.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p)[place], starts),
                 })
 
-    whole = state.join(told.groupBy("block").agg(F.collect_list(F.struct("s", "g", "n")).alias("words")), "block")
-    return whole.mapInPandas(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    parts = whole.select("block", "vocab", "tokens", "keys", "sizes", "held", "seen", "own").join(state.select("block", "total"), "block").join(by_block(given, "answers"), "block", "left")
+    return parts.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+# ---------------------------------------------------------------- sweeps
+
+
+def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, codes = unpack_sorted(row["words"]), unpack_sorted(row["codes"]).astype(np.int64)
+    return words, codes // max(1, len(words)), codes % max(1, len(words))
+
+
+def state_row(words, u, v, c, shared, t, total, groups: int | None) -> dict:
+    """Columns of an owner's pairs; with ``groups``, the words' counts and tables go out as well."""
+    n = len(words)
+    asks = [] if groups is None else ask(words, [np.bincount(i, w, n).astype(np.int64) for i, w in ((v, c), (u, t), (v, t))], groups)
+    rows = [[dict(zip(("g", "size", "h", "n"), a, strict=True)) for a in asks]]
+    return {"words": [pack_sorted(words)], "codes": [pack_sorted((u * n + v).astype(np.uint64))], "counts": [pack_counts(c)], "shared": [pack(shared)], "tables": [pack_counts(t)], "total": [pack(total)], "asks": pa.array(rows, ASKS)}
+
+
+def word_totals(corpus: Corpus, sweep: int):
+    """Of each word count (also its customers as a context: every token is followed by one), tables as a context, and
+    customers of the root; on a group's first row sums over its words, of gammas for the coming sweep as well."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, total, _, at, cut = sums(pdf)
+        n, tables, customers = total
+        out = answers_of(pdf, cut, total[:, at])
+        on = n > 0
+        rest = len(out) - 1
+        out["customers"], out["once"], out["twice"] = [int(customers.sum())] + [0] * rest, [int((customers == 1).sum())] + [0] * rest, [int((customers == 2).sum())] + [0] * rest
+        out["mass"] = [float(corpus.root_gammas(customers, keys, sweep + 1).sum())] + [0.0] * rest
+        out["contexts"] = [corpus.strength_likelihoods(tables[on], n[on]).tolist() if on.any() else None] + [None] * rest
+        return out
+
+    return run
+
+
+def next_state(corpus: Corpus, sweep: int, burn: int, last: bool, groups: int):
+    """Add the sweep's predictive probabilities (after ``burn``) and draw the tables of the next one."""
+
+    def run(batches):
+        seats = Seats(corpus.discount)
+        for batch in batches:
+            for part, row in rows_of(batch):
+                words, u, v = pairs_of(row)
+                c = unpack_counts(row["counts"], len(u))[0]
+                t = unpack_counts(row["tables"], len(u))[0]
+                n, tables, customers = answered(words, groups, row["answers"] or [], 3)
+                total = unpack(row["total"], np.float32)
+                if sweep > burn:
+                    p = corpus.predict(c, t, n[u], tables[u], customers[v])
+                    total = (p + total if len(total) else p).astype(np.float32)
+                if not last:
+                    t = corpus.sweep(seats, c, u, v, pair_hash(words, u, v), words, tables, customers, sweep + 1)
+                made = state_row(words, u, v, c, unpack(row["shared"], bool), t, total, None if last else groups)
+                yield pa.RecordBatch.from_pydict({"block": part["block"]} | made)
+
+    return run
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

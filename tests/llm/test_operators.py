@@ -171,23 +171,107 @@ def test_language_model(docs, none):
     assert pitman_yor.score_language_model(none, common.crc_mod("doc_id", 7) == 2).count() == 0
 
 
-def test_model_sums_to_one():
-    c = pitman_yor.Totals(10, 3, 0.5, 0.5, 1.0, [4], [3])
-    p = c.parent(0, np.array([2, 1, 1, 0]))  # the last is the unknown word
-    assert p.sum() == pytest.approx(1)
-    counts, t = np.array([3, 1, 0, 0]), np.array([2, 1, 0, 0])
-    q = (np.maximum(counts - 0.5 * t, 0) + (1.0 + 0.5 * t.sum()) * p) / (1.0 + counts.sum())
-    assert q.sum() == pytest.approx(1)
-
-
-def test_seats():
-    key = np.arange(4000, dtype=np.uint64)
-    t = pitman_yor.seat(np.full(4000, 5), np.full(4000, 2.0), 0.0, key, 1)
-    assert t.min() >= 1 and t.max() <= 5
-    assert t.mean() == pytest.approx(1 + sum(2 / (2 + j) for j in range(1, 5)), abs=0.06)
-    many = pitman_yor.seat(np.full(300, 100_000), np.full(300, 3.0), 0.0, key[:300], 2)
-    assert many.mean() == pytest.approx(1 + 3 * math.log(100_003 / 4), rel=0.05)
-    assert (pitman_yor.seat(np.array([0, 1]), np.array([9.0, 9.0]), 0.5, key[:2], 1) == [0, 1]).all()
+def stirling(c: int, d: float) -> list[float]:
+    row = [0.0, 1.0]
+    for n in range(1, c):
+        row = [0.0] + [row[t - 1] + (n - t * d) * (row[t] if t < len(row) else 0.0) for t in range(1, n + 2)]
+    return row
+
+
+def rising(x: float, step: float, n: int) -> float:
+    return math.prod(x + step * i for i in range(n))
+
+
+def test_seats_follow_their_law():
+    """Numbers of tables, by inversion and by rejection, against the law itself."""
+    for d, c, a in ((0.5, 2, 0.7), (0.5, 7, 2.0), (0.9, 30, 11.0), (0.2, 30, 0.05), (0.8, 120, 60.0)):
+        key = np.arange(20_000, dtype=np.uint64)
+        s = stirling(c, d)
+        want = np.array([0.0] + [math.exp(math.log(s[t]) - math.log(s[1]) + (t - 1) * math.log(a)) for t in range(1, c + 1)])
+        want /= want.sum()
+        for direct in (256, 1):
+            t = pitman_yor.Seats(d, direct).draw(np.full(len(key), c), np.full(len(key), a), key, 3)
+            assert np.abs(np.cumsum(np.bincount(t, minlength=c + 1) / len(key)) - np.cumsum(want)).max() < 0.02
+    assert (pitman_yor.Seats(0.5).draw(np.array([0, 1]), np.array([9.0, 9.0]), key[:2], 1) == [0, 1]).all()
+
+
+def test_gibbs_sampler_finds_the_exact_prediction():
+    """Averages over sweeps against the sum over all seatings of a tiny corpus."""
+    u, v, c = np.array([0, 0, 1, 1, 2]), np.array([0, 1, 0, 2, 1]), np.array([5, 2, 4, 1, 3])
+    corpus = pitman_yor.Corpus(int(c.sum()), 3, 0.6, 0.4, 0.8, 1.5)
+    n = np.bincount(u, c, 3)
+    ask_u, ask_v = (x.ravel() for x in np.meshgrid(np.arange(3), np.arange(4), indexing="ij"))  # word 3 is unknown
+    counts = np.zeros((3, 4))
+    counts[u, v] = c
+
+    def predicted(t):
+        tables, root = np.bincount(u, t, 3), np.append(np.bincount(v, t, 3), 0)
+        seats = np.zeros((3, 4))
+        seats[u, v] = t
+        return pitman_yor.replace(corpus, customers=int(t.sum())).predict(counts[ask_u, ask_v], seats[ask_u, ask_v], n[ask_u], tables[ask_u], root[ask_v])
+
+    s, total, want = [stirling(int(x), 0.6) for x in c], 0.0, np.zeros(12)
+    for t in itertools.product(*(range(1, x + 1) for x in c)):
+        t = np.array(t)
+        root = np.bincount(v, t, 3).astype(int)
+        w = math.prod(s[i][t[i]] for i in range(5)) * math.prod(rising(0.8, 0.6, int(x)) for x in np.bincount(u, t, 3))
+        w *= math.prod(rising(0.6, 1, x - 1) for x in root) * rising(1.5, 0.4, 3) / rising(1.5, 1, int(root.sum()))
+        total, want = total + w, want + w * predicted(t)
+    want /= total
+    assert np.allclose(want.reshape(3, 4).sum(axis=1), 1)
+    words, pair, seats = np.arange(3, dtype=np.uint64) + np.uint64(77), np.arange(5, dtype=np.uint64), pitman_yor.Seats(0.6)
+    t, got, sweeps = np.ones(5, np.int64), np.zeros(12), 6000
+    for i in range(1, sweeps + 1):
+        tables, root = np.bincount(u, t, 3), np.bincount(v, t, 3).astype(np.int64)
+        now = corpus.with_root_mass(float(corpus.root_gammas(root, words, i).sum()), i)
+        t = now.sweep(seats, c, u, v, pair, words, tables, root, i)
+        got += predicted(t)
+    assert np.abs(got / sweeps - want).max() < 0.006
+
+
+def test_language_model_against_plain_sampling(spark):
+    """The operator's scores against plain code of the same sampler: blocks, groups and owners change nothing."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "d", "E", "e"][: 2 + i % 5]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    got = {}
+    for block, group in ((300_000, 6 << 20), (40, 100)):
+        old = pitman_yor.BLOCK, pitman_yor.GROUP_BYTES
+        pitman_yor.BLOCK, pitman_yor.GROUP_BYTES = block, group
+        try:
+            df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+            got[block] = {r.doc_id: (r.score, r.n_tokens) for r in pitman_yor.score_language_model(df, F.col("doc_id") % 7 == 2).collect()}
+        finally:
+            pitman_yor.BLOCK, pitman_yor.GROUP_BYTES = old
+    assert got[40].keys() == got[300_000].keys() == {i for i, _ in docs}
+    for i, t in docs:
+        assert got[40][i] == pytest.approx(got[300_000][i], rel=1e-4) and got[40][i][1] == len(t.split()) + 1
+    # plain: one table of pairs, the same draws
+    text = [[w.lower() for w in t.split()] for _, t in docs]
+    hasher = pitman_yor.WordHasher(31, lower=True)
+    name = {w: hasher.texts([w])[0][0] for w in "abcde"} | {None: pitman_yor.END}
+    words = np.array(sorted(name.values()), np.uint64)
+    place = {w: int(np.searchsorted(words, h)) for w, h in name.items()}
+    pairs = collections.Counter((place[a], place[b]) for (i, _), t in zip(docs, text, strict=True) if i % 7 != 2 for a, b in zip([None, *t], [*t, None], strict=True))
+    u, v, c = (np.array(x) for x in zip(*((a, b, n) for (a, b), n in sorted(pairs.items())), strict=True))
+    n, pair = np.bincount(u, c, 6).astype(np.int64), pitman_yor.pair_hash(words, u, v)
+    once, twice = (c == 1).sum(), (c == 2).sum()
+    corpus = pitman_yor.Corpus(int(c.sum()), 6, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
+    t, seats, average = np.minimum(c, 1), pitman_yor.Seats(corpus.discount), np.zeros((6, 6))
+    for sweep in range(pitman_yor.BURN + pitman_yor.SWEEPS + 1):
+        tables, root = (np.bincount(x, t, 6).astype(np.int64) for x in (u, v))
+        mass = float(corpus.root_gammas(root, words, sweep + 1).sum())
+        corpus = pitman_yor.replace(corpus, customers=int(root.sum())).draw_strengths(corpus.strength_likelihoods(tables, n), sweep).with_root_mass(mass, sweep + 1)
+        if sweep > pitman_yor.BURN:
+            counts, held = np.zeros((6, 6)), np.zeros((6, 6))
+            counts[u, v], held[u, v] = c, t
+            a, b = np.meshgrid(np.arange(6), np.arange(6), indexing="ij")
+            average += corpus.predict(counts[a, b], held[a, b], n[a], tables[a], root[b]) / pitman_yor.SWEEPS
+        t = corpus.sweep(seats, c, u, v, pair, words, tables, root, sweep + 1)
+        if sweep == 0:
+            corpus = pitman_yor.replace(corpus, root_discount=min(0.95, max(0.1, (root == 1).sum() / max(1, (root == 1).sum() + 2 * (root == 2).sum()))))
+    for (i, _), t in zip(docs, text, strict=True):
+        want = sum(math.log10(average[place[a], place[b]]) for a, b in zip([None, *t], [*t, None], strict=True))
+        assert got[40][i][0] == pytest.approx(want, rel=1e-4)
 
 
 # ---------------------------------------------------------------- 4
