@@ -7,7 +7,10 @@ lattices: each word's Viterbi result is kept in a bounded memo, and only the wor
 gap between first and second path can take part in a text's N best, so A* runs on those alone.
 
 Null texts count as empty: no pieces, score 0, one (empty) segmentation. Repeated rows give repeated
-results. Work is per row: no shuffle, and a task holds one batch and the memo.
+results. Equal scores: the path found first, in an order fixed by the lattice. Long texts are encoded whole;
+a word's cost grows with its length times the longest piece's, and memory with the characters of a part
+(``PART``, one word at least). Empty tables give no rows. Columns that are neither kept nor the text aren't
+read; kept columns pass as they came. Work is per row: no shuffle, and a task holds one slice and the memo.
 """
 
 from __future__ import annotations
@@ -17,19 +20,55 @@ import re
 import zlib
 from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts_of
+from .common import arrow_batch, arrow_slices, column, ddl, table, texts_of
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score of a piece, as is usual
 UNUSED = -1e8  # pieces scored lower than this are only marked as unusual: they get the lowest score
 
 
+class Paths(NamedTuple):
+    """Paths of many words, one after the other: all ids, how many each has, its score, and how much less its word's
+    second path scores (infinite: there is none)."""
+
+    ids: np.ndarray
+    lengths: np.ndarray
+    score: np.ndarray
+    gap: np.ndarray
+
+    @classmethod
+    def none(cls) -> Paths:
+        return cls(np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0), np.empty(0))
+
+    @classmethod
+    def joined(cls, parts: list[Paths]) -> Paths:
+        return cls(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def take(self, rows: np.ndarray) -> Paths:
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        first = (np.cumsum(self.lengths) - self.lengths)[rows]
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lengths), lengths)
+        return Paths(self.ids[at], lengths, self.score[rows], self.gap[rows])
+
+
+class Encoded(NamedTuple):
+    """A text's best ids, and of each of its n best paths: score, differences (place, ids that go, ids that come), checksum
+    of its ids, and whether decoding it gives the text."""
+
+    ids: np.ndarray
+    scores: list[float]
+    changes: list[list[tuple[int, int, tuple[int, ...]]]]
+    sums: list[int]
+    trips: list[bool]
+
+
 class PieceModel:
     """Pieces and scores of a model file."""
 
@@ -52,8 +91,10 @@ class PieceModel:
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in letters)
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.piece_id)
         self.chunks = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + f"|[{alone}]" * bool(alone)).findall
-        self.memo: dict = {}
-        self.old: dict = {}
+        self.memo: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.paths = self.old_paths = Paths.none()
+        self.lists: dict = {}
         self.build()
 
     def edges(self, text: str) -> list[list[tuple[int, float, object]]]:
@@ -93,77 +134,114 @@ class PieceModel:
                 out.append(self.unk)
         return tuple(out)
 
-    def best(self, words: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
-        """Of each word: best ids, their score, and how much less its second path scores (infinite: it has none)."""
-        by_size: dict[int, list[str]] = {}
-        for w in words:
-            by_size.setdefault(len(w), []).append(w)
-        out: dict[str, tuple] = {}
-        for size, same in by_size.items():
-            step = 1 if size > self.LONG else 4096
-            for at in range(0, len(same), step):
-                part = same[at : at + step]
-                chars = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), size)
-                out.update(zip(part, self.viterbi(chars), strict=True))
-        return [out[w] for w in words]
-
-    LONG = 512
-
-    def viterbi(self, chars: np.ndarray) -> list[tuple]:
-        """Forward and backward Viterbi over all words (rows of equally many characters) at once."""
-        m, n = chars.shape
-        rows = np.arange(m)
-        fwd, ids, size = np.full((n + 1, m), -1e300), np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
-        fwd[0] = 0
-        edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
-        codes = np.ascontiguousarray(chars.T).astype(np.uint64) + np.uint64(1)
-        for s in range(n):
-            key, live, here = np.zeros(m, np.uint64), rows, []
-
-            def edge(k: int, at: np.ndarray, w, i) -> None:
-                here.append((k, at, w))
-                total = fwd[s][at] + w
-                better = np.flatnonzero(total > fwd[s + k][at])
-                won = at[better]
-                fwd[s + k][won], ids[s + k][won], size[s + k][won] = total[better], i if isinstance(i, int) else i[better], k
-
-            for k in range(1, min(self.longest, n - s) + 1):
-                key = key * self.BASE + codes[s + k - 1][live]
-                i, prefix = self.find(key)
-                if k == 1 and len(alone := live[i < 0]):
-                    edge(1, alone, np.full(len(alone), self.low), -2)
-                live, key, i = live[prefix], key[prefix], i[prefix]
-                if not len(live):
-                    break
-                whole = i >= 0
-                if whole.any():
-                    edge(k, live[whole], self.scores[i[whole]], i[whole])
-            edges.append(here)
-        on, spelled, length, at = np.zeros((n, m), np.int32), np.empty((m, n), np.int64), np.zeros(m, np.int64), np.full(m, n)
-        for _ in range(n):  # walk all best paths back together
-            go = at > 0
-            if not go.any():
+    def best(self, words: list[str]) -> Paths:
+        """Best path, its score and the gap to the second of each word."""
+        parts, order = [], []
+        words = sorted(enumerate(words), key=lambda x: len(x[1]))
+        at, held = 0, 0
+        for k, (_, w) in enumerate(words):  # parts of bounded size, of words about as long as each other
+            held += len(w)
+            if held >= self.PART or k == len(words) - 1:
+                part = words[at : k + 1]
+                parts.append(self.viterbi([w for _, w in part]))
+                order += [i for i, _ in part]
+                at, held = k + 1, 0
+        return Paths.joined(parts).take(np.argsort(order)) if parts else Paths.none()
+
+    PART = 1 << 19  # characters
+
+    def viterbi(self, words: list[str]) -> Paths:
+        """Forward and backward Viterbi over many words (in order of length) at once.
+
+        Edges of all words are found by their length, then grouped by the place where they end: a step takes
+        the words' best edge into their e-th characters."""
+        m, sizes = len(words), np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        codes, n = chars.astype(np.uint64) + np.uint64(1), len(chars)
+        word = np.repeat(np.arange(m), sizes)
+        node0 = np.cumsum(sizes + 1) - (sizes + 1)  # a word has a node before, between and after its characters
+        node = np.arange(n) + word
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # characters from here to the word's end
+        begins, lengths, weights, ids = [], [], [], []
+        live, key = np.arange(n), np.zeros(n, np.uint64)
+        for k in range(1, self.longest + 1):
+            fits = left[live] >= k
+            live, key = live[fits], key[fits]
+            if not len(live):
                 break
-            i, k = ids[at, rows], np.where(go, size[at, rows], 0)
-            begin = at - k
-            spelled[rows[go], n - 1 - length[go]] = np.where(i == -2, -2 - chars[rows, np.minimum(begin, n - 1)].astype(np.int64), i)[go]
-            on[begin[go], rows[go]] = k[go]
-            length += go
-            at = begin
-        bwd, second = np.full((n + 1, m), -1e300), np.full(m, -1e300)
-        bwd[n] = 0
-        for s in reversed(range(n)):
-            for k, at, w in edges[s]:
-                through = w + bwd[s + k][at]
-                bwd[s][at] = np.maximum(bwd[s][at], through)
-                off = np.where(on[s][at] == k, -1e300, through + fwd[s][at])  # the second path is the best one over an edge off the best path
-                second[at] = np.maximum(second[at], off)
-        gap = np.where(second > -1e299, fwd[n] - second, np.inf).tolist()
-        out = []
-        for r, (k, total, g) in enumerate(zip(length.tolist(), fwd[n].tolist(), gap, strict=True)):
-            path = spelled[r, n - k :].tolist()
-            out.append((tuple(path) if min(path) >= 0 else self.spell([x if x >= 0 else chr(-2 - x) for x in path]), total, g))
-        return out
+            key = key * self.BASE + codes[live + (k - 1)]
+            i, prefix = self.find(key)
+            whole = i >= 0
+            if k == 1 and not whole.all():
+                alone = live[~whole]
+                begins.append(alone)
+                lengths.append(np.full(len(alone), 1))
+                weights.append(np.full(len(alone), self.low))
+                ids.append(-2 - chars[alone].astype(np.int64))
+            on = live[whole]
+            begins.append(on)
+            lengths.append(np.full(len(on), k))
+            weights.append(self.scores[i[whole]])
+            ids.append(i[whole].astype(np.int64))
+            live, key = live[prefix], key[prefix]
+        begin, length, weight, piece = (np.concatenate(x) for x in (begins, lengths, weights, ids))
+        start = node[begin]
+        end = start + length
+        level = end - node0[word[begin]]  # the place in the word where an edge ends
+        order = np.lexsort((end, level))
+        start, end, weight, piece, level = start[order], end[order], weight[order], piece[order], level[order]
+        cut = np.searchsorted(level, np.arange(1, int(sizes[-1]) + 2))
+        first = np.flatnonzero(np.append(True, end[1:] != end[:-1]))  # edges of an end follow one another
+        first_cut = np.searchsorted(first, cut)
+        total_nodes = n + m
+        fwd, chosen = np.zeros(total_nodes), np.full(total_nodes, -1)
+        for a, b, fa, fb in zip(cut[:-1], cut[1:], first_cut[:-1], first_cut[1:], strict=True):
+            score = fwd[start[a:b]] + weight[a:b]
+            into = first[fa:fb] - a
+            best = np.maximum.reduceat(score, into)
+            nodes = end[a:b][into]
+            fwd[nodes] = best
+            hit = np.flatnonzero(score == np.repeat(best, np.diff(np.append(into, b - a))))
+            chosen[end[a:b][hit]] = hit + a  # of equal ones the last, which is the longest
+        last = node0 + sizes
+        on = np.zeros(len(start), bool)
+        at, steps = last.copy(), []
+        while True:  # walk all best paths back together
+            go = np.flatnonzero(at > node0)
+            if not len(go):
+                break
+            e = chosen[at[go]]
+            on[e] = True
+            steps.append((go, e))
+            at[go] = start[e]
+        rows, edges = np.concatenate([g for g, _ in steps]), np.concatenate([e for _, e in steps])
+        order = np.lexsort((start[edges], rows))
+        rows, found = rows[order], piece[edges[order]]
+        # backward scores, from the words' ends; the second path is the best one over an edge off the best path
+        bwd, second = np.full(total_nodes, -1e300), np.full(m, -1e300)
+        bwd[last] = 0
+        by_start = np.argsort(start, kind="stable")
+        where = start - node0[np.searchsorted(node0, start, side="right") - 1]
+        by_start = by_start[np.argsort(-where[by_start], kind="stable")]
+        s2, e2, w2 = start[by_start], end[by_start], weight[by_start]
+        cut = np.searchsorted(-where[by_start], np.arange(-int(where.max()), 2))
+        first = np.flatnonzero(np.append(True, s2[1:] != s2[:-1]))
+        first_cut = np.searchsorted(first, cut)
+        for a, b, fa, fb in zip(cut[:-1], cut[1:], first_cut[:-1], first_cut[1:], strict=True):
+            if a < b:
+                into = first[fa:fb] - a
+                bwd[s2[a:b][into]] = np.maximum.reduceat(bwd[e2[a:b]] + w2[a:b], into)
+        through = np.where(on, -1e300, fwd[start] + weight + bwd[end])
+        np.maximum.at(second, np.searchsorted(node0, start, side="right") - 1, through)
+        best = fwd[last]
+        gap = np.where(second > -1e299, best - second, np.inf)
+        lengths = np.bincount(rows, minlength=m)
+        if len(odd := np.unique(rows[found < 0])):  # characters without a piece become bytes
+            odd_set = set(odd.tolist())
+            ends = np.cumsum(lengths)
+            spelled = [np.array(self.spell([x if x >= 0 else chr(-2 - x) for x in found[e - k : e].tolist()]), np.int64) if r in odd_set else found[e - k : e] for r, (e, k) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True))]
+            found, lengths = np.concatenate(spelled), np.array([len(x) for x in spelled])
+        return Paths(found.astype(np.int32), lengths, best, gap)
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,7 +255,7 @@ class PieceModel:
             if key in todo:
                 raise ValueError("two pieces hash alike")
             todo[key] = (self.piece_id.get(p, -1), 1)
-        self.longest, self.levels, bits = max(map(len, self.piece_id), default=1), [], 20
+        self.longest, self.levels, bits = max(map(len, self.piece_id), default=1), [], 18
         self.scores = np.array(self.score)
         while todo:
             keys, ids, rest = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), {}
@@ -229,47 +307,53 @@ class PieceModel:
                 heapq.heappush(queue, (-(done + w + fwd[s]), s, order, done + w, (x, path)))
         return out
 
-    MEMO = 400_000
+    MEMO = 300_000
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The texts' words, after which the memo knows all of them; entries of the last generation come back when used."""
+    def split(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
+        """The texts' words, and the place in the memo of each, one text after the other; entries of the last generation
+        come back when used."""
         words = [self.chunks(self.sp.normalize(t)) if t else [] for t in texts]
         if len(self.memo) > self.MEMO:
-            self.old, self.memo = self.memo, {}
-        memo, old, new = self.memo, self.old, []
-        for w in set().union(*words):
-            if w not in memo:
-                if (v := old.get(w)) is None:
-                    new.append(w)
-                else:
-                    memo[w] = v
-        memo.update(zip(new, self.best(new), strict=True))
-        return words
-
-    def encode(self, words: list[str], n: int) -> tuple[list[int], list[float], list[list[tuple]]]:
-        """Best ids of a text's words, the n best scores, and each one's changed words as (place, ids)."""
-        found = list(map(self.memo.__getitem__, words))
-        ids = list(chain.from_iterable(map(itemgetter(0), found)))
-        total = sum(map(itemgetter(1), found))
-        if n < 2 or not words:
-            return ids, [total], [[]]
-        gaps = np.fromiter(map(itemgetter(2), found), float, len(found))
+            self.old, self.old_paths, self.memo, self.paths = self.memo, self.paths, {}, Paths.none()
+        memo, old = self.memo, self.old
+        lacking = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in memo]
+        if lacking:
+            back = [w for w in lacking if w in old]
+            new = [w for w in lacking if w not in old]
+            taken = self.old_paths.take(np.fromiter(map(old.__getitem__, back), np.int64, len(back)))
+            self.paths = Paths.joined([self.paths, taken, self.best(new)])
+            memo.update(zip(chain(back, new), range(len(memo), len(memo) + len(lacking)), strict=True))
+        return words, np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+
+    def alternatives(self, word: str, n: int, best: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
+        """The word's n best segmentations and how much each scores below the first, kept for words that recur.
+
+        Of equal ones the path that encoding takes comes first."""
+        found = self.lists.get((word, n))
+        if found is None:
+            if len(self.lists) > self.MEMO // 10:
+                self.lists.clear()
+            ways = self.n_best(word, n)
+            top = ways[0][0]
+            ways = [(top, best), *[x for x in ways if x[1] != best]][:n]
+            found = self.lists[word, n] = [(max(0.0, top - score), ids) for score, ids in ways]
+        return found
+
+    def n_best_of(self, words: list[str], gaps: np.ndarray, path, n: int) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
+        """Of a text's n best paths how much each scores below the best, and its changed words as (place, ids); path(i): the
+        i-th word's best ids.
+
+        Only the n - 1 words of the smallest gaps can be changed in these."""
         k = min(n - 1, len(gaps))
+        if k < 1:
+            return [(0.0, [])]
         near = np.argpartition(gaps, k - 1)[:k] if k < len(gaps) else np.arange(k)
-        near = sorted((int(i) for i in near if gaps[i] < float("inf")), key=lambda i: (gaps[i], i))
-        lists = [self.n_best(words[i], n) for i in near]
+        near = sorted((gaps[i], i) for i in near.tolist() if gaps[i] < float("inf"))
+        lists = [self.alternatives(words[i], n, path(i)) for _, i in near]
         merged: list[tuple[float, tuple]] = [(0.0, ())]  # losses against the best path, and each word's rank
         for x in lists:
-            losses = [x[0][0] - y[0] for y in x]
-            merged = sorted((a + b, (*c, j)) for a, c in merged for j, b in enumerate(losses))[:n]
-        return ids, [total - a for a, _ in merged], [[(near[m], lists[m][j][1]) for m, j in enumerate(c) if j] for _, c in merged]
-
-    def places(self, words: list[str], changes: list[list[tuple]]) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """Of each path its differences from the best ids, in order: first place, how many ids go, and the ids that come."""
-        if not any(changes):
-            return [[] for _ in changes]
-        ends = np.cumsum([len(self.memo[w][0]) for w in words]).tolist()
-        return [[((ends[w - 1] if w else 0), len(self.memo[words[w]][0]), new) for w, new in sorted(change)] for change in changes]
+            merged = sorted((a + b, (*c, j)) for a, c in merged for j, (b, _) in enumerate(x))[:n]
+        return [(a, [(near[m][1], lists[m][j][1]) for m, j in enumerate(c) if j]) for a, c in merged]
 
     @staticmethod
     def splice(data, places: list[tuple], new: list, width: int = 1):
@@ -280,17 +364,29 @@ class PieceModel:
             last = at + gone
         return out + data[last * width :]
 
-    def check(self, ids: list[int], places: list[list[tuple]], text: str) -> tuple[list[int], list[bool]]:
-        """Of each path the checksum of its ids and whether decoding it gives the text.
-
-        Decoding joins bytes, so a path whose every difference stands for the bytes it replaces decodes as the best one does."""
-        best, first, spell = np.array(ids, np.uint32).tobytes(), self.decode(ids) == text, self.spell_bytes
-        sums, trips = [], []
-        for p in places:
-            sums.append(zlib.crc32(self.splice(best, p, [np.array(new, np.uint32).tobytes() for _, _, new in p], 4)))
-            same = all(spell(new) == spell(ids[at : at + gone]) for at, gone, new in p)
-            trips.append(first if same else self.decode(self.splice(ids, p, [list(new) for _, _, new in p])) == text)
-        return sums, trips
+    def encode(self, texts: list[str], n: int) -> list[Encoded]:
+        """Each text's best ids and n best paths, all of them decoded."""
+        words, rows = self.split(texts)
+        flat, lengths, score, gap = self.paths.take(rows)
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        edge = np.concatenate(([0], np.cumsum(size))).tolist()
+        out, spell = [], self.spell_bytes
+        for t, ws, a, b in zip(texts, words, edge[:-1], edge[1:], strict=True):
+            ids = flat[ends[a] : ends[b]]
+            total = float(score[a:b].sum())
+            paths = self.n_best_of(ws, gap[a:b], lambda i, a=a: tuple(flat[ends[a + i] : ends[a + i + 1]].tolist()), n)
+            changes = [[(int(ends[a + w] - ends[a]), int(lengths[a + w]), new) for w, new in sorted(change)] for _, change in paths]
+            listed, best = ids.tolist(), ids.tobytes()
+            first = self.decode(listed) == t
+            sums, trips = [], []
+            for change in changes:
+                sums.append(zlib.crc32(self.splice(best, change, [np.array(new, np.int32).tobytes() for _, _, new in change], 4)))
+                # decoding joins bytes, so differences that stand for the bytes they replace decode as the best path does
+                same = all(spell(new) == spell(listed[at : at + gone]) for at, gone, new in change)
+                trips.append(first if same else self.decode(self.splice(listed, change, [list(new) for _, _, new in change])) == t)
+            out.append(Encoded(ids, [total - loss for loss, _ in paths], changes, sums, trips))
+        return out
 
     def spell_bytes(self, ids) -> bytes:
         table = self.bytes
@@ -316,37 +412,38 @@ def encode_pieces(df: DataFrame, text: str = "text", model: str | None = None, n
     asked for, ids of the best path; and of each path, best first: n_best_crc32 (of its ids), n_best_round_trip, and
     n_best_changes, by which it differs from the best path's ids: the ids ``new`` stand for the ``gone`` ones from place ``at``."""
     path = model or default_model()
-    kinds = {"n_pieces": "long", "score": "double", "n_best_scores": "array<double>", "round_trip": "boolean", "ids_crc32": "long", "n_best_crc32": "array<long>", "n_best_round_trip": "array<boolean>", "n_best_changes": "array<array<struct<at: int, gone: int, new: array<int>>>>", "ids": "array<int>"}
-    columns = list(kinds)[: None if ids else -1]
-    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep] + [f"{c} {kinds[c]}" for c in columns])
+    long, change = pa.int64(), pa.struct([("at", pa.int32()), ("gone", pa.int32()), ("new", pa.list_(pa.int32()))])
+    schema = ", ".join([ddl(df, keep)] * bool(keep) + ["n_pieces long, score double, n_best_scores array<double>, round_trip boolean, ids_crc32 long, n_best_crc32 array<long>, n_best_round_trip array<boolean>, n_best_changes array<array<struct<at: int, gone: int, new: array<int>>>>"] + ["ids array<int>"] * ids)
 
     def run(batches):
         m = piece_model(path)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part, out = pdf.iloc[at : at + 256], []
-                texts = texts_of(part[text])
-                for t, words in zip(texts, m.split(texts), strict=True):
-                    got, scores, changes = m.encode(words, n_best)
-                    places = m.places(words, changes)
-                    sums, trips = m.check(got, places, t)
-                    out.append((len(got), scores[0], scores, all(trips), sums[0], sums, trips, [[{"at": a, "gone": g, "new": list(new)} for a, g, new in p] for p in places], *[np.array(got, np.int32)] * ids))
-                yield pd.concat([part[list(keep)].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
-
-    return df.select(*dict.fromkeys((*keep, text))).mapInPandas(run, schema)
+        for batch in batches:
+            for part in arrow_slices(batch, text):
+                got = m.encode(texts_of(part[text]), n_best)
+                made = {
+                    "n_pieces": ([len(x.ids) for x in got], long), "score": ([x.scores[0] for x in got], pa.float64()), "n_best_scores": ([x.scores for x in got], pa.list_(pa.float64())),
+                    "round_trip": ([all(x.trips) for x in got], pa.bool_()), "ids_crc32": ([x.sums[0] for x in got], long), "n_best_crc32": ([x.sums for x in got], pa.list_(long)),
+                    "n_best_round_trip": ([x.trips for x in got], pa.list_(pa.bool_())),
+                    "n_best_changes": ([[[{"at": a, "gone": g, "new": new} for a, g, new in c] for c in x.changes] for x in got], pa.list_(pa.list_(change))),
+                }
+                if ids:
+                    made["ids"] = ([x.ids for x in got], pa.list_(pa.int32()))
+                yield arrow_batch({k: part[k] for k in keep}, made)
+
+    return df.select(*[column(c) for c in dict.fromkeys((*keep, text))]).mapInArrow(run, schema)
 
 
 def decode_pieces(df: DataFrame, ids: str = "ids", model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and the text that the ids stand for (null ids: null)."""
     path = model or default_model()
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep) + ", text string"
+    schema = ", ".join([ddl(df, keep)] * bool(keep) + ["text string"])
 
     def run(batches):
         m = piece_model(path)
-        for pdf in batches:
-            yield pdf[list(keep)].assign(text=[None if x is None else m.decode(x) for x in pdf[ids]])
+        for batch in batches:
+            yield arrow_batch({k: batch[k] for k in keep}, {"text": ([None if x is None else m.decode(x) for x in batch[ids].to_pylist()], pa.string())})
 
-    return df.select(*dict.fromkeys((*keep, ids))).mapInPandas(run, schema)
+    return df.select(*[column(c) for c in dict.fromkeys((*keep, ids))]).mapInArrow(run, schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

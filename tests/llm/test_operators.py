@@ -78,18 +78,24 @@ def all_segmentations(m, text):
 
 def test_n_best_is_exact():
     m = pieces.piece_model(pieces.default_model())
-    for t in ("the thing", "ñoñ a", "ab一😀 c", "a", "  b", "reading!"):
-        words = m.split([t])[0]
-        ids, scores, changes = m.encode(words, 6)
+    texts = ["the thing", "ñoñ a", "ab一😀 c", "a", "  b", "reading!", "", "a a a", "x" * 12]
+    for t, got in zip(texts, m.encode(texts, 6), strict=True):
         want = all_segmentations(m, m.sp.normalize(t))
-        assert scores == want[: len(scores)] and len(scores) == min(6, len(want))
-        assert m.decode(ids) == t
-        for score, change in zip(scores, changes, strict=True):
-            parts = [m.memo[w][0] for w in words]
-            for at, new in change:
-                parts[at] = new
-            assert m.decode(itertools.chain(*parts)) == t
-        assert len({str(c) for c in changes}) == len(changes)
+        assert got.scores == pytest.approx(want[: len(got.scores)]) and len(got.scores) == min(6, len(want))
+        ways = {tuple(m.splice(got.ids.tolist(), c, [list(new) for _, _, new in c])) for c in got.changes}
+        assert len(ways) == len(got.changes) and all(m.decode(w) == t for w in ways) and all(got.trips)
+
+
+def test_best_paths_of_odd_words():
+    """Best paths found for many words at once against each word's own lattice."""
+    rng, m = random.Random(4), pieces.piece_model(pieces.default_model())
+    words = ["▁" + "".join(rng.choice("abehnrst'1é一😀▁") for _ in range(rng.randint(0, 14))) for _ in range(400)] + ["▁" * 40, "0" * 300]
+    got, at = m.best(words), 0
+    for w, n, score, gap in zip(words, got.lengths, got.score, got.gap, strict=True):
+        best = m.n_best(w, 2)
+        assert score == pytest.approx(best[0][0]) and gap == pytest.approx(best[0][0] - best[1][0] if len(best) > 1 else math.inf, abs=1e-9)
+        assert m.spell_bytes(got.ids[at : at + n].tolist()).decode() == w.replace("▁", " ")
+        at += n
 
 
 def test_encode_pieces(docs, none):
@@ -183,15 +189,19 @@ def rising(x: float, step: float, n: int) -> float:
 
 
 def test_seats_follow_their_law():
-    """Numbers of tables, by inversion and by rejection, against the law itself."""
+    """Numbers of tables, by inversion and by Metropolis steps, against the law itself."""
     for d, c, a in ((0.5, 2, 0.7), (0.5, 7, 2.0), (0.9, 30, 11.0), (0.2, 30, 0.05), (0.8, 120, 60.0)):
         key = np.arange(20_000, dtype=np.uint64)
         s = stirling(c, d)
         want = np.array([0.0] + [math.exp(math.log(s[t]) - math.log(s[1]) + (t - 1) * math.log(a)) for t in range(1, c + 1)])
         want /= want.sum()
-        for direct in (256, 1):
-            t = pitman_yor.Seats(d, direct).draw(np.full(len(key), c), np.full(len(key), a), key, 3)
-            assert np.abs(np.cumsum(np.bincount(t, minlength=c + 1) / len(key)) - np.cumsum(want)).max() < 0.02
+        t = pitman_yor.Seats(d).draw(np.full(len(key), c), np.full(len(key), a), key, 3)
+        assert np.abs(np.cumsum(np.bincount(t, minlength=c + 1) / len(key)) - np.cumsum(want)).max() < 0.02
+        seats, at, seen = pitman_yor.Seats(d), (1, c), np.zeros(c + 1)
+        for i in range(4000):
+            at = seats.move(c, a, *at, key=5, salt=i)
+            seen[at[0]] += 1
+        assert 1 <= at[1] <= c and np.abs(np.cumsum(seen / 4000) - np.cumsum(want)).max() < 0.05
     assert (pitman_yor.Seats(0.5).draw(np.array([0, 1]), np.array([9.0, 9.0]), key[:2], 1) == [0, 1]).all()
 
 
@@ -224,7 +234,7 @@ def test_gibbs_sampler_finds_the_exact_prediction():
     for i in range(1, sweeps + 1):
         tables, root = np.bincount(u, t, 3), np.bincount(v, t, 3).astype(np.int64)
         now = corpus.with_root_mass(float(corpus.root_gammas(root, words, i).sum()), i)
-        t = now.sweep(seats, c, u, v, pair, words, tables, root, i)
+        t, _ = now.sweep(seats, c, u, v, pair, words, tables, root, i, t, c[:0])
         got += predicted(t)
     assert np.abs(got / sweeps - want).max() < 0.006
 
@@ -233,6 +243,7 @@ def test_language_model_against_plain_sampling(spark):
     """The operator's scores against plain code of the same sampler: blocks, groups and owners change nothing."""
     rng = random.Random(9)
     docs = [(i, " ".join(rng.choice(["a", "b", "c", "d", "E", "e"][: 2 + i % 5]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    docs.append((60, "a b " * 600))  # pairs of more than DIRECT customers
     got = {}
     for block, group in ((300_000, 6 << 20), (40, 100)):
         old = pitman_yor.BLOCK, pitman_yor.GROUP_BYTES
@@ -256,7 +267,7 @@ def test_language_model_against_plain_sampling(spark):
     n, pair = np.bincount(u, c, 6).astype(np.int64), pitman_yor.pair_hash(words, u, v)
     once, twice = (c == 1).sum(), (c == 2).sum()
     corpus = pitman_yor.Corpus(int(c.sum()), 6, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
-    t, seats, average = np.minimum(c, 1), pitman_yor.Seats(corpus.discount), np.zeros((6, 6))
+    t, rest, seats, average = np.minimum(c, 1), c[c > pitman_yor.DIRECT], pitman_yor.Seats(corpus.discount), np.zeros((6, 6))
     for sweep in range(pitman_yor.BURN + pitman_yor.SWEEPS + 1):
         tables, root = (np.bincount(x, t, 6).astype(np.int64) for x in (u, v))
         mass = float(corpus.root_gammas(root, words, sweep + 1).sum())
@@ -266,7 +277,7 @@ def test_language_model_against_plain_sampling(spark):
             counts[u, v], held[u, v] = c, t
             a, b = np.meshgrid(np.arange(6), np.arange(6), indexing="ij")
             average += corpus.predict(counts[a, b], held[a, b], n[a], tables[a], root[b]) / pitman_yor.SWEEPS
-        t = corpus.sweep(seats, c, u, v, pair, words, tables, root, sweep + 1)
+        t, rest = corpus.sweep(seats, c, u, v, pair, words, tables, root, sweep + 1, t, rest)
         if sweep == 0:
             corpus = pitman_yor.replace(corpus, root_discount=min(0.95, max(0.1, (root == 1).sum() / max(1, (root == 1).sum() + 2 * (root == 2).sum()))))
     for (i, _), t in zip(docs, text, strict=True):
