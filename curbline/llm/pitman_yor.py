@@ -12,10 +12,9 @@ predictions need of a seating. One sweep draws, each from its exact conditional
    a = discount * gamma * root measure: given 1 and 2 the dishes are independent, so that all of them can be
    drawn at once without any of them seeing its own former tables;
 4. the strengths, on a grid, with 1 and 2 integrated out.
-Up to ``DIRECT`` customers step 3 inverts the distribution. Beyond, a Chinese restaurant of free strength is
-seated (its waits between tables are drawn whole, so steps grow with tables, not with customers) and accepted
-with the ratio of the two laws, which again gives the exact law. Discounts are fitted to the counts of
-counts. The first ``burn`` sweeps are left out; predictive probabilities of the next ``sweeps`` are averaged.
+Up to ``DIRECT`` customers step 3 inverts the distribution. Beyond, where that would take too long, a few
+Metropolis steps leave the same distribution unchanged; they seat the dish anew as a Poisson process of tables.
+Discounts are fitted to the counts of counts. The first ``burn`` sweeps are left out; predictive probabilities of the next ``sweeps`` are averaged.
 
 Layout: texts are read once into blocks of bounded size (a vocabulary of word hashes, tokens as places in
 it). Blocks send the counts of their distinct pairs and words to groups dealt by hash, which answer in the
@@ -34,6 +33,7 @@ Ties don't arise: nothing is ranked.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -83,9 +83,18 @@ def pack_counts(a: np.ndarray) -> bytes:
     return pack(np.concatenate((np.array([width], np.uint8), planes.ravel())))
 
 
+def pack_shares(p: np.ndarray) -> bytes:
+    """Sums of probabilities to a relative precision of 2^-13."""
+    return pack(((p.astype(np.float32).view(np.uint32) + np.uint32(1 << 10)) & np.uint32(0xFFFFF800)).view(np.uint8).reshape(-1, 4).T)
+
+
+def unpack_shares(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.float32)[:, 0].astype(float)
+
+
 def unpack_counts(b: bytes, size: int) -> np.ndarray:
     raw = unpack(b, np.uint8)
-    planes = raw[1:].reshape(-1, raw[0], size) if size else raw[1:].reshape(3, raw[0], 0)
+    planes = raw[1:].reshape(-1, raw[0], size) if size else np.empty((3, raw[0], 0), np.uint8)
     out = np.zeros((len(planes), size, 8), np.uint8)
     out[:, :, : raw[0]] = planes.transpose(0, 2, 1)
     return out.view(np.int64)[:, :, 0]
@@ -152,52 +161,41 @@ class Seats:
                 w = self.log_s[value][1:] + np.arange(1, value + 1) * np.log(a[i])[:, None]
                 w = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
                 t[i] = 1 + (w < uniforms(key[i], salt)[:, None] * w[:, -1:]).sum(axis=1)
-        many = np.flatnonzero(c > self.direct)
-        if len(many):
-            t[many] = self.many(c[many], a[many], key[many], salt)
         return t
 
-    def many(self, c: np.ndarray, a: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
-        """The same for any number of customers, by rejection from restaurants of about as many tables."""
-        d = self.d
-        theta = self.strength(c, a)
-        top = np.clip(np.ceil((a - theta) / d), 1, c)  # where the ratio of the two laws is highest
-        out, todo, turn = np.ones(len(c), np.int64), np.arange(len(c)), 0
-        while len(todo):
-            k = mix64(key[todo] ^ np.uint64(0xA5A5 + 65536 * turn))
-            t, th, best = self.seat(c[todo], theta[todo], k, salt), theta[todo] / d, top[todo]
-            ratio = (t - best) * np.log(a[todo] / d) + log_gamma(th + best) - log_gamma(th + t)
-            ok = np.log(uniforms(k, salt)) < ratio
-            out[todo[ok]] = t[ok]
-            todo, turn = todo[~ok], turn + 1
-        return out
-
-    def strength(self, c: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """The strength (above -d) whose restaurant has as many tables as the law asked for; any value gives right draws."""
-        d = self.d
-        low, high = np.full(len(c), -40.0), np.log(2.0 * (a + c) + 10)
-        for _ in range(30):
-            x = (low + high) / 2
-            th = np.exp(x) - d
-            less = log_gamma(th + 1) - log_gamma(th + d) + log_gamma(th + d + c) - log_gamma(th + c) < np.log(a)
-            low, high = np.where(less, x, low), np.where(less, high, x)
-        return np.exp(low) - d
-
-    def seat(self, c: np.ndarray, theta: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
-        """Tables after c customers of a Chinese restaurant: waits at the chance of now, thinned to the true one."""
-        d, t, j, step = self.d, np.ones(len(c), np.int64), np.ones(len(c)), 0
-        at = np.arange(len(c))
-        while len(at):
-            weight = theta[at] + d * t[at]
-            rate = weight / (theta[at] + j[at])
-            state = mix64(key[at] + np.uint64(step))
-            seated = j[at] + np.floor(np.log(uniforms(state, salt)) / np.log1p(-np.minimum(rate, 1 - 1e-12)))
-            inside = seated < c[at]
-            at, seated, weight, rate, state = at[inside], seated[inside], weight[inside], rate[inside], state[inside]
-            t[at] += uniforms(state, salt + 1) * rate < weight / (theta[at] + seated)
-            j[at] = seated + 1
-            step += 1
-        return t
+    def move(self, c: int, a: float, t: int, rest: int, key: int, salt: int) -> tuple[int, int]:
+        """The same law for a dish of any size, as Metropolis steps from its t tables.
+
+        ``rest`` is the size of the first customer's table. The other tables are proposed as a Poisson process over
+        sizes, tilted so that their customers fit: a gamma mixture of geometric sizes, thinned. Every proposal costs
+        time in proportion to its tables, whatever the customers, and memory for ``PART`` of them."""
+        d, rng = self.d, np.random.default_rng([key, salt])
+        low, high = -700.0, -1e-9  # log(1 - tilt), so that all tables together are expected to hold c customers
+        for _ in range(50):
+            q = (low + high) / 2
+            others, first = math.log(a) + math.log1p(-math.exp(q)) + (d - 1) * q, min(math.exp(-q), c / 2)
+            low, high = (q, high) if others > math.log(c - first) else (low, q)
+        tilt = math.log1p(-math.exp(low))
+
+        def weight(m: float) -> float:
+            return float(log_gamma(m - d) - log_gamma(m) + m * tilt)
+
+        now = weight(rest)
+        for _ in range(self.STEPS):
+            todo, tables, customers = int(rng.poisson(a / d)), 0, 0.0
+            while todo and customers < c:
+                n = min(todo, self.PART)
+                todo -= n
+                with np.errstate(divide="ignore"):
+                    sizes = 1 + np.floor(np.log1p(-rng.random(n)) / np.log1p(-rng.beta(d, 1 - d, n)))
+                sizes = sizes[np.log1p(-rng.random(n)) < sizes * tilt]
+                tables, customers = tables + len(sizes), customers + float(sizes.sum())
+            u = rng.random()
+            if customers < c and np.log1p(-u) < (new := weight(c - customers)) - now:
+                t, rest, now = tables + 1, int(c - customers), new
+        return t, rest
+
+    STEPS, PART = 4, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -228,16 +226,23 @@ class Corpus:
         out[on] = gammas(customers[on] - self.root_discount, key[on], 2 * sweep)
         return out
 
-    def sweep(self, seats: Seats, c, u, v, pair, words, tables, customers, sweep: int) -> np.ndarray:
-        """New tables of the pairs (u, v), given the totals of their words after the sweep before."""
+    def sweep(self, seats: Seats, c, u, v, pair, words, tables, customers, sweep: int, t, rest) -> tuple[np.ndarray, np.ndarray]:
+        """New tables of the pairs (u, v), given the totals of their words after the sweep before.
+
+        t: tables so far; rest: of pairs of more than ``direct`` customers, those at the first one's table."""
         on = np.flatnonzero(c > 1)
-        t = np.minimum(c, 1)
+        old, t = t, np.minimum(c, 1)
         if len(on):
-            root = self.root_gammas(customers, words, sweep) / self.mass
+            dishes, dish = np.unique(v[on], return_inverse=True)
+            root = self.root_gammas(customers[dishes], words[dishes], sweep) / self.mass
             contexts, at = np.unique(u[on], return_inverse=True)
             g = gammas(self.strength / self.discount + tables[contexts], words[contexts], 2 * sweep + 1)
-            t[on] = seats.draw(c[on], np.maximum(self.discount * g[at] * root[v[on]], 1e-280), pair[on], 2 * sweep)
-        return t
+            a = np.maximum(self.discount * g[at] * root[dish], 1e-280)
+            t[on] = seats.draw(c[on], a, pair[on], 2 * sweep)
+            hot = np.flatnonzero(c[on] > seats.direct)
+            moved = [seats.move(int(c[i]), float(b), int(old[i]), int(m), int(pair[i]), 2 * sweep) for i, b, m in zip(on[hot], a[hot], rest, strict=True)]
+            t[on[hot]], rest = np.array(moved, np.int64).reshape(-1, 2).T
+        return t, rest
 
     def strength_likelihoods(self, tables: np.ndarray, customers: np.ndarray) -> np.ndarray:
         """Log likelihood of contexts' tables and customers for each strength of the grid."""
@@ -277,7 +282,7 @@ def read_blocks(docs: DataFrame) -> DataFrame:
             vocab, tokens = np.unique(np.concatenate(parts), return_inverse=True)
             number += 1
             row = {
-                "block": pa.array([(task << 32) + number], pa.int64()), "vocab": [pack_sorted(vocab)], "tokens": [pack(tokens.astype(np.uint32))],
+                "block": pa.array([(task << 32) + number], pa.int64()), "vocab": [pack_sorted(vocab)], "tokens": [pack_counts(tokens)],
                 "keys": pa.ListArray.from_arrays([0, len(sizes)], pa.concat_arrays(keys)), "sizes": [pack(np.array(sizes, np.uint64))], "held": [pack(np.array(held, bool))],
             }
             parts, keys, sizes, held, total = [], [], [], [], 0
@@ -309,7 +314,8 @@ class Block:
 
     @classmethod
     def of(cls, row: dict) -> Block:
-        return cls(unpack_sorted(row["vocab"]), unpack(row["tokens"], np.uint32).astype(np.int64), unpack(row["sizes"], np.int64), unpack(row["held"], bool))
+        sizes = unpack(row["sizes"], np.int64)
+        return cls(unpack_sorted(row["vocab"]), unpack_counts(row["tokens"], int(sizes.sum()))[0], sizes, unpack(row["held"], bool))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pair codes (context * words + word) and each token's place among them."""
@@ -349,7 +355,6 @@ def ask(h: np.ndarray, columns: list[np.ndarray] | None, groups: int) -> list[tu
 
 ASKED = "block long, g int, size int, h binary, n binary"
 ANSWER = "block long, g int, n binary"
-ASKS = pa.list_(pa.struct([("g", pa.int32()), ("size", pa.int32()), ("h", pa.binary()), ("n", pa.binary())]))
 
 
 def sent(block: int, asks: list[tuple], extra: dict | None = None) -> pa.RecordBatch:
@@ -394,7 +399,16 @@ def by_block(answers: DataFrame, name: str) -> DataFrame:
 
 
 ALONE, SHARED = 1, 2  # a block's own pairs, by whether other blocks hold them too; 0: not its own
-STATE = "block long, words binary, codes binary, counts binary, shared binary, tables binary, total binary, asks array<struct<g:int,size:int,h:binary,n:binary>>"
+STATE = "block long, words binary, codes binary, counts binary, shared binary, tables binary, rest binary, total binary"
+
+
+def own_pairs(block: Block, answers: list[dict], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pair codes, each token's place among them, their counts and flags; and the words' counts and flags."""
+    codes, place = block.pairs()
+    n = len(block.vocab)
+    total, flag = answered(np.concatenate((pair_hash(block.vocab, codes // n, codes % n), word_key(block.vocab))), groups, answers, 2)
+    k = len(codes)
+    return codes, place, total[:k], flag[:k], total[k:], flag[k:]
 
 
 def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
@@ -419,50 +433,39 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
         owner[first] = np.where(np.bincount(at, minlength=len(keys)) > 1, SHARED, ALONE)
         return answers_of(pdf, cut, np.stack((total[0][at], owner)))
 
-    counted = settle(blocks.select("block", "vocab", "tokens", "sizes", "held").mapInArrow(ask_counts, ASKED).groupBy("g").applyInPandas(count, ANSWER), "lm-counts")
+    texts = blocks.drop("keys")
+    counted = settle(texts.mapInArrow(ask_counts, ASKED).groupBy("g").applyInPandas(count, ANSWER), "lm-counts")
+    known = texts.join(by_block(counted, "answers"), "block")
 
-    def keep(batches):
+    def first_state(batches):
         for batch in batches:
             for part, row in rows_of(batch):
                 block = Block.of(row)
-                codes, _ = block.pairs()
-                n = len(block.vocab)
-                h = np.concatenate((pair_hash(block.vocab, codes // n, codes % n), word_key(block.vocab)))
-                total, flag = answered(h, groups, row["answers"], 2)
-                seen, mine = total[len(codes) :], flag[len(codes) :] > 0
-                own = flag[: len(codes)] > 0
-                c, codes = total[: len(codes)][own], codes[own]
+                codes, _, c, flag, seen, mine = own_pairs(block, row["answers"], groups)
+                n, own = len(block.vocab), flag > 0
+                c, codes = c[own], codes[own]
                 used = np.unique(np.concatenate((codes // n, codes % n)))
                 place = np.zeros(n, np.int64)
                 place[used] = np.arange(len(used))
                 u, v = place[codes // n], place[codes % n]
-                t = np.minimum(c, 1)
-                new = {
-                    "seen": [pack_counts(seen)], "own": [pack(own)],
-                    "types": [int((seen[mine] > 0).sum())], "trained": [int(seen[mine].sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())],
-                    **state_row(block.vocab[used], u, v, c, flag[: len(flag) - n][own] == SHARED, t, np.zeros(0, np.float32), groups),
-                }
-                yield pa.RecordBatch.from_pydict({k: part[k] for k in ("block", "vocab", "tokens", "keys", "sizes", "held")} | new)
-
-    whole = settle(blocks.join(by_block(counted, "answers"), "block").mapInArrow(
-        keep, f"block long, vocab binary, tokens binary, keys array<{kind}>, sizes binary, held binary, seen binary, own binary, types long, trained long, once long, twice long, " + STATE.split(", ", 1)[1]), "lm-whole")
-    drop_settled(blocks, counted)
-    types, tokens, once, twice = (x or 0 for x in whole.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
+                sums_of = {"types": [int((seen[mine > 0] > 0).sum())], "trained": [int(seen[mine > 0].sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]}
+                state = state_row(block.vocab[used], u, v, c, flag[own] == SHARED, np.minimum(c, 1), c[c > DIRECT], np.zeros(0))
+                yield pa.RecordBatch.from_pydict({"block": part["block"]} | state | sums_of)
+
+    state = settle(known.mapInArrow(first_state, STATE + ", types long, trained long, once long, twice long"), "lm-state")
+    types, tokens, once, twice = (x or 0 for x in state.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
     corpus = Corpus(tokens, types, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
-    state = whole.select(*[x.split(" ")[0] for x in STATE.split(", ")])
 
     for sweep in range(burn + sweeps + 1):
         last = sweep == burn + sweeps
-        asked = state.select("block", F.explode("asks").alias("a")).select("block", "a.*")
+        asked = state.select("block", "words", "codes", "counts", "tables").mapInArrow(ask_words(groups), ASKED)
         told = settle(asked.groupBy("g").applyInPandas(word_totals(corpus, sweep), ANSWER + ", customers long, once long, twice long, mass double, contexts array<double>"), "lm-words")
         got = told.agg(*[F.sum(x) for x in ("customers", "once", "twice", "mass")], *[F.sum(F.get("contexts", F.lit(i))) for i in range(len(STRENGTHS))]).first()
         customers, once, twice, mass, *likelihoods = (x or 0 for x in got)
         corpus = replace(corpus, customers=customers).draw_strengths(np.array(likelihoods, float), sweep).with_root_mass(mass, sweep + 1)
-        after = settle(state.drop("asks").join(by_block(told, "answers"), "block", "left").mapInArrow(next_state(corpus, sweep, burn, last, groups), STATE), "lm-state")
-        drop_settled(told)
-        if sweep:
-            drop_settled(state)
-        else:  # the root's discount, from how many words have one and two contexts
+        after = settle(state.select(*[x.split(" ")[0] for x in STATE.split(", ")]).join(by_block(told, "answers"), "block", "left").mapInArrow(next_state(corpus, sweep, burn, last, groups), STATE), "lm-state")
+        drop_settled(told, state)
+        if sweep == 0:  # the root's discount, from how many words have one and two contexts
             corpus = replace(corpus, root_discount=min(0.95, max(0.1, once / max(1, once + 2 * twice))))
         state = after
 
@@ -471,14 +474,15 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
             for _, row in rows_of(batch):
                 words, u, v, shared = *pairs_of(row), unpack(row["shared"], bool)
                 u, v = u[shared], v[shared]
-                p = (unpack(row["total"], np.float32)[shared] / sweeps).view(np.uint32)
+                p = (unpack_shares(row["total"])[shared] / sweeps).astype(np.float32).view(np.uint32)
                 yield sent(row["block"], ask(pair_hash(words, u, v), [p], groups), {"asks": False})
 
     def want(batches):
         for batch in batches:
             for _, row in rows_of(batch):
                 block = Block.of(row)
-                codes, n = block.pairs()[0][~unpack(row["own"], bool)], len(block.vocab)
+                codes, _, _, flag, _, _ = own_pairs(block, row["answers"], groups)
+                codes, n = codes[flag == 0], len(block.vocab)
                 yield sent(row["block"], ask(pair_hash(block.vocab, codes // n, codes % n), None, groups), {"asks": True})
 
     def give(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -492,20 +496,20 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
         return pd.DataFrame([(b, g, pack_counts(p[np.searchsorted(h, unpack_sorted(x))])) for b, g, x in zip(asking["block"], asking["g"], asking["h"], strict=True)], columns=["block", "g", "n"])
 
     exchange = ASKED + ", asks boolean"
-    both = state.select("block", "words", "codes", "shared", "total").mapInArrow(send, exchange).unionAll(whole.select("block", "vocab", "tokens", "sizes", "held", "own").mapInArrow(want, exchange))
-    given = both.groupBy("g").applyInPandas(give, ANSWER)
+    both = state.select("block", "words", "codes", "shared", "total").mapInArrow(send, exchange).unionAll(known.mapInArrow(want, exchange))
+    given = settle(both.groupBy("g").applyInPandas(give, ANSWER), "lm-given")
 
     def finish(batches):
         for batch in batches:
             for part, row in rows_of(batch):
                 block = Block.of(row)
-                codes, place = block.pairs()
-                n, own = len(block.vocab), unpack(row["own"], bool)
+                codes, place, _, flag, counts, _ = own_pairs(block, row["answers"], groups)
+                n, own = len(block.vocab), flag > 0
                 other = codes[~own]
                 p = np.zeros(len(codes))
-                p[own] = unpack(row["total"], np.float32) / sweeps
-                p[~own] = answered(pair_hash(block.vocab, other // n, other % n), groups, row["answers"] or [], 1)[0].astype(np.uint32).view(np.float32)
-                seen = unpack_counts(row["seen"], n)[0][block.tokens]
+                p[own] = unpack_shares(row["total"]) / sweeps
+                p[~own] = answered(pair_hash(block.vocab, other // n, other % n), groups, row["given"] or [], 1)[0].astype(np.uint32).view(np.float32)
+                seen = counts[block.tokens]
                 base = np.log10((seen + 1) / (corpus.tokens + corpus.types + 1))
                 starts = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
                 yield pa.RecordBatch.from_pydict({
@@ -513,7 +517,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                     "train_tokens": np.full(len(starts), corpus.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p)[place], starts),
                 })
 
-    parts = whole.select("block", "vocab", "tokens", "keys", "sizes", "held", "seen", "own").join(state.select("block", "total"), "block").join(by_block(given, "answers"), "block", "left")
+    parts = blocks.join(by_block(counted, "answers"), "block").join(state.select("block", "total"), "block").join(by_block(given, "given"), "block", "left")
     return parts.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -525,12 +529,23 @@ def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, codes // max(1, len(words)), codes % max(1, len(words))
 
 
-def state_row(words, u, v, c, shared, t, total, groups: int | None) -> dict:
-    """Columns of an owner's pairs; with ``groups``, the words' counts and tables go out as well."""
-    n = len(words)
-    asks = [] if groups is None else ask(words, [np.bincount(i, w, n).astype(np.int64) for i, w in ((v, c), (u, t), (v, t))], groups)
-    rows = [[dict(zip(("g", "size", "h", "n"), a, strict=True)) for a in asks]]
-    return {"words": [pack_sorted(words)], "codes": [pack_sorted((u * n + v).astype(np.uint64))], "counts": [pack_counts(c)], "shared": [pack(shared)], "tables": [pack_counts(t)], "total": [pack(total)], "asks": pa.array(rows, ASKS)}
+def state_row(words, u, v, c, shared, t, rest, total) -> dict:
+    """Columns of an owner's pairs."""
+    codes = (u * len(words) + v).astype(np.uint64)
+    return {"words": [pack_sorted(words)], "codes": [pack_sorted(codes)], "counts": [pack_counts(c)], "shared": [pack(shared)], "tables": [pack_counts(t)], "rest": [pack_counts(rest)], "total": [pack_shares(total)]}
+
+
+def ask_words(groups: int):
+    """What owners know of their words: count, tables as a context, tables as a dish."""
+
+    def run(batches):
+        for batch in batches:
+            for _, row in rows_of(batch):
+                words, u, v = pairs_of(row)
+                c, t = (unpack_counts(row[x], len(u))[0] for x in ("counts", "tables"))
+                yield sent(row["block"], ask(words, [np.bincount(i, w, len(words)).astype(np.int64) for i, w in ((v, c), (u, t), (v, t))], groups))
+
+    return run
 
 
 def word_totals(corpus: Corpus, sweep: int):
@@ -562,13 +577,14 @@ def next_state(corpus: Corpus, sweep: int, burn: int, last: bool, groups: int):
                 c = unpack_counts(row["counts"], len(u))[0]
                 t = unpack_counts(row["tables"], len(u))[0]
                 n, tables, customers = answered(words, groups, row["answers"] or [], 3)
-                total = unpack(row["total"], np.float32)
+                rest = unpack_counts(row["rest"], int((c > DIRECT).sum()))[0]
+                total = unpack_shares(row["total"])
                 if sweep > burn:
                     p = corpus.predict(c, t, n[u], tables[u], customers[v])
-                    total = (p + total if len(total) else p).astype(np.float32)
+                    total = p + total if len(total) else p
                 if not last:
-                    t = corpus.sweep(seats, c, u, v, pair_hash(words, u, v), words, tables, customers, sweep + 1)
-                made = state_row(words, u, v, c, unpack(row["shared"], bool), t, total, None if last else groups)
+                    t, rest = corpus.sweep(seats, c, u, v, pair_hash(words, u, v), words, tables, customers, sweep + 1, t, rest)
+                made = state_row(words, u, v, c, unpack(row["shared"], bool), t, rest, total)
                 yield pa.RecordBatch.from_pydict({"block": part["block"]} | made)
 
     return run
