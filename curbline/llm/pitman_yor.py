@@ -48,7 +48,7 @@ from .common import WordHasher, arrow_slices, column, crc_mod, drop_settled, mix
 
 BLOCK = 300_000  # tokens
 GROUP_BYTES = 6 << 20
-BURN, SWEEPS = 2, 4
+BURN, SWEEPS = 1, 3
 END = np.uint64(0x5EED0F0E0D0C0B0A)
 DIRECT = 256
 STRENGTHS = 0.1 * 2.0 ** np.arange(24)  # grid of strengths
@@ -357,6 +357,9 @@ ASKED = "block long, g int, size int, h binary, n binary"
 ANSWER = "block long, g int, n binary"
 
 
+LACKING = pa.list_(pa.struct([("g", pa.int32()), ("size", pa.int32()), ("h", pa.binary())]))
+
+
 def sent(block: int, asks: list[tuple], extra: dict | None = None) -> pa.RecordBatch:
     g, size, h, n = zip(*asks, strict=True) if asks else ((),) * 4
     row = {"block": pa.array([block] * len(g), pa.int64()), "g": pa.array(g, pa.int32()), "size": pa.array(size, pa.int32()), "h": pa.array(h, pa.binary()), "n": pa.array(n, pa.binary())}
@@ -399,7 +402,8 @@ def by_block(answers: DataFrame, name: str) -> DataFrame:
 
 
 ALONE, SHARED = 1, 2  # a block's own pairs, by whether other blocks hold them too; 0: not its own
-STATE = "block long, words binary, codes binary, counts binary, shared binary, tables binary, rest binary, total binary"
+PAIRS = "block long, words binary, codes binary, counts binary, shared binary, lacking array<struct<g:int,size:int,h:binary>>"
+SEATS = "block long, tables binary, rest binary, total binary"
 
 
 def own_pairs(block: Block, answers: list[dict], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -437,37 +441,42 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
     counted = settle(texts.mapInArrow(ask_counts, ASKED).groupBy("g").applyInPandas(count, ANSWER), "lm-counts")
     known = texts.join(by_block(counted, "answers"), "block")
 
-    def first_state(batches):
+    def own_of(batches):
         for batch in batches:
             for part, row in rows_of(batch):
                 block = Block.of(row)
                 codes, _, c, flag, seen, mine = own_pairs(block, row["answers"], groups)
                 n, own = len(block.vocab), flag > 0
+                others = codes[~own]
                 c, codes = c[own], codes[own]
                 used = np.unique(np.concatenate((codes // n, codes % n)))
                 place = np.zeros(n, np.int64)
                 place[used] = np.arange(len(used))
                 u, v = place[codes // n], place[codes % n]
                 sums_of = {"types": [int((seen[mine > 0] > 0).sum())], "trained": [int(seen[mine > 0].sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]}
-                state = state_row(block.vocab[used], u, v, c, flag[own] == SHARED, np.minimum(c, 1), c[c > DIRECT], np.zeros(0))
-                yield pa.RecordBatch.from_pydict({"block": part["block"]} | state | sums_of)
+                mixed = {"words": [pack_sorted(block.vocab[used])], "codes": [pack_sorted((u * len(used) + v).astype(np.uint64))], "counts": [pack_counts(c)], "shared": [pack(flag[own] == SHARED)]}
+                lacking = [dict(zip(("g", "size", "h"), a, strict=False)) for a in ask(pair_hash(block.vocab, others // n, others % n), None, groups)]
+                yield pa.RecordBatch.from_pydict({"block": part["block"]} | mixed | {"lacking": pa.array([lacking], LACKING)} | sums_of)
 
-    state = settle(known.mapInArrow(first_state, STATE + ", types long, trained long, once long, twice long"), "lm-state")
-    types, tokens, once, twice = (x or 0 for x in state.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
+    pairs = settle(known.mapInArrow(own_of, PAIRS + ", types long, trained long, once long, twice long"), "lm-pairs")
+    types, tokens, once, twice = (x or 0 for x in pairs.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
     corpus = Corpus(tokens, types, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
 
+    own = pairs.select("block", "words", "codes", "counts")
+    seats: DataFrame | None = None  # at first every dish has one table
     for sweep in range(burn + sweeps + 1):
         last = sweep == burn + sweeps
+        state = own.withColumns({c: F.lit(None).cast("binary") for c in ("tables", "rest", "total")}) if seats is None else own.join(seats, "block")
         asked = state.select("block", "words", "codes", "counts", "tables").mapInArrow(ask_words(groups), ASKED)
         told = settle(asked.groupBy("g").applyInPandas(word_totals(corpus, sweep), ANSWER + ", customers long, once long, twice long, mass double, contexts array<double>"), "lm-words")
         got = told.agg(*[F.sum(x) for x in ("customers", "once", "twice", "mass")], *[F.sum(F.get("contexts", F.lit(i))) for i in range(len(STRENGTHS))]).first()
         customers, once, twice, mass, *likelihoods = (x or 0 for x in got)
         corpus = replace(corpus, customers=customers).draw_strengths(np.array(likelihoods, float), sweep).with_root_mass(mass, sweep + 1)
-        after = settle(state.select(*[x.split(" ")[0] for x in STATE.split(", ")]).join(by_block(told, "answers"), "block", "left").mapInArrow(next_state(corpus, sweep, burn, last, groups), STATE), "lm-state")
-        drop_settled(told, state)
+        after = settle(state.join(by_block(told, "answers"), "block", "left").mapInArrow(next_seats(corpus, sweep, burn, last, groups), SEATS), "lm-seats")
+        drop_settled(told, *[seats] * (seats is not None))
         if sweep == 0:  # the root's discount, from how many words have one and two contexts
             corpus = replace(corpus, root_discount=min(0.95, max(0.1, once / max(1, once + 2 * twice))))
-        state = after
+        seats = after
 
     def send(batches):
         for batch in batches:
@@ -477,14 +486,6 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 p = (unpack_shares(row["total"])[shared] / sweeps).astype(np.float32).view(np.uint32)
                 yield sent(row["block"], ask(pair_hash(words, u, v), [p], groups), {"asks": False})
 
-    def want(batches):
-        for batch in batches:
-            for _, row in rows_of(batch):
-                block = Block.of(row)
-                codes, _, _, flag, _, _ = own_pairs(block, row["answers"], groups)
-                codes, n = codes[flag == 0], len(block.vocab)
-                yield sent(row["block"], ask(pair_hash(block.vocab, codes // n, codes % n), None, groups), {"asks": True})
-
     def give(pdf: pd.DataFrame) -> pd.DataFrame:
         told, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         if not len(asking):
@@ -495,9 +496,10 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
         h, p = h[order], p[order]
         return pd.DataFrame([(b, g, pack_counts(p[np.searchsorted(h, unpack_sorted(x))])) for b, g, x in zip(asking["block"], asking["g"], asking["h"], strict=True)], columns=["block", "g", "n"])
 
-    exchange = ASKED + ", asks boolean"
-    both = state.select("block", "words", "codes", "shared", "total").mapInArrow(send, exchange).unionAll(known.mapInArrow(want, exchange))
-    given = settle(both.groupBy("g").applyInPandas(give, ANSWER), "lm-given")
+    told = pairs.select("block", "words", "codes", "shared").join(seats.select("block", "total"), "block").mapInArrow(send, ASKED + ", asks boolean")
+    wanted = pairs.select("block", F.explode("lacking").alias("a")).select("block", "a.g", "a.size", "a.h", F.lit(None).cast("binary").alias("n"), F.lit(True).alias("asks"))
+    given = settle(told.unionAll(wanted).groupBy("g").applyInPandas(give, ANSWER), "lm-given")
+    drop_settled(pairs)
 
     def finish(batches):
         for batch in batches:
@@ -517,7 +519,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                     "train_tokens": np.full(len(starts), corpus.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p)[place], starts),
                 })
 
-    parts = blocks.join(by_block(counted, "answers"), "block").join(state.select("block", "total"), "block").join(by_block(given, "given"), "block", "left")
+    parts = blocks.join(by_block(counted, "answers"), "block").join(seats.select("block", "total"), "block").join(by_block(given, "given"), "block", "left")
     return parts.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -529,12 +531,6 @@ def pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, codes // max(1, len(words)), codes % max(1, len(words))
 
 
-def state_row(words, u, v, c, shared, t, rest, total) -> dict:
-    """Columns of an owner's pairs."""
-    codes = (u * len(words) + v).astype(np.uint64)
-    return {"words": [pack_sorted(words)], "codes": [pack_sorted(codes)], "counts": [pack_counts(c)], "shared": [pack(shared)], "tables": [pack_counts(t)], "rest": [pack_counts(rest)], "total": [pack_shares(total)]}
-
-
 def ask_words(groups: int):
     """What owners know of their words: count, tables as a context, tables as a dish."""
 
@@ -542,7 +538,8 @@ def ask_words(groups: int):
         for batch in batches:
             for _, row in rows_of(batch):
                 words, u, v = pairs_of(row)
-                c, t = (unpack_counts(row[x], len(u))[0] for x in ("counts", "tables"))
+                c = unpack_counts(row["counts"], len(u))[0]
+                t = np.minimum(c, 1) if row["tables"] is None else unpack_counts(row["tables"], len(u))[0]
                 yield sent(row["block"], ask(words, [np.bincount(i, w, len(words)).astype(np.int64) for i, w in ((v, c), (u, t), (v, t))], groups))
 
     return run
@@ -566,7 +563,7 @@ def word_totals(corpus: Corpus, sweep: int):
     return run
 
 
-def next_state(corpus: Corpus, sweep: int, burn: int, last: bool, groups: int):
+def next_seats(corpus: Corpus, sweep: int, burn: int, last: bool, groups: int):
     """Add the sweep's predictive probabilities (after ``burn``) and draw the tables of the next one."""
 
     def run(batches):
@@ -575,17 +572,17 @@ def next_state(corpus: Corpus, sweep: int, burn: int, last: bool, groups: int):
             for part, row in rows_of(batch):
                 words, u, v = pairs_of(row)
                 c = unpack_counts(row["counts"], len(u))[0]
-                t = unpack_counts(row["tables"], len(u))[0]
+                hot = c[c > DIRECT]
+                t, rest, total = np.minimum(c, 1), hot, np.zeros(0)
+                if row["tables"] is not None:
+                    t, rest, total = unpack_counts(row["tables"], len(u))[0], unpack_counts(row["rest"], len(hot))[0], unpack_shares(row["total"])
                 n, tables, customers = answered(words, groups, row["answers"] or [], 3)
-                rest = unpack_counts(row["rest"], int((c > DIRECT).sum()))[0]
-                total = unpack_shares(row["total"])
                 if sweep > burn:
                     p = corpus.predict(c, t, n[u], tables[u], customers[v])
                     total = p + total if len(total) else p
                 if not last:
                     t, rest = corpus.sweep(seats, c, u, v, pair_hash(words, u, v), words, tables, customers, sweep + 1, t, rest)
-                made = state_row(words, u, v, c, unpack(row["shared"], bool), t, rest, total)
-                yield pa.RecordBatch.from_pydict({"block": part["block"]} | made)
+                yield pa.RecordBatch.from_pydict({"block": part["block"], "tables": [pack_counts(t)], "rest": [pack_counts(rest)], "total": [pack_shares(total)]})
 
     return run
 

@@ -282,7 +282,7 @@ def test_language_model_against_plain_sampling(spark):
             corpus = pitman_yor.replace(corpus, root_discount=min(0.95, max(0.1, (root == 1).sum() / max(1, (root == 1).sum() + 2 * (root == 2).sum()))))
     for (i, _), t in zip(docs, text, strict=True):
         want = sum(math.log10(average[place[a], place[b]]) for a, b in zip([None, *t], [*t, None], strict=True))
-        assert got[40][i][0] == pytest.approx(want, rel=1e-4)
+        assert got[40][i][0] == pytest.approx(want, rel=5e-4)  # sums are kept to 13 bits
 
 
 # ---------------------------------------------------------------- 4
@@ -304,7 +304,7 @@ def test_token_files(spark, docs, none):
     import pyarrow as pa
 
     fs, root = token_files._filesystem(path)
-    with pa.memory_map(f"{root}/shard-{shard.shard:06d}.arrow") as f:
+    with pa.memory_map(f"{root}/{shard.file}.arrow") as f:
         reader = token_files.SequenceReader(f)
         full = [reader.sequence(i) for i in range(-(-shard.tokens // 64))]
         assert sum(int(m.sum()) for _, m in full) == shard.tokens and all(len(s) == 64 for s, _ in full)
