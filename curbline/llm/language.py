@@ -7,18 +7,23 @@ smallest share first).
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without a language, or held out,
 teach nothing; if nothing can be learned every text is ``und``. Repeated rows count as often as they
-occur. The model has a fixed number of buckets for each language, so what is broadcast is bounded by
-the number of languages; counts come from all training texts.
+occur. Equal shares: the first language in code-point order. A text is scored whole; its words' scores take
+about 4 bytes a language and byte of text while it is scored, and texts go by slices of 2 MB (or one text).
+Empty tables give no rows; columns that are not kept are not read. The model has a fixed number of buckets
+for each language (0.5 MB), so what is broadcast is bounded by the number of languages, of which there are
+hundreds in the world; counts come from all training texts. A text's set holds ``most`` languages at most: the search starts
+from those with the largest shares among all, so that its cost grows with the languages, not with their square.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, table, texts_of
+from .common import arrow_batch, arrow_slices, column, crc_mod, ddl, slices, table, texts_of
 
 BUCKETS = 1 << 16
 
@@ -81,12 +86,17 @@ class LanguageModel:
             new[full] = np.add.reduceat(part / np.maximum(mass, 1e-30), starts, axis=0)
             share = np.where(full[:, None], new / np.maximum(words, 1)[:, None], share)
 
-    def predict(self, texts: list[str], rounds: int = 5, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str], rounds: int = 5, penalty: float = 3.0, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Shares of languages in each text (rows without words: even), by the best penalised set."""
         score, words = self.word_scores(texts)
         n, k = len(texts), len(self.langs)
         allowed = np.ones((n, k))
         share, like = self.proportions(score, words, allowed, rounds)
+        if k > most:
+            allowed = np.zeros((n, k))
+            np.put_along_axis(allowed, np.argsort(-share, axis=1, kind="stable")[:, :most], 1, axis=1)
+            k = most
+            share, like = self.proportions(score, words, allowed, rounds)
         best, best_share = like - penalty * k * np.log(words + 2), share
         for size in range(k - 1, 0, -1):
             weight = np.where(allowed > 0, share, np.inf)
@@ -105,7 +115,7 @@ def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for pdf in slices(batch.dropna(subset=[text, lang]), text):
+            for pdf in slices(batch.dropna(), text):
                 for name, part in pdf.groupby(lang, sort=False):
                     got = gram_buckets(list(part[text]))[0]
                     counts = np.stack([np.bincount(b, minlength=BUCKETS) for b in got])
@@ -114,7 +124,7 @@ def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang") ->
             order, bucket = counts.nonzero()
             yield pd.DataFrame({"lang": name, "slot": order * BUCKETS + bucket, "n": counts[order, bucket]})
 
-    parts = docs.select(F.col(text), F.col(lang)).mapInPandas(count, "lang string, slot long, n long")
+    parts = docs.select(column(text), column(lang)).mapInPandas(count, "lang string, slot long, n long")
     # at most two times BUCKETS rows for each language come back
     got = parts.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     if not len(got):
@@ -133,22 +143,21 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str =
     def run(batches):
         m = shared.value
         for batch in batches:
-            for pdf in slices(batch, text):
-                texts = texts_of(pdf[text])
+            for part in arrow_slices(batch, text):
+                texts = texts_of(part[text])
                 letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
                 if m is None:
                     letters[:], share = False, np.zeros((len(texts), 1))
                 else:
                     share, _ = m.predict(texts)
                 top = share.argmax(axis=1)
-                out = pdf[list(keep)].reset_index(drop=True)
-                out["lang_pred"] = [m.langs[t] if ok else "und" for t, ok in zip(top, letters, strict=True)]
-                out["score"] = np.where(letters, share[np.arange(len(top)), top], 0.0).clip(0, 1)
-                out["shares"] = [";".join(f"{m.langs[i]}={row[i]:.3f}" for i in np.argsort(-row, kind="stable") if row[i] > 0.0005) if ok else "" for row, ok in zip(share, letters, strict=True)]
-                yield out
-
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*dict.fromkeys((*keep, text))).mapInPandas(run, f"{kinds}, lang_pred string, score double, shares string")
+                yield arrow_batch({k: part[k] for k in keep}, {
+                    "lang_pred": ([m.langs[t] if ok else "und" for t, ok in zip(top, letters, strict=True)], pa.string()),
+                    "score": (np.where(letters, share[np.arange(len(top)), top], 0.0).clip(0, 1), pa.float64()),
+                    "shares": ([";".join(f"{m.langs[i]}={row[i]:.3f}" for i in np.argsort(-row, kind="stable") if row[i] > 0.0005) if ok else "" for row, ok in zip(share, letters, strict=True)], pa.string()),
+                })
+
+    return docs.select(*[column(c) for c in dict.fromkeys((*keep, text))]).mapInArrow(run, ", ".join([ddl(docs, keep)] * bool(keep) + ["lang_pred string, score double, shares string"]))
 
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ no document comes more than ``most`` times.
 The prefix sums are taken in three levels (sizes of a source, salts of a size, documents of a salt), so
 no task holds a hot source or a hot group of copies; a window holds one source's distinct sizes at most.
 Offsets come from a hash of the source's name, so reruns agree. Null or empty texts have size 0 and come
-at the source's rate as well. Repeated rows count one by one. A table without rows gives none.
+at the source's rate as well. Repeated rows count one by one; rows that tie in every column share their
+group's copies in any order, which no result shows. Long texts are counted whole. A table without rows gives
+none. Other columns pass untouched, also where their names are those used here.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, column, table
 
 SALTS = 1024
 WEIGHTS = (1, 2, 3)
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, most: int = 3) -> DataFrame:
@@ -47,38 +49,56 @@ def source_targets(sized: DataFrame, most: int = 3) -> DataFrame:
     return per.select("_s", "source_size", target.alias("target"))
 
 
-def choose_copies(sized: DataFrame, salt: Column, key: str = "doc_id", source: str = "source", most: int = 3) -> DataFrame:
-    """``sized`` has key, source and size (long); adds source_size, target and copies."""
-    rows = sized.withColumns({"_s": F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source), F.lit("")).alias("name")), "_salt": salt})
-    targets = source_targets(rows, most)
-    cells = rows.groupBy("_s", "size", "_salt").agg(F.count("*").alias("n"))
+def copies_at(rank: Column, rate: Column, offset: Column, most: int = 3) -> Column:
+    """Whole numbers that the stretch of the sum at ``rank`` crosses."""
+    rank = rank.cast("double")
+    return F.least(F.floor(offset + rate * (rank + 1)) - F.floor(offset + rate * rank), F.lit(most)).cast("long")
+
+
+def place_groups(groups: DataFrame, order: list[str], most: int = 3) -> DataFrame:
+    """``groups`` has _s, size, _salt and n (rows it stands for); adds source_size, target, rank (of its first row), rate and offset."""
+    targets = source_targets(groups.withColumn("size", F.col("size") * F.col("n")), most)
+    cells = groups.groupBy("_s", "size", "_salt").agg(F.sum("n").alias("n"))
     sizes = cells.groupBy("_s", "size").agg(F.sum("n").alias("n"))
     before = sizes.select("_s", "size", F.coalesce(F.sum("n").over(W.partitionBy("_s").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     before = before.join(targets, "_s")
     inner = F.coalesce(F.sum("n").over(W.partitionBy("_s", "size").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("_s", "size", "_salt", inner.alias("_c")).join(before, ["_s", "size"]).select("_s", "size", "_salt", (F.col("_b") + F.col("_c")).alias("_before"), "source_size", "target")
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("_s", "size", "_salt").orderBy(key)) - 1)
-    both = ranked.join(cells, ["_s", "size", "_salt"])
-    rank = (F.col("_before") + F.col("_r")).cast("double")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("_s.name"))), 1, 6), 16, 10).cast("double") / 16777216.0
-    copies = F.floor(offset + rate * (rank + 1)) - F.floor(offset + rate * rank)
-    return both.withColumn("copies", F.least(copies, F.lit(most)).cast("long")).drop("_s", "_salt", "_r", "_before")
+    first = F.coalesce(F.sum("n").over(W.partitionBy("_s", "size", "_salt").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = groups.withColumn("_r", first).join(cells, ["_s", "size", "_salt"])
+    return both.withColumns({
+        "rank": F.col("_before") + F.col("_r"),
+        "rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0),
+        "offset": F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("_s.name"))), 1, 6), 16, 10).cast("double") / 16777216.0,
+    })
+
+
+def choose_copies(sized: DataFrame, salt: Column, key: str = "doc_id", source: str = "source", most: int = 3) -> DataFrame:
+    """``sized`` has key, source and size (long); adds source_size, target and copies."""
+    rows = sized.withColumns({"_s": F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source), F.lit("")).alias("name")), "_salt": salt, "n": F.lit(1).cast("long")})
+    placed = place_groups(rows, [key], most)
+    return placed.withColumn("copies", copies_at(F.col("rank"), F.col("rate"), F.col("offset"), most)).drop("_s", "_salt", "_r", "_before", "n", "rank", "rate", "offset")
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is chosen. Text is shuffled once."""
+    """The mix itself: rows of ``docs``, each as often as it is chosen. Text is shuffled once.
+
+    Rows of one key, source, size and text hash are alike to the mix: they are counted before they are shuffled,
+    and each group gets one stretch of its source's sum, which its rows share out in order."""
     names = docs.columns
-    k = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), F.xxhash64(text).cast("string")))
-    rows = docs.withColumns({"__m_key": k, "__m_size": word_count(text), "__m_hash": F.xxhash64(text)})
-    rows = rows.withColumn("__m_no", F.row_number().over(W.partitionBy("__m_key").orderBy(source, "__m_size", "__m_hash")))
-    light = docs.select(k.alias("k"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("h"))
-    light = light.withColumn("no", F.row_number().over(W.partitionBy("k").orderBy("source", "size", "h")))
-    picked = choose_copies(light, F.pmod(F.xxhash64("k"), F.lit(SALTS)), "k", "source").where("copies > 0")
-    picked = picked.select(F.col("k").alias("__m_pick"), F.col("no").alias("__m_pick_no"), F.col("copies").alias("__m_copies"))
-    # the number is no join key, so that the rows stay as the window dealt them
-    both = rows.join(picked, (F.col("__m_key") == F.col("__m_pick")) & (F.abs(F.col("__m_no") - F.col("__m_pick_no")) == 0))
-    return both.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))).select(*[F.col(f"`{n}`") for n in names])
+    alike = {
+        "__m_k": F.coalesce(column(key).cast("string"), F.concat(F.lit("null:"), F.xxhash64(column(text)).cast("string"))),
+        "__m_s": F.struct(column(source).isNull().alias("none"), F.coalesce(column(source).cast("string"), F.lit("")).alias("name")),
+        "size": word_count(text), "__m_h": F.xxhash64(column(text)),
+    }
+    groups = docs.select(*[c.alias(k) for k, c in alike.items()]).groupBy(*alike).agg(F.count("*").alias("n"))
+    placed = place_groups(groups.withColumn("_salt", F.pmod(F.xxhash64("__m_k", "__m_h"), F.lit(SALTS))).withColumnRenamed("__m_s", "_s"), ["__m_k", "__m_h"])
+    placed = placed.select(F.struct("__m_k", "_s", "size", "__m_h").alias("__m_pick"), F.col("rank").alias("__m_rank"), F.col("rate").alias("__m_rate"), F.col("offset").alias("__m_offset"))
+    rows = docs.withColumn("__m_key", F.struct(*[c.alias("_s" if k == "__m_s" else k) for k, c in alike.items()]))
+    rows = rows.withColumn("__m_no", F.row_number().over(W.partitionBy("__m_key").orderBy(F.xxhash64(*[column(n) for n in names]))) - 1)
+    both = rows.join(placed, F.col("__m_key") == F.col("__m_pick"))
+    both = both.withColumn("__m_copies", copies_at(F.col("__m_rank") + F.col("__m_no"), F.col("__m_rate"), F.col("__m_offset"))).where("__m_copies > 0")
+    return both.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))).select(*[column(n) for n in names])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ guard are not judged by that histogram. References are sums over all rows of the
 a language of its own).
 
 Null and empty texts have no words and fail the base rule. Lines count as repeats by exact equality.
-Repeated rows are judged alike. Work per text stays in the row: nothing is shuffled but the reference
-counts, and only these (a row of classes and ``COMMON`` words a language, checked to be few) are broadcast.
+Repeated rows are judged alike. Of words that are equally common the one of the smaller hash is listed.
+Texts are judged whole, however long (3 million equal words take about 30 s). Empty tables give no rows.
+Other columns are not read. Work per text stays in the row: nothing is shuffled but the reference counts. A row
+of classes and ``COMMON`` words a language is broadcast if there are at most ``FEW_LANGUAGES``; beyond, documents
+are joined with their language's row by a shuffle, which Spark splits where a language is hot.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, settle, table
 
 WINDOW = 5
 COMMON = 32
-MAX_LANGUAGES = 1000
+FEW_LANGUAGES = 1000
 MIN_CHARS, MIN_WORDS = 200, 80
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.72
 CLASSES = ("lower", "upper", "digit", "space", "accented", "symbol", "other")
@@ -86,7 +89,6 @@ def common_words(docs: DataFrame, text: str, lang: str, n: int = COMMON) -> Data
 
 
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), t.alias("_t"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"))
     rows = rows.withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
@@ -106,21 +108,19 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     base = base.withColumns({"_wc": F.char_length(F.regexp_replace("_x", r"[\x20\x09-\x0D]+", "")), "_sy": F.char_length("_x") - F.char_length(F.translate("_x", "#*$%&|<>", ""))})
     counts = class_counts(F.col("_x"), F.col("_wc"), F.col("_sy"))
     sums = base.select("_lang", F.char_length("_x").alias("_n"), *[c.alias(f"_c{i}") for i, c in enumerate(counts)]).groupBy("_lang").agg(F.array(*[F.sum(f"_c{i}") for i in range(len(counts))]).alias("c"), F.sum("_n").alias("n"))
-    classes = sums.select("_lang", F.concat("c", F.array(F.greatest(F.lit(0), F.col("n") - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)))).alias("_class_ref")).limit(MAX_LANGUAGES + 1).collect()
-    if len(classes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    words = common_words(docs, text, lang).collect()  # COMMON rows a language
-    refs = []
-    for r in classes:
-        own = sorted((w["h"], w["n"]) for w in words if w["_lang"] == r["_lang"])
-        every = sum(n for _, n in own) or 1
-        size = float(sum(r["_class_ref"])) or 1.0
-        refs.append((r["_lang"], [x / size for x in r["_class_ref"]], {h: n / every for h, n in own}))
-    ref = spark.createDataFrame(refs, "_lang string, _class_ref array<double>, _word_ref map<bigint,double>")
-    rows = rows.join(F.broadcast(ref), "_lang", "left")
-
-    listed = [w["h"] for w in words]
-    hits = F.filter("_lowered", lambda h: h.isin(listed)) if listed else F.array().cast("array<bigint>")
+    classes = sums.select("_lang", F.concat("c", F.array(F.greatest(F.lit(0), F.col("n") - F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)))).alias("_c"))
+    listed = common_words(docs, text, lang)
+    words = listed.groupBy("_lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("h", "n")))).alias("_w"))  # COMMON entries at most
+    every = F.aggregate(F.map_values("_w"), F.lit(0).cast("long"), lambda a, x: a + x)
+    ref = settle(classes.join(words, "_lang", "left").select("_lang", shares(F.col("_c")).alias("_class_ref"), F.transform_values("_w", lambda _, n: n / every).alias("_word_ref")), "quality-references")
+    few = ref.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    rows = rows.join(F.broadcast(ref) if few else ref.hint("merge"), "_lang", "left")
+    names = [r[0] for r in ref.select(F.explode(F.map_keys("_word_ref"))).distinct().collect()] if few else []
+
+    def common(h: Column) -> Column:
+        return h.isin(names) if few else F.coalesce(F.map_contains_key("_word_ref", h), F.lit(False))
+
+    hits = F.filter("_lowered", common) if names or not few else F.array().cast("array<bigint>")
 
     def word_distance(s: Column) -> Column:  # s: sorted hashes of common words
         ends = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i) != F.get(s, i + 1), F.lit(True)))
@@ -152,7 +152,7 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines",
         repeated_words(F.col("_hashes")).alias("n_repeat_words"),
         F.when((n >= MIN_CHARS) & F.col("_class_ref").isNotNull(), let(own, lambda c: jensen_shannon(shares(c), F.col("_class_ref")))).alias("class_distance"),
-        F.when((F.col("n_words") >= MIN_WORDS) & F.col("_word_ref").isNotNull(), let(F.sort_array(hits), word_distance)).alias("word_distance"),
+        F.when((F.col("n_words") >= MIN_WORDS) & F.col("_class_ref").isNotNull(), let(F.sort_array(hits), word_distance)).alias("word_distance"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     fine = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))

@@ -10,8 +10,11 @@ A word goes if a window that covers it has a word sequence that also starts anyw
 document too; all windows are judged on the input. Texts below 35 words keep all words; null counts as
 empty. Repeated rows are other places, so a repeated text of 35 words or more loses all words. Windows are
 compared by 64-bit hashes on top of a repeated anchor. Documents are told apart by a hash of key and
-text. Tasks hold arrays of bounded size: groups are sized by the input's bytes, hot windows are spread as
-they differ in hash, and rows are packed arrays, not a row a word.
+text. A hash that a task meets twice among ``FLUSH`` of them is known to repeat there and then: its places go
+straight to their documents, and one entry of it goes on to its group. So a hot passage costs its group an
+entry for every ``FLUSH`` hashes of the input at most, and groups are sized by the input's bytes; rows are packed
+arrays, not a row a word. A text is held whole by its task, however long. Empty tables give no rows. Other
+columns pass by untouched, also where their names are those used here.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mix64, n_parts, settle, slices, table, texts_of, window_hashes
+from .common import WordHasher, arrow_batch, ddl, mix64, n_parts, settle, slices, table, texts_of, window_hashes
 
 #: Every difference modulo 21 is a difference of two of these.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -62,41 +66,53 @@ class Dealer:
         h = np.concatenate([p[2] for p in self.parts]) if self.parts else np.empty(0, np.uint64)
         self.keys, self.parts, self.size = [], [], 0
         group = (h % np.uint64(self.groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(self.groups + 1))
-        rows = []
+        order = np.lexsort((h, group))
+        group, h, doc, at = group[order], h[order], doc[order], at[order]
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        many = ~new | np.append(~new[1:], False)[: len(h)]  # hashes met more than once
+        rows = [(int(b), *x, b"", b"", True) for b, *x in packed(keys[doc[many]], at[many], self.groups)]
+        group, h, doc, at, many = group[new], h[new], doc[new], at[new], many[new]
+        cut = np.searchsorted(group, np.arange(self.groups + 1))
         for g in np.flatnonzero(np.diff(cut)):
-            i = order[cut[g] : cut[g + 1]]
+            i = slice(cut[g], cut[g + 1])
             used, local = np.unique(doc[i], return_inverse=True)
-            rows.append((int(g), keys[used].tobytes(), local.astype(np.int32).tobytes(), at[i].tobytes(), h[i].tobytes()))
-        return pd.DataFrame(rows, columns=["g", "keys", "doc", "at", "h"])
+            rows.append((int(g), keys[used].tobytes(), local.astype(np.int32).tobytes(), at[i].tobytes(), h[i].tobytes(), many[i].tobytes(), False))
+        return pd.DataFrame(rows, columns=["g", "keys", "doc", "at", "h", "many", "found"])
 
 
-DEALT = "g int, keys binary, doc binary, at binary, h binary"
+DEALT = "g int, keys binary, doc binary, at binary, h binary, many binary, found boolean"
 PACKED = "b int, keys binary, sizes binary, at binary"
 FOUND = "k long, at binary"
 
 
+def packed(key: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple]:
+    """Places as one row for each bucket of documents: bucket, keys, places of each, places."""
+    bucket = (mix64(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((at, key, bucket))
+    key, at, bucket = key[order], at[order], bucket[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(cut)):
+        keys, sizes = np.unique(key[cut[b] : cut[b + 1]], return_counts=True)
+        rows.append((int(b), keys.tobytes(), sizes.astype(np.int32).tobytes(), at[cut[b] : cut[b + 1]].tobytes()))
+    return rows
+
+
 def repeated(groups: int):
     """Places of the hashes that occur twice or more, packed into one row for each bucket of documents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]])
-        key = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(d, np.int32)] for k, d in zip(pdf["keys"], pdf["doc"], strict=True)])
-        at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(h), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        key, at = key[twice], at[twice]
-        bucket = (mix64(key.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-        order = np.lexsort((at, key, bucket))
-        key, at, bucket = key[order], at[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(groups + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(cut)):
-            keys, sizes = np.unique(key[cut[b] : cut[b + 1]], return_counts=True)
-            rows.append((int(b), keys.tobytes(), sizes.astype(np.int32).tobytes(), at[cut[b] : cut[b + 1]].tobytes()))
+        known, pdf = pdf[pdf["found"]], pdf[~pdf["found"]]
+        rows = list(zip(known["g"], known["keys"], known["doc"], known["at"], strict=True))
+        if len(pdf):
+            h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]])
+            key = np.concatenate([np.frombuffer(k, np.int64)[np.frombuffer(d, np.int32)] for k, d in zip(pdf["keys"], pdf["doc"], strict=True)])
+            at = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["at"]])
+            twice = np.concatenate([np.frombuffer(x, bool) for x in pdf["many"]])
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            twice[order[1:][same]] = twice[order[:-1][same]] = True
+            rows += packed(key[twice], at[twice], groups)
         return pd.DataFrame(rows, columns=["b", "keys", "sizes", "at"])
 
     return run
@@ -118,7 +134,7 @@ def found_in(dealt: DataFrame, groups: int) -> DataFrame:
 
 
 def places(at, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
+    out = np.zeros(n, bool)  # a place may come more than once
     if at is not None:
         out[np.frombuffer(at, np.int32)] = True
     return out
@@ -198,8 +214,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_windows(docs)
 
     def digest(batches):
-        for pdf in batches:
-            got = [keep_words(t, p) for t, p in zip(texts_of(pdf["text"]), pdf["__s_at"], strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [g[0] for g in got], "n_removed": [g[1] for g in got], "kept_sha256": [hashlib.sha256(g[2]).hexdigest() for g in got]})
+        for batch in batches:
+            got = [keep_words(t, p) for t, p in zip(texts_of(batch["text"]), batch["__s_at"].to_pylist(), strict=True)]
+            made = {"n_words": ([g[0] for g in got], pa.int64()), "n_removed": ([g[1] for g in got], pa.int64()), "kept_sha256": ([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())}
+            yield arrow_batch({"doc_id": batch["doc_id"]}, made)
 
-    return with_windows(docs, found, "doc_id", "text").select("doc_id", "text", "__s_at").mapInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kind = ddl(docs, ("doc_id",))
+    return with_windows(docs, found, "doc_id", "text").select("doc_id", "text", "__s_at").mapInArrow(digest, f"{kind}, n_words long, n_removed long, kept_sha256 string")

@@ -2,9 +2,11 @@
 
 Reading handles both byte orders, strips and tiles, chunky and planar samples of 8 or 16 bits,
 no compression, PackBits, LZW and deflate, and horizontal differencing. Input that is null gives no
-page; input that is malformed gives one row with page -1 and the reason in ``error``. Repeated rows
-give repeated pages, and extra columns are left out unless named as keys. Only tasks' own rows are
-held, a text at a time.
+page; input that is malformed gives the pages before the fault, then one row with page -1 and the reason in
+``error``. A page is malformed as well if its blocks hold too few bytes for the size it states, so memory
+follows the file, not its header. Repeated rows give repeated pages, and extra columns are left out unless
+named as keys. Texts are stored whole, in pages of bounded rows. Empty tables give no rows. Only tasks' own
+rows are held, a text or file at a time.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts_of
+from .common import arrow_batch, arrow_slices, column, ddl, table, texts_of
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Fixed values of the format: bytes of each field type.
@@ -219,22 +221,32 @@ def directories(data: bytes):
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
-def read_page(data: bytes, order: str, tags: dict, most: int = 1 << 30) -> tuple[np.ndarray, dict]:
+#: Most bytes that a byte of each compression can stand for.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 3072, DEFLATE: 1040, OLD_DEFLATE: 1040}
+
+
+def read_page(data: bytes, order: str, tags: dict) -> tuple[np.ndarray, dict]:
     """Samples of one page as [rows, columns, samples] and what its directory says."""
     one = lambda tag, default=None: tags.get(tag, [default])[0]
     width, height, samples = one(256), one(257), one(277, 1)
     bits, compression, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
-    if not width or not height or bits not in (8, 16) or predictor not in (1, 2):
-        raise ValueError(f"unsupported page: {width}x{height}, {bits} bits, predictor {predictor}")
+    if not width or not height or not samples or bits not in (8, 16) or predictor not in (1, 2) or compression not in EXPANSION or planar not in (1, 2):
+        raise ValueError(f"unsupported page: {width}x{height}, {samples} samples of {bits} bits, compression {compression}, predictor {predictor}")
     kind = np.dtype("u1") if bits == 8 else np.dtype(order + "u2")
-    if width * height * samples * kind.itemsize > most:
-        raise ValueError("page too large")
     planes, each = (samples, 1) if planar == 2 else (1, samples)
     if 324 in tags:
-        bw, bh, offsets, counts = one(322), one(323), tags[324], tags[325]
+        bw, bh, offsets, counts = one(322), one(323), tags[324], tags.get(325, [])
     else:
-        bw, bh, offsets = width, min(one(278, height), height), tags[273]
+        bw, bh, offsets = width, min(one(278, height), height), tags.get(273, [])
         counts = tags.get(279, [len(data)])
+    if not bw or not bh:
+        raise ValueError(f"blocks of {bw}x{bh}")
+    blocks = planes * -(-width // bw) * -(-height // bh)
+    if len(offsets) < blocks or len(counts) < blocks:
+        raise ValueError(f"{len(offsets)} offsets and {len(counts)} sizes for {blocks} blocks")
+    held = sum(max(0, min(c, len(data) - o)) for o, c in zip(offsets[:blocks], counts[:blocks], strict=True))
+    if width * height * samples * kind.itemsize > held * EXPANSION[compression]:
+        raise ValueError(f"{held} bytes are too few for {width}x{height}")
     across, down = -(-width // bw), -(-height // bh)
     page = np.zeros((down * bh, across * bw, samples), kind)
     for p in range(planes):
@@ -260,56 +272,82 @@ def pages(data: bytes):
 # ---------------------------------------------------------------- operators
 
 
+def page_rows(data: bytes) -> list[tuple]:
+    """Of each page: number, width, height, samples, bits, compression, predictor, pixels, error."""
+    out: list[tuple] = []
+    try:
+        for k, (page, about) in enumerate(pages(data)):
+            out.append((k, *about.values(), page.tobytes(), None))
+    except Exception as e:  # whatever a foreign file holds, it must not end the job
+        out.append((-1, *[None] * 7, f"{type(e).__name__}: {e}"))
+    return out
+
+
+PAGE = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "pixels": pa.binary(), "error": pa.string()}
+
+
 def tiff_pages(df: DataFrame, media: str = "media", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per page: keys, page, width, height, samples, bits, compression, predictor, pixels, error."""
-    fields = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + fields
+    schema = ", ".join([ddl(df, keys)] * bool(keys) + ["page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"])
 
     def run(batches):
-        for pdf in batches:
-            for row in zip(*(pdf[k] for k in keys), pdf[media], strict=True):
-                key, data, out, k = row[:-1], row[-1], [], -1
-                if data is None:
-                    continue
-                try:
-                    for k, (page, about) in enumerate(pages(bytes(data))):
-                        out.append((*key, k, *about.values(), page.tobytes(), None))
-                except (ValueError, struct.error, IndexError, KeyError, zlib.error) as e:
-                    out.append((*key, -1, *[None] * 7, str(e)))
-                yield pd.DataFrame(out, columns=[*keys, "page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "error"]).astype({c: "Int32" for c in ("page", "width", "height", "samples", "bits", "compression", "predictor")})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                data = row[media][0].as_py()
+                if data is not None:
+                    got = page_rows(data)
+                    again = pa.array(np.zeros(len(got), np.int64))
+                    yield arrow_batch({k: row[k].take(again) for k in keys}, {n: (list(v), t) for (n, t), v in zip(PAGE.items(), zip(*got, strict=True), strict=True)})
+
+    return df.select(*[column(c) for c in dict.fromkeys((*keys, media))]).mapInArrow(run, schema)
 
-    return df.select(*keys, media).mapInPandas(run, schema)
 
+def varied(payload: bytes) -> dict:
+    """A way to store a payload, picked by its checksum, so that equal ones are stored alike: strips or tiles, every
+    compression, with and without the predictor, in both byte orders."""
+    pick = zlib.crc32(payload)
+    compression = (DEFLATE, LZW, PACKBITS, DEFLATE, NONE, DEFLATE, LZW, OLD_DEFLATE)[pick & 7]
+    return {"compression": compression, "predictor": 1 + (pick >> 3 & 1), "tile": (0, 0, 32, 64)[pick >> 4 & 3], "order": "<>"[pick >> 6 & 1]}
 
-def text_to_tiff(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """UTF-8 bytes of each text (null: empty), padded with zeros to a positive multiple of 64, as a TIFF file."""
+
+def text_to_tiff(df: DataFrame, text: str = "text", key: str = "doc_id", how=varied, **fixed) -> DataFrame:
+    """key, n_bytes, media: UTF-8 bytes of each text (null: empty), padded with zeros to a positive multiple of 64, as a TIFF
+    file. how: gives the arguments of :func:`write_tiff` for a payload; ``fixed`` ones go first."""
 
     def run(batches):
-        for pdf in batches:
-            raw = [t.encode() for t in texts_of(pdf[text])]
-            media = [write_tiff(d + b"\0" * ((-len(d)) % 64 if d else 64), **how) for d in raw]
-            yield pd.DataFrame({key: pdf[key], "n_bytes": [len(d) for d in raw], "media": media})
+        for batch in batches:
+            for part in arrow_slices(batch, text):
+                raw = [t.encode() for t in texts_of(part[text])]
+                whole = [d + b"\0" * ((-len(d)) % 64 if d else 64) for d in raw]
+                yield arrow_batch({key: part[key]}, {"n_bytes": ([len(d) for d in raw], pa.int64()), "media": ([write_tiff(d, **(how(d) | fixed)) for d in whole], pa.binary())})
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
+    return df.select(column(key), column(text)).mapInArrow(run, ddl(df, (key,)) + ", n_bytes long, media binary")
 
 
 def tiff_digest(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Decode each file's pages and describe them: lengths, hashes and a feature string of the samples."""
+    """Decode each file's pages and describe them: lengths, hashes and a feature string of the samples (a file with an
+    error: nulls and the reason as feature)."""
+
+    def one(data: bytes) -> tuple:
+        got = page_rows(data)
+        if got[-1][-1] is not None:
+            return None, None, None, len(data), hashlib.sha256(data).hexdigest(), got[-1][-1]
+        payload = b"".join(p[7] for p in got)
+        counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+        share = counts[counts > 0] / len(payload)
+        mean = float((counts * np.arange(256)).sum() / len(payload))
+        feature = f"pages={len(got)};width={got[0][1]};rows={sum(p[2] for p in got)};compression={got[0][5]};predictor={got[0][6]};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};distinct={len(share)}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+
+    names = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for k, n, data in zip(pdf[key], pdf["n_bytes"], pdf["media"], strict=True):
-                got = list(pages(bytes(data)))
-                payload = b"".join(p.tobytes() for p, _ in got)
-                counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-                share = counts[counts > 0] / len(payload)
-                mean = float((counts * np.arange(256)).sum() / len(payload))
-                feature = f"pages={len(got)};width={got[0][1]['width']};rows={sum(a['height'] for _, a in got)};mean={mean:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};distinct={len(share)}"
-                out.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return df.select(key, "n_bytes", "media").mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for batch in batches:
+            got = [one(x.as_py()) for x in batch["media"]]
+            yield arrow_batch({key: batch[key], "n_bytes": batch["n_bytes"]}, {n: ([g[i] for g in got], t) for i, (n, t) in enumerate(names.items())})
+
+    return df.select(column(key), "n_bytes", "media").mapInArrow(run, ddl(df, (key,)) + ", n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,32 +6,35 @@ batches of an Arrow IPC file (the stream format plus a footer that gives each ba
 Arrow file by its side says where each document starts. Any batch, row or document is reached by
 its place through a memory map.
 
-Null texts count as empty and have the end id alone. Null keys come first. Rows with the same key
-keep an order fixed by their text. Files are written under a name of the attempt and then renamed, so
-a task that is run again replaces its own file.
+Null texts count as empty and have the end id alone. Null keys come first. Rows with the same key are
+ordered by a hash of their text, and may be dealt to several shards (equal rows stay in one). A text is
+encoded whole, however long. Empty tables give no files. Columns other than key and text are not read.
+Every attempt of a task writes files of its own name, and the manifest names those of the attempt that
+counted, so a task that is run again neither reads nor replaces another's. Any tokenizer file will do;
+one whose white space parts tokens (seen from its settings) is encoded word by word, others by whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, n_parts, settle, table, texts_of
+from .common import arrow_batch, arrow_slices, column, fresh_path, n_parts, settle, table, texts_of
 
 END_ID = 2
 
 
 class WordEncoder:
-    """Ids of whole texts: white space separates tokens of this tokenizer, so a word is encoded once while the memo holds it."""
+    """Ids of whole texts. Where white space separates tokens, a word is encoded once while the memo holds it."""
 
     MEMO = 450_000
 
@@ -43,6 +46,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.lstrip and not t.rstrip and not t.single_word and t.content.startswith("<|")]
         self.mark = special[0] if special else None
+        self.by_word = parts_words(json.loads(self.tokenizer.to_str()))
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -70,6 +74,8 @@ class WordEncoder:
         return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words = [self.words(t) for t in texts]
         if len(self.memo) > self.MEMO:
             self.old, self.memo = self.memo, {}
@@ -84,6 +90,18 @@ class WordEncoder:
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
+def parts_words(settings: dict) -> bool:
+    """Whether a tokenizer lower-cases, turns white space to spaces and drops it before it looks for tokens, so that words
+    are encoded alike alone and in a text."""
+    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+    splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    kinds = [x["type"] for x in steps]
+    first = splits[0] if splits else {}
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first.get("pattern", {}).get("Regex", "").endswith("|[^\\s\\p{L}\\p{N}]+")
+    return kinds == ["NFC", "Replace", "Lowercase"] and spaces in steps and drops and not settings.get("truncation") and not settings.get("padding")
+
+
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -164,39 +182,39 @@ class SequenceReader:
 
 
 def write_token_files(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, length: int = 2048, end_id: int = END_ID, shard_bytes: int = 32 << 20) -> DataFrame:
-    """Write ``df`` as shards in ``path`` and return the manifest: shard, docs, tokens, start (ids in earlier shards)."""
+    """Write ``df`` as shards in ``path`` and return the manifest: shard, file, docs, tokens, start (ids in earlier shards)."""
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches):
-        shard, rows, writer, sink, attempt = TaskContext.get().partitionId(), [], None, None, TaskContext.get().taskAttemptId()
+        context = TaskContext.get()
+        name, keys, sizes, writer, sink = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}", [], [], None, None
         fs, root = _filesystem(path)
         fs.create_dir(root, recursive=True)
         encoder = word_encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
-        name = f"{root}/shard-{shard:06d}"
-        for pdf in batches:
-            if writer is None and len(pdf):
-                sink = fs.open_output_stream(f"{name}.{attempt}")
+        for batch in batches:
+            if writer is None and batch.num_rows:
+                sink = fs.open_output_stream(f"{root}/{name}.arrow")
                 writer = SequenceWriter(sink, encoder.dtype, length)
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                for k, ids in zip(part[key], encoder.encode(texts_of(part[text])), strict=True):
-                    rows.append((None if pd.isna(k) else int(k) if isinstance(k, float) else k, writer.total, len(ids) // encoder.dtype.itemsize + 1))
+            for part in arrow_slices(batch, text):
+                keys.append(part[key])
+                for ids in encoder.encode(texts_of(part[text])):
+                    sizes.append(len(ids) // encoder.dtype.itemsize + 1)
                     writer.add(ids + end)
         if writer is None:
             return
         writer.close()
         sink.close()
-        ids = pa.table({"key": [r[0] for r in rows], "offset": pa.array([r[1] for r in rows], pa.int64()), "n_tokens": pa.array([r[2] for r in rows], pa.int64())})
-        with fs.open_output_stream(f"{name}.index.{attempt}") as out, pa.ipc.new_file(out, ids.schema) as w:
-            w.write_table(ids)
-        for kind in ("", ".index"):
-            fs.move(f"{name}{kind}.{attempt}", f"{name}{kind}.arrow")
-        yield pd.DataFrame({"shard": [shard], "docs": [len(rows)], "tokens": [writer.total]})
+        n = np.array(sizes, np.int64)
+        index = pa.table({"key": pa.chunked_array(keys), "offset": np.cumsum(n) - n, "n_tokens": n})
+        with fs.open_output_stream(f"{root}/{name}.index.arrow") as out, pa.ipc.new_file(out, index.schema) as w:
+            w.write_table(index)
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "file": [name], "docs": [len(n)], "tokens": [writer.total]})
 
     shards = n_parts(df, text, shard_bytes)
-    dealt = df.select(key, text).repartitionByRange(shards, key).sortWithinPartitions(F.col(key), F.xxhash64(text))
-    manifest = settle(dealt.mapInPandas(run, "shard int, docs long, tokens long"), "token-manifest")
+    order = (column(key), F.xxhash64(column(text)))
+    dealt = df.select(column(key), column(text)).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    manifest = settle(dealt.mapInArrow(run, "shard int, file string, docs long, tokens long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard
     return manifest.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
 
@@ -205,19 +223,21 @@ def read_token_files(manifest: DataFrame, path: str, key: str = "doc_id", kind:
     """Per document, from the files: key, start in the whole stream, n_tokens, ids_crc32 (as 32-bit little-endian ids)."""
 
     def run(batches):
-        for pdf in batches:
-            for shard, start in zip(pdf["shard"], pdf["start"], strict=True):
+        for batch in batches:
+            for row in batch.to_pylist():
                 fs, root = _filesystem(path)
-                name = f"{root}/shard-{shard:06d}"
+                name = f"{root}/{row['file']}"
                 opened = (lambda p: pa.memory_map(p)) if fs.type_name == "local" else fs.open_input_file
                 with opened(f"{name}.index.arrow") as f, opened(f"{name}.arrow") as g:
-                    index, reader = pa.ipc.open_file(f).read_all(), SequenceReader(g)
-                    offset, n = index["offset"].to_numpy(), index["n_tokens"].to_numpy()
-                    crc = [zlib.crc32(reader.span(int(o), int(k)).astype("<u4").tobytes()) for o, k in zip(offset, n, strict=True)]
-                    yield pd.DataFrame({key: index["key"].to_pandas(integer_object_nulls=True), "start": start + offset, "n_tokens": n, "ids_crc32": crc})
+                    index, reader = pa.ipc.open_file(f).read_all().combine_chunks(), SequenceReader(g)
+                    for part in index.to_batches(max_chunksize=10_000):
+                        offset, n = part["offset"].to_numpy(), part["n_tokens"].to_numpy()
+                        crc = [zlib.crc32(reader.span(int(o), int(k)).astype("<u4").tobytes()) for o, k in zip(offset, n, strict=True)]
+                        yield arrow_batch({key: part["key"]}, {"start": (row["start"] + offset, pa.int64()), "n_tokens": (n, pa.int64()), "ids_crc32": (crc, pa.int64())})
 
     n = max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4)
-    return manifest.select("shard", "start").repartition(n).mapInPandas(run, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long")
+    quoted = key.replace("`", "``")
+    return manifest.select("file", "start").repartition(n).mapInArrow(run, f"`{quoted}` {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
