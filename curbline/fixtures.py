@@ -83,4 +83,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
-    return f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return f"{lead}{views},\n{body[len(lead):]}"
+    return f"WITH {views}\n{body}"

@@ -124,7 +124,7 @@ def gather_ground(cloud: DataFrame, label_runs: DataFrame, size: tuple[int, int]
     points = cloud.where(finite[0] & finite[1] & finite[2]).withColumns({"_px": px, "_py": py})
     runs = label_runs.where(F.col("label").isin("sidewalk", "road")).select(F.col("image_id").alias("_i"), F.col("x").alias("_x"), "y0", "y1")
     rows = points.join(runs, (F.col("image_id") == F.col("_i")) & (F.col("_px") == F.col("_x")) & F.col("_py").between(F.col("y0"), F.col("y1")), "left_semi")
-    o = W.partitionBy("image_id").orderBy(F.xxhash64("image_id", "yd", "xd"))
+    o = W.partitionBy("image_id").orderBy(F.md5(F.concat_ws(",", "image_id", "yd", "xd")))
     rows = rows.withColumns({"pt": F.row_number().over(o) - 1, "_n": F.count("*").over(W.partitionBy("image_id"))})
     return rows.where((F.col("pt") < max_samples) & (F.col("_n") >= least)).select("image_id", "pt", "x", "y", "z")
 

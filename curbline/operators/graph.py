@@ -142,7 +142,7 @@ def chain_geometry(chains: DataFrame, nodes: DataFrame, edges: DataFrame | None
         own = F.when(F.col("eu") == F.col("u"), F.col("geometry")).otherwise(F.reverse("geometry"))
         straight = F.when(F.size("geometry") >= 2, own).otherwise(straight)
     legs = legs.withColumn("leg", straight)
-    leg = F.when(F.col("pos") == 0, F.col("leg")).otherwise(F.slice("leg", 2, 1_000_000))
+    leg = F.when(F.col("pos") == 0, F.col("leg")).otherwise(F.slice("leg", 2, F.size("leg")))
     parts = legs.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("pos", leg.alias("leg")))).alias("parts"))
     out = parts.select("chain_id", F.flatten(F.transform("parts", lambda p: p["leg"])).alias("geometry"))
     return out.withColumn("length", polyline_length(F.col("geometry")))

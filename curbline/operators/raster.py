@@ -150,8 +150,8 @@ def rectify_row_map(scale: DataFrame, height_px: int) -> DataFrame:
     """Output row to fractional source row: each source row makes the output rows that fall in its stretch."""
     order = W.partitionBy(*KEYS).orderBy("r")
     rows = scale.withColumns({"nxt": F.lead("cum").over(order), "_end": F.last("cum").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    first = F.ceil("cum").cast("int")
-    last = F.coalesce(F.ceil("nxt").cast("int") - 1, F.ceil("_end").cast("int"))
+    first = F.ceil(F.round("cum", 9)).cast("int")  # a row that begins at a whole output row does so whatever the sum's last digits
+    last = F.coalesce(F.ceil(F.round("nxt", 9)).cast("int") - 1, F.ceil(F.round("_end", 9)).cast("int"))
     rows = rows.withColumns({"_a": first, "_b": last}).where("_a <= _b").withColumn("out_r", F.explode(F.sequence("_a", "_b")))
     src = F.col("r") + F.coalesce(F.try_divide(F.col("out_r") - F.col("cum"), F.col("nxt") - F.col("cum")), F.lit(0.0))
     return rows.select(*KEYS, "out_r", F.least(src, F.lit(height_px - 1.0)).alias("src_r"))

@@ -29,9 +29,75 @@ def parsed(d):
     return rows.select("object_id", "path", *[F.col(f"p.{c}").alias(c) for c in PARTS])
 
 
-@query("scan_image_objects", r"SELECT object_id, path FROM fx_objects WHERE regexp_matches(lower(path), '\.(jpe?g|png)$')")
+def written_png(rows: "DataFrame", folder: str) -> "DataFrame":
+    """Write one grey PNG for each row (path, height, width, spans of [line, first, last, value]) and give the paths."""
+
+    def run(batches):
+        import struct
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            for path, h, w, spans in pdf.itertuples(index=False):
+                grid = np.zeros((h, w), np.uint8)
+                for line, first, last, value in spans:
+                    grid[line, first : last + 1] = value
+                raw = zlib.compress(np.pad(grid, ((0, 0), (1, 0))).tobytes(), 1)
+                chunks = [(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)), (b"IDAT", raw), (b"IEND", b"")]
+                fs.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{path}") as out:
+                    out.write(b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x)) for k, x in chunks))
+            yield pd.DataFrame({"path": pdf["path"]})
+
+    return rows.mapInPandas(run, "path string")
+
+
+@query("scan_image_objects", r"SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name, CAST(length(path) AS BIGINT) AS length FROM fx_objects WHERE object_id % 100 < 2 AND regexp_matches(lower(path), '\.(jpe?g|png)$')")
 def _(d):
-    return readers.only_images(d.fx_objects)
+    folder = d.scratch("objects")
+    some = d.fx_objects.where("object_id % 100 < 2")  # a file each: the fixture's size, not the operator's
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            for path in pdf["path"]:
+                fs.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{path}") as out:
+                    out.write(path.encode())
+            yield pd.DataFrame({"path": pdf["path"]})
+
+    some.select("path").mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+    return readers.scan_image_objects(d.spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@query("scan_mask_runs", """WITH c AS (SELECT image_id, class_name, r, c0, c1, max(c1) OVER (PARTITION BY image_id, class_name, r ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_mask_runs),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR c0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, class_name, r ORDER BY c0, c1) AS run FROM c)
+SELECT CAST(image_id AS VARCHAR) AS image, class_name, 480 AS height, 640 AS width, r, min(c0) AS c0, max(c1) AS c1 FROM n GROUP BY image_id, class_name, r, run""")
+def _(d):
+    folder = d.scratch("masks")
+    rows = d.fx_mask_runs.groupBy("image_id", "class_name").agg(F.collect_list(F.array("r", "c0", "c1", F.lit(200))).alias("spans"))  # an image's runs
+    written_png(rows.select(F.concat_ws("/", F.lit("run"), F.col("image_id").cast("string"), F.col("class_name"), F.lit("mask.png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans"), folder).write.format("noop").mode("overwrite").save()
+    got = readers.scan_mask_runs(d.spark, folder)
+    return got.select(F.element_at(F.split("path", "/"), -3).alias("image"), "class_name", "height", "width", "r", "c0", "c1")
+
+
+@query("scan_label_runs", """WITH c AS (SELECT image_id, label, x, y0, y1, max(y1) OVER (PARTITION BY image_id, label, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_label_runs WHERE label = 'sidewalk'),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, label, x ORDER BY y0, y1) AS run FROM c)
+SELECT CAST(image_id AS VARCHAR) AS image, label, x, min(y0) AS y0, max(y1) AS y1 FROM n GROUP BY image_id, label, x, run""")
+def _(d):
+    folder = d.scratch("labels")
+    cells = d.fx_label_runs.where("label = 'sidewalk'").select("image_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
+    rows = cells.groupBy("image_id").agg(F.collect_set(F.array("y", "x", "x", F.lit(1))).alias("spans"))  # an image's pixels
+    written_png(rows.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans"), folder).write.format("noop").mode("overwrite").save()
+    got = readers.scan_label_runs(d.spark, folder, {1: "sidewalk", 2: "road"})
+    return got.select(F.regexp_extract("path", r"(\d+)\.png$", 1).alias("image"), "label", "x", "y0", "y1")
 
 
 MANIFEST_SQL = "SELECT segment_id, point_id, point_type, status, latitude, longitude, pano_id, row_number() OVER (PARTITION BY segment_id, point_id ORDER BY pano_id DESC) AS rn FROM (SELECT CAST(segment_id AS VARCHAR) AS segment_id, CAST(point_id AS VARCHAR) AS point_id, point_type, status, latitude, longitude, pano_id FROM fx_points)"
@@ -49,15 +115,15 @@ def _(d):
     return readers.scan_manifest(d.spark, folder).select("segment_id", "point_id", "point_type", "status", "latitude", "longitude", "pano_id")
 
 
-@query("scan_manifest_strict")
+@query("scan_manifest_strict", "SELECT CAST(point_id AS VARCHAR) AS point_id, point_type, status || ', ok' AS note FROM fx_points WHERE point_id % 50 <> 0")
 def _(d):
     folder = d.scratch("strict")
     rows = d.fx_points.select(F.concat_ws(",", "point_id", "point_type", F.concat(F.lit('"'), "status", F.lit(', ok"'))).alias("value"), "point_id")
     short = rows.select(F.when(F.col("point_id") % 50 == 0, F.col("point_id").cast("string")).otherwise(F.col("value")).alias("value"))
-    d.spark.createDataFrame([("point_id,point_type,note",)], "value string").coalesce(1).write.text(folder)
-    short.write.mode("append").text(folder)
-    header = "point_id,point_type,note"
-    return readers.strict_rows(d.spark.read.text(folder).withColumn("line_no", F.monotonically_increasing_id()), header)
+    head = F.lit("point_id,point_type,note")
+    whole = d.fx_points.sparkSession.range(1).select(head.alias("value"), F.lit(-1).cast("long").alias("_o")).unionByName(short.select("value", F.lit(0).cast("long").alias("_o")))
+    whole.orderBy("_o").select("value").write.text(folder)
+    return readers.scan_manifest_strict(d.spark, folder).drop("line_no")
 
 
 @query("scan_ground_truth", "SELECT CAST(id AS INTEGER) AS id, central_width FROM fx_truth")
@@ -69,9 +135,13 @@ def _(d):
     return readers.scan_ground_truth(d.spark, folder)
 
 
-@query("scan_street_graph", "SELECT edge_id, u, v, length, name FROM fx_edges WHERE length > 30")
+@query("scan_street_graph", "SELECT e.edge_id, e.u, e.v, e.length, e.name, n.degree FROM fx_edges e JOIN (SELECT node_id, count(*) AS degree FROM (SELECT u AS node_id FROM fx_edges UNION ALL SELECT v FROM fx_edges) GROUP BY ALL) n ON n.node_id = e.u")
 def _(d):
-    return d.fx_edges.where("length > 30")
+    ends, streets = d.scratch("nodes"), d.scratch("edges")
+    d.fx_edges.write.parquet(streets)
+    d.fx_edges.select(F.explode(F.array("u", "v")).alias("node_id")).groupBy("node_id").agg(F.count("*").alias("degree")).write.parquet(ends)
+    nodes, edges = readers.scan_street_graph(d.spark, ends, streets)
+    return edges.join(nodes, edges["u"] == nodes["node_id"]).drop("node_id")
 
 
 @query("scan_point_cloud", "SELECT vec_id AS image_id, CAST(floor(k / 7) AS INTEGER) AS yd, CAST(k % 7 AS INTEGER) AS xd, CAST(embedding[3*k+1] AS DOUBLE) AS x, CAST(embedding[3*k+2] AS DOUBLE) AS y, CAST(embedding[3*k+3] AS DOUBLE) AS z FROM embeddings, (SELECT unnest(generate_series(0, 20)) AS k) g")
@@ -79,37 +149,48 @@ def _(d):
     return readers.scan_point_cloud(d.embeddings.select(F.col("vec_id").alias("image_id"), F.lit(7).alias("width"), F.slice("embedding", 1, 63).alias("points")))
 
 
-@query("scan_detection_metadata")
+def json_documents(rows: "DataFrame", folder: str) -> None:
+    """A JSON array of documents a file: the readers take multi-line documents."""
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() / 500).alias("f"))
+    packed = text.groupBy("p", "f").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value"))  # 500 documents
+    packed.repartition(8).select("value").write.option("lineSep", "\n").text(folder + "-lines")
+    lines = rows.sparkSession.read.text(folder + "-lines")
+    n = max(1, lines.count())
+    lines.repartitionByRange(n, "value").write.option("maxRecordsPerFile", 1).text(folder)
+
+
+@query("scan_detection_metadata", 'SELECT CAST(image_id AS VARCHAR) AS source, CAST(count(*) OVER (PARTITION BY image_id) AS INTEGER) AS detection_count, CAST(idx AS INTEGER) AS "index", CAST(confidence AS DOUBLE) AS confidence, mask_pixels FROM fx_detections')
 def _(d):
     folder = d.scratch("detections")
     doc = d.fx_detections.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("index"), F.col("confidence").cast("double").alias("confidence"), F.col("mask_pixels")))).alias("detections"))
-    doc.select(F.col("image_id").cast("string").alias("source"), F.size("detections").alias("detection_count"), "detections").write.json(folder)
-    return d.spark.read.schema(readers.DETECTION_DOCUMENT).json(folder).select("source", "detection_count", F.explode_outer("detections").alias("e")).select("source", "detection_count", "e.index", "e.confidence", "e.mask_pixels")
+    json_documents(doc.select(F.col("image_id").cast("string").alias("source"), F.size("detections").alias("detection_count"), "detections"), folder)
+    return readers.scan_detection_metadata(d.spark, folder).select("source", "detection_count", "index", "confidence", "mask_pixels")
 
 
-@query("scan_width_metadata")
+@query("scan_width_metadata", "SELECT 'seg_' || id AS segment, predicted_width * 100 AS median_cm, 10 AS rows_used FROM fx_predictions")
 def _(d):
     folder = d.scratch("width-documents")
     docs = d.fx_predictions.select(F.concat(F.lit("seg_"), F.col("id")).alias("segment"), F.struct((F.col("predicted_width") * 100).alias("median")).alias("width_cm"), F.lit(10).alias("rows_used"))
-    docs.write.json(folder)
-    return d.spark.read.schema(readers.WIDTH_DOCUMENTS["width"]).json(folder).select("segment", F.col("width_cm.median").alias("median_cm"), "rows_used")
+    json_documents(docs, folder)
+    return readers.scan_width_metadata(d.spark, folder).select("segment", F.col("width_cm.median").alias("median_cm"), "rows_used")
 
 
-@query("sink_manifest")
+@query("sink_manifest", "SELECT CAST(segment_id AS VARCHAR) AS segment_id, CAST(point_id AS VARCHAR) AS point_id, latitude, longitude, pano_id, status, bearing, distance_along_m, point_type FROM fx_points")
 def _(d):
     folder = d.scratch("sink-manifest")
     writers.sink_manifest(d.fx_points.withColumn("line_no", F.col("point_id")), folder)
-    return d.spark.read.csv(folder, header=True)
+    got = d.spark.read.csv(folder, header=True)
+    return got.withColumns({c: F.col(c).cast("double") for c in ("latitude", "longitude", "bearing", "distance_along_m")})
 
 
-@query("sink_run_metadata")
+@query("sink_run_metadata", "SELECT count(*) AS total_points, count(DISTINCT segment_id) AS segments, count(*) FILTER (point_type = 'junction') AS junction_points, count(DISTINCT pano_id) AS unique_panos, count(pano_id) - count(DISTINCT pano_id) AS duplicates, count(*) AS uploaded, CAST(0 AS BIGINT) AS failed, CAST(1 AS BIGINT) AS directions FROM fx_points")
 def _(d):
     folder = d.scratch("run-metadata")
     writers.sink_run_metadata(resolve.run_counters(d.fx_points, d.fx_points.withColumns({"status": F.lit("uploaded"), "direction": F.lit("forward")})), folder)
     return d.spark.read.json(folder)
 
 
-@query("sink_segment_documents")
+@query("sink_segment_documents", "SELECT 'img' || (image_id % 20) AS coordinate_folder, 'forward' AS direction, mask_key AS segment, image_id, count(*) AS runs FROM fx_mask_runs GROUP BY image_id, mask_key")
 def _(d):
     folder = d.scratch("segment-documents")
     rows = d.fx_mask_runs.groupBy("image_id", "mask_key").agg(F.count("*").alias("runs"))
@@ -124,22 +205,34 @@ JOINED = "j AS (SELECT p.id, p.predicted_width, t.central_width, abs(p.predicted
 def _(d):
     from ..operators.evaluate import join_predictions_truth
 
-    return writers.prediction_rows(join_predictions_truth(d.fx_predictions, d.fx_truth))
+    folder = d.scratch("predictions")
+    writers.sink_predictions_csv(join_predictions_truth(d.fx_predictions, d.fx_truth), folder)
+    got = d.spark.read.csv(folder, header=True, schema="id long, predicted_width string, ground_truth string, abs_error string")
+    return got.fillna("", ["ground_truth", "abs_error"])
 
 
 @query("sink_skip_report", "SELECT id, reason FROM fx_skips ORDER BY id, reason")
 def _(d):
-    return writers.skip_rows(d.fx_skips)
+    folder = d.scratch("skips")
+    writers.sink_skip_report(d.fx_skips, folder)
+    return d.spark.read.csv(folder, header=True, schema="id long, reason string")
 
 
-@query("sink_geojson")
+@query("sink_geojson", "SELECT point_id AS id, 'Feature' AS feature, 'Point' AS shape, longitude, latitude, bearing FROM fx_points")
 def _(d):
-    return writers.geojson_features(d.fx_points)
+    folder = d.scratch("geojson")
+    writers.sink_geojson(d.fx_points, folder)
+    kind = "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<id: bigint, bearing: double>"
+    f = d.spark.read.schema(kind).json(folder)
+    return f.select("properties.id", F.col("type").alias("feature"), F.col("geometry.type").alias("shape"), F.get("geometry.coordinates", F.lit(0)).alias("longitude"), F.get("geometry.coordinates", F.lit(1)).alias("latitude"), "properties.bearing")
 
 
 @query("sink_junction_stub", """SELECT point_id AS image_id, '{"status":"junction_stub","segment_id":' || segment_id || ',"point_id":' || point_id || ',"direction":"forward"}' AS document FROM fx_points WHERE point_type = 'junction'""")
 def _(d):
-    return writers.junction_stubs(d.fx_points.withColumns({"image_id": F.col("point_id"), "direction": F.lit("forward")}))
+    folder = d.scratch("stubs")
+    writers.sink_junction_stub(d.fx_points.withColumns({"image_id": F.col("point_id"), "direction": F.lit("forward")}), folder)
+    got = d.spark.read.text(folder).withColumnRenamed("value", "document")
+    return got.select(F.get_json_object("document", "$.point_id").cast("long").alias("image_id"), "document")
 
 
 @query("parse_image_name", f"WITH {PARSED} SELECT *, point_id || '_' || lat || '_' || lon AS coordinate_folder FROM p")
@@ -223,10 +316,20 @@ def _(d):
     return d.fx_points.select("point_id", geo.camera_heading(F.col("bearing"), F.lit(270.0)).alias("heading"))
 
 
-@query("project_metric")
+#: The transverse Mercator series to the third order (Krueger), zone of central meridian 27 E: fixed values of the ellipsoid.
+UTM = """WITH c AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257223563::DOUBLE AS f), k AS (SELECT *, f / (2 - f) AS n FROM c),
+q AS (SELECT point_id, radians(latitude) AS p, radians(longitude - 27.0::DOUBLE) AS l, 2 * sqrt(n) / (1 + n) AS e, n, a / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS big FROM fx_points, k),
+t AS (SELECT *, sinh(atanh(sin(p)) - e * atanh(e * sin(p))) AS tau FROM q),
+z AS (SELECT *, atan2(tau, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + tau * tau)) AS eta,
+  [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16, 13 * n ** 2 / 48 - 3 * n ** 3 / 5, 61 * n ** 3 / 240] AS al FROM t)
+SELECT point_id, round(500000 + 0.9996::DOUBLE * big * (eta + list_sum([al[j] * cos(2 * j * xi) * sinh(2 * j * eta) FOR j IN [1, 2, 3]])), 2) AS x,
+  round(0.9996::DOUBLE * big * (xi + list_sum([al[j] * sin(2 * j * xi) * cosh(2 * j * eta) FOR j IN [1, 2, 3]])), 2) AS y FROM z"""
+
+
+@query("project_metric", UTM)
 def _(d):
     p = d.fx_points.withColumn("p", geo.project_metric(F.col("longitude"), F.col("latitude"), F.lit(35)))
-    return p.select("point_id", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+    return p.select("point_id", F.round("p.x", 2).alias("x"), F.round("p.y", 2).alias("y"))
 
 
 @query("unproject_wgs84", "SELECT point_id, round(longitude, 7) AS lon, round(latitude, 7) AS lat FROM fx_points")
@@ -310,10 +413,11 @@ def _(d):
     return fl.filter_min_length(d.fx_edges, 50.0, "edge_id", "segment_id").select("edge_id", "length", "segment_id")
 
 
-@query("filter_path_allowlist", "SELECT object_id, path FROM fx_objects WHERE starts_with(path, 'streetview/polygon_4v/20240101T000000Z/00')")
+@query("filter_path_allowlist", r"SELECT object_id, regexp_replace(path, '/(\d+)-', '/\1/') AS path FROM fx_objects WHERE regexp_matches(path, '/00\d-')")
 def _(d):
-    heads = d.fx_objects.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("prefix")).distinct()
-    return fl.filter_path_allowlist(d.fx_objects, heads).where(F.col("path").startswith("streetview/polygon_4v/20240101T000000Z/00"))
+    foldered = d.fx_objects.withColumn("path", F.regexp_replace("path", r"/(\d+)-", "/$1/"))
+    heads = d.spark.range(10).select(F.concat(F.lit("streetview/polygon_4v/20240101T000000Z/00"), F.col("id").cast("string")).alias("prefix"))
+    return fl.filter_path_allowlist(foldered, heads)
 
 
 @query("search_points", "SELECT point_id FROM (SELECT DISTINCT point_id FROM fx_reports) WHERE contains(point_id, '1') ORDER BY point_id LIMIT 20")

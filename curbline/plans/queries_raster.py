@@ -104,10 +104,12 @@ def _(d):
     return s.select(*KEYS, "r", F.round("scale", 5).alias("scale"), F.round("cum", 4).alias("cum"))
 
 
-@query("rectify_row_map")
+@query("rectify_row_map", f"""WITH {SCALE}, nx AS (SELECT image_id, mask_key, r, cum, lead(cum) OVER (PARTITION BY image_id, mask_key ORDER BY r) AS nxt FROM cu),
+ou AS (SELECT *, unnest(generate_series(CAST(ceil(round(cum, 9)) AS BIGINT), coalesce(CAST(ceil(round(nxt, 9)) AS BIGINT) - 1, CAST(ceil(round(cum, 9)) AS BIGINT)))) AS out_r FROM nx)
+SELECT image_id, mask_key, CAST(out_r AS INTEGER) AS out_r, round(least(r + coalesce((out_r - cum) / (nxt - cum), 0.0::DOUBLE), 479.0::DOUBLE), 3) AS src_r FROM ou""")
 def _(d):
     s = raster.row_scale_cumsum(raster.edge_fit(edges_of(d)), span(d), 480)
-    return raster.rectify_row_map(s, 480).select(*KEYS, "out_r", F.round("src_r", 4).alias("src_r"))
+    return raster.rectify_row_map(s, 480).select(*KEYS, "out_r", F.round("src_r", 3).alias("src_r"))
 
 
 def strips(d):
@@ -137,9 +139,17 @@ def _(d):
     return raster.component_bbox(d.fx_mask_runs.withColumn("comp_id", F.col("class_name")), ["image_id"])
 
 
-@query("connected_components")
+@query("connected_components", """WITH RECURSIVE c AS (SELECT image_id, mask_key, r, c0, c1, max(c1) OVER (PARTITION BY image_id, mask_key, r ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_mask_runs),
+n AS (SELECT *, sum(CASE WHEN reach IS NULL OR c0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, mask_key, r ORDER BY c0, c1) AS run FROM c),
+m AS (SELECT image_id, mask_key, r, min(c0) AS c0, max(c1) AS c1, row_number() OVER (ORDER BY image_id, mask_key, r, min(c0)) AS id FROM n GROUP BY image_id, mask_key, r, run),
+e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.image_id = b.image_id AND a.mask_key = b.mask_key AND abs(a.r - b.r) = 1 AND a.c0 <= b.c1 + 1 AND b.c0 <= a.c1 + 1),
+w(id, lead) AS (SELECT id, id FROM m UNION SELECT e.b, w.lead FROM w JOIN e ON e.a = w.id WHERE w.lead < e.b),
+l AS (SELECT id, min(lead) AS lead FROM w GROUP BY id)
+SELECT m.image_id, m.mask_key, m.r, m.c0, m.c1, count(*) OVER (PARTITION BY l.lead) AS runs_of_component, min(m.r) OVER (PARTITION BY l.lead) AS first_row FROM m JOIN l USING (id)""")
 def _(d):
-    return graph.mask_components(merge_runs(d.fx_mask_runs, [*KEYS, "r"]), KEYS)
+    got = graph.mask_components(merge_runs(d.fx_mask_runs, [*KEYS, "r"]), KEYS)
+    w = W.partitionBy(*KEYS, "comp_id")
+    return got.select(*KEYS, "r", "c0", "c1", F.count("*").over(w).alias("runs_of_component"), F.min("r").over(w).alias("first_row"))
 
 
 # ---------------------------------------------------------------- streets
@@ -194,13 +204,24 @@ def _(d):
     return best_run_per_column(r, c).select("image_id", "x", "y0", "y1", F.round("score", 6).alias("score"))
 
 
-@query("gradient_peak")
+@query("gradient_peak", """WITH g AS (SELECT image_id, y, x % 12 AS x, CASE WHEN y < min(y0) % 30 THEN 40.0::DOUBLE ELSE 120.0::DOUBLE END AS v FROM fx_label_runs, (SELECT unnest(generate_series(0, 40)) AS y) GROUP BY image_id, y, x % 12),
+df AS (SELECT image_id, y, abs(lead(v) OVER (PARTITION BY image_id, x ORDER BY y) - v) AS g FROM g WHERE y < 40),
+pr AS (SELECT image_id, y, avg(g) AS g FROM df WHERE g IS NOT NULL GROUP BY ALL),
+sm AS (SELECT image_id, y, sum(g) OVER (PARTITION BY image_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS s FROM pr),
+be AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(s, 9) DESC, y) AS rn FROM sm)
+SELECT image_id, CAST(y AS INTEGER) AS y_top, round(s, 6) AS peak FROM be WHERE rn = 1 AND s > 3""")
 def _(d):
     grey = d.fx_label_runs.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("y"), (F.col("x") % 12).alias("x"), F.col("y0").alias("base")).groupBy("image_id", "y", "x").agg((F.when(F.col("y") < F.min("base") % 30, 40.0).otherwise(120.0)).alias("v"))
     region = grey.select("image_id").distinct().select("image_id", F.lit(0).alias("y0"), F.lit(40).alias("y1"), F.lit(0).alias("x0"), F.lit(12).alias("x1"))
     return cloud.gradient_peak(grey, region).select("image_id", "y_top", F.round("peak", 6).alias("peak"))
 
 
+COLUMNS = f"""WITH {MERGED_LABELS}, md AS (SELECT * FROM lm WHERE label = 'sidewalk' AND x >= 256 AND x < 384),
+px AS (SELECT image_id, x, unnest(generate_series(y0, y1)) AS y FROM md), mc AS (SELECT image_id, x, quantile_cont(y, 0.5) AS m FROM px GROUP BY ALL), ce AS (SELECT image_id, quantile_cont(m, 0.5) AS yc FROM mc GROUP BY ALL),
+sc AS (SELECT image_id, x, y0, y1, (y1 - y0 + 1) / (1.0::DOUBLE + abs((y0 + y1 + 1) / 2.0 - yc) / 50.0::DOUBLE) AS score FROM md JOIN ce USING (image_id) WHERE y1 - y0 + 1 >= 15),
+ed AS (SELECT image_id, x, CAST(y0 AS DOUBLE) AS y_top, CAST(y1 AS DOUBLE) AS y_bot FROM (SELECT *, row_number() OVER (PARTITION BY image_id, x ORDER BY round(score, 9) DESC, y0) AS rn FROM sc) WHERE rn = 1 AND y0 > 1 AND y1 < 478)"""
+
+
 def labels(d):
     return cloud.merge_label_runs(d.fx_label_runs)
 
@@ -214,12 +235,14 @@ def _(d):
     return cloud.clean_label_mask(d.fx_label_runs, 640, 480)
 
 
-@query("column_edges")
+@query("column_edges", COLUMNS + " SELECT * FROM ed")
 def _(d):
     return cloud.column_edges(labels(d).where("label = 'sidewalk'"), 640, 480)[0]
 
 
-@query("overseg_check")
+@query("overseg_check", COLUMNS + """, pe AS (SELECT image_id, quantile_cont(y_bot, 0.5) AS med_bot, quantile_cont(y_bot - y_top, 0.5) AS med_gap, 240.0::DOUBLE / (tan(0.5::DOUBLE) + 0.000000001::DOUBLE) * 1.8::DOUBLE AS fh FROM ed GROUP BY ALL),
+ga AS (SELECT *, CASE WHEN med_bot - 240 > 5 THEN fh * 5.0::DOUBLE / (fh / (med_bot - 240) * (fh / (med_bot - 240) + 5.0::DOUBLE)) END AS mg FROM pe)
+SELECT image_id, med_bot, med_gap, round(mg, 6) AS max_gap, coalesce(med_gap > mg * 1.3::DOUBLE, false) AS over, CASE WHEN coalesce(med_gap > mg * 1.3::DOUBLE, false) THEN 'M:over_seg' END AS reason FROM ga""")
 def _(d):
     e = cloud.column_edges(labels(d).where("label = 'sidewalk'"), 640, 480)[0]
     o = cloud.overseg_check(e, posed(d), 480, 1.8)
@@ -230,19 +253,29 @@ def grid(d):
     """A dense road plane in front of the camera for every labelled image: 48 rows and 64 columns."""
     px = d.fx_label_runs.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(25), F.lit(47))).alias("yd")).select("image_id", "yd", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("xd"))
     far = 1.8 / ((F.col("yd") - 23.5) / 43.9)
-    noise = (F.pmod(F.xxhash64("image_id", "yd", "xd"), F.lit(1000)) - 500) / 100000.0
+    noise = (F.pmod(F.col("image_id") * 7919 + F.col("yd") * 104729 + F.col("xd") * 15485863, F.lit(1000)) - 500) / 100000.0
     return px.select("image_id", "yd", "xd", ((F.col("xd") - 31.5) / 43.9 * far).alias("x"), noise.alias("y"), far.alias("z"))
 
 
-@query("bilinear_sample")
+GRID = """gr AS (SELECT image_id, yd, xd, (xd - 31.5::DOUBLE) / 43.9::DOUBLE * (1.8::DOUBLE / ((yd - 23.5::DOUBLE) / 43.9::DOUBLE)) AS x, ((image_id * 7919 + yd * 104729 + xd * 15485863) % 1000 - 500) / 100000.0::DOUBLE AS y, 1.8::DOUBLE / ((yd - 23.5::DOUBLE) / 43.9::DOUBLE) AS z
+  FROM (SELECT DISTINCT image_id FROM fx_label_runs), (SELECT unnest(generate_series(25, 47)) AS yd), (SELECT unnest(generate_series(0, 63)) AS xd))"""
+
+
+@query("bilinear_sample", f"""WITH {MERGED_LABELS}, {GRID}, pt AS (SELECT DISTINCT image_id, x AS pt, x * 63 / 639.0::DOUBLE AS xs, max(y1) OVER (PARTITION BY image_id, x) * 47 / 479.0::DOUBLE AS ys FROM lm WHERE label = 'sidewalk'),
+co AS (SELECT *, greatest(0, least(floor(xs), 62)) AS x0, greatest(0, least(floor(ys), 46)) AS y0 FROM pt),
+cw AS (SELECT image_id, pt, y0 + dy AS yd, x0 + dx AS xd, CASE WHEN dx = 1 THEN xs - x0 ELSE 1 - (xs - x0) END * CASE WHEN dy = 1 THEN ys - y0 ELSE 1 - (ys - y0) END AS w FROM co, (VALUES (0), (1)) a(dx), (VALUES (0), (1)) b(dy))
+SELECT cw.image_id, CAST(pt AS BIGINT) AS pt, round(sum(w * x), 6) AS x, round(sum(w * y), 6) AS y, round(sum(w * z), 6) AS z FROM cw JOIN gr ON gr.image_id = cw.image_id AND gr.yd = cw.yd AND gr.xd = cw.xd GROUP BY cw.image_id, pt HAVING count(*) = 4""")
 def _(d):
-    at = labels(d).where("label = 'sidewalk'").select("image_id", F.col("x").cast("long").alias("pt"), (F.col("x") * 63 / 639).alias("xs"), (F.col("y1") * 47 / 479).alias("ys")).dropDuplicates(["image_id", "pt"])
+    at = labels(d).where("label = 'sidewalk'").groupBy("image_id", "x").agg(F.max("y1").alias("y1")).select("image_id", F.col("x").cast("long").alias("pt"), (F.col("x") * 63 / 639).alias("xs"), (F.col("y1") * 47 / 479).alias("ys"))
     return cloud.bilinear_sample(grid(d), at, 48, 64).select("image_id", "pt", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query("gather_ground")
+@query("gather_ground", f"""WITH {GRID}, hit AS (SELECT gr.* FROM gr WHERE EXISTS (SELECT 1 FROM fx_label_runs l WHERE l.image_id = gr.image_id AND l.x = least(639, gr.xd * 10) AND least(479, gr.yd * 10) BETWEEN l.y0 AND l.y1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5(concat_ws(',', image_id, yd, xd))) - 1 AS pt, count(*) OVER (PARTITION BY image_id) AS n FROM hit)
+SELECT image_id, CAST(pt AS INTEGER) AS pt, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM o WHERE pt < 40000 AND n >= 50""")
 def _(d):
-    return cloud.gather_ground(grid(d), labels(d), (480, 640), (48, 64))
+    g = cloud.gather_ground(grid(d), labels(d), (480, 640), (48, 64))
+    return g.select("image_id", "pt", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
 @query("fit_ground_plane")
@@ -275,11 +308,17 @@ def _(d):
     return cloud.metric_scale(planes(d), pose, 1.8).select("image_id", F.round("scale", 6).alias("scale"), "reason")
 
 
-@query("across_width")
+@query("across_width", """WITH p AS (SELECT image_id, CAST(floor(pt / 2) AS INTEGER) AS col, pt % 2 = 0 AS top, pt % 97 * 0.1::DOUBLE AS x, CASE WHEN pt % 2 = 0 THEN 2.0::DOUBLE + c.x * 0.05::DOUBLE ELSE 0.0::DOUBLE END AS y FROM fx_cloud c),
+k AS (SELECT image_id, 0.5::DOUBLE * atan2(2 * covar_pop(x, y), covar_pop(x, x) - covar_pop(y, y)) AS th FROM p GROUP BY image_id),
+q AS (SELECT image_id, col, max(x) FILTER (top) - max(x) FILTER (NOT top) AS dx, max(y) FILTER (top) - max(y) FILTER (NOT top) AS dy FROM p GROUP BY image_id, col),
+b AS (SELECT q.image_id, col, abs(-sin(th) * dx + cos(th) * dy) AS wa, sqrt(dx * dx + dy * dy) AS wr FROM q JOIN k USING (image_id)),
+c AS (SELECT *, quantile_cont(wa, 0.5) OVER (PARTITION BY image_id) / (quantile_cont(wr, 0.5) OVER (PARTITION BY image_id) + 0.000000001::DOUBLE) AS ratio FROM b),
+o AS (SELECT image_id, col, CASE WHEN ratio > 0.5 AND ratio < 1.05 THEN wa ELSE wr END AS width FROM c)
+SELECT image_id, col AS x, round(width, 5) AS width FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM o WHERE width > 0.05 AND width < 15) WHERE n >= 3""")
 def _(d):
     pts = d.fx_cloud.select("image_id", F.floor(F.col("pt") / 2).cast("int").alias("col"), F.when(F.col("pt") % 2 == 0, "top").otherwise("bot").alias("side"), (F.col("pt") % 97 * 0.1).alias("x"), F.when(F.col("pt") % 2 == 0, 2.0 + F.col("x") * 0.05).otherwise(0.0).alias("y"), F.lit(0.0).alias("z"))
     flat = pts.select("image_id").distinct().select("image_id", F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"))
-    return cloud.across_width(pts, flat).select("image_id", "x", F.round("width", 6).alias("width"))
+    return cloud.across_width(pts, flat).select("image_id", "x", F.round("width", 5).alias("width"))
 
 
 def measured(d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,9 +64,15 @@ def scan_label_runs(spark: SparkSession, root: str, class_ids: dict[int, str]) -
     return _rasters(spark, root).mapInPandas(run, "path string, label string, x int, y0 int, y1 int")
 
 
+def place_in_files() -> Column:
+    """A place that orders lines by file name, and inside a file as they stand: a file's splits are told apart by where
+    they begin, and their rows by the ids of one task, which grow."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
+
+
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows, the last of each (segment, point, direction)."""
-    rows = spark.read.csv(path, schema=MANIFEST, header=True, mode="PERMISSIVE").withColumn("_n", F.monotonically_increasing_id())
+    """Manifest rows, the last of each (segment, point, direction) in order of file names and lines."""
+    rows = spark.read.csv(path, schema=MANIFEST, header=True, mode="PERMISSIVE").withColumn("_n", place_in_files())
     w = W.partitionBy("segment_id", "point_id", "direction").orderBy(F.desc("_n"))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_n")
 
@@ -83,11 +89,12 @@ def strict_rows(lines: DataFrame, header: str) -> DataFrame:
 
 
 def scan_manifest_strict(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows as the viewer reads them; the file's first line names the columns."""
-    header = spark.read.text(path).limit(1).first()
+    """Manifest rows as the viewer reads them; the first line of the first file names the columns."""
+    lines = spark.read.text(path).withColumn("line_no", place_in_files())
+    header = lines.agg(F.min_by("value", "line_no")).first()[0]
     if header is None:
         return spark.createDataFrame([], "line_no long")
-    return strict_rows(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()), header[0])
+    return strict_rows(lines, header)
 
 
 def scan_detection_metadata(spark: SparkSession, root: str) -> DataFrame:
@@ -97,12 +104,12 @@ def scan_detection_metadata(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """id and central_width; rows that can't be read go, the last row of an id wins; no file, no rows."""
+    """id and central_width; rows that can't be read go, the last row of an id wins (by file name and line); no file, no rows."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "id int, central_width double")
-    return truth_rows(spark.read.csv(path, header=True, schema="id string, central_width string").withColumn("line_no", F.monotonically_increasing_id()))
+    return truth_rows(spark.read.csv(path, header=True, schema="id string, central_width string").withColumn("line_no", place_in_files()))
 
 
 def truth_rows(raw: DataFrame) -> DataFrame:
