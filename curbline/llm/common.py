@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import drop_settled, fresh_path, settle, shared_dir  # noqa: F401
+from ..scratch import CLEAN_UP, drop_settled, fresh_path, settle, shared_dir  # noqa: F401
 
 #: Words are maximal runs of anything but these ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like settle, in buckets by ``key``: later joins on it leave this side where it is."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    before = spark.conf.get(CLEAN_UP, None)
+    try:
+        spark.conf.set(CLEAN_UP, "true")
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.table(table_name)
+
+
 def n_parts(df: DataFrame, column: str, bytes_each: int) -> int:
     """How many groups to deal ``df`` to so that each holds about ``bytes_each`` bytes of ``column``."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

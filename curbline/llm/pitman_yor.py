@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_slices, column, crc_mod, drop_settled, mix64, n_parts, settle, table
+from .common import WordHasher, arrow_slices, column, crc_mod, drop_settled, mix64, n_parts, settle, settle_by, table
 
 BLOCK = 300_000  # tokens
 GROUP_BYTES = 6 << 20
@@ -419,7 +419,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of whole texts)."""
     kind = docs.schema[key].dataType.simpleString()
     groups = n_parts(docs, text, GROUP_BYTES)
-    blocks = settle(read_blocks(docs.select(column(key).alias("key"), column(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))), "lm-blocks")
+    blocks = settle_by(read_blocks(docs.select(column(key).alias("key"), column(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))), "lm-blocks", "block", groups)
 
     def ask_counts(batches):
         for batch in batches:
@@ -456,9 +456,10 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 sums_of = {"types": [int((seen[mine > 0] > 0).sum())], "trained": [int(seen[mine > 0].sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]}
                 mixed = {"words": [pack_sorted(block.vocab[used])], "codes": [pack_sorted((u * len(used) + v).astype(np.uint64))], "counts": [pack_counts(c)], "shared": [pack(flag[own] == SHARED)]}
                 lacking = [dict(zip(("g", "size", "h"), a, strict=False)) for a in ask(pair_hash(block.vocab, others // n, others % n), None, groups)]
-                yield pa.RecordBatch.from_pydict({"block": part["block"]} | mixed | {"lacking": pa.array([lacking], LACKING)} | sums_of)
+                yield pa.RecordBatch.from_pydict({"block": part["block"]} | mixed | {"lacking": pa.array([lacking], LACKING), "own": [pack(own)], "seen": [pack_counts(seen)]} | sums_of)
 
-    pairs = settle(known.mapInArrow(own_of, PAIRS + ", types long, trained long, once long, twice long"), "lm-pairs")
+    pairs = settle_by(known.mapInArrow(own_of, PAIRS + ", own binary, seen binary, types long, trained long, once long, twice long"), "lm-pairs", "block", groups)
+    drop_settled(counted)
     types, tokens, once, twice = (x or 0 for x in pairs.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
     corpus = Corpus(tokens, types, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
 
@@ -499,19 +500,18 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
     told = pairs.select("block", "words", "codes", "shared").join(seats.select("block", "total"), "block").mapInArrow(send, ASKED + ", asks boolean")
     wanted = pairs.select("block", F.explode("lacking").alias("a")).select("block", "a.g", "a.size", "a.h", F.lit(None).cast("binary").alias("n"), F.lit(True).alias("asks"))
     given = settle(told.unionAll(wanted).groupBy("g").applyInPandas(give, ANSWER), "lm-given")
-    drop_settled(pairs)
 
     def finish(batches):
         for batch in batches:
             for part, row in rows_of(batch):
                 block = Block.of(row)
-                codes, place, _, flag, counts, _ = own_pairs(block, row["answers"], groups)
-                n, own = len(block.vocab), flag > 0
+                codes, place = block.pairs()
+                n, own = len(block.vocab), unpack(row["own"], bool)
                 other = codes[~own]
                 p = np.zeros(len(codes))
                 p[own] = unpack_shares(row["total"]) / sweeps
                 p[~own] = answered(pair_hash(block.vocab, other // n, other % n), groups, row["given"] or [], 1)[0].astype(np.uint32).view(np.float32)
-                seen = counts[block.tokens]
+                seen = unpack_counts(row["seen"], n)[0][block.tokens]
                 base = np.log10((seen + 1) / (corpus.tokens + corpus.types + 1))
                 starts = np.concatenate(([0], np.cumsum(block.sizes)[:-1]))
                 yield pa.RecordBatch.from_pydict({
@@ -519,7 +519,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                     "train_tokens": np.full(len(starts), corpus.tokens), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(np.log10(p)[place], starts),
                 })
 
-    parts = blocks.join(by_block(counted, "answers"), "block").join(seats.select("block", "total"), "block").join(by_block(given, "given"), "block", "left")
+    parts = blocks.join(pairs.select("block", "own", "seen"), "block").join(seats.select("block", "total"), "block").join(by_block(given, "given"), "block", "left")
     return parts.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
