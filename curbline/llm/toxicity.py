@@ -6,9 +6,10 @@ votes, fitted by expectation-maximisation with the labels as one more voter, est
 accuracy; voters that agree more than the model explains (correlated ones) share one weight. A logistic
 regression on the same evidence is then trained on the posterior labels and scores every text.
 
-Fitting uses at most ``max_rows`` labelled rows, chosen by hash (a documented bound: 20,000); scoring
-covers all rows and whole texts. Null texts count as empty. A document labelled twice counts as toxic
-if any label says so; null labels are left out. Without labelled rows of both kinds every score is 0.
+Fitting uses at most ``max_rows`` labelled rows, chosen by hash (a documented bound: 20,000), and the
+``MAX_VOTERS`` lexicon entries of the highest gain (ties by name); scoring covers all rows and whole texts,
+however long. Null texts count as empty. A document labelled twice counts as toxic if any label says so;
+null labels are left out. Without labelled rows of both kinds, as with empty tables, every score is 0.
 Extra columns do no harm. Scores take text alone.
 """
 

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbline.llm import common, language, mixing, neardup, pieces, pitman_yor, quality, substring, tiff, token_files, toxicity
+from curbline.llm import common, language, mixing, neardup, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, k string, size string, copies int, content string, score double, key string, at string, h long"
@@ -513,3 +513,33 @@ def test_tiff_operators(spark, docs, none):
     assert tiff.tiff_digest(tiff.text_to_tiff(none)).count() == 0
 
 
+def test_malformed_files_give_rows(spark):
+    good = tiff.write_tiff(bytes(range(64)) * 4, compression=tiff.DEFLATE)
+
+    def broken(tag: int, value: int) -> bytes:
+        at = good.index(bytes([tag & 255, tag >> 8, 4, 0, 1, 0, 0, 0]))
+        return good[: at + 8] + value.to_bytes(4, "little") + good[at + 12 :]
+
+    files = [good, broken(278, 0), broken(256, 0), broken(257, 1 << 30), broken(273, 1 << 31), good[:-30], good[: len(good) // 2], b"II*\0\xff\xff\xff\xff", b""]
+    got = tiff.tiff_pages(spark.createDataFrame(list(enumerate(map(bytearray, files))), "doc_id long, media binary")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(files)))
+    assert [r.doc_id for r in got if r.error is None] == [0] and all(r.page == -1 for r in got if r.error)
+    digest = tiff.tiff_digest(spark.createDataFrame([(1, 0, bytearray(files[1]))], "doc_id long, n_bytes long, media binary")).first()
+    assert digest.payload_bytes is None and digest.media_bytes == len(files[1])
+
+
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in ("op3_pitman_yor", "op8_toxicity")])
+def test_queries_keep_ids_beside_nulls(spark, tmp_path, name):
+    """Every digit of ids above 2^53, beside a null in one batch, through the registered queries."""
+    ids = [2**53 + 1, None, 2**53 + 3, -(2**53) - 1]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, f"{text} {n}", "en", "s", 9) for n, k in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.doc_id for r in registry.QUERIES[name](spark, str(tmp_path)).select("doc_id").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, ids))
+
+
+def test_one_hot_key_is_mixed_in_proportion(spark):
+    """Many rows of one key cost as much as their number, not its square."""
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id") % 3).alias("text"), F.lit("s").alias("source"))
+    assert mixing.mix_sources(rows).count() == 20_000
