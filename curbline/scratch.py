@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.conf.get("spark.curbline.scratch", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="curbline-")
             spark.conf.set("spark.curbline.scratch", folder)
     return folder.rstrip("/")

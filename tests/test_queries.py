@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; the others give rows."""
+"""Every query with SQL against DuckDB on the smallest tables; of the others some rows are collected, but for slow ones."""
 
 from __future__ import annotations
 
@@ -53,7 +53,7 @@ def test_same_as_duckdb(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - SLOW))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    assert registry.QUERIES[name](spark, SF).limit(5).collect()
 
 
 @pytest.mark.parametrize("name, operator", [("fit_ground_plane", "fit_ground_plane"), ("measure_width_points", "measure_width_points"), ("alt_width_batch", "measure_width_points")])
