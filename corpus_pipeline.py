@@ -56,7 +56,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL can't express the stages; tests compare them with brute force.
+#: SQL can't express the stages; tests compare their operators with brute force, and follow planted texts through them.
 ORACLE_SQL = None
 
 
