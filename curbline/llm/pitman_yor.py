@@ -357,9 +357,6 @@ ASKED = "block long, g int, size int, h binary, n binary"
 ANSWER = "block long, g int, n binary"
 
 
-LACKING = pa.list_(pa.struct([("g", pa.int32()), ("size", pa.int32()), ("h", pa.binary())]))
-
-
 def sent(block: int, asks: list[tuple], extra: dict | None = None) -> pa.RecordBatch:
     g, size, h, n = zip(*asks, strict=True) if asks else ((),) * 4
     row = {"block": pa.array([block] * len(g), pa.int64()), "g": pa.array(g, pa.int32()), "size": pa.array(size, pa.int32()), "h": pa.array(h, pa.binary()), "n": pa.array(n, pa.binary())}
@@ -402,7 +399,7 @@ def by_block(answers: DataFrame, name: str) -> DataFrame:
 
 
 ALONE, SHARED = 1, 2  # a block's own pairs, by whether other blocks hold them too; 0: not its own
-PAIRS = "block long, words binary, codes binary, counts binary, shared binary, lacking array<struct<g:int,size:int,h:binary>>"
+PAIRS = "block long, words binary, codes binary, counts binary, shared binary"
 SEATS = "block long, tables binary, rest binary, total binary"
 
 
@@ -447,7 +444,6 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 block = Block.of(row)
                 codes, _, c, flag, seen, mine = own_pairs(block, row["answers"], groups)
                 n, own = len(block.vocab), flag > 0
-                others = codes[~own]
                 c, codes = c[own], codes[own]
                 used = np.unique(np.concatenate((codes // n, codes % n)))
                 place = np.zeros(n, np.int64)
@@ -455,8 +451,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 u, v = place[codes // n], place[codes % n]
                 sums_of = {"types": [int((seen[mine > 0] > 0).sum())], "trained": [int(seen[mine > 0].sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]}
                 mixed = {"words": [pack_sorted(block.vocab[used])], "codes": [pack_sorted((u * len(used) + v).astype(np.uint64))], "counts": [pack_counts(c)], "shared": [pack(flag[own] == SHARED)]}
-                lacking = [dict(zip(("g", "size", "h"), a, strict=False)) for a in ask(pair_hash(block.vocab, others // n, others % n), None, groups)]
-                yield pa.RecordBatch.from_pydict({"block": part["block"]} | mixed | {"lacking": pa.array([lacking], LACKING), "own": [pack(own)], "seen": [pack_counts(seen)]} | sums_of)
+                yield pa.RecordBatch.from_pydict({"block": part["block"]} | mixed | {"own": [pack(own)], "seen": [pack_counts(seen)]} | sums_of)
 
     pairs = settle_by(known.mapInArrow(own_of, PAIRS + ", own binary, seen binary, types long, trained long, once long, twice long"), "lm-pairs", "block", groups)
     drop_settled(counted)
@@ -487,6 +482,13 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 p = (unpack_shares(row["total"])[shared] / sweeps).astype(np.float32).view(np.uint32)
                 yield sent(row["block"], ask(pair_hash(words, u, v), [p], groups), {"asks": False})
 
+    def want(batches):
+        for batch in batches:
+            for _, row in rows_of(batch):
+                block = Block.of(row)
+                codes, n = block.pairs()[0][~unpack(row["own"], bool)], len(block.vocab)
+                yield sent(row["block"], ask(pair_hash(block.vocab, codes // n, codes % n), None, groups), {"asks": True})
+
     def give(pdf: pd.DataFrame) -> pd.DataFrame:
         told, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         if not len(asking):
@@ -498,7 +500,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
         return pd.DataFrame([(b, g, pack_counts(p[np.searchsorted(h, unpack_sorted(x))])) for b, g, x in zip(asking["block"], asking["g"], asking["h"], strict=True)], columns=["block", "g", "n"])
 
     told = pairs.select("block", "words", "codes", "shared").join(seats.select("block", "total"), "block").mapInArrow(send, ASKED + ", asks boolean")
-    wanted = pairs.select("block", F.explode("lacking").alias("a")).select("block", "a.g", "a.size", "a.h", F.lit(None).cast("binary").alias("n"), F.lit(True).alias("asks"))
+    wanted = texts.join(pairs.select("block", "own"), "block").mapInArrow(want, ASKED + ", asks boolean")
     given = settle(told.unionAll(wanted).groupBy("g").applyInPandas(give, ANSWER), "lm-given")
 
     def finish(batches):
