@@ -52,9 +52,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def mask_components(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Runs with comp_id: 8-connected components of each mask. Runs must be merged.
 
-    Runs of neighbouring rows that overlap when widened by one are linked through column tiles, an equi-join."""
+    Runs of neighbouring rows that overlap when widened by one are linked through column tiles, an equi-join. Runs are
+    numbered in a table written once, so that no two of them share a number, however many there are."""
     tile = 64
-    rows = keep(runs.withColumn("run_id", F.xxhash64(*keys, "r", "c0")), "runs")
+    rows = keep(runs.withColumn("run_id", F.monotonically_increasing_id()), "runs")
     tiled = rows.withColumn("_t", F.explode(F.sequence(F.floor((F.col("c0") - 1) / tile), F.floor((F.col("c1") + 1) / tile))))
     up = tiled.select(*keys, "_t", F.col("r").alias("r1"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("run_id").alias("a"))
     down = tiled.select(*keys, "_t", (F.col("r") - 1).alias("r1"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("run_id").alias("b"))

@@ -119,13 +119,14 @@ def available_directions(points: DataFrame) -> DataFrame:
     return points.select("point_id", F.array_intersect(F.array(*map(F.lit, CANONICAL)), F.map_keys("directions")).alias("directions"))
 
 
-def visual_batch_summary(images: DataFrame) -> DataFrame:
-    """One row: images, junction stubs, sorted distinct segments, and obstacles of each image.
+def visual_batch_summary(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row of each image with its obstacles, and one row of counts: images, junction stubs, distinct segments, obstacles.
     images: image_id, segment_id, status, obstacle_types (array)."""
-    detail = F.struct("image_id", "segment_id", F.size("obstacle_types").alias("obstacles"), F.array_sort(F.array_distinct("obstacle_types")).alias("types"))
-    return images.agg(
-        F.count("*").alias("images_processed"), F.count_if(F.col("status") == "junction_stub").alias("junction_stubs"), F.array_sort(F.collect_set("segment_id")).alias("segments"), F.array_sort(F.collect_list(detail)).alias("images")
+    details = images.select("image_id", "segment_id", "status", F.coalesce(F.size("obstacle_types"), F.lit(0)).alias("obstacles"), F.array_sort(F.array_distinct("obstacle_types")).alias("types"))
+    counts = details.agg(
+        F.count("*").alias("images_processed"), F.count_if(F.col("status") == "junction_stub").alias("junction_stubs"), F.countDistinct("segment_id").alias("segments"), F.coalesce(F.sum("obstacles"), F.lit(0)).alias("obstacles")
     )
+    return details, counts
 
 
 def last_duplicate(df: DataFrame, keys: list[str], order: str) -> DataFrame:

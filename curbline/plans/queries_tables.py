@@ -229,8 +229,7 @@ def _(d):
 def _(d):
     types = F.collect_set(F.when(~F.col("class_name").isin("sidewalk", "road"), F.col("mask_key")))
     images = d.fx_mask_runs.groupBy("image_id").agg(types.alias("obstacle_types")).withColumns({"segment_id": F.col("image_id") % 50, "status": F.when(F.col("image_id") % 9 == 0, "junction_stub").otherwise("ok")})
-    s = resolve.visual_batch_summary(images)
-    return s.select("images_processed", "junction_stubs", F.size("segments").cast("long").alias("segments"), F.aggregate("images", F.lit(0).cast("long"), lambda a, x: a + x["obstacles"]).alias("obstacles"))
+    return resolve.visual_batch_summary(images)[1]
 
 
 # ---------------------------------------------------------------- sets and orders
