@@ -460,6 +460,40 @@ def test_label_model_finds_good_voters():
     assert ((p > 0.5) == y).mean() > 0.95 and w[0] == pytest.approx(w[3]) and w[0] <= 0.5 and w[2] == pytest.approx(1)
 
 
+def test_label_model_learns_without_labels_votes():
+    rng = np.random.default_rng(5)
+    y, rates = rng.random(6000) < 0.2, ((0.6, 0.01), (0.5, 0.02), (0.5, 0.01), (0.4, 0.03))
+    votes = np.column_stack([np.where(y, rng.random(6000) < a, rng.random(6000) < b) for a, b in rates]).astype(np.uint8)
+    labels = np.where(np.arange(6000) < 600, y, np.nan)  # a tenth is labelled
+    p, _ = toxicity.label_model(votes, labels, 0.5)
+    odds = np.full(6000, 0.2 / 0.8)  # Bayes' rule under the true rates
+    for v, (a, b) in enumerate(rates):
+        odds *= np.where(votes[:, v] == 1, a / b, (1 - a) / (1 - b))
+    assert np.abs(p - odds / (1 + odds)).max() < 0.15 and np.abs(p - odds / (1 + odds)).mean() < 0.01
+    turned = np.where(np.arange(6000) < 60, ~y, labels)  # a tenth of the labels lies; they cast no vote
+    q, _ = toxicity.label_model(votes, turned, 0.5)
+    assert np.abs(p - q).max() < 0.01
+    twice, _ = toxicity.label_model(votes[:3000], labels[:3000], 0.5, np.full(3000, 2.0))
+    assert twice == pytest.approx(toxicity.label_model(np.tile(votes[:3000], (2, 1)), np.tile(labels[:3000], 2), 0.5)[0][:3000], abs=1e-3)
+
+
+def test_voter_groups():
+    votes = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1], [0, 0, 1], [1, 1, 1], [0, 0, 0]], np.uint8)
+    group = toxicity.voter_groups(votes, np.ones(6))
+    assert group.tolist() == [0, 0, 1]
+    assert toxicity.merge_voters(votes, group).tolist() == votes[:, 1:].tolist()
+    assert toxicity.merge_voters(votes[:, :0], group[:0]).shape == (6, 0)
+
+
+def test_toxicity_odd(spark):
+    data, labels = labelled(spark)
+    assert toxicity.train_toxicity(data.limit(0), labels) is None
+    nothing = data.select("doc_id", F.lit("same words").alias("text"), F.lit(1).alias("_label"), F.lit(2).alias("y"))  # no voter; clashing names
+    model = toxicity.train_toxicity(nothing, labels)
+    got = {r[0] for r in nothing.select(toxicity.toxicity_score(spark, model, F.col("text"))).collect()}
+    assert len(got) == 1 and 0.1 < got.pop() < 0.3
+
+
 # ---------------------------------------------------------------- 9
 
 
