@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op11_forced_bpe
 from .language import op9_language_mixture
 from .mixing import OP2_SQL, op2_mixing
 from .neardup import op7_near_duplicates
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_mixture": op9_language_mixture,
     "op10_tiff_pages": op10_tiff_pages,
+    "op11_forced_bpe": op11_forced_bpe,
 }
 
 SQL: dict[str, str] = {"op2_mixing": OP2_SQL}

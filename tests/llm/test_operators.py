@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbline.llm import common, language, mixing, neardup, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
+from curbline.llm import bpe, common, language, mixing, neardup, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, k string, size string, copies int, content string, score double, key string, at string, h long"
@@ -577,3 +577,40 @@ def test_one_hot_key_is_mixed_in_proportion(spark):
     """Many rows of one key cost as much as their number, not its square."""
     rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id") % 3).alias("text"), F.lit("s").alias("source"))
     assert mixing.mix_sources(rows).count() == 20_000
+
+
+def test_forced_boundaries_encode_as_the_library_does(spark, docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    letters = [*map(chr, range(32, 127)), *" \t\n\x0b\x1c\x85\xa0   éÉßİΣςJ̌́去ไ한²①Ⅷ🇩🇪‍"]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(400)] + ["<|endoftext|>x<|startoftext|> <|endoftext", "q" * 900 + "é" * 50, "ab" * 3000]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        ours, library = bpe.forced_bpe(path), Tokenizer.from_file(path)
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in odd]
+        assert [i.tolist() for i in ours.encode(odd)] == wanted
+        assert [ours.decode(np.array(i)) for i in wanted] == [library.decode(i, skip_special_tokens=False) for i in wanted]
+        assert 0 < ours.joined.mean() < 0.1
+    got = bpe.encode_bpe(docs)
+    assert got.schema["ids"].dataType.simpleString() == "array<int>"
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    back = sorted((str(r.doc_id), r.ids, r.decoded) for r in bpe.decode_bpe(got, keep=("doc_id", "ids")).collect())
+    assert back == sorted((str(r[0]), (i := library.encode(r[1] or "", add_special_tokens=False).ids), library.decode(i, skip_special_tokens=False)) for r in rows())
+    assert bpe.encode_bpe(none).count() == 0
+    lost = spark.createDataFrame([(1, [320, None, 60_000, -1, 320]), (2, None)], "doc_id long, ids array<int>")
+    assert [r.decoded for r in bpe.decode_bpe(lost).orderBy("doc_id").collect()] == ["a</w> a</w>", ""]
+
+
+def test_op11_digests(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(map(str, r)) for r in bpe.op11_forced_bpe(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    wanted = []
+    for r in rows():
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        wanted.append((str(r[0]), str(len(ids)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(wanted)
