@@ -36,6 +36,7 @@ from .common import arrow_batch, arrow_slices, column, ddl, table, texts_of
 from .token_files import default_tokenizer, parts_words
 
 LONG = 400
+SLICE = 1 << 20
 NEVER = 1 << 30
 #: The pieces of a lower-cased ASCII word under the settings that parts_words() knows.
 ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n")
@@ -74,7 +75,7 @@ class BatchMemo(dict):
 class ForcedBpe:
     """Encoder and decoder of one tokenizer file."""
 
-    WORDS, PIECES, FRAGMENTS = 400_000, 150_000, 100_000
+    WORDS, PIECES, FRAGMENTS = 200_000, 80_000, 60_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -321,24 +322,33 @@ def forced_bpe(path: str) -> ForcedBpe:
     return ForcedBpe(path)
 
 
-def encode_bpe(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None, packed: bool = False) -> DataFrame:
-    """The ``keep`` columns and ``ids`` of each row's text: an array of int, or, if ``packed``, little-endian unsigned 32-bit integers."""
+def _packed(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+
+
+def _listed(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)))
+
+
+def encode_bpe(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None, packed: bool = False, decoded: str | None = None) -> DataFrame:
+    """The ``keep`` columns and ``ids`` of each row's text: an array of int, or, if ``packed``, little-endian unsigned 32-bit
+    integers; with ``decoded``, also a column of that name with the text that the ids decode to, made in the same task."""
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches):
         bpe = forced_bpe(tokenizer)
         for batch in batches:
-            for part in arrow_slices(batch, "__text"):
-                ids = [i.astype("<u4") for i in bpe.encode(texts_of(part["__text"]))]
-                if packed:
-                    made = pa.array([i.tobytes() for i in ids], pa.binary())
-                else:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)))
-                yield pa.RecordBatch.from_pydict({**{k: part[k] for k in keep}, "ids": made})
+            for part in arrow_slices(batch, "__text", SLICE):
+                ids = bpe.encode(texts_of(part["__text"]))
+                made = {"ids": _packed(ids) if packed else _listed(ids)}
+                if decoded:
+                    made[decoded] = pa.array(map(bpe.decode, ids), pa.string())
+                yield pa.RecordBatch.from_pydict({**{k: part[k] for k in keep}, **made})
 
     rows = df.select(*[column(k) for k in keep], column(text).alias("__text"))
-    return rows.mapInArrow(run, ", ".join(filter(None, [ddl(df, keep), f"ids {'binary' if packed else 'array<int>'}"])))
+    fields = [ddl(df, keep), f"ids {'binary' if packed else 'array<int>'}", f"`{decoded}` string" if decoded else ""]
+    return rows.mapInArrow(run, ", ".join(filter(None, fields)))
 
 
 def decode_bpe(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), tokenizer: str | None = None, out: str = "decoded") -> DataFrame:
@@ -349,7 +359,7 @@ def decode_bpe(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id
     def run(batches):
         bpe = forced_bpe(tokenizer)
         for batch in batches:
-            for part in arrow_slices(batch, "__ids", 8 << 20) if packed else [batch.slice(i, 256) for i in range(0, batch.num_rows, 256)]:
+            for part in arrow_slices(batch, "__ids", SLICE) if packed else [batch.slice(i, 256) for i in range(0, batch.num_rows, 256)]:
                 values = part["__ids"].to_pylist()
                 texts = [bpe.decode(np.frombuffer(v, "<u4") if packed else np.array([i for i in v if i is not None and i >= 0], np.int64)) if v else "" for v in values]
                 yield arrow_batch({k: part[k] for k in keep}, {out: (texts, pa.string())})
@@ -359,6 +369,5 @@ def decode_bpe(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id
 
 
 def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode_bpe(table(spark, sf_dir, "documents"), packed=True)
-    texts = decode_bpe(ids, keep=("doc_id", "ids"))
-    return texts.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = encode_bpe(table(spark, sf_dir, "documents"), packed=True, decoded="decoded")
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, common, language, mixing, neardup, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
+from curbline.llm import bpe, common, language, mixing, neardup, negatives, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, k string, size string, copies int, content string, score double, key string, at string, h long"
@@ -562,7 +562,7 @@ def test_malformed_files_give_rows(spark):
     assert digest.payload_bytes is None and digest.media_bytes == len(files[1])
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in ("op3_pitman_yor", "op8_toxicity")])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in ("op3_pitman_yor", "op8_toxicity", "op12_hard_negatives", "op13_source_divergence")])
 def test_queries_keep_ids_beside_nulls(spark, tmp_path, name):
     """Every digit of ids above 2^53, beside a null in one batch, through the registered queries."""
     ids = [2**53 + 1, None, 2**53 + 3, -(2**53) - 1]
@@ -614,3 +614,44 @@ def test_op11_digests(spark, docs, tmp_path):
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
         wanted.append((str(r[0]), str(len(ids)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(wanted)
+
+
+def test_residue_products_are_exact():
+    rng = np.random.default_rng(1)
+    for d, most in ((64, 300), (700, 10**6), (3, 10**7), (1, 2**27), (0, 5)):
+        a, b = rng.integers(-most, most + 1, (7, d)), rng.integers(-most, most + 1, (9, d))
+        assert (negatives.rns_scores(a, b) == a @ b.T).all()
+    assert all(254 * 254 * negatives.STRIP < 2**24 and p < 510 for p in negatives.PRIMES)
+    with pytest.raises(OverflowError):
+        negatives.rns_scores(np.full((1, 9), 2**28), np.full((1, 9), 2**28))
+
+
+def vectors() -> list[tuple]:
+    rng = random.Random(8)
+    out = [(i, [rng.randint(-4, 9) / 8 for _ in range(6)], rng.randint(0, 3), i) for i in range(300)]
+    out += [(1000 + i, out[7][1], 1, 0) for i in range(40)]  # one vector many times
+    out += [out[5], out[100], (None, out[3][1], 2, 0), (None, [0.5] * 6, None, 0), (301, None, 1, 0), (302, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1, 0)]
+    out += [(303, [1.0, math.nan, 1.0, 1.0, 1.0, 1.0], 1, 0), (304, [math.inf] * 6, 1, 0), (305, [0.5, 0.5], 1, 0), (400, [0.25, 0.5], 1, 0), (306, [0.25, 0.5], 2, 0), (307, [3e37] * 6, 1, 0), (500, [], 1, 0), (309, [], 2, 0)]
+    return out
+
+
+def brute_negatives(rows: list[tuple]) -> list[tuple]:
+    good = [(k, [math.floor(256 * x) for x in v], label) for k, v, label, _ in rows if v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and all(abs(x) < 1e6 for x in v)]
+    out = []
+    for k, v, label in {(k, tuple(v), label) for k, v, label in good if k is not None and k % 100 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j is None, j or 0, other) for j, w, other in good if len(w) == len(v) and j != k)
+        for p, pn, pid, _ in [s for s in scored if s[3] == label][:5]:
+            picked = [s for s in scored if s[3] != label and 30 * -p <= 100 * -s[0] <= 90 * -p][:10]
+            out += [(k, None if pn else pid, r, None if n else i, -p, -s) for r, (s, n, i, _) in enumerate(picked, 1)]
+    return sorted(out, key=str)
+
+
+def test_hard_negatives_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "ROWS", 64)
+    monkeypatch.setattr(negatives, "ANCHORS", 2)
+    schema = "vec_id long, embedding array<float>, label int, rank int"
+    df = spark.createDataFrame(vectors(), schema).repartition(3)
+    got = negatives.mine_hard_negatives(df, F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_negatives(vectors())
+    assert negatives.mine_hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    assert negatives.mine_hard_negatives(df, F.col("vec_id") == 77_777).count() == 0
