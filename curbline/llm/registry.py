@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op11_forced_bpe
 from .language import op9_language_mixture
 from .mixing import OP2_SQL, op2_mixing
+from .negatives import OP12_SQL, op12_hard_negatives
 from .neardup import op7_near_duplicates
 from .pieces import op1_sentencepiece
 from .pitman_yor import op3_pitman_yor
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_language_mixture": op9_language_mixture,
     "op10_tiff_pages": op10_tiff_pages,
     "op11_forced_bpe": op11_forced_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op12_hard_negatives": OP12_SQL}
