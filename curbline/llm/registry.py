@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op11_forced_bpe
+from .divergence import OP13_SQL, op13_source_divergence
 from .language import op9_language_mixture
 from .mixing import OP2_SQL, op2_mixing
 from .negatives import OP12_SQL, op12_hard_negatives
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_tiff_pages": op10_tiff_pages,
     "op11_forced_bpe": op11_forced_bpe,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op12_hard_negatives": OP12_SQL}
+SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op12_hard_negatives": OP12_SQL, "op13_source_divergence": OP13_SQL}

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, common, language, mixing, neardup, negatives, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
+from curbline.llm import bpe, common, divergence, language, mixing, neardup, negatives, pieces, pitman_yor, quality, registry, substring, tiff, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, k string, size string, copies int, content string, score double, key string, at string, h long"
@@ -655,3 +655,49 @@ def test_hard_negatives_match_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_negatives(vectors())
     assert negatives.mine_hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert negatives.mine_hard_negatives(df, F.col("vec_id") == 77_777).count() == 0
+
+
+def brute_divergence(found: list[tuple], top: int) -> list[tuple]:
+    counts: dict = collections.defaultdict(collections.Counter)
+    spread: dict = collections.defaultdict(collections.Counter)
+    for r in found:
+        terms = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r[1] or "")]
+        counts[r[2] or "", r[3] or ""].update(terms)
+        spread[r[2] or ""].update(set(terms))
+    out = []
+    for lang in spread:
+        kept = [t for t, n in spread[lang].items() if n >= 3]
+        groups = {s: c for (a, s), c in counts.items() if a == lang}
+
+        def share(c, kept=kept):
+            total = sum(c[t] for t in kept) + len(kept)
+            return {t: 1 + 10**9 * (c[t] + 1) // total for t in kept}
+
+        p, q = {s: share(c) for s, c in groups.items()}, share(sum(groups.values(), collections.Counter()))
+        for s in groups:
+            pairs = [(-sum((p[s][t] - p[r][t]) ** 2 // p[r][t] for t in kept), r) for r in groups if r != s]
+            terms = [(-((p[s][t] - q[t]) ** 2 // q[t]), t) for t in kept if groups[s][t] > 0 and p[s][t] > q[t]]
+            for part, ranked in (("pair", sorted(pairs)), ("term", sorted(terms, key=lambda x: (x[0], x[1].encode()))[:top])):
+                out += [(lang, s, part, item, -v, i) for i, (v, item) in enumerate(ranked, 1)]
+    return sorted(out)
+
+
+def test_source_divergence_matches_brute_force(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(divergence, "TREE", 20)
+    monkeypatch.setattr(divergence, "HELD", 50)
+    got = divergence.source_divergence(docs, top=9)
+    assert sorted(map(tuple, got.collect())) == brute_divergence(rows(), 9)
+    assert divergence.source_divergence(none).count() == 0
+    bare = [(1, "12 34", "xx", "a"), (2, None, "xx", "b"), (3, "only one", None, None)]
+    got = divergence.source_divergence(spark.createDataFrame(bare, "doc_id long, text string, lang string, source string"))
+    assert sorted(map(tuple, got.collect())) == [("xx", "a", "pair", "b", 0, 1), ("xx", "b", "pair", "a", 0, 1)]
+
+
+def test_trees_share_paths_and_count_beyond_floats():
+    paths = [[(0, 3), (1, 1)], [(0, 3), (1, 2)], [(0, 3)], [(1, 1)], [(0, 3), (1, 1), (2, 10**12)]]
+    starts = np.cumsum([0, *map(len, paths)])
+    source, n = (np.array([i[k] for p in paths for i in p]) for k in (0, 1))
+    levels = divergence.tree_levels(starts, source, n, np.array([5, 1, 1, 2, 1]))
+    assert [len(v[0]) for v in levels] == [2, 2, 1]  # (0, 3) once, whatever follows
+    assert dict(zip(zip(*map(list, levels[0][1:3]), strict=True), levels[0][3].tolist(), strict=True)) == {(0, 3): 8, (1, 1): 2}
+    assert divergence._shares(np.array([10**12]), np.array([3 * 10**12])).tolist() == [1 + 10**9 * (10**12 + 1) // (3 * 10**12)]
