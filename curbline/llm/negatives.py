@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import column, settle, table
 
 STRIP = 256
 ROWS, ANCHORS, BLOCK = 8192, 2048, 1024
@@ -205,6 +205,7 @@ def mine_hard_negatives(df: DataFrame, is_anchor: Column, key: str = "vec_id", v
 
     near = met(packed(asking, ("hash",), ", hash array<long>"), _first_positives(positives), "anchor_id long, anchor_hash long, positive_id long, positive_score long")
     ranked = near.withColumn("place", F.row_number().over(W.partitionBy("anchor_id", "anchor_hash").orderBy(F.desc("positive_score"), F.asc_nulls_last("positive_id")))).where(F.col("place") <= positives)
+    ranked = settle(ranked, "positives")  # both what follows and the result read it: the first pass runs once
     chosen = ranked.groupBy("anchor_id", "anchor_hash").agg(F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_score"))).alias("p"))
     known = asking.join(chosen, (F.col("id") == F.col("anchor_id")) & (F.col("hash") == F.col("anchor_hash"))).select("id", "label", "vector", "hash", F.col("p.positive_score").alias("scores"), F.col("p.positive_id").alias("pos"))
     far = met(packed(known, ("hash", "scores"), ", hash array<long>, scores array<array<long>>"), _window_negatives(negatives, low, high), "anchor_id long, anchor_hash long, place long, negative_id long, negative_score long")
