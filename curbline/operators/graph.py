@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import settle as keep
+from ..scratch import Scope, settle
 from .filters import first_per
 
 
@@ -32,21 +30,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """id and comp_id (the smallest id of its component), for all ends of the edges.
 
     Every round each node points to its smallest neighbour, pointers jump twice, and edges are contracted to
-    the nodes pointed at, so edges shrink fast and rounds grow with the logarithm of a component's length."""
-    left = keep(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
-    now = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("c", F.col("id"))
-    while True:
-        point = left.select("a", "b").union(left.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p"))
-        for _ in range(2):
-            point = keep(point, "pointers")
-            up = point.select(F.col("id").alias("u"), F.col("p").alias("q"))
-            point = point.join(up, point["p"] == up["u"], "left").select("id", F.least("p", F.coalesce("q", "p")).alias("p"))
-        point = keep(point, "pointers")
-        now = keep(now.join(point.select(F.col("id").alias("u"), "p"), F.col("c") == F.col("u"), "left").select("id", F.coalesce("p", "c").alias("c")), "labels")
-        pa, pb = point.select(F.col("id").alias("a"), F.col("p").alias("x")), point.select(F.col("id").alias("b"), F.col("p").alias("y"))
-        left = keep(left.join(pa, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if not left.limit(1).count():
-            return now.withColumnRenamed("c", "comp_id")
+    the nodes pointed at, so edges shrink fast and rounds grow with the logarithm of a component's length. A round's tables go
+    as soon as the next round's are written."""
+    with Scope(edges.sparkSession) as scratch:
+        left = scratch.settle(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+        now = left.select(F.col("a").alias("id")).union(left.select("b")).distinct().withColumn("c", F.col("id"))
+        old: list[DataFrame] = []
+        while left.limit(1).count():
+            point = left.select("a", "b").union(left.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("p"))
+            steps = []
+            for _ in range(2):
+                steps.append(scratch.settle(point, "pointers"))
+                up = steps[-1].select(F.col("id").alias("u"), F.col("p").alias("q"))
+                point = steps[-1].join(up, F.col("p") == F.col("u"), "left").select("id", F.least("p", F.coalesce("q", "p")).alias("p"))
+            steps.append(scratch.settle(point, "pointers"))
+            point = steps[-1]
+            labels = scratch.settle(now.join(point.select(F.col("id").alias("u"), "p"), F.col("c") == F.col("u"), "left").select("id", F.coalesce("p", "c").alias("c")), "labels")
+            pa, pb = point.select(F.col("id").alias("a"), F.col("p").alias("x")), point.select(F.col("id").alias("b"), F.col("p").alias("y"))
+            fewer = scratch.settle(left.join(pa, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+            scratch.drop(left, *old, *steps)
+            left, now, old = fewer, labels, [labels]
+        return scratch.give(now.withColumnRenamed("c", "comp_id"), "components")
 
 
 def mask_components(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,7 +59,7 @@ def mask_components(runs: DataFrame, keys: list[str]) -> DataFrame:
     Runs of neighbouring rows that overlap when widened by one are linked through column tiles, an equi-join. Runs are
     numbered in a table written once, so that no two of them share a number, however many there are."""
     tile = 64
-    rows = keep(runs.withColumn("run_id", F.monotonically_increasing_id()), "runs")
+    rows = settle(runs.withColumn("run_id", F.monotonically_increasing_id()), "runs")
     tiled = rows.withColumn("_t", F.explode(F.sequence(F.floor((F.col("c0") - 1) / tile), F.floor((F.col("c1") + 1) / tile))))
     up = tiled.select(*keys, "_t", F.col("r").alias("r1"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("run_id").alias("a"))
     down = tiled.select(*keys, "_t", (F.col("r") - 1).alias("r1"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("run_id").alias("b"))
@@ -73,62 +77,92 @@ def component_bbox(component_runs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chain_decompose(edges: DataFrame) -> DataFrame:
-    """chain_id, pos, edge_id, u, v, closed: maximal chains through nodes of degree 2, every edge once.
-
-    Each edge gives two directed halves; at a node of degree 2 a half goes on to the other edge's half. Pointer
-    doubling ranks all halves in rounds that grow with the logarithm of the longest chain. Of a chain's two
-    directions the one whose start (then second node) is smaller stays; rings without an end are cut at their
-    smallest node."""
-    simple = keep(dedupe_parallel_edges(edges), "simple")
-    degree = node_degree(simple)
-    halves = simple.select("edge_id", "u", "v").unionByName(simple.select("edge_id", F.col("v").alias("u"), F.col("u").alias("v")))
-    halves = halves.withColumn("h", F.concat_ws(">", "edge_id", "u"))
-    halves = keep(halves.where("u <> v"))
-    through = degree.where("degree = 2").select(F.col("node").alias("v"))
-    nxt = halves.select(F.col("h").alias("nh"), F.col("edge_id").alias("ne"), F.col("u").alias("v"))
-    follow = halves.join(through, "v").join(nxt, "v").where("edge_id <> ne").select("h", "nh")
-    # last: the half reached by 2^k steps, or the chain's last half; steps: how far it is
-    state = keep(halves.join(follow, "h", "left").select("h", "u", "v", "edge_id", F.coalesce("nh", "h").alias("last"), F.when(F.col("nh").isNull(), 0).otherwise(1).alias("steps"), F.col("nh").isNull().alias("ends"), F.col("u").alias("low")))
-    n = state.count()
-    bound = 1
-    while bound < max(1, n):
-        far = state.select(F.col("h").alias("fh"), F.col("last").alias("fl"), F.col("steps").alias("fs"), F.col("ends").alias("fe"), F.col("low").alias("fw"))
-        new = state.join(far, state["last"] == far["fh"]).select("h", "u", "v", "edge_id", F.when(F.col("ends"), F.col("last")).otherwise(F.col("fl")).alias("last"), F.when(F.col("ends"), F.col("steps")).otherwise(F.col("steps") + F.col("fs")).alias("steps"), (F.col("ends") | F.col("fe")).alias("ends"), F.least("low", "fw").alias("low"))
-        state = keep(new)
-        bound *= 2
-        if not state.where(~F.col("ends")).limit(1).count():
+    """chain_id, pos, edge_id, u, v, closed: maximal chains through nodes of degree 2, every edge once (loops at a node go).
+
+    Each edge gives two directed halves; at a node of degree 2 a half goes on to the other edge's half. Halves are ranked by
+    list contraction: in each round a set of inner halves, no two of them neighbours, leaves its lists (those whose hash is
+    the least among their neighbours', a third on average); what is left of the lists goes on, lists without inner halves are set
+    aside, and on the way back each half that left learns its distance from its successor. So tables shrink from round to round, what is written
+    in all is in proportion to the halves, and one long ring costs only its own rounds. Of a chain's two
+    directions the one whose start (then second node) is smaller stays; rings without an end are cut at their smallest node."""
+    spark = edges.sparkSession
+    with Scope(spark) as scratch:
+        simple = scratch.settle(dedupe_parallel_edges(edges).select("edge_id", "u", "v"), "simple")
+        halves = simple.unionByName(simple.select("edge_id", F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
+        halves = scratch.settle(halves.withColumn("h", F.concat_ws(">", "edge_id", "u")), "halves")
+        through = node_degree(simple).where("degree = 2").select(F.col("node").alias("v"))
+        nxt = halves.select(F.col("h").alias("nh"), F.col("edge_id").alias("ne"), F.col("u").alias("v"))
+        follow = scratch.settle(halves.join(through, "v").join(nxt, "v").where("edge_id <> ne").select("h", F.col("nh").alias("n")), "follow")
+        ranked = _rank_lists(scratch, halves.select("h"), follow)
+        every = scratch.settle(halves.join(ranked, "h"), "ranked")  # last, steps (to the last half), closed, total
+        return scratch.give(_straight(every.where("not closed")).unionByName(_rings(scratch, every.where("closed"))), "chains")
+
+
+def _rank_lists(scratch: Scope, nodes: DataFrame, follow: DataFrame) -> DataFrame:
+    """h, last, steps, closed, total: each node's distance to the last of its list. A ring's ``last`` is the node that was left over;
+    total is the ring's length. follow: h and the node n after it; every h has one n at most, and the reverse."""
+    before = follow.select(F.col("n").alias("h"), F.col("h").alias("p"))
+    both = nodes.join(follow, "h", "left").join(before, "h", "left")
+    ends = both.select(F.col("h").alias("_e"), F.col("n").isNull().alias("_nt"), F.col("p").isNull().alias("_ph"))
+    both = both.join(ends.select(F.col("_e").alias("n"), F.col("_nt").alias("n_tail")), "n", "left").join(ends.select(F.col("_e").alias("p"), F.col("_ph").alias("p_head")), "p", "left")
+    going = both.select("h", "p", "n", F.coalesce("n_tail", F.lit(False)).alias("n_tail"), F.coalesce("p_head", F.lit(False)).alias("p_head"), F.lit(1).cast("long").alias("w"))
+    rounds: list[DataFrame] = []
+    while True:
+        number = F.lit(len(rounds))
+        mine = F.struct(F.xxhash64("h", number).alias("x"), F.col("h").alias("h"))
+        # an end never leaves, so it counts as larger than any inner node
+        less = [flag | (mine < F.struct(F.xxhash64(c, number).alias("x"), F.col(c).alias("h"))) for c, flag in (("p", F.col("p_head")), ("n", F.col("n_tail")))]
+        inner = F.col("p").isNotNull() & F.col("n").isNotNull()
+        over = ((F.col("p").isNull() | F.col("p_head")) & (F.col("n").isNull() | F.col("n_tail")) & ~inner) | (inner & (F.col("n") == F.col("h")))
+        fate = F.when(over, "done").when(inner & less[0] & less[1], "out").otherwise("on")
+        state = scratch.settle(going.withColumn("fate", fate), f"round-{len(rounds)}")
+        rounds.append(state)
+        out = state.where("fate = 'out'")
+        if not state.where("fate <> 'done'").limit(1).count():
             break
-    open_halves = state.where("ends")
-    # the first half of an open chain has the most steps to its last half
-    chains = open_halves.groupBy("last").agg(F.max(F.struct("steps", "u", "v", "edge_id")).alias("head"), F.max("steps").alias("most"))
-    tails = open_halves.where("h = last").select("last", F.col("v").alias("tail"), F.col("u").alias("tail_prev"), F.col("edge_id").alias("tail_edge"))
-    chains = chains.join(tails, "last")
-    forward = F.struct(F.col("head.u"), F.col("head.v"), F.col("head.edge_id"))
-    backward = F.struct(F.col("tail").alias("u"), F.col("tail_prev").alias("v"), F.col("tail_edge").alias("edge_id"))
-    chains = chains.where(forward <= backward).select("last", "most")
-    straight = open_halves.join(chains, "last").select(F.col("last").alias("chain"), (F.col("most") - F.col("steps")).cast("int").alias("pos"), "edge_id", "u", "v", F.lit(False).alias("closed"))
-    # rings: of the two directions keep that of the smaller second node, and count steps from the cut
-    rings = state.where(~F.col("ends"))
-    loops = keep(_ring_order(halves, follow, rings)) if rings.limit(1).count() else None
-    every = straight if loops is None else straight.unionByName(loops)
-    return every.select(F.col("chain").alias("chain_id"), "pos", "edge_id", "u", "v", "closed")
-
-
-def _ring_order(halves: DataFrame, follow: DataFrame, rings: DataFrame) -> DataFrame:
-    heads = rings.where("u = low").select("h", "low", "v", "edge_id")
-    heads = first_per(heads, ["low"], [F.col("v"), F.col("edge_id")]).select(F.col("h").alias("start"))
-    # cut before the head: halves that lead into it end there
-    cut = follow.join(rings.select("h"), "h").join(heads, F.col("nh") == F.col("start"), "left_anti")
-    own = rings.select("h", "u", "v", "edge_id").join(cut, "h", "left")
-    state = keep(own.select("h", "u", "v", "edge_id", F.coalesce("nh", "h").alias("last"), F.when(F.col("nh").isNull(), 0).otherwise(1).alias("steps"), F.col("nh").isNull().alias("ends")))
-    n, bound = state.count(), 1
-    while bound < n:
-        far = state.select(F.col("h").alias("fh"), F.col("last").alias("fl"), F.col("steps").alias("fs"), F.col("ends").alias("fe"))
-        state = keep(state.join(far, state["last"] == far["fh"]).select("h", "u", "v", "edge_id", F.when(F.col("ends"), F.col("last")).otherwise(F.col("fl")).alias("last"), F.when(F.col("ends"), F.col("steps")).otherwise(F.col("steps") + F.col("fs")).alias("steps"), (F.col("ends") | F.col("fe")).alias("ends")))
-        bound *= 2
-    done = state.where("ends")
-    kept = done.join(heads, done["h"] == heads["start"]).select("last", F.col("steps").alias("most"))
-    return done.join(kept, "last").select(F.col("last").alias("chain"), (F.col("most") - F.col("steps")).cast("int").alias("pos"), "edge_id", "u", "v", F.lit(True).alias("closed"))
+        told = out.select(F.col("p").alias("h"), F.lit(None).cast("string").alias("p"), F.col("n"), F.col("n_tail"), F.lit(None).cast("boolean").alias("p_head"), "w", F.lit(True).alias("ahead"))
+        told = told.unionByName(out.select(F.col("n").alias("h"), F.col("p"), F.lit(None).cast("string").alias("n"), F.lit(None).cast("boolean").alias("n_tail"), F.col("p_head"), F.lit(0).cast("long").alias("w"), F.lit(False).alias("ahead")))
+        stay = state.where("fate = 'on'").select("h", "p", "n", "n_tail", "p_head", "w", F.lit(None).cast("boolean").alias("ahead"))
+
+        def told_or_own(c: str, when: str):
+            return F.coalesce(F.max(F.when(F.expr(when), F.col(c))), F.max(F.when(F.col("ahead").isNull(), F.col(c)))).alias(c)
+
+        going = stay.unionByName(told).groupBy("h").agg(told_or_own("p", "ahead = false"), told_or_own("n", "ahead"), told_or_own("n_tail", "ahead"), told_or_own("p_head", "ahead = false"), F.sum("w").alias("w"))
+    known = None
+    for state in reversed(rounds):
+        done = state.where("fate = 'done'")
+        ring = F.coalesce(F.col("n") == F.col("h"), F.lit(False))
+        ended = done.select("h", F.when(ring | F.col("n").isNull(), F.col("h")).otherwise(F.col("n")).alias("last"), F.when(ring | F.col("n").isNull(), F.lit(0)).otherwise(F.col("w")).cast("long").alias("steps"), ring.alias("closed"), F.when(ring, F.col("w")).alias("total"))
+        if known is None:
+            known = scratch.settle(ended, "known")
+        else:
+            left = state.where("fate = 'out'").select("h", "n", "w")
+            back = left.join(known.withColumnRenamed("h", "_k"), F.col("n") == F.col("_k")).select("h", "last", (F.col("w") + F.col("steps")).alias("steps"), "closed", "total")
+            more = scratch.settle(known.unionByName(ended).unionByName(back), "known")
+            scratch.drop(known)
+            known = more
+        scratch.drop(state)
+    return known
+
+
+def _straight(halves: DataFrame) -> DataFrame:
+    """Of each chain's two directions the one with the smaller start; the first half has the most steps to the last."""
+    chains = halves.groupBy("last").agg(F.max(F.struct("steps", "u", "v", "edge_id")).alias("head"), F.max("steps").alias("most"), F.max(F.when(F.col("steps") == 0, F.struct("v", "u", "edge_id"))).alias("tail"))
+    forward = F.struct(F.col("head.u").alias("a"), F.col("head.v").alias("b"), F.col("head.edge_id").alias("e"))
+    backward = F.struct(F.col("tail.v").alias("a"), F.col("tail.u").alias("b"), F.col("tail.edge_id").alias("e"))
+    kept = chains.where(forward <= backward).select("last", "most")
+    return halves.join(kept, "last").select(F.col("last").alias("chain_id"), (F.col("most") - F.col("steps")).cast("int").alias("pos"), "edge_id", "u", "v", F.lit(False).alias("closed"))
+
+
+def _rings(scratch: Scope, halves: DataFrame) -> DataFrame:
+    """Rings cut at their smallest node, in the direction of the smaller second node. A ring's id is the half that leads back to the cut."""
+    rings = halves.groupBy("last").agg(F.min(F.struct("u", "v", "edge_id", "steps", "total")).alias("s"))
+    best = first_per(rings.select("last", "s.*"), ["u"], [F.col("v"), F.col("edge_id")])
+    # the other direction of the same ring has the same smallest node
+    start = best.select("last", F.col("steps").alias("_from"), F.col("total").alias("_all"))
+    placed = halves.join(start, "last").withColumn("pos", F.pmod(F.col("_from") - F.col("steps"), F.col("_all")).cast("int"))
+    ids = placed.where(F.col("pos") == F.col("_all") - 1).select("last", F.col("h").alias("chain_id"))
+    return placed.join(ids, "last").select("chain_id", "pos", "edge_id", "u", "v", F.lit(True).alias("closed"))
 
 
 def chain_geometry(chains: DataFrame, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -167,47 +201,19 @@ def canonical_direction(segments: DataFrame, legacy_flags: bool = False) -> Data
     return segments.withColumns({**new, "reversed": turn})
 
 
-def sequence_ids(df: DataFrame, order: list[str], name: str = "seq", start: int = 0, pattern: str | None = None, buckets: int = 64) -> DataFrame:
+def sequence_ids(df: DataFrame, order: list[str], name: str = "seq", start: int = 0, pattern: str | None = None) -> DataFrame:
     """Number rows in an order from ``start`` (as text with a pattern such as %04d).
 
-    Rows are cut into ranges by a bounded sample of the first order column; ranges are numbered side by side
-    and shifted by the counts of those before, so no task sorts the whole table."""
-    col = order[0]
-    sample = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).orderBy(F.xxhash64(col), col).limit(1000).collect()]
-    cuts = sorted(set(sorted(sample)[:: max(1, len(sample) // buckets)]))
-    part = F.lit(0)
-    for i, c in enumerate(cuts):
-        part = F.when(F.col(col) >= F.lit(c), i + 1).otherwise(part)
-    rows = df.withColumn("_part", part)
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
+    Rows are dealt by Spark's own range partitioning, whose cut points come from a sample of rows over all columns of the order and
+    then a hash of the row, so that many rows of one value spread as well; each task sorts its range and numbers it, and ranges are
+    shifted by the counts of those before. Rows alike in all columns of the order are ordered by that hash. Written once, since cut points may differ from run to run."""
+    place = F.monotonically_increasing_id()  # 2^33 * task + place in the task
+    dealt = df.withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_at", place).drop("_tie")
+    rows = settle(dealt, "ranges")
+    counts = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))  # a row per range
     before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    number = F.col("_before") + F.col("_rank") + start
-    out = rows.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.format_string(pattern, number) if pattern else number.cast("long"))
-    return out.drop("_part", "_rank", "_before")
-
-
-def greedy_nearest_order(points: DataFrame, run_key: str) -> DataFrame:
-    """Each run's points in greedy order: from its first (by idx) always the nearest point whose panorama is new.
-
-    The order is sequential inside a run by its definition, so runs (or tiles of one) are what spreads."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", visit int"
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", kind="stable").reset_index(drop=True)
-        lat, lon = np.radians(pdf["latitude"].to_numpy(float)), np.radians(pdf["longitude"].to_numpy(float))
-        codes = pd.factorize(pdf["pano_id"])[0]
-        free, order, at = np.ones(len(pdf), bool), [], 0
-        while True:
-            order.append(at)
-            free[codes == codes[at]] = False
-            left = np.flatnonzero(free)
-            if not len(left):
-                break
-            h = np.sin((lat[left] - lat[at]) / 2) ** 2 + np.cos(lat[at]) * np.cos(lat[left]) * np.sin((lon[left] - lon[at]) / 2) ** 2
-            at = int(left[np.argmin(np.arcsin(np.sqrt(np.minimum(h, 1))))])
-        out = pdf.iloc[order].copy()
-        out["visit"] = np.arange(len(order), dtype=np.int32)
-        return out
-
-    return points.groupBy(run_key).applyInPandas(walk, schema)
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + start
+    out = rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.format_string(pattern, number) if pattern else number.cast("long")).drop("_part", "_at", "_before")
+
+

@@ -222,17 +222,21 @@ def _(d):
 def _(d):
     folder = d.scratch("geojson")
     writers.sink_geojson(d.fx_points, folder)
-    kind = "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<id: bigint, bearing: double>"
+    kind = "type string, geometry struct<type: string, coordinates: array<double>>, properties struct<pointId: bigint, bearing: double>"
     f = d.spark.read.schema(kind).json(folder)
-    return f.select("properties.id", F.col("type").alias("feature"), F.col("geometry.type").alias("shape"), F.get("geometry.coordinates", F.lit(0)).alias("longitude"), F.get("geometry.coordinates", F.lit(1)).alias("latitude"), "properties.bearing")
+    return f.select(F.col("properties.pointId").alias("id"), F.col("type").alias("feature"), F.col("geometry.type").alias("shape"), F.get("geometry.coordinates", F.lit(0)).alias("longitude"), F.get("geometry.coordinates", F.lit(1)).alias("latitude"), "properties.bearing")
 
 
-@query("sink_junction_stub", """SELECT point_id AS image_id, '{"status":"junction_stub","segment_id":' || segment_id || ',"point_id":' || point_id || ',"direction":"forward"}' AS document FROM fx_points WHERE point_type = 'junction'""")
+@query("sink_junction_stub", "SELECT point_id AS image_id, 'junction_stub' AS status, 'pano/' || pano_id || '.jpg' AS image_blob, CASE WHEN point_id % 3 <> 0 THEN 'masks/' || point_id END AS masks_prefix, segment_id AS meta_segment, 'forward' AS meta_direction, true AS all_fields FROM fx_points WHERE point_type = 'junction'")
 def _(d):
     folder = d.scratch("stubs")
-    writers.sink_junction_stub(d.fx_points.withColumns({"image_id": F.col("point_id"), "direction": F.lit("forward")}), folder)
-    got = d.spark.read.text(folder).withColumnRenamed("value", "document")
-    return got.select(F.get_json_object("document", "$.point_id").cast("long").alias("image_id"), "document")
+    blob, prefix = F.concat(F.lit("pano/"), "pano_id", F.lit(".jpg")), F.when(F.col("point_id") % 3 != 0, F.concat(F.lit("masks/"), "point_id"))
+    meta = F.struct("segment_id", "point_id", F.lit("forward").alias("direction"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    writers.sink_junction_stub(d.fx_points.select(F.col("point_id").alias("image_id"), "point_type", blob.alias("image_blob"), prefix.alias("masks_prefix"), meta.alias("metadata")), folder)
+    got = d.spark.read.text(folder)
+    at = lambda path: F.get_json_object("value", path)
+    keys = F.array_sort(F.json_object_keys("value")) == F.array(*map(F.lit, ("analysis", "image_blob", "masks_prefix", "metadata", "status")))
+    return got.select(at("$.metadata.point_id").cast("long").alias("image_id"), at("$.status").alias("status"), at("$.image_blob").alias("image_blob"), at("$.masks_prefix").alias("masks_prefix"), at("$.metadata.segment_id").cast("long").alias("meta_segment"), at("$.metadata.direction").alias("meta_direction"), keys.alias("all_fields"))
 
 
 @query("parse_image_name", f"WITH {PARSED} SELECT *, point_id || '_' || lat || '_' || lon AS coordinate_folder FROM p")

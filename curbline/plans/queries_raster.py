@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import cloud, graph, plugins, raster, sampling
+from ..operators import cloud, graph, nearest, plugins, raster, sampling
 from ..operators.raster import KEYS, assign_obstacles
 from ..operators.runs import best_run_per_column, merge_runs
 from ..scratch import settle
@@ -175,7 +175,7 @@ def _(d):
 @query("greedy_nearest_order")
 def _(d):
     p = d.fx_points.where("status = 'OK'").withColumn("idx", F.col("point_id"))
-    return graph.greedy_nearest_order(p, "segment_id").select("segment_id", "point_id", "pano_id", "visit")
+    return nearest.greedy_nearest_order(p, "segment_id").select("segment_id", "point_id", "pano_id", "visit")
 
 
 @query("sample_polygon")
@@ -350,13 +350,25 @@ def _(d):
     return got.groupBy("point_id", "direction").agg(F.count("*").alias("reports"))
 
 
-@query("junction_analyzer", "SELECT image_id, count(*) AS runs, CAST(sum(c1 - c0 + 1) AS BIGINT) AS px, 'junction_analyzed' AS status FROM fx_mask_runs GROUP BY image_id")
-def _(d):
-    import pandas as pd
+JUNCTION_IMAGES = "im AS (SELECT s_suppkey AS image_id FROM supplier UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 4 = 0)"
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "runs": [len(pdf)], "px": [int((pdf["c1"] - pdf["c0"] + 1).sum())]})
 
-    return plugins.junction_analyzer(d.fx_mask_runs.select("image_id", "c0", "c1"), count, "image_id long, runs long, px long")
+@query("junction_analyzer", f"""WITH {JUNCTION_IMAGES},
+m AS (SELECT image_id, count(DISTINCT mask_key) FILTER (class_name = 'sidewalk') AS sidewalks, count(DISTINCT mask_key) FILTER (class_name <> 'sidewalk') AS obstacles, sum(c1 - c0 + 1) FILTER (class_name = 'sidewalk') AS px FROM fx_mask_runs GROUP BY image_id)
+SELECT im.image_id, CASE WHEN im.image_id % 17 = 3 THEN 'E:ValueError' ELSE 'junction_analyzed' END AS status, CASE WHEN im.image_id % 17 = 3 THEN 'no view of ' || im.image_id END AS error,
+  CAST(CASE WHEN im.image_id % 17 <> 3 THEN coalesce(sidewalks, 0) ELSE -1 END AS BIGINT) AS sidewalks, CAST(CASE WHEN im.image_id % 17 <> 3 THEN coalesce(obstacles, 0) ELSE -1 END AS BIGINT) AS obstacles,
+  CAST(CASE WHEN im.image_id % 17 <> 3 THEN coalesce(px, 0) ELSE -1 END AS BIGINT) AS px, CAST(CASE WHEN im.image_id % 17 <> 3 THEN length('image ' || im.image_id) ELSE -1 END AS BIGINT) AS bytes, 'img/' || im.image_id || '.jpg' AS image_blob FROM im LEFT JOIN m USING (image_id)""")
+def _(d):
+    ids = d.supplier.select(F.col("s_suppkey").alias("image_id"))
+    ids = ids.union(ids.where("image_id % 4 = 0").select(F.col("image_id") + 1000000))  # images without masks
+    images = ids.select("image_id", F.concat(F.lit("img/"), "image_id", F.lit(".jpg")).alias("image_blob"), F.struct(F.col("image_id").alias("point_id")).alias("metadata"), F.concat(F.lit("image "), "image_id").cast("binary").alias("content"))
 
+    def count(image: plugins.JunctionImage) -> dict:
+        if image.metadata["point_id"] % 17 == 3:
+            raise ValueError(f"no view of {image.image_id}")
+        px = sum(int((runs[:, 2] - runs[:, 1] + 1).sum()) for runs in image.sidewalks.values())
+        return {"sidewalks": len(image.sidewalks), "obstacles": len(image.obstacles), "px": px, "bytes": len(image.content)}
 
+    got = plugins.junction_analyzer(images, d.fx_mask_runs, count)
+    figures = [F.coalesce(F.get_json_object("analysis", f"$.{n}").cast("long"), F.lit(-1)).alias(n) for n in ("sidewalks", "obstacles", "px", "bytes")]
+    return got.select("image_id", "status", "error", *figures, "image_blob")

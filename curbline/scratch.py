@@ -28,8 +28,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     before = spark.conf.get(CLEAN_UP, None)
@@ -38,14 +37,49 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def settle(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    return _written(df, name)[0]
+
+
+class Scope:
+    """Scratch tables of one operator: ``with Scope(spark) as scratch``. What ``settle`` writes goes when the scope ends, or
+    earlier by ``drop``; what ``give`` writes stays, for the result reads it. Tables of rounds thus take no more disk than the rounds that are alive."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.alive = spark, {}
+
+    def __enter__(self) -> Scope:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*[df for df, _ in self.alive.values()])
+
+    def settle(self, df: DataFrame, name: str = "step") -> DataFrame:
+        got, path = _written(df, name)
+        self.alive[id(got)] = (got, path)
+        return got
+
+    def give(self, df: DataFrame, name: str = "result") -> DataFrame:
+        return settle(df, name)
+
+    def drop(self, *dfs: DataFrame) -> None:
+        for df in dfs:
+            _, path = self.alive.pop(id(df), (None, None))
+            if path:
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_settled(*dfs: DataFrame) -> None:
     """Delete tables written by :func:`settle` once nothing reads them any more."""
     for df in dfs:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            delete(df.sparkSession, path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.plugins import junction_analyzer, junction_documents
+
 
 def sink_manifest(df: DataFrame, path: str, order: str = "line_no") -> None:
     """CSV with a header, in run order (range-partitioned, so files follow one another)."""
@@ -44,7 +46,7 @@ def sink_skip_report(skips: DataFrame, path: str) -> None:
 def geojson_features(points: DataFrame) -> DataFrame:
     """One GeoJSON feature per point."""
     shape = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
-    about = F.struct(F.col("point_id").alias("id"), F.col("bearing"))
+    about = F.struct(F.col("point_id").alias("pointId"), F.col("bearing"))
     return points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), about.alias("properties"))).alias("feature"))
 
 
@@ -53,10 +55,8 @@ def sink_geojson(points: DataFrame, path: str) -> None:
 
 
 def junction_stubs(images: DataFrame) -> DataFrame:
-    """A stub document for each image of a junction."""
-    rows = images.where("point_type = 'junction'")
-    body = F.struct(F.lit("junction_stub").alias("status"), "segment_id", "point_id", "direction")
-    return rows.select("image_id", F.to_json(body).alias("document"))
+    """A stub document for each image of a junction. images: image_id, image_blob, masks_prefix, point_type and, where there is, metadata."""
+    return junction_documents(junction_analyzer(images.where("point_type = 'junction'")))
 
 
 def sink_junction_stub(images: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from curbline.functions import geo, names
-from curbline.operators import cloud, detect, evaluate, filters, graph, raster, resolve, runs, sampling
+from curbline.operators import cloud, detect, evaluate, filters, graph, nearest, raster, resolve, runs, sampling
 from curbline.plans import registry
 from curbline.sources import readers, writers
 from curbline.streaming.reports import stream_reports
@@ -232,7 +232,7 @@ def test_sequence_ids_and_greedy(spark):
     df = spark.createDataFrame(rows, "run int, idx int, latitude double, longitude double, pano_id string")
     got = graph.sequence_ids(df, ["run", "idx"], "n", pattern="%04d").orderBy("n").collect()
     assert [r.n for r in got] == [f"{i:04d}" for i in range(500)] and [(r.run, r.idx) for r in got] == sorted((r[0], r[1]) for r in rows)
-    walk = graph.greedy_nearest_order(df.withColumn("run", F.lit(1)), "run").orderBy("visit").collect()
+    walk = nearest.greedy_nearest_order(df.withColumn("run", F.lit(1)), "run").orderBy("visit").collect()
     assert len(walk) == 50 == len({r.pano_id for r in walk}) and walk[0].idx == 0
 
 
