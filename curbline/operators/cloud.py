@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,23 +179,55 @@ def distance_to() -> Column:
     return F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("d"))
 
 
+BLOCKS, STRIP = 8, 64
+
+
 def plane_inlier_join(points: DataFrame, hypotheses: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Inliers of each hypothesis (image_id, hyp, nx, ny, nz, d) among its image's points."""
-    packed = hypotheses.groupBy("image_id").agg(F.collect_list(F.struct("hyp", "nx", "ny", "nz", "d")).alias("hs")).join(thresholds, "image_id")  # a bounded number an image
-    rows = points.join(packed, "image_id").select("image_id", "x", "y", "z", "thresh", F.explode("hs").alias("h"))
-    near = F.abs(F.col("h.nx") * F.col("x") + F.col("h.ny") * F.col("y") + F.col("h.nz") * F.col("z") + F.col("h.d")) < F.col("thresh")
-    return rows.groupBy("image_id", F.col("h.hyp").alias("hyp")).agg(F.count_if(near).alias("inliers"))
+    """Inliers of each hypothesis (image_id, hyp, nx, ny, nz, d) among its image's points.
+
+    An image's hypotheses travel as one row of arrays and its points in ``BLOCKS`` blocks by hash; each (image, block) is
+    counted as matrices, so that rows are hypotheses times blocks and never times points. A bounded number of hypotheses an image is assumed."""
+    image = points.schema["image_id"].dataType.simpleString()
+    hyp = hypotheses.schema["hyp"].dataType.simpleString()
+    arrays = F.array_sort(F.collect_list(F.struct("hyp", "nx", "ny", "nz", "d")))
+    packed = hypotheses.groupBy("image_id").agg(arrays.alias("h")).join(thresholds.select("image_id", "thresh"), "image_id")
+    packed = packed.select("image_id", "thresh", *[F.col(f"h.{c}").alias(c) for c in ("hyp", "nx", "ny", "nz", "d")], F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b"))
+    dealt = points.select("image_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.pmod(F.xxhash64("x", "y", "z"), F.lit(BLOCKS)).cast("int").alias("_b"))
+
+    def count(mine: pa.Table, planes: pa.Table) -> pa.Table:
+        out = {"image_id": [], "hyp": [], "n": []}
+        x, y, z = (mine[c].to_numpy() for c in "xyz")
+        for row in planes.to_pylist() if len(x) else []:
+            nx, ny, nz, d = (np.array(row[c], float)[:, None] for c in ("nx", "ny", "nz", "d"))
+            for at in range(0, len(nx), STRIP):
+                part = slice(at, at + STRIP)
+                near = np.abs(nx[part] * x + ny[part] * y + nz[part] * z + d[part]) < row["thresh"]
+                out["n"] += near.sum(axis=1).tolist()
+            out["hyp"] += row["hyp"]
+            out["image_id"] += [row["image_id"]] * len(row["hyp"])
+        return pa.table({"image_id": pa.array(out["image_id"], mine.schema.field("image_id").type), "hyp": pa.array(out["hyp"], planes.schema.field("hyp").type.value_type), "n": pa.array(out["n"], pa.int64())})
+
+    counts = dealt.groupBy("image_id", "_b").cogroup(packed.groupBy("image_id", "_b")).applyInArrow(count, f"image_id {image}, hyp {hyp}, n long")
+    return counts.groupBy("image_id", "hyp").agg(F.sum("n").alias("inliers"))
 
 
 def plane_hypotheses(points: DataFrame, iters: int) -> DataFrame:
-    """Planes through ``iters`` triples of each image's points, picked by hash. points have pt from 0."""
-    n = points.groupBy("image_id").agg(F.count("*").alias("n"))
-    picks = n.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("hyp"), "n").select("image_id", "hyp", F.posexplode(F.array(*[F.pmod(F.xxhash64("image_id", "hyp", F.lit(k)), F.col("n")) for k in range(3)])).alias("k", "pt"))
+    """Planes through ``iters`` triples of each image's points, picked by hash without replacement; triples whose normal is shorter than
+    1e-8 give none. points have pt from 0, three of them at least."""
+    n = points.groupBy("image_id").agg(F.count("*").alias("n")).where("n >= 3")
+    draws = n.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("hyp"), "n")
+    a, b, c = (F.pmod(F.xxhash64("image_id", "hyp", F.lit(k)), F.col("n") - k) for k in range(3))
+    draws = draws.withColumns({"_a": a, "_b": b, "_c": c})
+    # the second skips the first, the third skips both in order
+    draws = draws.withColumn("_b", F.col("_b") + (F.col("_b") >= F.col("_a")).cast("int"))
+    low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
+    draws = draws.withColumn("_c", F.col("_c") + (F.col("_c") >= low).cast("int")).withColumn("_c", F.col("_c") + (F.col("_c") >= high).cast("int"))
+    picks = draws.select("image_id", "hyp", F.posexplode(F.array("_a", "_b", "_c")).alias("k", "pt"))
     rows = picks.join(points, ["image_id", "pt"]).groupBy("image_id", "hyp").agg(*[F.max(F.when(F.col("k") == k, F.struct("x", "y", "z"))).alias(f"p{k}") for k in range(3)])
     u = [F.col(f"p1.{c}") - F.col(f"p0.{c}") for c in "xyz"]
     v = [F.col(f"p2.{c}") - F.col(f"p0.{c}") for c in "xyz"]
     w = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    rows = rows.select("image_id", "hyp", "p0", *[x.alias(f"w{c}") for x, c in zip(w, "xyz", strict=True)]).withColumn("_n", F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2 + F.col("wz") ** 2)).where("_n > 1e-9")
+    rows = rows.select("image_id", "hyp", "p0", *[x.alias(f"w{c}") for x, c in zip(w, "xyz", strict=True)]).withColumn("_n", F.sqrt(F.col("wx") ** 2 + F.col("wy") ** 2 + F.col("wz") ** 2)).where("_n >= 1e-8")
     rows = rows.select("image_id", "hyp", "p0", *[(F.col(f"w{c}") / F.col("_n")).alias(f"n{c}") for c in "xyz"])
     return rows.select("image_id", "hyp", "nx", "ny", "nz", (-(F.col("nx") * F.col("p0.x") + F.col("ny") * F.col("p0.y") + F.col("nz") * F.col("p0.z"))).alias("d"))
 
@@ -210,7 +244,7 @@ def fit_ground_plane(points: DataFrame, iters: int = 1000, min_inlier_ratio: flo
     hyps = settle(plane_hypotheses(ok, iters), "hypotheses")
     counts = plane_inlier_join(ok, hyps, thresholds)
     best = counts.groupBy("image_id").agg(F.max(F.struct(F.col("inliers"), (-F.col("hyp")).alias("h"))).alias("b")).select("image_id", F.col("b.inliers").alias("inliers"), (-F.col("b.h")).alias("hyp"))
-    top = settle(best.join(hyps, ["image_id", "hyp"]).join(thresholds, "image_id").join(coarse.select("image_id", F.col("n").alias("n_points")), "image_id").where(F.col("inliers") >= F.greatest(min_inlier_ratio * F.col("n_points"), F.lit(30))), "best")
+    top = settle(best.join(hyps, ["image_id", "hyp"]).join(thresholds, "image_id").join(coarse.select("image_id", F.col("n").alias("n_points")), "image_id").where(F.col("inliers") >= F.greatest(F.floor(min_inlier_ratio * F.col("n_points")), F.lit(30))), "best")
     inliers = ok.join(top.select("image_id", "nx", "ny", "nz", "d", "thresh"), "image_id").where(distance_to() < F.col("thresh")).select("image_id", "x", "y", "z")
     fine = fit_plane(inliers, ["image_id"]).select("image_id", *[F.col(c).alias(f"f_{c}") for c in ("nx", "ny", "nz", "d", "n")])
     out = coarse.join(fine, "image_id", "left")

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,33 +159,96 @@ def rectify_row_map(scale: DataFrame, height_px: int) -> DataFrame:
     return rows.select(*KEYS, "out_r", F.least(src, F.lit(height_px - 1.0)).alias("src_r"))
 
 
-def rectify_masks(mask_runs: DataFrame, assignment: DataFrame, edges: DataFrame, fit: DataFrame, width_px: int, height_px: int, target_width: int | None = None) -> tuple[DataFrame, DataFrame]:
+def strip_rows(line: dict, height_px: int, max_stretch: float = 6.0) -> tuple[np.ndarray, ...]:
+    """Of one mask's strip: output row, nearest source row, left edge and source columns per output column. The same as
+    row_scale_cumsum and rectify_row_map say, as a prefix sum over an array."""
+    r = np.arange(height_px)
+    first, last, vy = 0, height_px - 1, -1e8
+    if line["n_valid"] >= 2:
+        first, last = line["first_row"], line["last_row"]
+        slope = line["a_left"] - line["a_right"]
+        if abs(slope) > 1e-6:
+            vy = (line["b_right"] - line["b_left"]) / slope
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = abs(last - vy) / np.abs(r - vy)
+    scale = np.where((r < first) | (r > last), 1.0, np.where(r == vy, max_stretch, np.minimum(ratio * ratio, max_stretch)))
+    cum = np.cumsum(scale)
+    cum -= cum[0]
+    whole = np.ceil(np.floor(cum * 1e9 + 0.5) / 1e9).astype(np.int64)
+    stop = np.append(whole[1:], whole[-1] + 1)  # the last row makes the last output row
+    counts = np.maximum(stop - whole, 0)
+    src = np.repeat(r, counts)
+    out_r = np.repeat(whole, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    nxt = np.append(cum[1:], np.nan)
+    part = np.divide(out_r - cum[src], nxt[src] - cum[src], out=np.zeros(len(src)), where=(nxt[src] - cum[src]) > 0)
+    at = np.minimum(src + part, height_px - 1.0)
+    if line["_n"] < 2:
+        left, right = np.full(len(at), float(line["_l"])), np.full(len(at), float(line["_r"]))
+    else:
+        left, right = line["a_left"] * at + line["b_left"], line["a_right"] * at + line["b_right"]
+    ok = right > left
+    return out_r[ok], np.rint(at[ok]).astype(np.int64), left[ok], (right[ok] - left[ok]) / line["target_w"]
+
+
+def merged_runs(key: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of overlapping or touching runs of equal keys."""
+    order = np.lexsort((c1, c0, key))
+    key, c0, c1 = key[order], c0[order], c1[order]
+    wide = np.int64(max(int(c1.max(initial=0)) - int(c0.min(initial=0)) + 3, 3))
+    place = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) * wide if len(key) else key
+    reach = np.maximum.accumulate(c1 + place)
+    first = np.flatnonzero(np.concatenate(([True], c0[1:] + place[1:] > reach[:-1] + 1))) if len(key) else np.empty(0, np.int64)
+    return key[first], c0[first], np.maximum.reduceat(c1, first) if len(first) else c1
+
+
+def rectify_masks(mask_runs: DataFrame, assignment: DataFrame, edges: DataFrame, fit: DataFrame | None, width_px: int, height_px: int, target_width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Sidewalks and their obstacles warped to straight strips, as runs; and each strip's target width and padding.
 
     edges: extrapolated edges; assignment: image_id, obstacle_key, sidewalk_key. Run ends map to the columns whose
-    nearest source pixel lies in the run."""
+    nearest source pixel lies in the run. A sidewalk's runs and those of its obstacles meet its one row of figures in a cogroup, and
+    its strip's rows exist only there, as arrays."""
     ok = edges.where("valid")
-    dims = ok.groupBy(*KEYS).agg(F.percentile(F.col("right") - F.col("left"), F.lit(0.5)).alias("_w"), F.min("r").alias("first_row"), F.max("r").alias("last_row"), F.count("*").alias("_n"), F.min_by("left", "r").alias("_l"), F.min_by("right", "r").alias("_r"))
-    dims = dims.where("_w >= 1").withColumn("target_w", F.greatest(F.lit(1), F.bround("_w").cast("int")) if target_width is None else F.lit(target_width))
-    dims = dims.withColumn("pad", F.floor(F.col("target_w") * 0.3).cast("int"))
-    refit = ok.groupBy(*KEYS).agg(F.regr_slope("left", "r").alias("a_left"), F.regr_intercept("left", "r").alias("b_left"), F.regr_slope("right", "r").alias("a_right"), F.regr_intercept("right", "r").alias("b_right"), F.count("*").alias("n_valid")) if fit is None else fit
-    lines = refit.join(dims.select(*KEYS, "target_w", "pad", "_n", "_l", "_r"), KEYS)
-    one = F.col("_n") < 2
-    lines = lines.select(*KEYS, "target_w", "pad", F.when(one, 0.0).otherwise(F.col("a_left")).alias("al"), F.when(one, F.col("_l")).otherwise(F.col("b_left")).alias("bl"), F.when(one, 0.0).otherwise(F.col("a_right")).alias("ar"), F.when(one, F.col("_r")).otherwise(F.col("b_right")).alias("br"))
-    scale = row_scale_cumsum(refit, dims.select(*KEYS, "first_row", "last_row"), height_px)
-    rows = rectify_row_map(scale, height_px).join(lines, KEYS)
-    # the lines are straight, so the edge at a fractional row is the line's value there
-    rows = rows.withColumns({"_left": F.col("al") * F.col("src_r") + F.col("bl"), "_right": F.col("ar") * F.col("src_r") + F.col("br")})
-    rows = rows.where("_right > _left").withColumn("_s", (F.col("_right") - F.col("_left")) / F.col("target_w"))
-    rows = rows.select("image_id", F.col("mask_key").alias("sidewalk_key"), "out_r", F.bround("src_r").cast("int").alias("r"), "_left", "_s", "pad", "target_w")
-    own = mask_runs.where("class_name = 'sidewalk'").select("image_id", F.col("mask_key").alias("sidewalk_key"), "mask_key", "class_name", "r", "c0", "c1")
-    other = mask_runs.join(assignment.select("image_id", F.col("obstacle_key").alias("mask_key"), "sidewalk_key"), ["image_id", "mask_key"]).select(*own.columns)
-    both = merge_runs(own.unionByName(other), ["image_id", "sidewalk_key", "mask_key", "class_name", "r"])
-    warped = rows.join(both, ["image_id", "sidewalk_key", "r"])
-    o0 = F.greatest(F.lit(0), F.ceil((F.col("c0") - 0.5 - F.col("_left")) / F.col("_s") + F.col("pad")).cast("int"))
-    o1 = F.least(F.col("target_w") + 2 * F.col("pad") - 1, F.floor((F.col("c1") + 0.5 - F.col("_left")) / F.col("_s") + F.col("pad")).cast("int"))
-    out = warped.withColumns({"o0": o0, "o1": o1}).where("o0 <= o1").select("image_id", "sidewalk_key", "mask_key", "class_name", "out_r", "o0", "o1")
-    return out, dims.select("image_id", F.col("mask_key").alias("sidewalk_key"), "target_w", "pad", (F.col("target_w") + 2 * F.col("pad")).alias("out_width"))
+    figures = [F.percentile(F.col("right") - F.col("left"), F.lit(0.5)).alias("_w"), F.min("r").alias("first_row"), F.max("r").alias("last_row"), F.count("*").alias("_n"), F.min_by("left", "r").alias("_l"), F.min_by("right", "r").alias("_r")]
+    if fit is None:
+        figures += [f("left", "r").alias(f"{n}_left") for n, f in (("a", F.regr_slope), ("b", F.regr_intercept))] + [f("right", "r").alias(f"{n}_right") for n, f in (("a", F.regr_slope), ("b", F.regr_intercept))] + [F.count("*").alias("n_valid")]
+    lines = ok.groupBy(*KEYS).agg(*figures).where("_w >= 1").withColumn("target_w", F.greatest(F.lit(1), F.bround("_w").cast("int")) if target_width is None else F.lit(target_width))
+    lines = settle((lines if fit is None else lines.join(fit, KEYS)).withColumn("pad", F.floor(F.col("target_w") * 0.3).cast("int")).withColumnRenamed("mask_key", "sidewalk_key"), "lines")
+    columns = ["image_id", "sidewalk_key", "mask_key", "class_name", "r", "c0", "c1"]
+    own = mask_runs.where("class_name = 'sidewalk'").withColumn("sidewalk_key", F.col("mask_key")).select(*columns)
+    other = mask_runs.join(assignment.select("image_id", F.col("obstacle_key").alias("mask_key"), "sidewalk_key"), ["image_id", "mask_key"]).select(*columns)
+    kinds = {n: mask_runs.schema[n].dataType.simpleString() for n in ("image_id", "mask_key", "class_name")}
+
+    def warp(line: pa.Table, runs: pa.Table) -> pa.Table:
+        runs = runs.sort_by("mask_key")
+        names = runs["mask_key"].combine_chunks().dictionary_encode() if runs.num_rows else None
+        source, out_r, o0, o1 = (np.empty(0, np.int64) for _ in range(4))
+        if line.num_rows and names is not None:
+            own = line.to_pylist()[0]
+            rows, near, left, s = strip_rows(own, height_px)
+            order = np.argsort(near, kind="stable")
+            rows, near, left, s = rows[order], near[order], left[order], s[order]
+            code = names.indices.to_numpy().astype(np.int64)
+            r, c0, c1 = (runs[c].to_numpy().astype(np.int64) for c in ("r", "c0", "c1"))
+            inside = (r >= 0) & (r < height_px)
+            key, c0, c1 = merged_runs((code * height_px + r)[inside], c0[inside], c1[inside])
+            begin, end = np.searchsorted(near, key % height_px, "left"), np.searchsorted(near, key % height_px, "right")
+            n = end - begin
+            run = np.repeat(np.arange(len(key)), n)
+            at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pad, most = own["pad"], own["target_w"] + 2 * own["pad"] - 1
+            o0 = np.maximum(np.ceil((c0[run] - 0.5 - left[at]) / s[at] + pad), 0).astype(np.int64)
+            o1 = np.minimum(np.floor((c1[run] + 0.5 - left[at]) / s[at] + pad), most).astype(np.int64)
+            some = o0 <= o1
+            first_of = np.searchsorted(code, np.arange(len(names.dictionary)))
+            source, out_r, o0, o1 = first_of[key[run] // height_px][some], rows[at][some], o0[some], o1[some]
+        picked = runs.select(["image_id", "sidewalk_key", "mask_key", "class_name"]).take(pa.array(source))
+        for n, v in (("out_r", out_r), ("o0", o0), ("o1", o1)):
+            picked = picked.append_column(n, pa.array(v.astype(np.int32)))
+        return picked
+
+    keys = ("image_id", "sidewalk_key")
+    out = lines.groupBy(*keys).cogroup(own.unionByName(other).groupBy(*keys)).applyInArrow(warp, f"image_id {kinds['image_id']}, sidewalk_key {kinds['mask_key']}, mask_key {kinds['mask_key']}, class_name {kinds['class_name']}, out_r int, o0 int, o1 int")
+    return out, lines.select(*keys, "target_w", "pad", (F.col("target_w") + 2 * F.col("pad")).alias("out_width"))
 
 
 # ---------------------------------------------------------------- obstacles

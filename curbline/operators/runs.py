@@ -5,6 +5,11 @@ over images and rows and no run meets one of another line."""
 
 from __future__ import annotations
 
+import heapq
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,15 +69,59 @@ def mask_union_area(mask_runs: DataFrame) -> DataFrame:
     return merge_runs(mask_runs, ["image_id", "r"]).groupBy("image_id").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("union_px"))
 
 
+def layer_sweep(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(c0, c1, place) of the last-drawn run at each column; runs are (c0, c1, draw order, place). A sweep from left to right that
+    carries the open runs in a heap, so that a line of k runs costs k log k."""
+    out: list[tuple[int, int, int]] = []
+    open_runs: list[tuple[int, int, int]] = []
+    todo = sorted(runs)
+    at = i = 0
+    while i < len(todo) or open_runs:
+        if not open_runs:
+            at = max(at, todo[i][0])
+        while i < len(todo) and todo[i][0] <= at:
+            heapq.heappush(open_runs, (-todo[i][2], todo[i][1], todo[i][3]))
+            i += 1
+        while open_runs and open_runs[0][1] < at:
+            heapq.heappop(open_runs)
+        if not open_runs:
+            continue
+        _, end, place = open_runs[0]
+        if i < len(todo):
+            end = min(end, todo[i][0] - 1)
+        out.append((at, end, place))
+        at = end + 1
+    return out
+
+
 def silhouette_layers(layers: DataFrame) -> DataFrame:
-    """Runs of the last-drawn layer at each pixel. layers: image_id, r, c0, c1, layer, draw_order (one per layer)."""
-    keys = ["image_id", "r"]
-    runs = merge_runs(layers, [*keys, "layer", "draw_order"])
-    cuts = runs.select(*keys, F.explode(F.array(F.col("c0"), F.col("c1") + 1)).alias("x")).distinct()
-    spans = cuts.select(*keys, F.col("x").alias("c0"), (F.lead("x").over(W.partitionBy(*keys).orderBy("x")) - 1).alias("c1")).where("c1 is not null")
-    over = spans.alias("s").join(runs.alias("u"), (F.col("s.image_id") == F.col("u.image_id")) & (F.col("s.r") == F.col("u.r")) & (F.col("u.c0") <= F.col("s.c0")) & (F.col("u.c1") >= F.col("s.c1")))
-    top = over.groupBy(F.col("s.image_id").alias("image_id"), F.col("s.r").alias("r"), F.col("s.c0").alias("c0"), F.col("s.c1").alias("c1")).agg(F.max_by("u.layer", "u.draw_order").alias("layer"))
-    return merge_runs(top, [*keys, "layer"])
+    """Runs of the last-drawn layer at each pixel. layers: image_id, r, c0, c1, layer, draw_order (one per layer).
+
+    Each image's rows come together once; a sweep over each row's runs keeps what is on top."""
+    kinds = {n: layers.schema[n].dataType.simpleString() for n in ("image_id", "r", "layer")}
+
+    def top(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        r = table["r"].to_numpy()
+        columns = zip(table["c0"].to_pylist(), table["c1"].to_pylist(), table["draw_order"].to_pylist(), range(len(r)), strict=True)
+        rows, names = list(columns), table["layer"].to_pylist()
+        lines = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))).tolist() if len(r) else []
+        made: list[tuple[int, int, int]] = []
+        for a, b in pairwise([*lines, len(r)]):
+            last = None
+            for c0, c1, place in layer_sweep(rows[a:b]):
+                if last is not None and names[last[2]] == names[place] and last[1] + 1 == c0:
+                    last = made[-1] = (last[0], c1, place)
+                else:
+                    last = (c0, c1, place)
+                    made.append(last)
+        places = pa.array([p for _, _, p in made], pa.int64())
+        picked = table.select(["image_id", "r", "layer"]).take(places)
+        return picked.append_column("c0", pa.array([c for c, _, _ in made], pa.int32())).append_column("c1", pa.array([c for _, c, _ in made], pa.int32()))
+
+    rows = layers.select("image_id", "r", F.col("c0").cast("int"), F.col("c1").cast("int"), "layer", F.col("draw_order").cast("long")).where("c0 <= c1")
+    fields = ", ".join(f"{n} {k}" for n, k in kinds.items())
+    return rows.groupBy("image_id").applyInArrow(top, f"{fields}, c0 int, c1 int")
 
 
 def pixels_to_runs(pixels: DataFrame, keys: list[str], pos: str) -> DataFrame:
