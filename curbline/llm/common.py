@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import CLEAN_UP, drop_settled, fresh_path, settle, shared_dir  # noqa: F401
+from ..scratch import CLEAN_UP, delete, drop_settled, fresh_path, settle, shared_dir  # noqa: F401
 
 #: Words are maximal runs of anything but these ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like settle, in buckets by ``key``: later joins on it leave this side where it is."""
+def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Like settle, in buckets by ``key``: later joins on it leave this side where it is. Also gives what drops the table and its entry in
+    the catalog. No more buckets are asked for than Spark allows; a bucket then holds several groups, which joins read one after the other."""
     spark = df.sparkSession
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     path = fresh_path(spark, name)
     table_name = path.rsplit("/", 1)[1].replace("-", "_")
     before = spark.conf.get(CLEAN_UP, None)
@@ -32,7 +34,12 @@ def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.table(table_name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        delete(spark, path)
+
+    return spark.table(table_name), drop
 
 
 def n_parts(df: DataFrame, column: str, bytes_each: int) -> int:

@@ -416,7 +416,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of whole texts)."""
     kind = docs.schema[key].dataType.simpleString()
     groups = n_parts(docs, text, GROUP_BYTES)
-    blocks = settle_by(read_blocks(docs.select(column(key).alias("key"), column(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))), "lm-blocks", "block", groups)
+    blocks, drop_blocks = settle_by(read_blocks(docs.select(column(key).alias("key"), column(text).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))), "lm-blocks", "block", groups)
 
     def ask_counts(batches):
         for batch in batches:
@@ -453,7 +453,7 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 mixed = {"words": [pack_sorted(block.vocab[used])], "codes": [pack_sorted((u * len(used) + v).astype(np.uint64))], "counts": [pack_counts(c)], "shared": [pack(flag[own] == SHARED)]}
                 yield pa.RecordBatch.from_pydict({"block": part["block"]} | mixed | {"own": [pack(own)], "seen": [pack_counts(seen)]} | sums_of)
 
-    pairs = settle_by(known.mapInArrow(own_of, PAIRS + ", own binary, seen binary, types long, trained long, once long, twice long"), "lm-pairs", "block", groups)
+    pairs, drop_pairs = settle_by(known.mapInArrow(own_of, PAIRS + ", own binary, seen binary, types long, trained long, once long, twice long"), "lm-pairs", "block", groups)
     drop_settled(counted)
     types, tokens, once, twice = (x or 0 for x in pairs.agg(*[F.sum(c) for c in ("types", "trained", "once", "twice")]).first())
     corpus = Corpus(tokens, types, min(0.95, max(0.1, once / max(1, once + 2 * twice))))
@@ -522,7 +522,11 @@ def score_language_model(docs: DataFrame, held: F.Column, key: str = "doc_id", t
                 })
 
     parts = blocks.join(pairs.select("block", "own", "seen"), "block").join(seats.select("block", "total"), "block").join(by_block(given, "given"), "block", "left")
-    return parts.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = settle(parts.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    drop_settled(seats, given)
+    drop_blocks()
+    drop_pairs()
+    return scores
 
 
 # ---------------------------------------------------------------- sweeps
