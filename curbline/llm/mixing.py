@@ -94,21 +94,23 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     groups = docs.select(*[c.alias(k) for k, c in alike.items()]).groupBy(*alike).agg(F.count("*").alias("n"))
     placed = place_groups(groups.withColumn("_salt", F.pmod(F.xxhash64("__m_k", "__m_h"), F.lit(SALTS))).withColumnRenamed("__m_s", "_s"), ["__m_k", "__m_h"])
     placed = placed.select(F.struct("__m_k", "_s", "size", "__m_h").alias("__m_pick"), F.col("rank").alias("__m_rank"), F.col("rate").alias("__m_rate"), F.col("offset").alias("__m_offset"))
-    rows = docs.withColumn("__m_key", F.struct(*[c.alias("_s" if k == "__m_s" else k) for k, c in alike.items()]))
-    rows = rows.withColumn("__m_no", F.row_number().over(W.partitionBy("__m_key").orderBy(F.xxhash64(*[column(n) for n in names]))) - 1)
+    # a row travels as one struct, so that no name of a caller's column can clash with ours
+    rows = docs.select(F.struct(*[column(n) for n in names]).alias("__m_row"), F.struct(*[c.alias("_s" if k == "__m_s" else k) for k, c in alike.items()]).alias("__m_key"))
+    rows = rows.withColumn("__m_no", F.row_number().over(W.partitionBy("__m_key").orderBy(F.xxhash64("__m_row"))) - 1)
     both = rows.join(placed, F.col("__m_key") == F.col("__m_pick"))
     both = both.withColumn("__m_copies", copies_at(F.col("__m_rank") + F.col("__m_no"), F.col("__m_rate"), F.col("__m_offset"))).where("__m_copies > 0")
-    return both.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))).select(*[column(n) for n in names])
+    return both.withColumn("__m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))).select("__m_row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    chosen = choose_copies(docs, F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0)).cast("long"))
+    salt = F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.char_length("text") % SALTS, F.lit(0)).cast("long")  # rows without an id spread by their text's length
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"), salt.alias("salt"))
+    chosen = choose_copies(docs, F.col("salt"))
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, length(text) AS n_chars, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM p),
 f AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS a,
@@ -117,7 +119,7 @@ f AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS a,
 g AS (SELECT *, CAST(a - t AS DOUBLE) * weight > CAST(3 * source_size AS DOUBLE) * l AS capped FROM f),
 h AS (SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE) ELSE
   CAST(a - CAST(coalesce(sum(CASE WHEN capped THEN 3 * source_size END) OVER (), 0) AS BIGINT) AS DOUBLE) * weight / CAST(sum(CASE WHEN NOT capped THEN weight END) OVER () AS BIGINT) END AS target FROM g),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % 1024) + 1024) % 1024, 0), doc_id NULLS FIRST) - 1 AS DOUBLE) AS k FROM d),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, coalesce(((doc_id % 1024) + 1024) % 1024, n_chars % 1024, 0), doc_id NULLS FIRST) - 1 AS DOUBLE) AS k FROM d),
 j AS (SELECT r.doc_id, r.size, h.source_size, h.target, r.k, CASE WHEN h.source_size > 0 THEN h.target / h.source_size ELSE 0.0 END AS rate,
   CAST(('0x' || substr(md5('mix:' || coalesce(r.source, '')), 1, 6)) AS BIGINT) / 16777216.0 AS o
   FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source),

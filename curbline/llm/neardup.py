@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import WordHasher, mix64, n_parts, settle, slices, table, texts_of, window_hashes
+from .common import WordHasher, column, mix64, n_parts, settle, slices, table, texts_of, window_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -197,8 +197,8 @@ def verify(families: DataFrame, groups: int, threshold: float, kind: str) -> Dat
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of each row, written once, so that the numbers stay."""
-    return settle(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """Each row as one struct ``row`` beside a number, written once, so that the numbers stay; no name of a caller's column can clash with ours."""
+    return settle(docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias(ROW)), "rows")
 
 
 def row_classes(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
@@ -223,7 +223,7 @@ def row_classes(rows: DataFrame, key: str, text: str, threshold: float) -> DataF
 
 def every_row(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id and class_size of every row; a row without copies is its own class."""
-    rows = numbered(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
+    rows = numbered(docs.select(column(key).alias("id"), column(text).alias("text"))).select(ROW, "row.*")
     found = rows.select(ROW, "id").join(row_classes(rows, "id", "text", threshold).hint("merge"), ROW, "left")
     return found.select("id", F.when(F.col("lead").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
@@ -236,8 +236,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each class, its lead. Rows of texts without words stay."""
     rows = numbered(docs)
-    others = row_classes(rows, key, text, THRESHOLD).where(F.col(ROW) != F.col("lead")).select(ROW)
-    return rows.join(others.hint("merge"), ROW, "left_anti").select(docs.columns)
+    named = rows.select(ROW, F.col("row").getField(key).alias("id"), F.col("row").getField(text).alias("text"))
+    others = row_classes(named, "id", "text", THRESHOLD).where(F.col(ROW) != F.col("lead")).select(ROW)
+    return rows.join(others.hint("merge"), ROW, "left_anti").select("row.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, arrow_batch, ddl, mix64, n_parts, settle, slices, table, texts_of, window_hashes
+from .common import WordHasher, arrow_batch, column, ddl, mix64, n_parts, settle, slices, table, texts_of, window_hashes
 
 #: Every difference modulo 21 is a difference of two of these.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -37,7 +37,7 @@ FLUSH = 1 << 20  # hashes held in a task before rows are sent
 
 
 def doc_hash(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key).cast("string"), F.col(text))
+    return F.xxhash64(column(key).cast("string"), column(text))
 
 
 def covered(n: int) -> np.ndarray:
@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"windows need {PERIOD} words or more")
-    rows = docs.select(doc_hash(key, text).alias("k"), F.col(text).alias("text"))
+    rows = docs.select(doc_hash(key, text).alias("k"), column(text).alias("text"))
     groups = n_parts(docs, text, GROUP_BYTES)
 
     def anchors(batches):
@@ -195,7 +195,9 @@ def keep_words(text: str, parts, window: int = WINDOW) -> tuple[int, int, bytes]
 
 
 def with_windows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("__s_k", doc_hash(key, text)).join(found.select(F.col("k").alias("__s_k"), F.col("at").alias("__s_at")).hint("merge"), "__s_k", "left")
+    """``row`` (each row of ``docs`` as a struct, so that no name clashes with ours) and ``at`` (its repeated windows, null if none)."""
+    rows = docs.select(doc_hash(key, text).alias("k"), F.struct(*[column(c) for c in docs.columns]).alias("row"))
+    return rows.join(found.hint("merge"), "k", "left").select("row", "at")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +208,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         return pd.Series([t if p is None else keep_words(t, p)[2].decode() for p, t in zip(parts, texts, strict=True)], dtype=object)
 
     rewrite = F.pandas_udf(run, "string")
-    return with_windows(docs, found, key, text).withColumn(text, F.when(F.col("__s_at").isNull(), F.col(text)).otherwise(rewrite("__s_at", text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    old = F.col("row").getField(text)
+    new = F.when(F.col("at").isNull(), old).otherwise(rewrite("at", old))
+    return with_windows(docs, found, key, text).select(*[new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,9 +219,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def digest(batches):
         for batch in batches:
-            got = [keep_words(t, p) for t, p in zip(texts_of(batch["text"]), batch["__s_at"].to_pylist(), strict=True)]
+            got = [keep_words(t, p) for t, p in zip(texts_of(batch["text"]), batch["at"].to_pylist(), strict=True)]
             made = {"n_words": ([g[0] for g in got], pa.int64()), "n_removed": ([g[1] for g in got], pa.int64()), "kept_sha256": ([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())}
             yield arrow_batch({"doc_id": batch["doc_id"]}, made)
 
     kind = ddl(docs, ("doc_id",))
-    return with_windows(docs, found, "doc_id", "text").select("doc_id", "text", "__s_at").mapInArrow(digest, f"{kind}, n_words long, n_removed long, kept_sha256 string")
+    return with_windows(docs, found, "doc_id", "text").select("row.doc_id", "row.text", "at").mapInArrow(digest, f"{kind}, n_words long, n_removed long, kept_sha256 string")
