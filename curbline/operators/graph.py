@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -183,7 +183,8 @@ def chain_geometry(chains: DataFrame, nodes: DataFrame, edges: DataFrame | None
     return out.withColumn("length", polyline_length(F.col("geometry")))
 
 
-def polyline_length(g):
+def polyline_length(g: Column) -> Column:
+    """Length of an array of x, y."""
     legs = F.zip_with(F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0))), F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
     return F.aggregate(legs, F.lit(0.0), lambda s, x: s + x)
 

@@ -52,12 +52,14 @@ def resolve_nearest_folder(targets: DataFrame, folders: DataFrame) -> DataFrame:
     """The folder for each target (target_id, point_id, direction, preferred, lat, lon): its own if it has artifacts,
     else the nearest of the same point and direction by squared degrees, lexicographic on ties or without a place,
     else the preferred name or ``{point}_unknown_unknown``. folders: folder, point_id, direction."""
-    at = folders.select("point_id", "direction", "folder", parse_folder(F.col("folder")).alias("_g")).distinct()
+    at = folders.select("point_id", "direction", "folder").distinct().select("*", parse_folder(F.col("folder")).alias("_g"))
     rows = targets.join(at, ["point_id", "direction"], "left")
     d = F.pow(F.col("_g.lat") - F.col("lat"), 2) + F.pow(F.col("_g.lon") - F.col("lon"), 2)
     dist = F.when(F.col("lat").isNull() | F.col("lon").isNull(), 0.0).otherwise(F.coalesce(d, F.lit(float("inf"))))
-    rows = rows.withColumns({"_exact": F.coalesce(F.col("folder") == F.col("preferred"), F.lit(False)), "_dist": dist})
-    best = first_per(rows, ["target_id"], [F.desc("_exact"), F.col("_dist"), F.col("folder")])
+    # the least struct is found before rows are shuffled, so that a target's many folders don't meet
+    other = F.coalesce(F.col("folder") != F.col("preferred"), F.lit(True))
+    found = F.struct(other.alias("other"), dist.alias("dist"), "folder")
+    best = rows.groupBy("target_id").agg(F.min(found).alias("_b"), F.any_value("preferred").alias("preferred"), F.any_value("point_id").alias("point_id")).select("target_id", "preferred", "point_id", "_b.folder")
     return best.select("target_id", F.coalesce("folder", "preferred", F.concat(F.col("point_id").cast("string"), F.lit("_unknown_unknown"))).alias("folder"), F.col("folder").isNotNull().alias("found"))
 
 

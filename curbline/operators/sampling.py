@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from ..functions.geo import bearing, camera_heading, project_metric, unproject_w
 from ..functions.names import capture_key
 from ..scratch import settle
 from .filters import filter_area_polygon, filter_min_length, first_per
-from .graph import canonical_direction, chain_decompose, chain_geometry, dedupe_parallel_edges, node_degree, sequence_ids
+from .graph import canonical_direction, chain_decompose, chain_geometry, dedupe_parallel_edges, node_degree, polyline_length, sequence_ids
 
 INTERVAL_M, INTERVAL_M_V1 = 30.0, 15.0
 #: Camera views of the newer and the older sampler: label, offset from the street's bearing, pitch.
@@ -63,14 +63,24 @@ def cross_camera_views(points: DataFrame, views: list[tuple[str, float, float]]
     return rows.withColumn("heading", camera_heading(F.col("bearing"), F.col("offset")))
 
 
+def metric_shapes(edges: DataFrame, zone: DataFrame) -> DataFrame:
+    """edge_id, u and geometry in metres (x, y) of edges whose ``geometry`` is an array of lon, lat from u to v; ``zone`` is one row."""
+    def place(p: Column) -> Column:
+        return project_metric(p["lon"], p["lat"], F.col("zone"))
+
+    return edges.crossJoin(F.broadcast(zone)).select("edge_id", "u", F.transform("geometry", place).alias("geometry"))
+
+
 def segments_of(nodes: DataFrame, edges: DataFrame, min_m: float = 1.0, legacy_flags: bool = False) -> DataFrame:
-    """Maximal chains as segments: segment_id, geometry (metric), length, junction flags, street name."""
+    """Maximal chains as segments: segment_id, geometry (metric), length, junction flags, street name. Edges may have a ``geometry`` (an array
+    of lon, lat from u to v, null where the edge is straight)."""
     simple = dedupe_parallel_edges(edges)
     degree = node_degree(simple)
     zone = nodes.agg(zone_of(F.avg("lon")).alias("zone"))  # one row
     metric = nodes.crossJoin(F.broadcast(zone)).withColumn("_p", project_metric(F.col("lon"), F.col("lat"), F.col("zone")))
     chains = settle(chain_decompose(simple), "chains")
-    shapes = chain_geometry(chains, metric.select("node_id", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")))
+    own = metric_shapes(simple, zone) if "geometry" in simple.columns else None
+    shapes = chain_geometry(chains, metric.select("node_id", F.col("_p.x").alias("x"), F.col("_p.y").alias("y")), own)
     names = chains.join(simple.select("edge_id", "name"), "edge_id")
     heads = names.groupBy("chain_id").agg(F.min_by("u", "pos").alias("start_node"), F.max_by("v", "pos").alias("end_node"), F.min_by("name", F.when(F.col("name").isNotNull(), F.col("pos"))).alias("name"))
     kinds = degree.select(F.col("node").alias("start_node"), F.col("is_junction").alias("start_is_junction"))
@@ -115,11 +125,14 @@ def nth_longest_edge(edges: DataFrame, edge_index: int = 0) -> DataFrame:
 
 
 def sample_edges_v1(nodes: DataFrame, edges: DataFrame, interval_m: float = INTERVAL_M_V1, edge_index: int = 0, sample_all: bool = False) -> DataFrame:
-    """Points on every edge by itself, or on the one at a place by length. nodes have metric x and y."""
+    """Points on every edge by itself, or on the one at a place by length. nodes have metric x and y, and edges may have a ``geometry``
+    (an array of x, y from u to v, null where the edge is straight). Edges without length give no points."""
     rows = edges if sample_all else nth_longest_edge(edges, edge_index)
     a = nodes.select(F.col("node_id").alias("u"), F.struct("x", "y").alias("_a"))
     b = nodes.select(F.col("node_id").alias("v"), F.struct("x", "y").alias("_b"))
-    segs = rows.join(a, "u").join(b, "v").select(F.col("edge_id").alias("segment_id"), F.array("_a", "_b").alias("geometry"), F.hypot(F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")).alias("length"))
+    straight = F.array("_a", "_b")
+    shape = F.when(F.size("geometry") >= 2, F.col("geometry")).otherwise(straight) if "geometry" in edges.columns else straight
+    segs = rows.join(a, "u").join(b, "v").select(F.col("edge_id").alias("segment_id"), shape.alias("geometry")).withColumn("length", polyline_length(F.col("geometry"))).where("length > 0")
     vertices = segs.select("segment_id", F.posexplode("geometry").alias("pos", "_g")).select("segment_id", "pos", "_g.x", "_g.y")
     return linear_reference(vertices, sample_along(segs, interval_m))
 

@@ -30,7 +30,8 @@ def parsed(d):
 
 
 def written_png(rows: "DataFrame", folder: str) -> "DataFrame":
-    """Write one grey PNG for each row (path, height, width, spans of [line, first, last, value]) and give the paths."""
+    """Write one PNG for each row (path, height, width, spans of [line, first, last, value]) and give the paths. A further column
+    ``kind`` makes it other than grey: green or red of that value, or a file that ends early."""
 
     def run(batches):
         import struct
@@ -42,12 +43,15 @@ def written_png(rows: "DataFrame", folder: str) -> "DataFrame":
 
         fs, root = pafs.FileSystem.from_uri(folder)
         for pdf in batches:
-            for path, h, w, spans in pdf.itertuples(index=False):
+            for path, h, w, spans, *kind in pdf.itertuples(index=False):
+                kind = kind[0] if kind else "grey"
                 grid = np.zeros((h, w), np.uint8)
                 for line, first, last, value in spans:
                     grid[line, first : last + 1] = value
-                raw = zlib.compress(np.pad(grid, ((0, 0), (1, 0))).tobytes(), 1)
-                chunks = [(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)), (b"IDAT", raw), (b"IEND", b"")]
+                if kind in ("red", "green"):
+                    grid = np.stack([grid * (kind == c) for c in ("red", "green", "blue")], axis=2).reshape(h, 3 * w)
+                raw = zlib.compress(np.pad(grid, ((0, 0), (1, 0))).tobytes(), 1)[: 20 if kind == "cut" else None]
+                chunks = [(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if kind in ("red", "green") else 0, 0, 0, 0)), (b"IDAT", raw), (b"IEND", b"")]
                 fs.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
                 with fs.open_output_stream(f"{root}/{path}") as out:
                     out.write(b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x)) for k, x in chunks))
@@ -77,24 +81,29 @@ def _(d):
     return readers.scan_image_objects(d.spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-@query("scan_mask_runs", """WITH c AS (SELECT image_id, class_name, r, c0, c1, max(c1) OVER (PARTITION BY image_id, class_name, r ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_mask_runs),
+@query("scan_mask_runs", """WITH c AS (SELECT image_id, class_name, r, c0, c1, max(c1) OVER (PARTITION BY image_id, class_name, r ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_mask_runs WHERE class_name <> 'car' AND (class_name <> 'road' OR image_id % 4 <> 0)),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR c0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, class_name, r ORDER BY c0, c1) AS run FROM c)
-SELECT CAST(image_id AS VARCHAR) AS image, class_name, 480 AS height, 640 AS width, r, min(c0) AS c0, max(c1) AS c1 FROM n GROUP BY image_id, class_name, r, run""")
+SELECT CAST(image_id AS VARCHAR) AS image, class_name, 480 AS height, 640 AS width, r, min(c0) AS c0, max(c1) AS c1, '' AS error FROM n GROUP BY image_id, class_name, r, run
+UNION ALL SELECT DISTINCT CAST(image_id AS VARCHAR), class_name, 480, 640, -1, -1, -1, '' FROM fx_mask_runs WHERE class_name = 'car'
+UNION ALL SELECT DISTINCT CAST(image_id AS VARCHAR), class_name, -1, -1, -1, -1, -1, 'too few pixels' FROM fx_mask_runs WHERE class_name = 'road' AND image_id % 4 = 0""")
 def _(d):
+    """Trees in green (luma 150 of 255: above 127), cars in red (76: below), every fourth image's road cut short."""
     folder = d.scratch("masks")
-    rows = d.fx_mask_runs.groupBy("image_id", "class_name").agg(F.collect_list(F.array("r", "c0", "c1", F.lit(200))).alias("spans"))  # an image's runs
-    written_png(rows.select(F.concat_ws("/", F.lit("run"), F.col("image_id").cast("string"), F.col("class_name"), F.lit("mask.png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans"), folder).write.format("noop").mode("overwrite").save()
-    got = readers.scan_mask_runs(d.spark, folder)
-    return got.select(F.element_at(F.split("path", "/"), -3).alias("image"), "class_name", "height", "width", "r", "c0", "c1")
+    rows = d.fx_mask_runs.groupBy("image_id", "class_name").agg(F.collect_list(F.array("r", "c0", "c1", F.lit(255))).alias("spans"))  # an image's runs
+    kind = F.when(F.col("class_name") == "tree", "green").when(F.col("class_name") == "car", "red").when((F.col("class_name") == "road") & (F.col("image_id") % 4 == 0), "cut").otherwise("grey")
+    written_png(rows.select(F.concat_ws("/", F.lit("run"), F.col("image_id").cast("string"), F.col("class_name"), F.lit("mask.png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans", kind.alias("kind")), folder).write.format("noop").mode("overwrite").save()
+    got = readers.scan_masks(d.spark, folder).na.fill(-1, ["height", "width", "r", "c0", "c1"]).na.fill("", ["error"])
+    return got.select(F.element_at(F.split("path", "/"), -3).alias("image"), "class_name", "height", "width", "r", "c0", "c1", "error")
 
 
-@query("scan_label_runs", """WITH c AS (SELECT image_id, label, x, y0, y1, max(y1) OVER (PARTITION BY image_id, label, x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fx_label_runs WHERE label = 'sidewalk'),
-n AS (SELECT *, sum(CASE WHEN reach IS NULL OR y0 > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, label, x ORDER BY y0, y1) AS run FROM c)
-SELECT CAST(image_id AS VARCHAR) AS image, label, x, min(y0) AS y0, max(y1) AS y1 FROM n GROUP BY image_id, label, x, run""")
+@query("scan_label_runs", """WITH p AS (SELECT image_id, x, max(CASE label WHEN 'sidewalk' THEN 1 ELSE 2 END) AS k, generate_series AS y FROM fx_label_runs, generate_series(y0, y1) GROUP BY image_id, x, y),
+n AS (SELECT *, y - row_number() OVER (PARTITION BY image_id, x, k ORDER BY y) AS run FROM p)
+SELECT CAST(image_id AS VARCHAR) AS image, CASE k WHEN 1 THEN 'sidewalk' ELSE 'road' END AS label, x, CAST(min(y) AS INTEGER) AS y0, CAST(max(y) AS INTEGER) AS y1 FROM n GROUP BY image_id, k, x, run""")
 def _(d):
+    """Both classes in one raster a file; where they overlap the road is drawn last."""
     folder = d.scratch("labels")
-    cells = d.fx_label_runs.where("label = 'sidewalk'").select("image_id", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
-    rows = cells.groupBy("image_id").agg(F.collect_set(F.array("y", "x", "x", F.lit(1))).alias("spans"))  # an image's pixels
+    cells = d.fx_label_runs.select("image_id", "x", F.when(F.col("label") == "sidewalk", 1).otherwise(2).alias("k"), F.explode(F.sequence("y0", "y1")).alias("y")).groupBy("image_id", "x", "y").agg(F.max("k").alias("k"))
+    rows = cells.groupBy("image_id").agg(F.collect_set(F.array("y", "x", "x", "k")).alias("spans"))  # an image's pixels
     written_png(rows.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans"), folder).write.format("noop").mode("overwrite").save()
     got = readers.scan_label_runs(d.spark, folder, {1: "sidewalk", 2: "road"})
     return got.select(F.regexp_extract("path", r"(\d+)\.png$", 1).alias("image"), "label", "x", "y0", "y1")

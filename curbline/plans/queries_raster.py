@@ -155,7 +155,22 @@ def _(d):
 # ---------------------------------------------------------------- streets
 
 
-@query("chain_decompose")
+#: A walk along halves from each that has none before it; rings are walked from each of their halves and cut at the smallest node.
+CHAINS = """s AS (SELECT edge_id, u, v FROM (SELECT *, row_number() OVER (PARTITION BY least(u, v), greatest(u, v) ORDER BY length DESC, edge_id) AS rn FROM fx_edges) WHERE rn = 1),
+dg AS (SELECT node FROM (SELECT u AS node FROM s UNION ALL SELECT v FROM s) GROUP BY node HAVING count(*) = 2),
+h AS (SELECT edge_id, u, v FROM s WHERE u <> v UNION ALL SELECT edge_id, v, u FROM s WHERE u <> v),
+nx AS (SELECT a.edge_id AS e, a.u AS eu, b.edge_id AS ne, b.u AS nu, b.v AS nv FROM h a JOIN dg ON dg.node = a.v JOIN h b ON b.u = a.v AND b.edge_id <> a.edge_id),
+w(se, su, edge_id, u, v, pos) AS (SELECT edge_id, u, edge_id, u, v, 0 FROM h WHERE NOT EXISTS (SELECT 1 FROM nx WHERE nx.ne = h.edge_id AND nx.nu = h.u)
+  UNION ALL SELECT w.se, w.su, nx.ne, nx.nu, nx.nv, w.pos + 1 FROM w JOIN nx ON nx.e = w.edge_id AND nx.eu = w.u),
+lw AS (SELECT se, su, arg_min(v, pos) AS sv, arg_max(edge_id, pos) AS le, arg_max(u, pos) AS lu, arg_max(v, pos) AS lv FROM w GROUP BY se, su),
+rh AS (SELECT h.* FROM h WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.edge_id = h.edge_id AND w.u = h.u)),
+r(se, su, edge_id, u, v, pos) AS (SELECT edge_id, u, edge_id, u, v, 0 FROM rh UNION ALL SELECT r.se, r.su, nx.ne, nx.nu, nx.nv, r.pos + 1 FROM r JOIN nx ON nx.e = r.edge_id AND nx.eu = r.u WHERE NOT (nx.ne = r.se AND nx.nu = r.su)),
+lr AS (SELECT se, su, arg_max(edge_id, pos) AS le, arg_max(u, pos) AS lu FROM r GROUP BY se, su HAVING su = min(u) QUALIFY row_number() OVER (PARTITION BY su ORDER BY arg_min(v, pos), se) = 1),
+ch AS (SELECT lw.le || '>' || lw.lu AS chain_id, w.pos, w.edge_id, w.u, w.v, false AS closed FROM w JOIN lw USING (se, su) WHERE (lw.su, lw.sv, lw.se) <= (lw.lv, lw.lu, lw.le)
+  UNION ALL SELECT lr.le || '>' || lr.lu, r.pos, r.edge_id, r.u, r.v, true FROM r JOIN lr USING (se, su))"""
+
+
+@query("chain_decompose", f"WITH RECURSIVE {CHAINS} SELECT * FROM ch")
 def _(d):
     return graph.chain_decompose(d.fx_edges)
 
@@ -165,14 +180,23 @@ def nodes(d):
     return ids.select("node_id", (40.96 + (F.col("node_id") % 10) * 0.0002 + F.floor(F.col("node_id") / 100) * 0.00001).alias("lat"), (29.04 + F.floor(F.col("node_id") % 1000 / 10) * 0.0003).alias("lon"))
 
 
-@query("chain_geometry")
+@query("chain_geometry", f"""WITH RECURSIVE {CHAINS},
+nd AS (SELECT node_id, (29.04::DOUBLE + floor(node_id % 1000 / 10.0::DOUBLE) * 0.0003::DOUBLE) * 84000 AS x, (40.96::DOUBLE + (node_id % 10) * 0.0002::DOUBLE + floor(node_id / 100.0::DOUBLE) * 0.00001::DOUBLE) * 111000 AS y FROM (SELECT u AS node_id FROM fx_edges UNION SELECT v FROM fx_edges)),
+lg AS (SELECT ch.chain_id, ch.edge_id % 3 = 0 AS bent, b.x - a.x AS dx, b.y - a.y AS dy FROM ch JOIN nd a ON a.node_id = ch.u JOIN nd b ON b.node_id = ch.v),
+ln AS (SELECT *, CASE WHEN bent THEN sqrt(pow(0.3::DOUBLE * dx + 0.25::DOUBLE * dy, 2) + pow(0.3::DOUBLE * dy - 0.25::DOUBLE * dx, 2)) + sqrt(pow(0.7::DOUBLE * dx - 0.25::DOUBLE * dy, 2) + pow(0.7::DOUBLE * dy + 0.25::DOUBLE * dx, 2)) ELSE sqrt(dx * dx + dy * dy) END AS len FROM lg)
+SELECT chain_id, CAST(1 + sum(CASE WHEN bent THEN 2 ELSE 1 END) AS INTEGER) AS points, round(sum(len), 3) AS length FROM ln GROUP BY chain_id""")
 def _(d):
     n = nodes(d).select("node_id", (F.col("lon") * 84000).alias("x"), (F.col("lat") * 111000).alias("y"))
-    g = graph.chain_geometry(graph.chain_decompose(d.fx_edges), n)
+    g = graph.chain_geometry(graph.chain_decompose(d.fx_edges), n, bent(d, "x", "y", n))
     return g.select("chain_id", F.size("geometry").alias("points"), F.round("length", 3).alias("length"))
 
 
-@query("greedy_nearest_order")
+@query("greedy_nearest_order", """WITH RECURSIVE pt AS (SELECT segment_id, point_id, pano_id, radians(latitude) AS la, radians(longitude) AS lo FROM fx_points WHERE status = 'OK'),
+g(segment_id, point_id, pano_id, la, lo, visit, seen) AS (SELECT segment_id, point_id, pano_id, la, lo, 0, [pano_id] FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY point_id) AS rn FROM pt) WHERE rn = 1
+  UNION ALL SELECT segment_id, point_id, pano_id, la, lo, visit, list_append(seen, pano_id) FROM (SELECT p.*, g.visit + 1 AS visit, g.seen,
+    row_number() OVER (PARTITION BY p.segment_id ORDER BY asin(sqrt(least(1.0::DOUBLE, pow(sin((p.la - g.la) / 2), 2) + cos(g.la) * cos(p.la) * pow(sin((p.lo - g.lo) / 2), 2)))), p.point_id) AS rn
+    FROM g JOIN pt p ON p.segment_id = g.segment_id WHERE NOT list_contains(g.seen, p.pano_id)) WHERE rn = 1)
+SELECT segment_id, point_id, pano_id, visit FROM g""")
 def _(d):
     p = d.fx_points.where("status = 'OK'").withColumn("idx", F.col("point_id"))
     return nearest.greedy_nearest_order(p, "segment_id").select("segment_id", "point_id", "pano_id", "visit")
@@ -181,16 +205,27 @@ def _(d):
 @query("sample_polygon")
 def _(d):
     box = [(40.9, 29.0), (41.2, 29.0), (41.2, 29.2), (40.9, 29.2)]
-    return sampling.sample_polygon(nodes(d), d.fx_edges, box)
+    return sampling.sample_polygon(nodes(d), bent(d, "lon", "lat", nodes(d)), box)
+
+
+def bent(d, x: str, y: str, of):
+    """Every third edge bends: its shape goes through a point 0.3 of the way along and a little aside. ``of``: places of the nodes."""
+    a, b = of.select(F.col("node_id").alias("u"), F.col(x).alias("ax"), F.col(y).alias("ay")), of.select(F.col("node_id").alias("v"), F.col(x).alias("bx"), F.col(y).alias("by"))
+    rows = d.fx_edges.join(a, "u").join(b, "v")
+    mid = F.struct((F.col("ax") + (F.col("bx") - F.col("ax")) * 0.3 + (F.col("by") - F.col("ay")) * 0.25).alias(x), (F.col("ay") + (F.col("by") - F.col("ay")) * 0.3 - (F.col("bx") - F.col("ax")) * 0.25).alias(y))
+    shape = F.array(F.struct(F.col("ax").alias(x), F.col("ay").alias(y)), mid, F.struct(F.col("bx").alias(x), F.col("by").alias(y)))
+    return rows.withColumn("geometry", F.when(F.col("edge_id") % 3 == 0, shape)).drop("ax", "ay", "bx", "by")
 
 
 @query("sample_edges_v1", """WITH n AS (SELECT DISTINCT node_id, CAST(node_id % 10 AS DOUBLE) * 20 AS x, CAST(floor(node_id / 10) AS DOUBLE) * 25 AS y FROM (SELECT u AS node_id FROM fx_edges UNION SELECT v FROM fx_edges)),
-s AS (SELECT e.edge_id, a.x, a.y, b.x AS x2, b.y AS y2, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS len FROM fx_edges e JOIN n a ON a.node_id = e.u JOIN n b ON b.node_id = e.v),
-t AS (SELECT *, unnest(list_distinct(list_append(list_filter([k * 15.0::DOUBLE FOR k IN generate_series(0, 60)], lambda q: q < len), len))) AS dd FROM s)
-SELECT edge_id AS segment_id, round(dd, 6) AS distance, round(x + CASE WHEN len > 0 THEN dd / len ELSE 0 END * (x2 - x), 6) AS x, round(y + CASE WHEN len > 0 THEN dd / len ELSE 0 END * (y2 - y), 6) AS y FROM t""")
+s0 AS (SELECT e.edge_id, a.x AS x1, a.y AS y1, b.x AS x3, b.y AS y3, CASE WHEN e.edge_id % 3 = 0 THEN a.x + (b.x - a.x) * 0.3::DOUBLE + (b.y - a.y) * 0.25::DOUBLE ELSE b.x END AS x2, CASE WHEN e.edge_id % 3 = 0 THEN a.y + (b.y - a.y) * 0.3::DOUBLE - (b.x - a.x) * 0.25::DOUBLE ELSE b.y END AS y2 FROM fx_edges e JOIN n a ON a.node_id = e.u JOIN n b ON b.node_id = e.v),
+s AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS l1, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) + sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) AS len FROM s0),
+t AS (SELECT *, unnest(list_distinct(list_append(list_filter([k * 15.0::DOUBLE FOR k IN generate_series(0, 400)], lambda q: q < len), len))) AS dd FROM s WHERE len > 0),
+f AS (SELECT *, CASE WHEN dd < l1 OR len = l1 THEN dd / l1 ELSE (dd - l1) / (len - l1) END AS q FROM t)
+SELECT edge_id AS segment_id, round(dd, 6) AS distance, round(CASE WHEN dd < l1 OR len = l1 THEN x1 + q * (x2 - x1) ELSE x2 + q * (x3 - x2) END, 6) AS x, round(CASE WHEN dd < l1 OR len = l1 THEN y1 + q * (y2 - y1) ELSE y2 + q * (y3 - y2) END, 6) AS y FROM f""")
 def _(d):
     n = d.fx_edges.select(F.explode(F.array("u", "v")).alias("node_id")).distinct().select("node_id", ((F.col("node_id") % 10).cast("double") * 20).alias("x"), (F.floor(F.col("node_id") / 10).cast("double") * 25).alias("y"))
-    s = sampling.sample_edges_v1(n, d.fx_edges, 15.0, sample_all=True)
+    s = sampling.sample_edges_v1(n, bent(d, "x", "y", n), 15.0, sample_all=True)
     return s.select("segment_id", F.round("distance", 6).alias("distance"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 

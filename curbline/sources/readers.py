@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import mask_key
 from ..schemas import DETECTION_DOCUMENT, MANIFEST, WIDTH_DOCUMENTS
+from .png import BadImage, first_sample, grey
 
 IMAGE = r"\.(jpe?g|png)$"
 
@@ -23,10 +27,6 @@ def scan_image_objects(spark: SparkSession, root: str) -> DataFrame:
     return only_images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
 
 
-def _rasters(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(root).select(F.col("image.origin").alias("path"), F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("ch"), F.col("image.data").alias("data"))
-
-
 def line_runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last column of each run of true values."""
     padded = np.zeros((grid.shape[0], grid.shape[1] + 2), np.int8)
@@ -36,32 +36,68 @@ def line_runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, c0, np.nonzero(edges == -1)[1] - 1
 
 
-def scan_mask_runs(spark: SparkSession, root: str, version: int = 2) -> DataFrame:
-    """Horizontal runs of mask images where grey is above 127: path, class_name, mask_key, height, width, r, c0, c1."""
+def _decoded(spark: SparkSession, root: str, found: Callable[[bytes], Iterator[dict]], fields: str) -> DataFrame:
+    """path, error and ``fields`` of the PNG files below a folder: what ``found`` makes of each, or one row that says why it can't be read."""
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
-        for pdf in batches:
-            for path, h, w, ch, data in pdf.itertuples(index=False):
-                grey = np.frombuffer(data, np.uint8).reshape(h, w, ch)[:, :, :3].mean(axis=2)
-                r, c0, c1 = line_runs(grey > 127)
-                yield pd.DataFrame({"path": path, "height": h, "width": w, "r": r.astype(np.int32), "c0": c0.astype(np.int32), "c1": c1.astype(np.int32)})
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                try:
+                    parts = [{"path": path, "error": None, **part} for part in found(content.as_py())]
+                except BadImage as e:
+                    parts = [{"path": path, "error": str(e)}]
+                for part in parts:
+                    n = max([len(v) for v in part.values() if isinstance(v, np.ndarray)], default=1)
+                    yield pd.DataFrame({c: part[c] if isinstance(part.get(c), np.ndarray) else [part.get(c)] * n for c in ("path", "error", *names)})
 
-    rows = _rasters(spark, root).mapInPandas(run, "path string, height int, width int, r int, c0 int, c1 int")
-    return rows.select("path", F.element_at(F.split("path", "/"), -2).alias("class_name"), mask_key(F.col("path"), version).alias("mask_key"), "height", "width", "r", "c0", "c1")
+    def arrow(batches):
+        schema = pa.schema([("path", pa.string()), ("error", pa.string()), *[(n, pa.string() if f.endswith("string") else pa.int32()) for n, f in zip(names, fields.split(", "), strict=True)]])
+        for pdf in run(batches):
+            yield pa.RecordBatch.from_pandas(pdf, schema=schema, preserve_index=False)
 
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][nN][gG]").load(root)
+    return files.select("path", "content").mapInArrow(arrow, f"path string, error string, {fields}")
 
-def scan_label_runs(spark: SparkSession, root: str, class_ids: dict[int, str]) -> DataFrame:
-    """Vertical runs of classes in label images (one channel): path, label, x, y0, y1."""
 
-    def run(batches):
-        for pdf in batches:
-            for path, h, w, ch, data in pdf.itertuples(index=False):
-                labels = np.frombuffer(data, np.uint8).reshape(h, w, ch)[:, :, 0]
-                for value, name in class_ids.items():
-                    x, y0, y1 = line_runs(labels.T == value)
-                    yield pd.DataFrame({"path": path, "label": name, "x": x.astype(np.int32), "y0": y0.astype(np.int32), "y1": y1.astype(np.int32)})
-
-    return _rasters(spark, root).mapInPandas(run, "path string, label string, x int, y0 int, y1 int")
+def scan_masks(spark: SparkSession, root: str, version: int = 2) -> DataFrame:
+    """Every mask file below a folder: path, error, class_name, mask_key, height, width, r, c0, c1. A row for each horizontal run of grey above 127
+    (colours by integer luma); a file without such pixels gives one row without a run, a file that can't be decoded one with the reason in ``error``. Spark lists no files of 0 bytes."""
+
+    def found(content: bytes):
+        g = grey(content)
+        r, c0, c1 = line_runs(g > 127)
+        yield {"height": g.shape[0], "width": g.shape[1], **({"r": r, "c0": c0, "c1": c1} if len(r) else {})}
+
+    rows = _decoded(spark, root, found, "height int, width int, r int, c0 int, c1 int")
+    return rows.select("path", "error", F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("class_name"), mask_key(F.col("path"), version).alias("mask_key"), "height", "width", "r", "c0", "c1")
+
+
+def scan_mask_runs(spark: SparkSession, root: str, version: int = 2) -> DataFrame:
+    """The runs of :func:`scan_masks`; settle that one to have the errors from the same reading."""
+    return scan_masks(spark, root, version).where("r is not null").drop("error")
+
+
+def scan_labels(spark: SparkSession, root: str, class_ids: dict[int, str]) -> DataFrame:
+    """Every label file below a folder: path, error, label, x, y0, y1. A row for each vertical run of a class (the first sample as stored); files without
+    any give one row without a run, files that can't be decoded one with the reason in ``error``."""
+
+    def found(content: bytes):
+        labels, some = first_sample(content), False
+        for value, name in class_ids.items():
+            x, y0, y1 = line_runs(labels.T == value)
+            if len(x):
+                some = True
+                yield {"label": name, "x": x, "y0": y0, "y1": y1}
+        if not some:
+            yield {}
+
+    return _decoded(spark, root, found, "label string, x int, y0 int, y1 int")
+
+
+def scan_label_runs(spark: SparkSession, root: str, class_ids: dict[int, str]) -> DataFrame:
+    """The runs of :func:`scan_labels`."""
+    return scan_labels(spark, root, class_ids).where("x is not null").drop("error")
 
 
 def place_in_files() -> Column:
