@@ -191,7 +191,7 @@ def plane_inlier_join(points: DataFrame, hypotheses: DataFrame, thresholds: Data
     hyp = hypotheses.schema["hyp"].dataType.simpleString()
     arrays = F.array_sort(F.collect_list(F.struct("hyp", "nx", "ny", "nz", "d")))
     packed = hypotheses.groupBy("image_id").agg(arrays.alias("h")).join(thresholds.select("image_id", "thresh"), "image_id")
-    packed = packed.select("image_id", "thresh", *[F.col(f"h.{c}").alias(c) for c in ("hyp", "nx", "ny", "nz", "d")], F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b"))
+    packed = packed.select(F.col("image_id").alias("image_id"), "thresh", *[F.col(f"h.{c}").alias(c) for c in ("hyp", "nx", "ny", "nz", "d")], F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b"))
     dealt = points.select("image_id", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.pmod(F.xxhash64("x", "y", "z"), F.lit(BLOCKS)).cast("int").alias("_b"))
 
     def count(mine: pa.Table, planes: pa.Table) -> pa.Table:

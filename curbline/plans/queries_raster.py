@@ -376,13 +376,13 @@ def _(d):
 
 @query("stream_reports", "SELECT point_id, direction, count(*) AS reports FROM fx_reports WHERE length(trim(description)) > 0 GROUP BY ALL")
 def _(d):
-    from ..streaming.reports import stream_reports
+    from ..streaming.reports import compact_reports, read_reports, stream_reports
 
     src, out, checkpoint = d.scratch("reports-in"), d.scratch("reports-out"), d.scratch("reports-checkpoint")
     d.fx_reports.select(F.col("point_id").alias("pointId"), "direction", "description", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")).write.json(src)
     stream_reports(d.spark, src, out, checkpoint).awaitTermination()
-    got = d.spark.read.schema("point_id string, direction string, description string").json(f"{out}/reports")
-    return got.groupBy("point_id", "direction").agg(F.count("*").alias("reports"))
+    compact_reports(d.spark, out, keep_batches=0)
+    return read_reports(d.spark, out).groupBy("point_id", "direction").agg(F.count("*").alias("reports"))
 
 
 JUNCTION_IMAGES = "im AS (SELECT s_suppkey AS image_id FROM supplier UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 4 = 0)"

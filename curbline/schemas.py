@@ -11,3 +11,4 @@ WIDTH_DOCUMENTS = {
     "alt": "source_image_blob string, point_id string, direction string, coordinate_folder string, lat string, lon string, heading string, status string, reason string, width_m double, n_cols int, processed_utc string",
 }
 REPORT = "pointId string, direction string, latitude double, longitude double, description string, timestamp string"
+STORED_REPORT = "point_id string, direction string, latitude double, longitude double, description string, timestamp string, received timestamp, key string"

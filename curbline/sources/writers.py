@@ -18,8 +18,15 @@ def sink_run_metadata(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)  # one row
 
 
+def in_few_files(df: DataFrame, *folders: str) -> DataFrame:
+    """Rows of a folder together, so that a small folder gets one file of a write; Spark splits a folder far larger than others."""
+    return df.hint("rebalance", *folders)
+
+
 def sink_segment_documents(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("coordinate_folder", "direction", "segment").json(path)
+    """JSON documents in folders by coordinates, direction and segment, a file a folder unless it is very large."""
+    folders = ("coordinate_folder", "direction", "segment")
+    in_few_files(df, *folders).write.mode("overwrite").partitionBy(*folders).json(path)
 
 
 def four(c: str) -> Column:
