@@ -335,12 +335,20 @@ def measure_width_points(label_runs: DataFrame, cloud: DataFrame, pose: DataFram
     return out.select("image_id", F.when(ok, F.col("width_m")).alias("width_m"), F.when(ok, F.col("n_cols")).otherwise(0).alias("n_cols"), "reason", "scale", "width_std", "y_top_med", "y_bot_med")
 
 
-def alt_width_batch(images: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A status document for every image, and one row of counts with a map of reasons. Images without a measurement
-    are errors."""
-    docs = images.join(measured, "image_id", "left")
-    reason = F.when(F.col("reason").isNull(), "E:missing").otherwise(F.col("reason"))
-    docs = docs.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "ok").otherwise("failed"))
-    counts = docs.groupBy("reason").agg(F.count("*").alias("n"))
+def alt_width_batch(images: DataFrame, measured: DataFrame, pose: DataFrame | None = None, failures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A status document for every image, and one row of counts with a map of reasons.
+
+    What kept an image from being measured, the first that holds: E:no_pose_enc where ``pose`` (image_id) lacks it, the reason in
+    ``failures`` (image_id, reason: such as E:imread_fail for a file that could not be decoded, or E:exception with the message; the least of several), and
+    E:missing without a measurement. A failed image has no width. Counts leave messages in brackets out."""
+    docs = images.join(measured, "image_id", "left").withColumn("_failed", F.lit(None).cast("string"))
+    if failures is not None:
+        docs = docs.drop("_failed").join(failures.groupBy("image_id").agg(F.min("reason").alias("_failed")), "image_id", "left")
+    if pose is not None:
+        docs = docs.join(pose.select("image_id").distinct().withColumn("_posed", F.lit(True)), "image_id", "left").withColumn("_failed", F.when(F.col("_posed").isNull(), "E:no_pose_enc").otherwise(F.col("_failed"))).drop("_posed")
+    error = F.coalesce("_failed", F.when(F.col("reason").isNull(), "E:missing"))
+    docs = docs.withColumn("_error", error).withColumn("reason", F.coalesce("_error", "reason")).withColumn("status", F.when(F.col("reason") == "", "ok").otherwise("failed"))
+    docs = docs.withColumns({c: F.when(F.col("_error").isNull(), F.col(c)) for c in ("width_m", "n_cols") if c in docs.columns}).drop("_error", "_failed")
+    counts = docs.groupBy(F.regexp_replace("reason", r"\(.*\)$", "").alias("reason")).agg(F.count("*").alias("n"))
     summary = counts.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("reason") == "", F.col("n"))), F.lit(0)).alias("ok"), F.coalesce(F.sum(F.when(F.col("reason") != "", F.col("n"))), F.lit(0)).alias("failed"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason") != "", F.struct("reason", "n"))))).alias("reasons"))
     return docs, summary

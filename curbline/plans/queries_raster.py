@@ -371,6 +371,21 @@ def _(d):
     return cloud.alt_width_batch(images, measured(d).select("image_id", "width_m", "n_cols", "reason"))[1]
 
 
+@query("alt_width_statuses", """WITH m AS (SELECT id AS image_id, predicted_width AS w, CASE WHEN predicted_width > 2.2 THEN 'M:out_of_range' ELSE '' END AS reason FROM fx_predictions WHERE id % 5 <> 0)
+SELECT i.o_orderkey AS image_id, CASE WHEN i.o_orderkey % 11 = 1 THEN 'E:no_pose_enc' WHEN i.o_orderkey % 13 = 2 THEN 'E:exception(no plane)' WHEN i.o_orderkey % 13 = 3 THEN 'E:imread_fail' ELSE coalesce(m.reason, 'E:missing') END AS reason,
+  CASE WHEN m.reason = '' AND i.o_orderkey % 11 <> 1 AND i.o_orderkey % 13 NOT IN (2, 3) THEN 'ok' ELSE 'failed' END AS status,
+  round(coalesce(CASE WHEN m.reason = '' AND i.o_orderkey % 11 <> 1 AND i.o_orderkey % 13 NOT IN (2, 3) THEN m.w END, -1), 6) AS width_m
+FROM orders i LEFT JOIN m ON m.image_id = i.o_orderkey""")
+def _(d):
+    """Every status of the batch, over predicted widths."""
+    images = d.orders.select(F.col("o_orderkey").alias("image_id"))
+    bad = F.col("predicted_width") > 2.2
+    measured = d.fx_predictions.where("id % 5 <> 0").select(F.col("id").alias("image_id"), F.when(~bad, F.col("predicted_width")).alias("width_m"), F.when(bad, "M:out_of_range").otherwise("").alias("reason"))
+    failures = images.where("image_id % 13 in (2, 3)").withColumn("reason", F.when(F.col("image_id") % 13 == 2, "E:exception(no plane)").otherwise("E:imread_fail"))
+    docs = cloud.alt_width_batch(images, measured, images.where("image_id % 11 <> 1"), failures)[0]
+    return docs.select("image_id", "reason", "status", F.round(F.coalesce("width_m", F.lit(-1.0)), 6).alias("width_m"))
+
+
 # ---------------------------------------------------------------- streams and plug-ins
 
 
