@@ -729,3 +729,47 @@ def test_more_groups_than_buckets(spark, docs, monkeypatch):
     finally:
         spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_")]
+
+
+def test_language_sets_against_all_sets():
+    """Backward elimination finds the set of the highest penalised likelihood that trying all sets finds, but for near draws."""
+    rng = np.random.default_rng(6)
+    letters = ["abcde", "defgh", "ghijk", "jklma"]
+    word = lambda k: "".join(rng.choice(list(letters[k]), 5))
+    counts = np.zeros((2, language.BUCKETS, 4))
+    for k in range(4):
+        for order, b in enumerate(language.gram_buckets([" ".join(word(k) for _ in range(3000))])[0]):
+            counts[order, :, k] += np.bincount(b, minlength=language.BUCKETS)
+    model = language.LanguageModel(list("wxyz"), counts)
+    texts = [" ".join(word(k) for k in rng.choice(rng.choice(4, rng.integers(1, 4), replace=False), 60)) for _ in range(60)]
+    score, words = model.word_scores(texts)
+    share, _ = model.predict(texts)
+    best, found = np.full(len(texts), -np.inf), np.zeros((len(texts), 4), bool)
+    value_of = {}
+    for size in range(1, 5):
+        for pick in itertools.combinations(range(4), size):
+            allowed = np.zeros((len(texts), 4))
+            allowed[:, pick] = 1
+            value = model.proportions(score, words, allowed, 5)[1] - 3.0 * size * np.log(words + 2)
+            value_of[pick] = value
+            found[value > best] = allowed[0] > 0
+            best = np.maximum(best, value)
+    ours = share > 1e-9
+    got = np.array([value_of[tuple(np.flatnonzero(row))][i] if tuple(np.flatnonzero(row)) in value_of else -np.inf for i, row in enumerate(ours)])
+    assert (got <= best + 1e-6).all() and (ours == found).all(axis=1).mean() > 0.9
+
+
+def test_quality_references_joined_or_merged_agree(spark, docs, monkeypatch):
+    wanted = sorted(map(str, quality.judge_quality(docs).collect()))
+    monkeypatch.setattr(quality, "FEW_LANGUAGES", 0)
+    assert sorted(map(str, quality.judge_quality(docs).collect())) == wanted
+
+
+def test_toxic_stage_keeps_what_scores_low_by_hand(spark):
+    data, labels = labelled(spark)
+    model = toxicity.train_toxicity(data, labels)
+    texts = [r.text or "" for r in data.select("text").distinct().collect()]
+    votes, patterns = model.rows(texts, model.memo())
+    by_hand = {t: 1 / (1 + math.exp(-(sum(w * x for w, x in zip(model.weights, [*v, min(3, int(v.sum())), *p, 1.0], strict=True))))) for t, v, p in zip(texts, votes, patterns, strict=True)}
+    got = data.select(F.coalesce("text", F.lit("")).alias("t"), toxicity.toxicity_score(spark, model, F.col("text")).alias("s")).distinct().collect()
+    assert all(abs(by_hand[r.t] - r.s) < 1e-9 for r in got) and len(got) == len(by_hand)
