@@ -107,44 +107,58 @@ def _rank_lists(scratch: Scope, nodes: DataFrame, follow: DataFrame) -> DataFram
     both = both.join(ends.select(F.col("_e").alias("n"), F.col("_nt").alias("n_tail")), "n", "left").join(ends.select(F.col("_e").alias("p"), F.col("_ph").alias("p_head")), "p", "left")
     going = both.select("h", "p", "n", F.coalesce("n_tail", F.lit(False)).alias("n_tail"), F.coalesce("p_head", F.lit(False)).alias("p_head"), F.lit(1).cast("long").alias("w"))
     rounds: list[DataFrame] = []
-    while True:
-        number = F.lit(len(rounds))
-        mine = F.struct(F.xxhash64("h", number).alias("x"), F.col("h").alias("h"))
-        # an end never leaves, so it counts as larger than any inner node
-        less = [flag | (mine < F.struct(F.xxhash64(c, number).alias("x"), F.col(c).alias("h"))) for c, flag in (("p", F.col("p_head")), ("n", F.col("n_tail")))]
-        inner = F.col("p").isNotNull() & F.col("n").isNotNull()
-        over = ((F.col("p").isNull() | F.col("p_head")) & (F.col("n").isNull() | F.col("n_tail")) & ~inner) | (inner & (F.col("n") == F.col("h")))
-        fate = F.when(over, "done").when(inner & less[0] & less[1], "out").otherwise("on")
-        state = scratch.settle(going.withColumn("fate", fate), f"round-{len(rounds)}")
+    while True:  # two steps a table: what is written is the same, in half as many jobs
+        first = _fates(going, 2 * len(rounds))
+        second = _fates(_contracted(first), 2 * len(rounds) + 1)
+        state = scratch.settle(first.where("fate <> 'on'").withColumn("step", F.lit(0)).unionByName(second.withColumn("step", F.lit(1))), f"round-{len(rounds)}")
         rounds.append(state)
-        out = state.where("fate = 'out'")
-        if not state.where("fate <> 'done'").limit(1).count():
+        if not state.where("fate = 'on' or (fate = 'out' and step = 1)").limit(1).count():
             break
-        told = out.select(F.col("p").alias("h"), F.lit(None).cast("string").alias("p"), F.col("n"), F.col("n_tail"), F.lit(None).cast("boolean").alias("p_head"), "w", F.lit(True).alias("ahead"))
-        told = told.unionByName(out.select(F.col("n").alias("h"), F.col("p"), F.lit(None).cast("string").alias("n"), F.lit(None).cast("boolean").alias("n_tail"), F.col("p_head"), F.lit(0).cast("long").alias("w"), F.lit(False).alias("ahead")))
-        stay = state.where("fate = 'on'").select("h", "p", "n", "n_tail", "p_head", "w", F.lit(None).cast("boolean").alias("ahead"))
-
-        def told_or_own(c: str, when: str):
-            return F.coalesce(F.max(F.when(F.expr(when), F.col(c))), F.max(F.when(F.col("ahead").isNull(), F.col(c)))).alias(c)
-
-        going = stay.unionByName(told).groupBy("h").agg(told_or_own("p", "ahead = false"), told_or_own("n", "ahead"), told_or_own("n_tail", "ahead"), told_or_own("p_head", "ahead = false"), F.sum("w").alias("w"))
-    known = None
+        going = _contracted(state.where("step = 1").drop("step"))
+    known = rounds[-1].where("false").select("h", F.col("h").alias("last"), F.col("w").alias("steps"), F.lit(False).alias("closed"), F.col("w").alias("total"))
+    old = None
     for state in reversed(rounds):
-        done = state.where("fate = 'done'")
-        ring = F.coalesce(F.col("n") == F.col("h"), F.lit(False))
-        ended = done.select("h", F.when(ring | F.col("n").isNull(), F.col("h")).otherwise(F.col("n")).alias("last"), F.when(ring | F.col("n").isNull(), F.lit(0)).otherwise(F.col("w")).cast("long").alias("steps"), ring.alias("closed"), F.when(ring, F.col("w")).alias("total"))
-        if known is None:
-            known = scratch.settle(ended, "known")
-        else:
-            left = state.where("fate = 'out'").select("h", "n", "w")
-            back = left.join(known.withColumnRenamed("h", "_k"), F.col("n") == F.col("_k")).select("h", "last", (F.col("w") + F.col("steps")).alias("steps"), "closed", "total")
-            more = scratch.settle(known.unionByName(ended).unionByName(back), "known")
-            scratch.drop(known)
-            known = more
-        scratch.drop(state)
+        for step in (1, 0):
+            part = state.where(F.col("step") == step)
+            back = part.where("fate = 'out'").select("h", "n", "w").join(known.withColumnRenamed("h", "_k"), F.col("n") == F.col("_k")).select("h", "last", (F.col("w") + F.col("steps")).alias("steps"), "closed", "total")
+            known = known.unionByName(_ended(part.where("fate = 'done'"))).unionByName(back)
+        known = scratch.settle(known, "known")
+        scratch.drop(state, *[old] * (old is not None))
+        old = known
     return known
 
 
+def _fates(going: DataFrame, number: int) -> DataFrame:
+    """Which nodes leave in this step (out), are on a list without inner nodes (done), or go on."""
+    mine = F.struct(F.xxhash64("h", F.lit(number)).alias("x"), F.col("h").alias("h"))
+    # an end never leaves, so it counts as larger than any inner node
+    less = [flag | (mine < F.struct(F.xxhash64(c, F.lit(number)).alias("x"), F.col(c).alias("h"))) for c, flag in (("p", F.col("p_head")), ("n", F.col("n_tail")))]
+    inner = F.col("p").isNotNull() & F.col("n").isNotNull()
+    over = ((F.col("p").isNull() | F.col("p_head")) & (F.col("n").isNull() | F.col("n_tail")) & ~inner) | (inner & (F.col("n") == F.col("h")))
+    return going.withColumn("fate", F.when(over, "done").when(inner & less[0] & less[1], "out").otherwise("on"))
+
+
+def _contracted(state: DataFrame) -> DataFrame:
+    """The nodes that go on, each told by a neighbour that left what lies behind it."""
+    out = state.where("fate = 'out'")
+    text, flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    ahead = out.select(F.col("p").alias("h"), text.alias("p"), "n", "n_tail", flag.alias("p_head"), "w", F.lit(True).alias("ahead"))
+    behind = out.select(F.col("n").alias("h"), "p", text.alias("n"), flag.alias("n_tail"), "p_head", F.lit(0).cast("long").alias("w"), F.lit(False).alias("ahead"))
+    stay = state.where("fate = 'on'").select("h", "p", "n", "n_tail", "p_head", "w", flag.alias("ahead"))
+
+    def told_or_own(c: str, when: str):
+        return F.coalesce(F.max(F.when(F.expr(when), F.col(c))), F.max(F.when(F.col("ahead").isNull(), F.col(c)))).alias(c)
+
+    return stay.unionByName(ahead).unionByName(behind).groupBy("h").agg(told_or_own("p", "ahead = false"), told_or_own("n", "ahead"), told_or_own("n_tail", "ahead"), told_or_own("p_head", "ahead = false"), F.sum("w").alias("w"))
+
+
+def _ended(done: DataFrame) -> DataFrame:
+    """Heads, tails and the last nodes of rings know their distance."""
+    ring = F.coalesce(F.col("n") == F.col("h"), F.lit(False))
+    own = ring | F.col("n").isNull()
+    return done.select("h", F.when(own, F.col("h")).otherwise(F.col("n")).alias("last"), F.when(own, F.lit(0)).otherwise(F.col("w")).cast("long").alias("steps"), ring.alias("closed"), F.when(ring, F.col("w")).alias("total"))
+
+
 def _straight(halves: DataFrame) -> DataFrame:
     """Of each chain's two directions the one with the smaller start; the first half has the most steps to the last."""
     chains = halves.groupBy("last").agg(F.max(F.struct("steps", "u", "v", "edge_id")).alias("head"), F.max("steps").alias("most"), F.max(F.when(F.col("steps") == 0, F.struct("v", "u", "edge_id"))).alias("tail"))

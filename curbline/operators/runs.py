@@ -47,14 +47,46 @@ def subtract_runs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return merge_runs(spans.where((F.col("a") > 0) & (F.col("b") == 0)), keys)
 
 
+def left_over(line: np.ndarray, c0: np.ndarray, c1: np.ndarray, takes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, first and last column of what runs cover and runs that take away don't: one sweep over all lines, as sums over sorted ends."""
+    wide = np.int64(int(c1.max(initial=0)) - int(min(c0.min(initial=0), 0)) + 3)
+    base = line.astype(np.int64) * wide
+    x = np.concatenate((base + c0, base + c1 + 1))
+    sign = np.concatenate((np.ones(len(c0), np.int64), -np.ones(len(c0), np.int64)))
+    both = np.concatenate((takes, takes))
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    covered, taken = np.cumsum((sign * ~both)[order]), np.cumsum((sign * both)[order])
+    here = np.flatnonzero((covered[:-1] > 0) & (taken[:-1] == 0) & (x[:-1] < x[1:]))
+    begin, end = x[here], x[here + 1] - 1
+    joins = begin[1:] == end[:-1] + 1
+    first, last = np.append(True, ~joins)[: len(begin)], np.append(~joins, True)[: len(begin)]
+    begin, end = begin[first], end[last]
+    low = np.int64(min(int(c0.min(initial=0)), 0))
+    row = (begin - low) // wide
+    return row, begin - row * wide, end - row * wide
+
+
 def usable_sidewalk(mask_runs: DataFrame, assignment: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sidewalk runs less the union of the obstacles assigned to each, and the area of what is left.
 
-    mask_runs: image_id, mask_key, class_name, r, c0, c1; assignment: image_id, obstacle_key, sidewalk_key."""
-    keys = ["image_id", "sidewalk_key", "r"]
-    walks = mask_runs.where(F.col("class_name") == "sidewalk").withColumnRenamed("mask_key", "sidewalk_key").select(*keys, "c0", "c1")
-    blocks = mask_runs.withColumnRenamed("mask_key", "obstacle_key").join(assignment, ["image_id", "obstacle_key"]).select(*keys, "c0", "c1")
-    left = subtract_runs(walks, blocks, keys)
+    mask_runs: image_id, mask_key, class_name, r, c0, c1; assignment: image_id, obstacle_key, sidewalk_key. Runs are read once and come
+    together by sidewalk, where one sweep over the ends takes the obstacles away."""
+    own = F.col("class_name") == "sidewalk"
+    of = assignment.select("image_id", F.col("obstacle_key").alias("mask_key"), F.col("sidewalk_key").alias("_of"))
+    rows = mask_runs.join(of, ["image_id", "mask_key"], "left").select("image_id", F.when(own, F.col("mask_key")).otherwise(F.col("_of")).alias("sidewalk_key"), *[F.col(c).cast("int").alias(c) for c in ("r", "c0", "c1")], (~own).alias("takes"))
+    kinds = {n: rows.schema[n].dataType.simpleString() for n in ("image_id", "sidewalk_key")}
+
+    def sweep(table: pa.Table) -> pa.Table:
+        r, c0, c1, takes = (table[c].to_numpy() for c in ("r", "c0", "c1", "takes"))
+        made = left_over(r, c0, c1, takes.astype(bool))
+        keys = table.select(["image_id", "sidewalk_key"]).take(pa.array(np.zeros(len(made[0]), np.int64)))
+        for n, v in zip(("r", "c0", "c1"), made, strict=True):
+            keys = keys.append_column(n, pa.array(v.astype(np.int32)))
+        return keys
+
+    fields = ", ".join(f"{n} {k}" for n, k in kinds.items())
+    left = rows.where("sidewalk_key is not null").groupBy("image_id", "sidewalk_key").applyInArrow(sweep, f"{fields}, r int, c0 int, c1 int")
     return left, left.groupBy("image_id", "sidewalk_key").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("usable_px"))
 
 

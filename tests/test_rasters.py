@@ -127,3 +127,15 @@ def test_merged_runs_of_arrays():
         assert got == {(int(k), x) for k, a, b in zip(key, c0, c1, strict=True) for x in range(a, b + 1)}
         k, a, b = raster.merged_runs(key, c0, c1)
         assert all(k[i] != k[i + 1] or b[i] + 1 < a[i + 1] for i in range(len(k) - 1))
+
+
+def test_what_obstacles_leave():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(0, 14))
+        line, c0 = rng.integers(0, 3, n), rng.integers(-4, 20, n)
+        c1, takes = c0 + rng.integers(0, 6, n), rng.random(n) < 0.4
+        cells = lambda keep: {(int(r), x) for r, a, b, t in zip(line, c0, c1, takes, strict=True) if t == keep for x in range(a, b + 1)}
+        got = list(zip(*runs.left_over(line, c0, c1, takes), strict=True))
+        assert {(int(r), x) for r, a, b in got for x in range(a, b + 1)} == cells(False) - cells(True)
+        assert len(got) == len({(r, x) for r, x in cells(False) - cells(True) if (r, x - 1) not in cells(False) - cells(True)})
