@@ -37,8 +37,8 @@ def clean_label_mask(label_runs: DataFrame, width: int, height: int, label: str
     order = W.partitionBy("image_id", "r").orderBy("x")
     spans = events.select("image_id", "r", F.col("x").alias("c0"), (F.lead("x").over(order) - 1).alias("c1"), F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("n")).where("n >= 3")
     out = merge_runs(spans, ["image_id", "r"]).where((F.col("r") >= 0) & (F.col("r") < width))
-    low = F.when(F.col("c0") <= -1, 0).otherwise(F.col("c0") + 1)
-    high = F.when(F.col("c1") >= height, height - 1).otherwise(F.col("c1") - 1)
+    low = F.when(F.col("c0") <= 0, 0).otherwise(F.col("c0") + 1)
+    high = F.when(F.col("c1") >= height - 1, height - 1).otherwise(F.col("c1") - 1)
     return out.select("image_id", F.lit(label).alias("label"), F.col("r").alias("x"), F.greatest(low, F.lit(0)).cast("int").alias("y0"), F.least(high, F.lit(height - 1)).cast("int").alias("y1")).where("y0 <= y1")
 
 

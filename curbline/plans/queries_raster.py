@@ -265,7 +265,19 @@ def posed(d):
     return d.fx_label_runs.select("image_id").distinct().select("image_id", F.lit(0.0).alias("cx"), F.lit(1.8).alias("cy"), F.lit(0.0).alias("cz"), F.lit(1.0).alias("fov"))
 
 
-@query("clean_label_mask")
+@query("clean_label_mask", f"""WITH RECURSIVE {MERGED_LABELS},
+s AS (SELECT image_id, x, y0, y1, row_number() OVER (ORDER BY image_id, x, y0) AS id FROM lm WHERE label = 'sidewalk'),
+e AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.image_id = b.image_id AND abs(a.x - b.x) = 1 AND a.y0 <= b.y1 + 1 AND b.y0 <= a.y1 + 1),
+w(id, lead) AS (SELECT id, id FROM s UNION SELECT e.b, w.lead FROM w JOIN e ON e.a = w.id WHERE w.lead < e.b),
+l AS (SELECT id, min(lead) AS lead FROM w GROUP BY id),
+k AS (SELECT s.image_id, s.x, s.y0, s.y1 FROM s JOIN l USING (id) QUALIFY sum(s.y1 - s.y0 + 1) OVER (PARTITION BY l.lead) >= 307),
+o AS (SELECT dx, dy FROM (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
+px AS (SELECT image_id, x, unnest(generate_series(y0, y1)) AS y FROM k),
+di AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM px, o WHERE x + dx BETWEEN 0 AND 639 AND y + dy BETWEEN 0 AND 479),
+er AS (SELECT d.image_id, d.x, d.y FROM di d, o LEFT JOIN di n ON n.image_id = d.image_id AND n.x = d.x + o.dx AND n.y = d.y + o.dy GROUP BY d.image_id, d.x, d.y
+  HAVING count(n.x) + count(*) FILTER (d.x + o.dx NOT BETWEEN 0 AND 639 OR d.y + o.dy NOT BETWEEN 0 AND 479) = 9),
+g AS (SELECT *, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS run FROM er)
+SELECT image_id, 'sidewalk' AS label, x, CAST(min(y) AS INTEGER) AS y0, CAST(max(y) AS INTEGER) AS y1 FROM g GROUP BY image_id, x, run""")
 def _(d):
     return cloud.clean_label_mask(d.fx_label_runs, 640, 480)
 

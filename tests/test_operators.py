@@ -355,6 +355,7 @@ def test_clean_label_mask(spark):
     g[20:40, 10:70] = rng.random((20, 60)) < 0.8
     g[2:5, 2:5] = True  # too small
     g[50:60, 0:12] = True
+    g[1:9, 66:79] = True  # a row and a column from the border
     x, y0, y1 = readers.line_runs(g.T)
     df = spark.createDataFrame([(1, "sidewalk", int(a), int(b), int(c)) for a, b, c in zip(x, y0, y1, strict=True)], "image_id int, label string, x int, y0 int, y1 int")
     want = g.copy()
