@@ -473,3 +473,47 @@ def test_entry():
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and set(registry.QUERIES) <= set(q) and len(registry.QUERIES) > 110
+
+
+# ---------------------------------------------------------------- plans
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clouds_made_by_explode_are_not_broadcast(spark):
+    """The planner takes an exploded table for as small as what it came from."""
+    ids = spark.range(4).select(F.col("id").alias("image_id"))
+    dense = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("yd")).select("image_id", "yd", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("xd"))
+    dense = dense.select("image_id", "yd", "xd", *[(F.col("xd") * k + F.col("yd")).cast("double").alias(c) for k, c in enumerate("xyz")])
+    coords = ids.select("image_id", F.lit(1).alias("pt"), F.lit(2.5).alias("xs"), F.lit(3.25).alias("ys"))
+    got = cloud.bilinear_sample(dense, coords, 10, 10)
+    assert "Broadcast" not in plan(got)
+    assert {(r.image_id, r.x, r.y, r.z) for r in got.collect()} == {(i, 3.25, 5.75, 8.25) for i in range(4)}
+
+
+def test_hypotheses_and_labels_are_not_broadcast(spark):
+    ids = spark.range(3).select(F.col("id").alias("image_id"))
+    points = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("pt")).select("image_id", "pt", *[(F.xxhash64("pt", F.lit(c)) % 1000 / 100.0).alias(c) for c in "xyz"])
+    hyps = cloud.plane_hypotheses(points, 50)
+    assert "Broadcast" not in plan(hyps) and hyps.groupBy("image_id").count().collect() != []
+    dense = points.select("image_id", F.floor(F.col("pt") / 6).cast("int").alias("yd"), (F.col("pt") % 6).cast("int").alias("xd"), *"xyz")
+    runs_ = ids.select("image_id", F.lit("road").alias("label"), F.lit(2).alias("x"), F.lit(0).alias("y0"), F.lit(3).alias("y1"))
+    ground = cloud.gather_ground(dense, runs_, (6, 6), (6, 6), least=1)
+    assert "Broadcast" not in plan(ground) and ground.count() == 3 * 4
+
+
+def test_components_broadcast_no_table_of_numbers(spark, monkeypatch):
+    seen = []
+    keep = graph.Scope.settle
+
+    def settled(self, df, name="step"):
+        seen.append((name, plan(df)))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(graph.Scope, "settle", settled)
+    pairs = spark.range(300).where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.id: r.comp_id for r in graph.connected_components(pairs).collect()}
+    assert got == {i: i // 10 * 10 for i in range(300)}
+    assert {n for n, _ in seen} == {"edges", "pointers", "labels"} and not [n for n, p in seen if "Broadcast" in p]
