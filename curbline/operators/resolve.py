@@ -65,15 +65,15 @@ def resolve_nearest_folder(targets: DataFrame, folders: DataFrame) -> DataFrame:
 
 def resolve_run_alias(missing: DataFrame, objects: DataFrame) -> DataFrame:
     """For missing paths ``root/polygon/run/base``: the object of another run folder of the polygon whose name extends
-    the run, longest name first, then lexicographic."""
+    the run, longest name first, then lexicographic. A path that is missing several times has a row each time."""
     def parts(df: DataFrame, p: str) -> DataFrame:
         s = F.split("path", "/")
-        return df.select(F.col("path").alias(f"{p}path"), F.try_element_at(s, F.lit(1)).alias(f"{p}root"), F.try_element_at(s, F.lit(2)).alias(f"{p}poly"), F.try_element_at(s, F.lit(3)).alias(f"{p}run"), F.element_at(s, -1).alias(f"{p}base"))
+        return df.select(F.col("path").alias(f"{p}path"), *[c for c in df.columns if c != "path"], F.try_element_at(s, F.lit(1)).alias(f"{p}root"), F.try_element_at(s, F.lit(2)).alias(f"{p}poly"), F.try_element_at(s, F.lit(3)).alias(f"{p}run"), F.element_at(s, -1).alias(f"{p}base"))
 
-    a = parts(missing, "m").where(F.col("mrun").rlike(r"^\d{8}T\d{6}Z"))
-    b = parts(objects, "o")
+    a = parts(missing.groupBy("path").agg(F.count("*").alias("times")), "m").where(F.col("mrun").rlike(r"^\d{8}T\d{6}Z"))
+    b = parts(objects.select("path").distinct(), "o")
     rows = a.join(b, (F.col("mroot") == F.col("oroot")) & (F.col("mpoly") == F.col("opoly")) & (F.col("mbase") == F.col("obase")) & F.col("orun").startswith(F.col("mrun")) & (F.col("orun") != F.col("mrun")))
-    return first_per(rows, ["mpath"], [F.desc(F.length("orun")), F.col("orun"), F.col("opath")]).select(F.col("mpath").alias("path"), F.col("opath").alias("alias"))
+    return first_per(rows, ["mpath"], [F.desc(F.length("orun")), F.col("orun"), F.col("opath")]).select(F.col("mpath").alias("path"), F.col("opath").alias("alias"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("col")
 
 
 def pano_dedup(points: DataFrame, order: str = "idx") -> DataFrame:
