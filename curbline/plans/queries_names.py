@@ -159,13 +159,11 @@ def _(d):
 
 
 def json_documents(rows: "DataFrame", folder: str) -> None:
-    """A JSON array of documents a file: the readers take multi-line documents."""
-    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() / 500).alias("f"))
-    packed = text.groupBy("p", "f").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value"))  # 500 documents
-    packed.repartition(8).select("value").write.option("lineSep", "\n").text(folder + "-lines")
-    lines = rows.sparkSession.read.text(folder + "-lines")
-    n = max(1, lines.count())
-    lines.repartitionByRange(n, "value").write.option("maxRecordsPerFile", 1).text(folder)
+    """A JSON array of documents a file: the readers take multi-line documents. Each task writes its arrays, a file each, so
+    that the driver sees neither a sample of them nor a task a file."""
+    text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"), F.spark_partition_id().alias("p"), F.floor(F.monotonically_increasing_id() / 5000).alias("f"))
+    packed = text.groupBy("p", "f").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value"))  # 5000 documents
+    packed.select("value").write.option("maxRecordsPerFile", 1).text(folder)
 
 
 @query("scan_detection_metadata", 'SELECT CAST(image_id AS VARCHAR) AS source, CAST(count(*) OVER (PARTITION BY image_id) AS INTEGER) AS detection_count, CAST(idx AS INTEGER) AS "index", CAST(confidence AS DOUBLE) AS confidence, mask_pixels FROM fx_detections')
