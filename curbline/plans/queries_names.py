@@ -30,24 +30,27 @@ def parsed(d):
 
 
 def written_png(rows: "DataFrame", folder: str) -> "DataFrame":
-    """Write one PNG for each row (path, height, width, spans of [line, first, last, value]) and give the paths. A further column
-    ``kind`` makes it other than grey: green or red of that value, or a file that ends early."""
+    """Write one PNG for each row (path, height, width, spans of [line, first, last, value], later ones over earlier) and give the paths.
+    A further column ``kind`` makes it other than grey: green or red of that value, a file that ends early, or one whose lines
+    are columns (upright). Spans come as one flat array a row, so that a batch is no more in Python than its numbers."""
 
     def run(batches):
         import struct
         import zlib
 
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs as pafs
 
         fs, root = pafs.FileSystem.from_uri(folder)
-        for pdf in batches:
-            for path, h, w, spans, *kind in pdf.itertuples(index=False):
-                kind = kind[0] if kind else "grey"
-                grid = np.zeros((h, w), np.uint8)
-                for line, first, last, value in spans:
+        for batch in batches:
+            ends, flat = batch["spans"].offsets.to_numpy(), batch["spans"].values.to_numpy()
+            for i in range(batch.num_rows):
+                path, h, w, kind = (batch[c][i].as_py() for c in ("path", "h", "w", "kind"))
+                grid = np.zeros((w, h) if kind == "upright" else (h, w), np.uint8)
+                for line, first, last, value in flat[ends[i] : ends[i + 1]].reshape(-1, 4):
                     grid[line, first : last + 1] = value
+                grid = grid.T if kind == "upright" else grid
                 if kind in ("red", "green"):
                     grid = np.stack([grid * (kind == c) for c in ("red", "green", "blue")], axis=2).reshape(h, 3 * w)
                 raw = zlib.compress(np.pad(grid, ((0, 0), (1, 0))).tobytes(), 1)[: 20 if kind == "cut" else None]
@@ -55,9 +58,10 @@ def written_png(rows: "DataFrame", folder: str) -> "DataFrame":
                 fs.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
                 with fs.open_output_stream(f"{root}/{path}") as out:
                     out.write(b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x)) for k, x in chunks))
-            yield pd.DataFrame({"path": pdf["path"]})
+            yield pa.record_batch([batch["path"]], ["path"])
 
-    return rows.mapInPandas(run, "path string")
+    kind = F.col("kind") if "kind" in rows.columns else F.lit("grey")
+    return rows.select("path", "h", "w", F.flatten("spans").alias("spans"), kind.alias("kind")).mapInArrow(run, "path string")
 
 
 @query("scan_image_objects", r"SELECT DISTINCT regexp_extract(path, '[^/]*$') AS name, CAST(length(path) AS BIGINT) AS length FROM fx_objects WHERE object_id % 100 < 2 AND regexp_matches(lower(path), '\.(jpe?g|png)$')")
@@ -102,9 +106,10 @@ SELECT CAST(image_id AS VARCHAR) AS image, CASE k WHEN 1 THEN 'sidewalk' ELSE 'r
 def _(d):
     """Both classes in one raster a file; where they overlap the road is drawn last."""
     folder = d.scratch("labels")
-    cells = d.fx_label_runs.select("image_id", "x", F.when(F.col("label") == "sidewalk", 1).otherwise(2).alias("k"), F.explode(F.sequence("y0", "y1")).alias("y")).groupBy("image_id", "x", "y").agg(F.max("k").alias("k"))
-    rows = cells.groupBy("image_id").agg(F.collect_set(F.array("y", "x", "x", "k")).alias("spans"))  # an image's pixels
-    written_png(rows.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans"), folder).write.format("noop").mode("overwrite").save()
+    k = F.when(F.col("label") == "sidewalk", 1).otherwise(2)
+    drawn = d.fx_label_runs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.array(k, "x", "y0", "y1"))).alias("_s"))  # an image's runs
+    rows = drawn.select("image_id", F.transform("_s", lambda s: F.array(s[1], s[2], s[3], s[0])).alias("spans"))
+    written_png(rows.select(F.concat(F.col("image_id").cast("string"), F.lit(".png")).alias("path"), F.lit(480).alias("h"), F.lit(640).alias("w"), "spans", F.lit("upright").alias("kind")), folder).write.format("noop").mode("overwrite").save()
     got = readers.scan_label_runs(d.spark, folder, {1: "sidewalk", 2: "road"})
     return got.select(F.regexp_extract("path", r"(\d+)\.png$", 1).alias("image"), "label", "x", "y0", "y1")
 
