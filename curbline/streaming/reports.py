@@ -19,15 +19,28 @@ def prepared(raw: DataFrame) -> DataFrame:
     return raw.withColumnRenamed("pointId", "point_id").withColumn("received", F.current_timestamp())
 
 
-def stream_reports(spark: SparkSession, src: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+def _write(reports: DataFrame, path: str, buckets: int | None) -> None:
+    """A folder a point and direction, or a folder a bucket of points, whose files then hold both columns."""
+    if buckets is None:
+        folders = ["point_id", "direction"]
+    else:
+        folders = ["bucket"]
+        reports = reports.withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int"))
+    in_few_files(reports, *folders).write.mode("overwrite").partitionBy(*folders).json(path)
+
+
+def stream_reports(spark: SparkSession, src: str, out: str, checkpoint: str, buckets: int | None = None, **trigger) -> StreamingQuery:
     """Validate report documents as they arrive; append the good ones below out/reports by point and direction, the
-    others below out/rejects. A batch that is run again writes the same folder anew, so each report comes once."""
+    others below out/rejects. A batch that is run again writes the same folder anew, so each report comes once.
+
+    A folder a point and direction is a file of its own for every few reports: with points by the ten thousand, take ``buckets``, and points
+    are dealt over that many folders by their hash. What is stored is the same; readers find either."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         ok, bad = filter_report_valid(batch)
         ok = ok.withColumn("key", report_key(F.col("point_id"), F.col("direction"), F.coalesce(F.col("timestamp").try_cast("timestamp"), F.col("received"))))
-        in_few_files(ok, "point_id", "direction").write.mode("overwrite").partitionBy("point_id", "direction").json(f"{out}/reports/batch={number}")
+        _write(ok, f"{out}/reports/batch={number}", buckets)
         bad.write.mode("overwrite").json(f"{out}/rejects/batch={number}")
         batch.unpersist()
 
@@ -49,7 +62,7 @@ def _numbers(spark: SparkSession, folder: str, lead: str) -> list[int]:
 
 def _together(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Each folder is read by itself: its own partition folders begin below it."""
-    found = [spark.read.schema(STORED_REPORT).json(f) for f in folders]
+    found = [spark.read.schema(STORED_REPORT).json(f).drop("bucket") for f in folders]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], STORED_REPORT)
 
 
@@ -60,9 +73,9 @@ def read_reports(spark: SparkSession, out: str) -> DataFrame:
     return _together(spark, folders)
 
 
-def compact_reports(spark: SparkSession, out: str, keep_batches: int = 1) -> int | None:
-    """Write what was taken in, but for the last ``keep_batches`` batches, as one set of files, a file a point and direction; the number
-    of the last batch in it, or None if there is nothing to do.
+def compact_reports(spark: SparkSession, out: str, keep_batches: int = 1, buckets: int | None = None) -> int | None:
+    """Write what was taken in, but for the last ``keep_batches`` batches, as one set of files, a file a point and direction (or a bucket of
+    points, see :func:`stream_reports`); the number of the last batch in it, or None if there is nothing to do.
 
     A compaction counts once its _SUCCESS file is there, and readers then pass over the batches it holds; only after that are they deleted. So a run that
     dies anywhere loses no report and doubles none, and the next run does the rest."""
@@ -73,7 +86,7 @@ def compact_reports(spark: SparkSession, out: str, keep_batches: int = 1) -> int
     if new:
         rows = _together(spark, [f"{out}/compacted/upto={last}"] * (last >= 0) + [f"{out}/reports/batch={n}" for n in new])
         last = new[-1]
-        in_few_files(rows, "point_id", "direction").write.mode("overwrite").partitionBy("point_id", "direction").json(f"{out}/compacted/upto={last}")
+        _write(rows, f"{out}/compacted/upto={last}", buckets)
     for n in before:
         if n < last:
             delete(spark, f"{out}/compacted/upto={n}")
