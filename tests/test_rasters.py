@@ -139,3 +139,20 @@ def test_what_obstacles_leave():
         got = list(zip(*runs.left_over(line, c0, c1, takes), strict=True))
         assert {(int(r), x) for r, a, b in got for x in range(a, b + 1)} == cells(False) - cells(True)
         assert len(got) == len({(r, x) for r, x in cells(False) - cells(True) if (r, x - 1) not in cells(False) - cells(True)})
+
+
+def test_groups_stay_whole_across_arrow_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(400).selectExpr("cast(sqrt(id) as int) as k", "id % 2 as j", "id as v")
+
+        def count(table):
+            first = np.flatnonzero(runs.changes(table, ["k", "j"]))
+            n = np.diff(np.append(first, table.num_rows))
+            return table.select(["k", "j"]).take(first).append_column("n", [n])
+
+        got = runs.in_whole_groups(df, ["k", "j"], ["v"], count, "k int, j long, n long").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, df.groupBy("k", "j").count().collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
