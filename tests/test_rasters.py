@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from curbline.operators import raster, runs
+from curbline.operators import graph, raster, runs
 from curbline.sources import readers
 from curbline.sources.png import SIGNATURE, BadImage, decode_png, grey
 
@@ -141,6 +141,25 @@ def test_what_obstacles_leave():
         assert len(got) == len({(r, x) for r, x in cells(False) - cells(True) if (r, x - 1) not in cells(False) - cells(True)})
 
 
+def test_raster_components_are_mask_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, k, int(r), int(c), int(c + rng.integers(0, 4))) for i in range(30) for k in ("a", None, "b") for r, c in zip(rng.integers(0, 12, 40), rng.integers(0, 60, 40), strict=True)]
+    rows += [(99, "snake", r, 0 if r % 4 == 3 else 40 if r % 2 else 0, 0 if r % 4 == 3 else 40) for r in range(200)]  # one long component
+    df = spark.createDataFrame(rows, "image_id int, mask_key string, r int, c0 int, c1 int")
+    keys = ["image_id", "mask_key"]
+    rank = dict(zip(("image_id", "mask_key", "r", "c0", "c1"), range(5), strict=True))
+
+    def sets(found) -> set:
+        parts = {}
+        for row in found.where("mask_key is not null").collect():
+            parts.setdefault((row.image_id, row.mask_key, row.comp_id), set()).add(tuple(row[c] for c in rank))
+        return {frozenset(p) for p in parts.values()}
+
+    got = graph.raster_components(df, keys)
+    assert sets(got) == sets(graph.mask_components(runs.merge_runs(df, [*keys, "r"]), keys))
+    assert got.where("image_id = 99").select("comp_id").distinct().count() == 1 and got.where("mask_key is null").count() > 0
+
+
 def test_groups_stay_whole_across_arrow_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
@@ -156,3 +175,16 @@ def test_groups_stay_whole_across_arrow_batches(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, df.groupBy("k", "j").count().collect()))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_footprints_take_few_exchanges_and_no_rounds(spark, monkeypatch):
+    """A component is found within its mask's task: no iterations over all links."""
+    def dies(*_):
+        raise AssertionError("components by rounds")
+
+    monkeypatch.setattr(graph, "connected_components", dies)
+    rect = spark.createDataFrame([(1, "s", "tree_0", "tree", r, 4, 9) for r in range(20)] + [(1, "s", "car_0", "car", r, 30, 45) for r in range(8)], "image_id int, sidewalk_key string, mask_key string, class_name string, out_r int, o0 int, o1 int")
+    dims = spark.createDataFrame([(1, "s", 40, 12, 64)], "image_id int, sidewalk_key string, target_w int, pad int, out_width int")
+    prints, filled = raster.estimate_footprint(rect, dims)
+    assert sorted((r.mask_key, r.fp_left, r.fp_top, r.fp_right, r.fp_bottom) for r in prints.collect()) == [("car_0", 29, 0, 45, 8), ("tree_0", 3, 14, 9, 20)]
+    assert sorted((r.mask_key, r.footprint_area_px, r.full_silhouette_area_px) for r in raster.footprint_metadata(rect, filled, dims).collect()) == [("car_0", 128, 128), ("tree_0", 36, 120)]
