@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from curbline.operators import graph, raster, runs
+from curbline.operators import cloud, filters, graph, raster, runs
 from curbline.sources import readers
 from curbline.sources.png import SIGNATURE, BadImage, decode_png, grey
 
@@ -188,3 +188,20 @@ def test_footprints_take_few_exchanges_and_no_rounds(spark, monkeypatch):
     prints, filled = raster.estimate_footprint(rect, dims)
     assert sorted((r.mask_key, r.fp_left, r.fp_top, r.fp_right, r.fp_bottom) for r in prints.collect()) == [("car_0", 29, 0, 45, 8), ("tree_0", 3, 14, 9, 20)]
     assert sorted((r.mask_key, r.footprint_area_px, r.full_silhouette_area_px) for r in raster.footprint_metadata(rect, filled, dims).collect()) == [("car_0", 128, 128), ("tree_0", 36, 120)]
+
+
+def test_label_gate_sorts_once_and_holds_no_islands(spark, capsys):
+    rng = np.random.default_rng(9)
+    rows = [(i, k, int(x), int(y), int(y + h)) for i in range(12) for k in ("sidewalk", "road") for x, y, h in zip(rng.integers(300, 320, 300), rng.integers(0, 90, 300), rng.integers(0, 5, 300), strict=True)]
+    df = spark.createDataFrame(rows + rows[:500], "image_id int, label string, x int, y0 int, y1 int")
+    merged = cloud.merge_label_runs(df)
+    want = []
+    for i, k, x in {r[:3] for r in rows}:
+        _, y0, y1 = runs.merged_runs(*np.array([(0, r[3], r[4]) for r in rows if r[:3] == (i, k, x)]).T)
+        want += [(i, k, x, a, b) for a, b in zip(y0.tolist(), y1.tolist(), strict=True)]
+    merged.explain()
+    plan = capsys.readouterr().out
+    assert "Aggregate" not in plan and plan.count("Sort [") == 1
+    filters.quality_gate(merged, 640, 480).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert sorted(map(tuple, merged.collect())) == sorted(want)
