@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from .filters import first_per
 
 ARTIFACTS = ("width_profile.png", "width_overlay.png", "obstacles.png", "footprint.png", "width_metadata.json", "footprint_metadata.json")
 ALT_ARTIFACTS = ("alt_width_metadata.json", "alt_overlay.png", "alt_profile.png", "alt_scene.png")
+#: Folders of one point and direction that a row holds.
+PLACES = 1000
 CANONICAL = ("forward", "right", "backward", "left")
 
 
@@ -52,14 +54,20 @@ def resolve_nearest_folder(targets: DataFrame, folders: DataFrame) -> DataFrame:
     """The folder for each target (target_id, point_id, direction, preferred, lat, lon): its own if it has artifacts,
     else the nearest of the same point and direction by squared degrees, lexicographic on ties or without a place,
     else the preferred name or ``{point}_unknown_unknown``. folders: folder, point_id, direction."""
-    at = folders.select("point_id", "direction", "folder").distinct().select("*", parse_folder(F.col("folder")).alias("_g"))
-    rows = targets.join(at, ["point_id", "direction"], "left")
-    d = F.pow(F.col("_g.lat") - F.col("lat"), 2) + F.pow(F.col("_g.lon") - F.col("lon"), 2)
-    dist = F.when(F.col("lat").isNull() | F.col("lon").isNull(), 0.0).otherwise(F.coalesce(d, F.lit(float("inf"))))
-    # the least struct is found before rows are shuffled, so that a target's many folders don't meet
-    other = F.coalesce(F.col("folder") != F.col("preferred"), F.lit(True))
-    found = F.struct(other.alias("other"), dist.alias("dist"), "folder")
-    best = rows.groupBy("target_id").agg(F.min(found).alias("_b"), F.any_value("preferred").alias("preferred"), F.any_value("point_id").alias("point_id")).select("target_id", "preferred", "point_id", "_b.folder")
+    place = ["point_id", "direction"]
+    at = folders.select(*place, "folder").distinct().withColumn("_part", F.floor((F.row_number().over(W.partitionBy(*place).orderBy("folder")) - 1) / PLACES).cast("int"))
+    at = at.withColumn("_g", parse_folder(F.col("folder"))).groupBy(*place, "_part").agg(F.collect_list(F.struct("folder", "_g")).alias("_all")).drop("_part")
+    rows = targets.join(at, place, "left")
+
+    def found(f: Column) -> Column:
+        d = F.pow(f["_g"]["lat"] - F.col("lat"), 2) + F.pow(f["_g"]["lon"] - F.col("lon"), 2)
+        dist = F.when(F.col("lat").isNull() | F.col("lon").isNull(), 0.0).otherwise(F.coalesce(d, F.lit(float("inf"))))
+        other = F.coalesce(f["folder"] != F.col("preferred"), F.lit(True))
+        return F.struct(other.alias("other"), dist.alias("dist"), f["folder"].alias("folder"))
+
+    # a target meets its folders as an array, so only its least struct is a row; it is sorted once, where all of a target's rows are
+    best = rows.select("target_id", "preferred", "point_id", F.array_min(F.transform("_all", found)).alias("_b")).repartition("target_id")
+    best = best.groupBy("target_id").agg(F.min("_b").alias("_b"), F.any_value("preferred").alias("preferred"), F.any_value("point_id").alias("point_id")).select("target_id", "preferred", "point_id", "_b.folder")
     return best.select("target_id", F.coalesce("folder", "preferred", F.concat(F.col("point_id").cast("string"), F.lit("_unknown_unknown"))).alias("folder"), F.col("folder").isNotNull().alias("found"))
 
 

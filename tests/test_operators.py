@@ -517,3 +517,29 @@ def test_components_broadcast_no_table_of_numbers(spark, monkeypatch):
     got = {r.id: r.comp_id for r in graph.connected_components(pairs).collect()}
     assert got == {i: i // 10 * 10 for i in range(300)}
     assert {n for n, _ in seen} == {"edges", "pointers", "labels"} and not [n for n, p in seen if "Broadcast" in p]
+
+
+def test_nearest_folder_meets_folders_as_arrays(spark, monkeypatch):
+    """Against a plain loop, with more folders than a row holds, ties, a repeated target and one without a place; rows aren't multiplied by folders."""
+    rng = random.Random(11)
+    at = sorted({(f"{p}_{rng.randint(0, 4)}.5_{rng.randint(0, 4)}.5", str(p), d) for p in range(4) for d in ("left", "right") for _ in range(9)} | {("0_x_y", "0", "left")})
+    wants = [(i, str(rng.randint(0, 5)), rng.choice(("left", "right")), rng.choice([None, at[rng.randrange(len(at))][0]]), *rng.choice([(None, None), (rng.uniform(0, 5), rng.uniform(0, 5)), (2.0, 2.0)])) for i in range(120)]
+    wants.append(wants[0])
+    folders = spark.createDataFrame(at + at[:5], "folder string, point_id string, direction string")
+    targets = spark.createDataFrame(wants, "target_id int, point_id string, direction string, preferred string, lat double, lon double")
+
+    def far(folder: str, lat: float | None, lon: float | None) -> float:
+        if lat is None:
+            return 0.0
+        _, la, lo = folder.split("_")
+        return float("inf") if la == "x" else (float(la) - lat) ** 2 + (float(lo) - lon) ** 2
+
+    want = {}
+    for i, p, d, preferred, lat, lon in wants:
+        mine = [f for f, fp, fd in at if (fp, fd) == (p, d)]
+        best = min(mine, key=lambda f: (f != preferred, far(f, lat, lon), f), default=None)
+        want[i] = (best or preferred or f"{p}_unknown_unknown", best is not None)
+    for most in (2, 1000):
+        monkeypatch.setattr(resolve, "PLACES", most)
+        got = resolve.resolve_nearest_folder(targets, folders).collect()
+        assert len(got) == 120 and {r.target_id: (r.folder, r.found) for r in got} == want
