@@ -167,6 +167,60 @@ def test_plane_fit_against_plain_code(spark):
     assert floor.refined  # the share of 101 points is rounded down
 
 
+def test_planes_of_whole_images_need_no_table_of_hypotheses(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pts = []
+    for image, n in ((1, 90), (2, 130), (3, 60)):
+        flat = np.column_stack((rng.normal(0, 3, n), rng.normal(0, 0.004, n), rng.normal(0, 3, n)))
+        some = np.vstack((flat, rng.normal(0, 3, (n // 3, 3))))
+        pts += [(image, i + (i > 40 and image == 3), *map(float, p)) for i, p in enumerate(some)]  # image 3 has no point 41
+    df = spark.createDataFrame(pts, "image_id int, pt int, x double, y double, z double")
+    blocks = cloud.plane_hypotheses
+    monkeypatch.setattr(cloud, "plane_hypotheses", None)
+    whole = {r.image_id: r for r in cloud.fit_ground_plane(df, iters=150).collect()}
+    assert set(whole) == {1, 2, 3} and all(r.refined for r in whole.values())
+    monkeypatch.setattr(cloud, "plane_hypotheses", blocks)
+    for most in (0, 121):  # all in blocks; image 2 alone
+        monkeypatch.setattr(cloud, "WHOLE", most)
+        got = {r.image_id: r for r in cloud.fit_ground_plane(df, iters=150).collect()}
+        assert all(np.allclose(got[i][1:6], whole[i][1:6], rtol=0, atol=1e-12) for i in whole) and set(got) == set(whole)
+
+
+def test_a_cloud_is_cut_to_the_cells_that_are_read(spark):
+    runs = spark.createDataFrame([(1, "sidewalk", 4, 3, 5), (1, "road", 7, 0, 11), (1, "tree", 0, 0, 11), (2, "sidewalk", 5, 0, 11)], "image_id int, label string, x int, y0 int, y1 int")
+    dense = spark.range(2 * 36).selectExpr("cast(id / 36 as int) + 1 AS image_id", "cast(id % 36 / 6 as int) AS yd", "cast(id % 6 as int) AS xd", "double(id % 7) AS x", "double(id % 5) AS y", "double(id) AS z")
+    coords = spark.createDataFrame([(1, 0, 0.5, 4.9), (2, 1, 5.0, 5.0)], "image_id int, pt int, xs double, ys double")
+    cells = cloud.wanted_cells(runs, coords, (12, 12), (6, 6))
+    assert sorted(map(tuple, cells.collect())) == [(1, 2, 2), (1, 4, 0), (1, 4, 1), (1, 5, 0), (1, 5, 1), (2, 4, 4), (2, 4, 5), (2, 5, 4), (2, 5, 5)]
+    some = dense.join(cells, ["image_id", "yd", "xd"], "left_semi")
+    for of in (lambda c: cloud.bilinear_sample(c, coords, 6, 6), lambda c: cloud.gather_ground(c, runs, (12, 12), (6, 6), least=1)):
+        assert sorted(map(tuple, of(some).collect())) == sorted(map(tuple, of(dense).collect())) != []
+
+
+def test_masks_are_cleaned_without_rounds_of_joins(spark, monkeypatch):
+    from curbline.operators import graph
+
+    monkeypatch.setattr(graph, "connected_components", None)
+    rng = np.random.default_rng(6)
+    for width in (1, 2, 12):
+        grid = rng.random((width, 90)) < 0.93
+        rows = [(1, "sidewalk", x, y, y) for x, y in zip(*map(lambda v: v.tolist(), np.nonzero(grid)), strict=True)]
+        got = np.zeros_like(grid)
+        for r in cloud.clean_label_mask(spark.createDataFrame(rows, "image_id int, label string, x int, y0 int, y1 int"), width, 90).collect():
+            got[r.x, r.y0 : r.y1 + 1] = True
+
+        def around(g: np.ndarray, outside: bool) -> np.ndarray:
+            p = np.pad(g, 1, constant_values=outside)
+            return np.stack([p[i : i + g.shape[0], j : j + g.shape[1]] for i in range(3) for j in range(3)])
+
+        parts, kept = np.where(grid, np.arange(grid.size).reshape(grid.shape) + 1, 0), np.zeros_like(grid)
+        while not np.array_equal(new := np.where(grid, around(parts, False).max(axis=0), 0), parts):
+            parts = new
+        for part in set(parts[grid].tolist()):
+            kept |= (parts == part) & ((parts == part).sum() >= 50)
+        assert np.array_equal(got, around(around(kept, False).any(axis=0), True).all(axis=0))
+
+
 def test_junctions_with_and_without_masks_and_failures(spark):
     images = spark.createDataFrame([(1, "a.jpg", "m/1", bytearray(b"\xff\xd8one"), '{"point_id": 5}'), (2, "b.jpg", None, None, None), (3, "c.jpg", "m/3", bytearray(b"x"), "{}")], "image_id int, image_blob string, masks_prefix string, content binary, metadata string")
     runs = spark.createDataFrame([(1, "sidewalk_0", "Sidewalk", 2, 1, 3), (1, "sidewalk_0", "Sidewalk", 3, 1, 4), (1, "tree_0", "tree", 2, 2, 2), (3, "road_0", "road", 0, 0, 9), (9, "road_0", "road", 0, 0, 9)], "image_id int, mask_key string, class_name string, r int, c0 int, c1 int")
