@@ -7,23 +7,96 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import mask_key
 from ..schemas import DETECTION_DOCUMENT, MANIFEST, WIDTH_DOCUMENTS
+from ..scratch import settle
 from .png import BadImage, first_sample, grey
 
 IMAGE = r"\.(jpe?g|png)$"
 
 
+#: Files or folders that a task lists or reads.
+FILES_A_TASK = 2000
+
+
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a folder and the folder's path in it."""
+    return (pafs.LocalFileSystem(), uri.removeprefix("file:")) if uri.startswith("file:/") else pafs.FileSystem.from_uri(uri)
+
+
+def arrow_root(spark: SparkSession, root: str) -> str | None:
+    """The full name of a folder that Arrow can open; None for one that only Spark's readers can, patterns, single files and missing ones."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where) or not store.getFileStatus(where).isDirectory():
+        return None
+    uri = store.makeQualified(where).toString()
+    try:
+        fs, at = opened(uri)
+        return uri if fs.get_file_info(at).type == pafs.FileType.Directory else None
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(max(1, -(-rows.count() // FILES_A_TASK)), key)
+
+
+def listed(spark: SparkSession, uri: str) -> DataFrame:
+    """path and length of the files below a folder, but for those of 0 bytes and hidden ones, as Spark lists them. Tasks list the folders, a level at a
+    time, so that the driver holds no names, however many files there are."""
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = opened(uri)
+        for batch in batches:
+            for below in batch["path"].to_pylist():
+                infos = fs.get_file_info(pafs.FileSelector(at + below.removeprefix(uri)))
+                seen = [i for i in infos if not i.base_name.startswith(".") and (not i.base_name.startswith("_") or "=" in i.base_name)]
+                for k in range(0, len(seen), 10_000):
+                    part = seen[k : k + 10_000]
+                    yield pa.record_batch([pa.array([f"{below}/{i.base_name}" for i in part], pa.string()), pa.array([i.size if i.is_file else None for i in part], pa.int64())], ["path", "length"])
+
+    levels, folders = [], spark.createDataFrame([(uri,)], "path string")
+    while not levels or folders.limit(1).count():
+        levels.append(settle(dealt(folders, "path").mapInArrow(children, "path string, length long"), "listing"))
+        folders = levels[-1].where("length is null").select("path")
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.where("length > 0")
+
+
+def png_files(spark: SparkSession, root: str) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[str, bytes]]]]:
+    """The PNG files below a folder, and what makes their path and content of its batches in a task."""
+    uri = arrow_root(spark, root)
+    if uri is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][nN][gG]").load(root)
+        return files.select("path", "content"), lambda batches: ((path, content.as_py()) for batch in batches for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        fs, at = opened(uri)
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                with fs.open_input_stream(at + path.removeprefix(uri)) as f:
+                    yield path, f.read()
+
+    return dealt(listed(spark, uri).where(F.lower("path").endswith(".png")).select("path"), "path"), read
+
+
 def only_images(objects: DataFrame) -> DataFrame:
     return objects.where(F.lower("path").rlike(IMAGE))
 
 
 def scan_image_objects(spark: SparkSession, root: str) -> DataFrame:
     """Paths and lengths of images below a folder; contents are not read."""
+    uri = arrow_root(spark, root)
+    if uri is not None:
+        return only_images(listed(spark, uri))
     return only_images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
 
 
@@ -40,24 +113,24 @@ def _decoded(spark: SparkSession, root: str, found: Callable[[bytes], Iterator[d
     """path, error and ``fields`` of the PNG files below a folder: what ``found`` makes of each, or one row that says why it can't be read."""
     names = [f.split()[0] for f in fields.split(", ")]
 
+    files, read = png_files(spark, root)
+
     def run(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                try:
-                    parts = [{"path": path, "error": None, **part} for part in found(content.as_py())]
-                except BadImage as e:
-                    parts = [{"path": path, "error": str(e)}]
-                for part in parts:
-                    n = max([len(v) for v in part.values() if isinstance(v, np.ndarray)], default=1)
-                    yield pd.DataFrame({c: part[c] if isinstance(part.get(c), np.ndarray) else [part.get(c)] * n for c in ("path", "error", *names)})
+        for path, content in read(batches):
+            try:
+                parts = [{"path": path, "error": None, **part} for part in found(content)]
+            except BadImage as e:
+                parts = [{"path": path, "error": str(e)}]
+            for part in parts:
+                n = max([len(v) for v in part.values() if isinstance(v, np.ndarray)], default=1)
+                yield pd.DataFrame({c: part[c] if isinstance(part.get(c), np.ndarray) else [part.get(c)] * n for c in ("path", "error", *names)})
 
     def arrow(batches):
         schema = pa.schema([("path", pa.string()), ("error", pa.string()), *[(n, pa.string() if f.endswith("string") else pa.int32()) for n, f in zip(names, fields.split(", "), strict=True)]])
         for pdf in run(batches):
             yield pa.RecordBatch.from_pandas(pdf, schema=schema, preserve_index=False)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][nN][gG]").load(root)
-    return files.select("path", "content").mapInArrow(arrow, f"path string, error string, {fields}")
+    return files.mapInArrow(arrow, f"path string, error string, {fields}")
 
 
 def scan_masks(spark: SparkSession, root: str, version: int = 2) -> DataFrame:

@@ -91,6 +91,31 @@ def test_masks_in_colour_and_broken_ones(spark, tmp_path):
     assert sorted(r.error is None for r in labels.collect()) == [False, False, True, True]
 
 
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from curbline.sources import readers
+
+    good = png(np.full((2, 3, 1), 200, np.uint8), 0, 8)
+    for name in ("a/sidewalk/mask_000.png", "a/road/mask 1%20é.PNG", "a/_x=1/mask_002.png", "a/_gone/mask_003.png", "a/.gone/mask_004.png", "a/road/_mask_005.png", "b/c/d/e/mask_006.png", "top.png", "photo.jpg", "none/empty.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else good)
+    (tmp_path / "bare").mkdir()
+    root = str(tmp_path)
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").collect()
+    assert len(theirs) == 6
+    one = {r.path for r in readers.scan_masks(spark, f"{root}/top.png").collect()} | {r.path for r in readers.scan_masks(spark, f"{root}/*/sidewalk").collect()}
+    assert len(one) == 2  # a file and a pattern are left to Spark's reader
+    plain = DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, kind: None if kind == "binaryFile" else plain(self, kind))
+    monkeypatch.setattr(readers, "FILES_A_TASK", 2)
+    for at in (root, f"file://{root}", f"{root}/"):
+        assert sorted(map(tuple, readers.scan_image_objects(spark, at).collect())) == sorted(map(tuple, theirs))
+    got = readers.scan_mask_runs(spark, root).select("path", "r", "c0", "c1").collect()
+    assert sorted(map(tuple, got)) == sorted((r.path, i, 0, 2) for r in theirs if not r.path.endswith("jpg") for i in (0, 1))
+    assert readers.scan_masks(spark, f"{root}/bare").count() == 0
+
+
 def test_sweep_keeps_the_last_drawn_layer():
     rng = random.Random(4)
     for _ in range(300):
