@@ -398,6 +398,26 @@ def test_detection_summary_golden(spark):
     assert detect.batch_summary(spark.createDataFrame([], "detection_count long, total_segmented_ratio double")).first().avg_ratio == 0
 
 
+def test_detection_summary_is_of_the_masks_that_were_kept(spark):
+    d = spark.createDataFrame([(1, 1, "a", 0.8, 10), (1, 0, "b", 0.9, 8), (1, 2, "c", 0.5, 90), (1, 3, "b", 0.6, 8), (2, 0, "a", 0.2, 5)], "image_id int, idx int, mask_key string, confidence double, mask_pixels long")
+    d = d.selectExpr("*", "0.0D AS x1", "0.0D AS y1", "1.0D AS x2", "2.0D AS y2")
+    masks = spark.createDataFrame([(1, "a", 0, 0, 9), (1, "b", 0, 5, 12), (1, "c", 0, 40, 99), (2, "a", 0, 0, 4), (3, "a", 0, 0, 4)], "image_id int, mask_key string, r int, c0 int, c1 int")
+    union = runs.mask_union_area(detect.detected_masks(d, masks))
+    images = spark.createDataFrame([(1,), (2,), (3,)], "image_id int")
+    got = {r.image_id: r for r in detect.detection_summary(d, images, union, 10, 10).collect()}
+    assert {i: (r.detection_count, r.total_segmented_pixels) for i, r in got.items()} == {1: (3, 13), 2: (0, 0), 3: (0, 0)}
+    assert [x["index"] for x in got[1].detections] == [0, 1, 3] and got[2].detections == []
+
+
+def test_detection_documents_hold_their_detections(spark):
+    from __spark_entry__ import SMOKE_DIR, queries
+
+    got = queries()["detection_summary"](spark, SMOKE_DIR)
+    rows = got.collect()
+    assert all(len([x for x in r.detections.split(";") if x]) == r.detection_count for r in rows)
+    assert len(rows) == spark.read.parquet(f"{SMOKE_DIR}/orders.parquet").count() > got.where("detection_count > 0").count()
+
+
 def test_resolvers(spark):
     folders = spark.createDataFrame([("7_1.0_1.0", "7", "left"), ("7_2.0_2.0", "7", "left"), ("7_bad_x", "7", "left")], "folder string, point_id string, direction string")
     targets = spark.createDataFrame([(1, "7", "left", "7_2.0_2.0", 1.0, 1.0), (2, "7", "left", "7_9_9", 1.8, 1.8), (3, "7", "left", None, None, None), (4, "8", "left", None, 1.0, 1.0), (5, "8", "left", "8_1_1", 1.0, 1.0)], "target_id int, point_id string, direction string, preferred string, lat double, lon double")
