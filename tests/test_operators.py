@@ -415,6 +415,8 @@ def test_shares_round_as_their_sql(spark):
     px = [19296, 19872, 77088, 96, 288, 31136]  # halves of the last place
     want = [r[0] for r in duckdb.sql(f"SELECT round(CAST(unnest({px}) AS DOUBLE) / 307200, 6)").fetchall()]
     masks = spark.createDataFrame([(i, "a", r, 0, min(639, n - 640 * r - 1)) for i, n in enumerate(px) for r in range(-(-n // 640))], "image_id int, mask_key string, r int, c0 int, c1 int")
+    got = runs.mask_area(masks, 640, 480).orderBy("image_id").collect()
+    assert [r.mask_px for r in got] == px and [r.area_ratio for r in got] == want
     d = spark.createDataFrame([(i, 0.9) for i in range(len(px))], "image_id int, confidence double")
     found = d.selectExpr("*", "0 AS idx", "1L AS mask_pixels", "0.0D AS x1", "0.0D AS y1", "1.0D AS x2", "1.0D AS y2")
     docs = detect.detection_summary(found, d, runs.mask_union_area(masks), 640, 480)
