@@ -174,6 +174,7 @@ def test_planes_of_whole_images_need_no_table_of_hypotheses(spark, monkeypatch):
         flat = np.column_stack((rng.normal(0, 3, n), rng.normal(0, 0.004, n), rng.normal(0, 3, n)))
         some = np.vstack((flat, rng.normal(0, 3, (n // 3, 3))))
         pts += [(image, i + (i > 40 and image == 3), *map(float, p)) for i, p in enumerate(some)]  # image 3 has no point 41
+    pts += [(1, 7000, None, 0.0, 1.0), (2, 7000, 1.0, None, None)]  # no point of a plane
     df = spark.createDataFrame(pts, "image_id int, pt int, x double, y double, z double")
     blocks = cloud.plane_hypotheses
     monkeypatch.setattr(cloud, "plane_hypotheses", None)
